@@ -150,7 +150,7 @@ def _(spark, folder):
 def _(spark, folder):
     path = scratch_path(spark, "values")
     tables.write_factor_values(clean(spark, folder), path, TARGET)
-    return rounded(tables.scan(spark, path))
+    return tables.scan(spark, path)
 
 
 def known_model(spark: SparkSession, folder: str) -> mining.FactorModel:
@@ -479,7 +479,7 @@ QUERIES |= {
     ),
     "quantiles": _profile(lambda df: profile.quantiles(df, TARGET)),
     "quantiles_by": _profile(
-        lambda df: profile.quantiles(df, "open", (0.1, 0.5, 0.9), by=["order_book_id"]), views.bars
+        lambda df: profile.quantiles(df, "open", (0.1, 0.5, 0.9), by=["order_book_id"]), views.bars, 9
     ),
     "center_spread": _profile(lambda df: profile.center_spread(df, TARGET)),
     "skew_sample": _profile(lambda df: profile.skew_sample(df, TARGET)),

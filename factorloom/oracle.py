@@ -445,7 +445,7 @@ def statements() -> dict[str, str]:
         "write_partitioned_factor": event_factors,
         "write_unpartitioned": using("calendar", "SELECT * FROM calendar"),
         "write_factor_values": using(
-            "cleaned", f"SELECT {k}, {rnd(T, 'factor_value')} FROM cleaned"
+            "cleaned", f"SELECT {k}, {T} AS factor_value FROM cleaned"
         ),
         "write_profile_report": report(),
         "cast_schema": using("bars", f"{cast} FROM bars"),
@@ -557,7 +557,7 @@ def statements() -> dict[str, str]:
         "quantiles_by": using(
             "bars",
             "SELECT order_book_id, "
-            + ", ".join(rnd(quantile("open", p), n) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)))
+            + ", ".join(rnd(quantile("open", p), n, 9) for n, p in (("q10", 0.1), ("q50", 0.5), ("q90", 0.9)))
             + " FROM bars GROUP BY 1",
         ),
         "center_spread": profiled(
