@@ -580,7 +580,7 @@ def _(spark, folder):
 @query("function_registry")
 def _(spark, folder):
     """The total of every offered function, and of one a user adds, over all bars."""
-    functions = reg.default_registry((10,)) | reg.registry([reg.momentum_function(5)])
+    functions = reg.default_registry((10,)) | reg.registry([timeseries.momentum_function(5)])
     exprs = {
         name: (name, "volume", "r_volume") if f.arity == 2 else (name, "volume")
         for name, f in functions.items()

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 
 from factorloom.functions import scalars, timeseries
-from factorloom.operators.series import Series
+from factorloom.functions.windows import WindowFunction
 
 
 @dataclass(frozen=True)
@@ -20,20 +20,6 @@ class ScalarFunction:
     build: Callable[..., Column]
 
 
-@dataclass(frozen=True)
-class WindowFunction:
-    """``build(column, series)`` gives a column from up to ``size`` rows of the instrument.
-
-    ``zero_guard`` asks for 0 on instruments whose input is zero throughout.
-    """
-
-    name: str
-    size: int
-    build: Callable[[Column, Series], Column]
-    zero_guard: bool = False
-    arity: int = 1
-
-
 Function = ScalarFunction | WindowFunction
 Registry = dict[str, Function]
 
@@ -63,23 +49,8 @@ def standard_functions() -> list[Function]:
     return [ScalarFunction(n, *MATH[f"safe_{n}"]) for n in STANDARD]
 
 
-def rolling_function(fn: str, size: int) -> WindowFunction:
-    return WindowFunction(
-        f"ts_{fn}_{size}",
-        size,
-        lambda x, series: timeseries.rolling(fn, x, series, size),
-        zero_guard=fn == "rank",
-    )
-
-
-def momentum_function(size: int) -> WindowFunction:
-    return WindowFunction(
-        f"ts_momentum_{size}", size, lambda x, series: timeseries.momentum(x, series, size)
-    )
-
-
 def rolling_functions(sizes: Sequence[int]) -> list[Function]:
-    return [rolling_function(fn, size) for size in sizes for fn in timeseries.ROLLING]
+    return [timeseries.rolling_function(fn, size) for size in sizes for fn in timeseries.ROLLING]
 
 
 def default_registry(

@@ -11,93 +11,101 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.scalars import finite
+from factorloom.functions.windows import Parts, WindowFunction, apply_windows
 from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, Series, lay_out
 
 WINDOW_SIZES = (3, 5, 10, 20)
 
+AGGREGATES: dict[str, Callable[[Column], Column]] = {
+    "values": F.collect_list,
+    "rows": lambda x: F.count(F.lit(1)),
+    "max": F.max,
+    "min": F.min,
+    "mean": F.avg,
+    "std": F.stddev_pop,
+    "sum": F.sum,
+}
+
 
-def _rank(x: Column, series: Series, size: int) -> Column:
-    window = series.trailing(size)
-    held = F.size(F.filter(F.collect_list(x).over(window), lambda v: v <= x)) - 1
-    others = F.count(F.lit(1)).over(window) - 1
+def _rank(x: Column, parts: Parts) -> Column:
+    held = F.size(F.filter(parts["values"], lambda v: v <= x)) - 1
+    others = parts["rows"] - 1
     return F.when(x.isNotNull() & (others > 0), held / others)
 
 
-def _median(x: Column, series: Series, size: int) -> Column:
-    values = F.sort_array(F.collect_list(x).over(series.trailing(size)))
+def _median(x: Column, parts: Parts) -> Column:
+    values = F.sort_array(parts["values"])
     n = F.size(values)
     low = F.get(values, F.floor((n - 1) / 2).cast("int"))
     high = F.get(values, F.floor(n / 2).cast("int"))
     return (low + high) / 2
 
 
-def _framed(aggregate: Callable[[Column], Column]) -> Callable[[Column, Series, int], Column]:
-    return lambda x, series, size: aggregate(x).over(series.trailing(size))
+# function -> (window aggregates it needs, how they make the value)
+ROLLING: dict[str, tuple[tuple[str, ...], Callable[[Column, Parts], Column]]] = {
+    "rank": (("values", "rows"), _rank),
+    "max": (("max",), lambda x, parts: parts["max"]),
+    "min": (("min",), lambda x, parts: parts["min"]),
+    "mean": (("mean",), lambda x, parts: parts["mean"]),
+    "median": (("values",), _median),
+    "std": (("std",), lambda x, parts: parts["std"]),
+    "sum": (("sum",), lambda x, parts: parts["sum"]),
+}
 
 
-ROLLING: dict[str, Callable[[Column, Series, int], Column]] = {
-    "rank": _rank,
-    "max": _framed(F.max),
-    "min": _framed(F.min),
-    "mean": _framed(F.avg),
-    "median": _median,
-    "std": _framed(F.stddev_pop),
-    "sum": _framed(F.sum),
-}
+def rolling_function(fn: str, size: int) -> WindowFunction:
+    """``ts_<fn>_<size>``"""
+    needs, make = ROLLING[fn]
+
+    def parts(x: Column, series: Series) -> Parts:
+        return {n: AGGREGATES[n](x).over(series.trailing(size)) for n in needs}
 
+    def finish(x: Column, held: Parts) -> Column:
+        return F.coalesce(make(x, held), F.lit(0.0))
 
-def all_zero(x: Column) -> Column:
-    return F.coalesce(x == 0, F.lit(False))
+    return WindowFunction(f"ts_{fn}_{size}", size, parts, finish, zero_guard=fn == "rank")
 
 
-def rolling(fn: str, x: Column, series: Series, size: int, zero_flag: Column | None = None) -> Column:
-    """One rolling value per row; ``zero_flag`` marks instruments that are zero throughout."""
-    value = F.coalesce(ROLLING[fn](finite(x), series, size), F.lit(0.0))
-    if fn == "rank" and zero_flag is not None:
-        return F.when(zero_flag, 0.0).otherwise(value)
-    return value
+def momentum_function(size: int) -> WindowFunction:
+    """Change over a full window; NULL when the window is short or has a missing value."""
 
+    def parts(x: Column, series: Series) -> Parts:
+        return {
+            "first": F.lag(x, size - 1).over(series.ordered()),
+            "count": F.count(x).over(series.trailing(size)),
+        }
 
-def add_rolling(
+    def finish(x: Column, held: Parts) -> Column:
+        change = F.try_divide(x - held["first"], held["first"])
+        return F.when(held["count"] == size, change)
+
+    return WindowFunction(f"ts_momentum_{size}", size, parts, finish)
+
+
+def add_windows(
     df: DataFrame,
     column: str,
-    functions: Sequence[str] = tuple(ROLLING),
-    sizes: Sequence[int] = (10,),
+    functions: Sequence[WindowFunction],
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Append ``ts_<function>_<size>`` columns; all of them share one exchange and one sort."""
-    series = lay_out(df, keys, order, before=max(sizes) - 1, block_rows=block_rows)
-    x = F.col(column).cast("double")
-    flag = None
-    if "rank" in functions:
-        series = series.every_row({"__zero": all_zero(x)})
-        flag = F.col("__zero")
-    added = {
-        f"ts_{fn}_{size}": rolling(fn, x, series, size, flag) for size in sizes for fn in functions
-    }
-    return series.with_rows(series.rows.withColumns(added)).own().drop("__zero")
-
-
-def momentum(x: Column, series: Series, size: int) -> Column:
-    """Change over a full window; NULL when the window is short or has a missing value."""
-    x = finite(x)
-    first = F.lag(x, size - 1).over(series.ordered())
-    full = F.count(x).over(series.trailing(size)) == size
-    return F.when(full, F.try_divide(x - first, first))
+    """Append one column per function; all of them share one exchange and one sort."""
+    reach = max(f.size for f in functions) - 1
+    series = lay_out(df, keys, order, before=reach, block_rows=block_rows)
+    return apply_windows(series, {f.name: (f, column) for f in functions}).own()
 
 
-def add_momentum(
+def add_rolling(
     df: DataFrame,
     column: str,
+    functions: Sequence[str] = tuple(ROLLING),
     sizes: Sequence[int] = (10,),
-    keys: Sequence[str] = KEYS,
-    order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    **layout,
 ) -> DataFrame:
-    series = lay_out(df, keys, order, before=max(sizes) - 1, block_rows=block_rows)
-    x = F.col(column).cast("double")
-    added = {f"ts_momentum_{size}": momentum(x, series, size) for size in sizes}
-    return series.with_rows(series.rows.withColumns(added)).own()
+    chosen = [rolling_function(fn, size) for size in sizes for fn in functions]
+    return add_windows(df, column, chosen, **layout)
+
+
+def add_momentum(df: DataFrame, column: str, sizes: Sequence[int] = (10,), **layout) -> DataFrame:
+    return add_windows(df, column, [momentum_function(size) for size in sizes], **layout)

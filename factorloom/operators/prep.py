@@ -12,6 +12,7 @@ from factorloom.functions.scalars import clip_bounds
 from factorloom.operators.filters import drop_any_null, drop_null_target
 from factorloom.operators.profile import IQR_REACH, LOW_STD
 from factorloom.operators.quantiles import EXACT_ROWS, QUARTILES, ColumnQuantiles, fit_quantiles
+from factorloom.session import materialize
 
 # Variance floors for features and the smallest usable target IQR.
 FEATURE_STD = 1e-8
@@ -111,8 +112,9 @@ def _minmax(low: float, high: float, least: float, most: float) -> FeatureScale:
 
 
 def fit_target_scale(df: DataFrame, target: str, exact_rows: int = EXACT_ROWS) -> TargetScale:
-    q = fit_quantiles(df, [target], QUARTILES, exact_rows)[target]
-    row = df.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std")).first()
+    data = materialize(df.select(target), "target")
+    q = fit_quantiles(data, [target], QUARTILES, exact_rows, stored=True)[target]
+    row = data.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std")).first()
     return _target_scale(q, row["mean"], row["std"])
 
 
@@ -129,12 +131,18 @@ def fit_prep(
     target: str,
     method: str = "robust",
     exact_rows: int = EXACT_ROWS,
+    stored: bool = False,
 ) -> FeaturePrep:
-    """Fit in three narrow jobs whatever the number of features: moments, ranks, clipped std."""
+    """Fit from moments, ranks and clipped moments, each for all features at once.
+
+    The columns are written first unless ``df`` is a stored table.
+    """
     if method not in ("robust", "minmax"):
         raise ValueError(f"unknown scaling {method!r}")
     features = list(features)
     data = drop_any_null(df, [*features, target]).select(*features, target)
+    if not stored:
+        data = materialize(data, "features")
     everything = [*features, target]
     asks = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean")]
     for i, c in enumerate(everything):
@@ -145,7 +153,7 @@ def fit_prep(
         raise ValueError("no complete row is left; check the features and the target")
     place = {c: i for i, c in enumerate(everything)}
     valid = _require(varying({c: row[f"s_{place[c]}"] for c in features}, features))
-    fitted = fit_quantiles(data, [*valid, target], QUARTILES, exact_rows)
+    fitted = fit_quantiles(data, [*valid, target], QUARTILES, exact_rows, stored=True)
     bounds = {c: iqr_bounds(fitted[c]) for c in valid}
     clipped = data.select(
         *[clip_bounds(F.col(c).cast("double"), *bounds[c]).alias(c) for c in valid]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from factorloom.operators.quantiles import EXACT_ROWS, fit_quantiles
 from factorloom.operators.ranks import group_quantiles
 from factorloom.operators.series import BLOCK_ROWS, forward_return, null_safe_join
+from factorloom.session import materialize
 from factorloom.sources.tables import between_dates
 
 # Reported quantiles and thresholds.
@@ -41,6 +42,11 @@ def _valued(column: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def _stored(df: DataFrame, column: str) -> DataFrame:
+    """The one column, written once: a profile reads it several times."""
+    return materialize(df.select(column), "column")
+
+
 def _summary(
     df: DataFrame,
     column: str,
@@ -51,13 +57,15 @@ def _summary(
 ) -> DataFrame:
     """Aggregates plus quantile columns, for the table or per group."""
     if not by:
-        fitted = fit_quantiles(df, [column], list(quantiles.values()), exact_rows)[column]
+        data = _stored(df, column)
+        fitted = fit_quantiles(data, [column], list(quantiles.values()), exact_rows, stored=True)
+        fitted = fitted[column]
         values = {
             name: F.lit(fitted.at(p)).cast("double") for name, p in quantiles.items()
         }
         if not aggregates:
             return df.sparkSession.range(1).select(*[v.alias(k) for k, v in values.items()])
-        return df.agg(*aggregates).withColumns(values)
+        return data.agg(*aggregates).withColumns(values)
     numbers = df.withColumn("__x", _double(column))
     tall = group_quantiles(numbers, by, "__x", sorted(set(quantiles.values())))
     wide = tall.groupBy(*by).agg(
@@ -165,8 +173,9 @@ def sign_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 
 def iqr_outliers(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Quartiles, 1.5-IQR bounds, and rows strictly outside them."""
-    fitted = fit_quantiles(df, [column], (0.25, 0.75), exact_rows)[column]
-    return df.agg(*_outliers(_valued(column), fitted.at(0.25), fitted.at(0.75)))
+    data = _stored(df, column)
+    fitted = fit_quantiles(data, [column], (0.25, 0.75), exact_rows, stored=True)[column]
+    return data.agg(*_outliers(_valued(column), fitted.at(0.25), fitted.at(0.75)))
 
 
 def _outliers(x: Column, q1: float | None, q3: float | None) -> list[Column]:
@@ -208,11 +217,12 @@ def row_and_distinct(
 
 def profile_target(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
     """The whole distribution profile as one row: quantiles, then one aggregate."""
-    fitted = fit_quantiles(df, [column], REPORT_QUANTILES, exact_rows)[column]
+    data = _stored(df, column)
+    fitted = fit_quantiles(data, [column], REPORT_QUANTILES, exact_rows, stored=True)[column]
     x = _valued(column)
     # the distinct count shuffles single values; kept apart so no other buffer travels along
-    distinct = df.agg(F.count_distinct(x)).scalar()
-    table = df.agg(
+    distinct = data.agg(F.count_distinct(x)).scalar()
+    table = data.agg(
         F.count(F.lit(1)).alias("rows"),
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),

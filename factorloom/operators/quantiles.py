@@ -1,22 +1,24 @@
 """Exact quantiles (linear interpolation) without a global sort or an unbounded buffer.
 
-Small inputs use one ``percentile`` aggregate. Larger inputs are narrowed in rounds: a
-mergeable sketch proposes an interval for every wanted rank, a count proves where the rank
-lies, and only the last, small interval is fetched. Each round is one scan with a tiny shuffle,
-and the answer is exact whatever the sketch says.
+Small inputs use one ``percentile`` aggregate. Larger inputs are narrowed in rounds: a mergeable
+sketch of the values around a wanted rank proposes cut points, one count per region between the
+cuts proves which region holds the rank, and only the last, small region is fetched. Each round
+is a narrow scan with a tiny shuffle, and the answer is exact whatever the sketch says.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EXACT_ROWS = 1_000_000
-FETCH_ROWS = 20_000
+from factorloom.session import materialize
+
+EXACT_ROWS = 50_000
+FETCH_ROWS = 10_000
 SKETCH_K = 4096
 SKETCH_GROUPS = 512
 MARGIN = 0.004
@@ -52,20 +54,21 @@ class ColumnQuantiles:
 
 
 @dataclass
-class _Span:
+class _Region:
     """Wanted ranks of a column known to lie in [low, high]."""
 
     column: str
     ranks: list[int]
-    low: float
-    high: float
     below: int
     inside: int
-    margin: float = MARGIN
+    low: float = -math.inf
+    high: float = math.inf
 
-    def holds(self) -> Column:
-        c = F.col(self.column)
-        return (c >= self.low) & (c <= self.high)
+    def points(self) -> list[float]:
+        """Shares of the region, a margin to each side of the wanted ranks."""
+        shares = [(r - self.below) / max(self.inside - 1, 1) for r in self.ranks]
+        around = {min(max(s + m, 0.0), 1.0) for s in shares for m in (-MARGIN, MARGIN)}
+        return sorted(around)
 
 
 def fit_quantiles(
@@ -74,192 +77,160 @@ def fit_quantiles(
     probabilities: Sequence[float] = QUARTILES,
     exact_rows: int = EXACT_ROWS,
     fetch_rows: int = FETCH_ROWS,
+    stored: bool = False,
 ) -> dict[str, ColumnQuantiles]:
-    """Exact order statistics around each quantile; NULL and NaN are ignored."""
-    columns = list(columns)
+    """Exact order statistics around each quantile; NULL and NaN are ignored.
+
+    The columns are read several times, so they are written to the shared folder first unless
+    the caller says that ``df`` is a stored table.
+    """
+    columns = list(dict.fromkeys(columns))
     if not columns:
         return {}
-    data = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None)).alias(c) for c in columns])
-    head = data.agg(
-        *[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"a_{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"b_{i}") for i, c in enumerate(columns)],
-    ).first()
-    found = {c: ColumnQuantiles(head[f"n_{i}"]) for i, c in enumerate(columns)}
+    numbers = {c: F.col(c).cast("double") for c in columns}
+    data = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in numbers.items()])
+    if not stored:
+        data = materialize(data, "columns")
+    counts = data.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+    found = {c: ColumnQuantiles(counts[f"n_{i}"]) for i, c in enumerate(columns)}
     wanted = {
-        c: sorted({r for p in probabilities for r in _ranks(q.n, p)[:2]}) if q.n else []
+        c: sorted({r for p in probabilities for r in _ranks(q.n, p)[:2]})
         for c, q in found.items()
+        if q.n
     }
-    small = [c for c in columns if 0 < found[c].n <= exact_rows]
-    _fill_small(data, small, wanted, found)
-    spans = [
-        _Span(c, wanted[c], head[f"a_{i}"], head[f"b_{i}"], 0, found[c].n)
-        for i, c in enumerate(columns)
-        if found[c].n > exact_rows
-    ]
-    _fill_large(data, spans, found, fetch_rows)
+    small = [c for c in wanted if found[c].n <= exact_rows]
+    _fill_small(data, {c: wanted[c] for c in small}, found)
+    regions = [_Region(c, wanted[c], 0, found[c].n) for c in wanted if c not in small]
+    while regions:
+        _fetch(data, [r for r in regions if r.inside <= fetch_rows], found)
+        regions = _narrow(data, [r for r in regions if r.inside > fetch_rows], found)
     return found
 
 
 def _fill_small(
-    data: DataFrame,
-    columns: list[str],
-    wanted: dict[str, list[int]],
-    found: dict[str, ColumnQuantiles],
+    data: DataFrame, wanted: dict[str, list[int]], found: dict[str, ColumnQuantiles]
 ) -> None:
-    if not columns:
+    if not wanted:
         return
     row = data.agg(
         *[
-            F.percentile(c, [r / max(found[c].n - 1, 1) for r in wanted[c]]).alias(f"q_{i}")
-            for i, c in enumerate(columns)
+            F.percentile(c, [r / max(found[c].n - 1, 1) for r in ranks]).alias(f"q_{i}")
+            for i, (c, ranks) in enumerate(wanted.items())
         ]
     ).first()
-    for i, c in enumerate(columns):
-        found[c].values = dict(zip(wanted[c], row[f"q_{i}"], strict=True))
+    for i, (c, ranks) in enumerate(wanted.items()):
+        found[c].values = dict(zip(ranks, row[f"q_{i}"], strict=True))
 
 
-def _fill_large(
-    data: DataFrame, spans: list[_Span], found: dict[str, ColumnQuantiles], fetch_rows: int
-) -> None:
-    while spans:
-        fetch, refine = [], []
-        for span in spans:
-            if span.low == span.high:
-                found[span.column].values.update({r: span.low for r in span.ranks})
-            elif span.inside <= fetch_rows:
-                fetch.append(span)
-            else:
-                refine.append(span)
-        for group in _by_columns(fetch):
-            _fetch(data, group, found)
-        spans = [s for group in _by_columns(refine) for s in _narrow(data, _propose(data, group))]
-
-
-def _by_columns(spans: list[_Span]) -> list[list[_Span]]:
-    """Groups of spans over few columns, so that each job reads only those columns."""
-    columns = sorted({s.column for s in spans})
-    chunks = [columns[i : i + COLUMNS_PER_JOB] for i in range(0, len(columns), COLUMNS_PER_JOB)]
-    return [[s for s in spans if s.column in chunk] for chunk in chunks]
-
-
-def _neighbours(ranks: list[int]) -> list[list[int]]:
-    groups: list[list[int]] = []
-    for rank in sorted(ranks):
-        if groups and rank - groups[-1][-1] <= 1:
-            groups[-1].append(rank)
-        else:
-            groups.append([rank])
-    return groups
-
-
-def _propose(data: DataFrame, spans: list[_Span]) -> list[tuple[_Span, _Span]]:
-    """Ask a sketch of each span for narrower intervals; (parent, child) pairs."""
-    by_group = data.groupBy(
-        F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")
-    ).agg(
-        *[
-            F.kll_sketch_agg_double(F.when(s.holds(), F.col(s.column)), F.lit(SKETCH_K)).alias(f"s_{i}")
-            for i, s in enumerate(spans)
-        ]
-    )
-    merged = by_group.agg(
-        *[F.kll_merge_agg_double(f"s_{i}", F.lit(SKETCH_K)).alias(f"s_{i}") for i in range(len(spans))]
-    )
-    groups = [_neighbours(s.ranks) for s in spans]
-    points = [
-        [
-            min(max((rank - s.below) / max(s.inside - 1, 1) + shift, 0.0), 1.0)
-            for ranks in groups[i]
-            for rank, shift in ((ranks[0], -s.margin), (ranks[-1], s.margin))
-        ]
-        for i, s in enumerate(spans)
-    ]
-    row = merged.select(
-        *[
-            F.kll_sketch_get_quantile_double(f"s_{i}", F.array(*[F.lit(p) for p in ask])).alias(f"q_{i}")
-            for i, ask in enumerate(points)
-        ]
-    ).first()
-    pairs = []
-    for i, s in enumerate(spans):
-        edges = [
-            s.low if p == 0.0 else s.high if p == 1.0 else q
-            for p, q in zip(points[i], row[f"q_{i}"], strict=True)
-        ]
-        for j, ranks in enumerate(groups[i]):
-            pairs.append((s, _Span(s.column, ranks, edges[2 * j], edges[2 * j + 1], 0, 0)))
-    return pairs
+def _jobs(regions: list[_Region]) -> Iterable[dict[str, list[_Region]]]:
+    """Regions by column, a few columns at a time, so that each job reads only those."""
+    columns = list(dict.fromkeys(r.column for r in regions))
+    for start in range(0, len(columns), COLUMNS_PER_JOB):
+        chunk = columns[start : start + COLUMNS_PER_JOB]
+        yield {
+            c: sorted((r for r in regions if r.column == c), key=lambda r: r.below) for c in chunk
+        }
 
 
-def _narrow(data: DataFrame, pairs: list[tuple[_Span, _Span]]) -> list[_Span]:
-    """Prove by counting where each rank lies: on an edge, between the edges, or outside.
+def _tall(data: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """One row (column number ``c``, value ``v``) per value."""
+    return data.select(F.posexplode(F.array(*columns)).alias("c", "v")).dropna(subset=["v"])
 
-    The edges are values of the column and are set apart, so every round makes progress even
-    when one value fills most of the span. A rank outside goes back with a wider margin.
-    """
-    asks = []
-    for i, (_, child) in enumerate(pairs):
-        x = F.col(child.column)
-        between = (x > child.low) & (x < child.high)
-        asks += [
-            F.count_if(x < child.low).alias(f"l_{i}"),
-            F.count_if(x == child.low).alias(f"a_{i}"),
-            F.count_if(between).alias(f"m_{i}"),
-            F.count_if(x == child.high).alias(f"b_{i}"),
-            F.min(F.when(between, x)).alias(f"x_{i}"),
-            F.max(F.when(between, x)).alias(f"y_{i}"),
-        ]
-    row = data.agg(*asks).first()
-    spans: dict[tuple, _Span] = {}
-
-    def place(rank: int, span: _Span) -> None:
-        key = (span.column, span.low, span.high, span.margin)
-        spans.setdefault(key, span).ranks.append(rank)
-
-    for i, (parent, child) in enumerate(pairs):
-        below, at_low, middle, at_high = (row[f"{k}_{i}"] for k in "lamb")
-        if child.low == child.high:
-            at_high = 0
-        for rank in child.ranks:
-            c = parent.column
-            if below <= rank < below + at_low:
-                place(rank, _Span(c, [], child.low, child.low, below, at_low))
-            elif below + at_low <= rank < below + at_low + middle:
-                place(rank, _Span(c, [], row[f"x_{i}"], row[f"y_{i}"], below + at_low, middle))
-            elif below + at_low + middle <= rank < below + at_low + middle + at_high:
-                place(rank, _Span(c, [], child.high, child.high, below, at_high))
-            else:
-                place(rank, replace(parent, ranks=[], margin=parent.margin * 2))
-    return list(spans.values())
-
-
-def _fetch(data: DataFrame, spans: list[_Span], found: dict[str, ColumnQuantiles]) -> None:
-    """Read the few values of small spans and pick the ranks."""
-    if not spans:
-        return
-    tagged = F.filter(
-        F.array(
-            *[
-                F.when(s.holds(), F.struct(F.lit(i).alias("span"), F.col(s.column).alias("v")))
-                for i, s in enumerate(spans)
-            ]
-        ),
-        lambda t: t.isNotNull(),
-    )
-    rows = (
-        data.select(F.explode(tagged).alias("t"))
-        .groupBy("t.span", "t.v")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .collect()
+
+def _per_column(lists: Iterable[list[float]]) -> Column:
+    """A list for the row's column, from a small literal table."""
+    table = F.array(*[F.array(*[F.lit(float(x)) for x in values]) for values in lists])
+    return F.get(table, F.col("c"))
+
+
+def _reached(sorted_values: Column) -> Column:
+    """How many of the sorted values are at or below ``v``."""
+    return F.size(F.filter(sorted_values, lambda x: x <= F.col("v")))
+
+
+def _in_regions(data: DataFrame, work: dict[str, list[_Region]]) -> DataFrame:
+    """Values that lie in a region, with the number ``g`` of the region in its column."""
+    lows = _per_column([r.low for r in regions] for regions in work.values())
+    highs = _per_column([r.high for r in regions] for regions in work.values())
+    placed = _tall(data, work).withColumn("g", _reached(lows) - 1)
+    return placed.filter((F.col("g") >= 0) & (F.col("v") <= F.get(highs, F.col("g"))))
+
+
+def _between_cuts(data: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
+    """All values, numbered 2j between cut j-1 and cut j, and 2j+1 on cut j."""
+    own = _per_column(cuts.values())
+    below = F.size(F.filter(own, lambda x: x < F.col("v")))
+    return _tall(data, cuts).withColumn("g", below + _reached(own))
+
+
+def _cuts(data: DataFrame, work: dict[str, list[_Region]]) -> dict[str, list[float]]:
+    """Cut points for each column, from sketches merged in two steps."""
+    points = sorted({p for regions in work.values() for r in regions for p in r.points()})
+    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+    merged = (
+        _in_regions(data, work)
+        .groupBy("c", "g", group.alias("part"))
+        .agg(F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("s"))
+        .groupBy("c", "g")
+        .agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"))
     )
-    held: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(spans))}
-    for row in rows:
-        held[row["span"]].append((row["v"], row["n"]))
-    for i, span in enumerate(spans):
-        wanted = sorted(span.ranks)
-        reached = span.below
-        for value, n in sorted(held[i]):
-            while wanted and wanted[0] < reached + n:
-                found[span.column].values[wanted.pop(0)] = value
-            reached += n
+    asked = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(p) for p in points]))
+    rows = {(r["c"], r["g"]): r["q"] for r in merged.select("c", "g", asked.alias("q")).collect()}
+    cuts = {}
+    for i, (c, regions) in enumerate(work.items()):
+        proposed = set()
+        for g, region in enumerate(regions):
+            answer = dict(zip(points, rows[i, g], strict=True))
+            proposed.update(answer[p] for p in region.points())
+        cuts[c] = sorted(proposed)
+    return cuts
+
+
+def _narrow(
+    data: DataFrame, regions: list[_Region], found: dict[str, ColumnQuantiles]
+) -> list[_Region]:
+    """Count the regions between the cuts and keep those that hold a wanted rank.
+
+    Cuts are values of the column and form regions of their own, so a round always makes
+    progress, also when one value fills most of the column.
+    """
+    open_regions: list[_Region] = []
+    for work in _jobs(regions):
+        cuts = _cuts(data, work)
+        rows = (
+            _between_cuts(data, cuts)
+            .groupBy("c", "g")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()
+        )
+        for i, (c, parents) in enumerate(work.items()):
+            wanted = sorted(rank for r in parents for rank in r.ranks)
+            reached = 0
+            for row in sorted((r for r in rows if r["c"] == i), key=lambda r: r["g"]):
+                held = [r for r in wanted if reached <= r < reached + row["n"]]
+                if held and row["low"] == row["high"]:
+                    found[c].values.update(dict.fromkeys(held, row["low"]))
+                elif held:
+                    open_regions.append(
+                        _Region(c, held, reached, row["n"], row["low"], row["high"])
+                    )
+                reached += row["n"]
+    return open_regions
+
+
+def _fetch(data: DataFrame, regions: list[_Region], found: dict[str, ColumnQuantiles]) -> None:
+    """Read the few values of small regions and pick the ranks."""
+    for work in _jobs(regions):
+        rows = (
+            _in_regions(data, work).groupBy("c", "g", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+        )
+        held: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        for row in rows:
+            held.setdefault((row["c"], row["g"]), []).append((row["v"], row["n"]))
+        for i, (c, regions_here) in enumerate(work.items()):
+            for g, region in enumerate(regions_here):
+                wanted, reached = sorted(region.ranks), region.below
+                for value, n in sorted(held[i, g]):
+                    while wanted and wanted[0] < reached + n:
+                        found[c].values[wanted.pop(0)] = value
+                    reached += n

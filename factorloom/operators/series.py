@@ -76,15 +76,13 @@ class Series:
         )
         return self.with_rows(spark.table(name))
 
-    def every_row(self, flags: dict[str, Column]) -> Series:
-        """Add columns telling whether a condition holds on all rows of the instrument."""
+    def every_row(self, flags: dict[str, Column]) -> tuple[Series, dict[str, Column]]:
+        """For each condition, a column telling whether it holds on all rows of the instrument."""
         if not flags:
-            return self
+            return self, {}
         if not self.split:
             whole = self.over(Window.unboundedPreceding, Window.unboundedFollowing)
-            return self.with_rows(
-                self.rows.withColumns({n: F.bool_and(c).over(whole) for n, c in flags.items()})
-            )
+            return self, {n: F.bool_and(c).over(whole) for n, c in flags.items()}
         found = (
             self.rows.filter(F.col(_OWN))
             .groupBy(*self.keys)
@@ -92,11 +90,9 @@ class Series:
             .filter(reduce(Column.__or__, [F.col(n) for n in flags]))
         )
         if found.isEmpty():
-            return self.with_rows(self.rows.withColumns({n: F.lit(False) for n in flags}))
+            return self, {n: F.lit(False) for n in flags}
         rows = null_safe_join(self.rows, found, self.keys)
-        return self.with_rows(
-            rows.withColumns({n: F.coalesce(F.col(n), F.lit(False)) for n in flags})
-        )
+        return self.with_rows(rows), {n: F.coalesce(F.col(n), F.lit(False)) for n in flags}
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:

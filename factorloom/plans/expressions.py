@@ -12,8 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.functions.registry import Registry, WindowFunction
-from factorloom.functions.timeseries import all_zero
+from factorloom.functions.registry import Registry
+from factorloom.functions.windows import WindowFunction, apply_windows
 from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, Series, lay_out
 
 Expr = str | float | int | tuple
@@ -65,51 +65,56 @@ def lookback(expr: Expr, functions: Registry) -> int:
 
 
 def _level(expr: Expr, functions: Registry) -> int:
+    """How many window functions are nested in each other."""
     if not isinstance(expr, tuple):
         return 0
     below = max(_level(a, functions) for a in expr[1:])
     return below + 1 if _windowed(expr, functions) else below
 
 
-def _window_nodes(expr: Expr, functions: Registry) -> set[tuple]:
-    if not isinstance(expr, tuple):
-        return set()
-    nodes = set().union(*(_window_nodes(a, functions) for a in expr[1:]))
-    return nodes | {expr} if _windowed(expr, functions) else nodes
+def _nodes(expr: Expr) -> set[tuple]:
+    return {expr}.union(*(_nodes(a) for a in expr[1:])) if isinstance(expr, tuple) else set()
 
 
-def _column(expr: Expr, functions: Registry, staged: Mapping[tuple, str]) -> Column:
+def _column(expr: Expr, staged: Mapping[Expr, str]) -> Column:
     if isinstance(expr, str):
         return F.col(expr).cast("double")
-    if not isinstance(expr, tuple):
-        return F.lit(float(expr))
-    if expr in staged:
-        return F.col(staged[expr])
-    return functions[expr[0]].build(*[_column(a, functions, staged) for a in expr[1:]])
+    return F.col(staged[expr]) if isinstance(expr, tuple) else F.lit(float(expr))
 
 
 def evaluate_on(series: Series, exprs: Mapping[str, Expr], functions: Registry) -> Series:
-    """Add one column per expression to rows that are already laid out."""
+    """Add one column per expression to rows that are already laid out.
+
+    Every distinct part becomes a column of its own, so the plan grows with the number of parts
+    and never with the nesting. Windows of one nesting level share one pass.
+    """
     for expr in exprs.values():
         check(expr, functions)
-    nodes = sorted(
-        set().union(*(_window_nodes(e, functions) for e in exprs.values())), key=text
-    )
-    names = {node: f"__w{i}" for i, node in enumerate(nodes)}
+    nodes = sorted(set().union(*(_nodes(e) for e in exprs.values())), key=lambda n: (depth(n), text(n)))
+    staged: dict[Expr, str] = {n: f"__x{i}" for i, n in enumerate(nodes)}
     keep = series.rows.columns
-    staged: dict[tuple, str] = {}
-    for level in range(1, 1 + max((_level(n, functions) for n in nodes), default=0)):
-        current = [n for n in nodes if _level(n, functions) == level]
-        inputs = {n: _column(n[1], functions, staged) for n in current}
-        guarded = [n for n in current if functions[n[0]].zero_guard]
-        flags = {f"{names[n]}_zero": all_zero(inputs[n]) for n in guarded}
-        series = series.every_row(flags)
-        added = {names[n]: functions[n[0]].build(inputs[n], series) for n in current}
-        for n in guarded:
-            added[names[n]] = F.when(F.col(f"{names[n]}_zero"), 0.0).otherwise(added[names[n]])
-        series = series.with_rows(series.rows.withColumns(added))
-        staged |= {n: names[n] for n in current}
-    values = [_column(e, functions, staged).alias(name) for name, e in exprs.items()]
+    for level in range(1 + max((_level(n, functions) for n in nodes), default=0)):
+        here = [n for n in nodes if _level(n, functions) == level]
+        windows = [n for n in here if _windowed(n, functions)]
+        fixed = {n: f"__c{i}" for i, n in enumerate(windows) if isinstance(n[1], (int, float))}
+        if fixed:
+            constants = {name: F.lit(float(n[1])) for n, name in fixed.items()}
+            series = series.with_rows(series.rows.withColumns(constants))
+        if windows:
+            calls = {
+                staged[n]: (functions[n[0]], fixed.get(n) or staged.get(n[1], n[1]))
+                for n in windows
+            }
+            series = apply_windows(series, calls)
+        scalars = [n for n in here if n not in windows]
+        for height in sorted({depth(n) for n in scalars}):
+            added = {
+                staged[n]: functions[n[0]].build(*[_column(a, staged) for a in n[1:]])
+                for n in scalars
+                if depth(n) == height
+            }
+            series = series.with_rows(series.rows.withColumns(added))
+    values = [_column(e, staged).alias(name) for name, e in exprs.items()]
     return series.with_rows(series.rows.select(*keep, *values))
 
 

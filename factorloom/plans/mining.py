@@ -101,7 +101,8 @@ def prepare(
     """
     names = feature_columns(table, target, list(features) if features else None)
     loaded = materialize(table.select(*keys, *order, *names, target), "loaded")
-    prep = fit_prep(loaded if fit_where is None else loaded.filter(fit_where), names, target, method)
+    fitted = loaded if fit_where is None else loaded.filter(fit_where)
+    prep = fit_prep(fitted, names, target, method, stored=True)
     rows = materialize(prep.transform(loaded), "prepared")
     return Prepared(rows, prep, tuple(keys), tuple(order))
 
