@@ -665,7 +665,19 @@ def _(spark, folder):
 
 @query("train_final")
 def _(spark, folder):
-    """Load, prepare, search, save; gives the saved factor values."""
+    """Load, prepare, choose among the plain features, save; gives the saved factor values."""
+    path = scratch_path(spark, "final")
+    settings = search.SearchSettings(
+        population_size=len(FEATURES), generations=1, max_samples=1.0, max_depth=1
+    )
+    config = mining.MiningConfig(window_sizes=(10,), search=settings)
+    mining.train_final(views.bars(spark, folder), *WHOLE, config, path, features=FEATURES)
+    return rounded(tables.scan(spark, f"{path}/factor_values.parquet"))
+
+
+@query("train_final_search")
+def _(spark, folder):
+    """The same with a search over rolling and math functions."""
     path = scratch_path(spark, "final")
     config = mining.MiningConfig(window_sizes=(3, 10), search=SMALL_SEARCH)
     mining.train_final(views.bars(spark, folder), *WHOLE, config, path, features=FEATURES)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.windows import Parts, WindowFunction, apply_windows
-from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, Series, lay_out
+from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 
 WINDOW_SIZES = (3, 5, 10, 20)
 
@@ -88,7 +88,7 @@ def add_windows(
     functions: Sequence[WindowFunction],
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Append one column per function; all of them share one exchange and one sort."""
     reach = max(f.size for f in functions) - 1

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.scalars import clip_bounds
 from factorloom.operators.filters import drop_any_null, drop_null_target
 from factorloom.operators.profile import IQR_REACH, LOW_STD
-from factorloom.operators.quantiles import EXACT_ROWS, QUARTILES, ColumnQuantiles, fit_quantiles
+from factorloom.operators.quantiles import QUARTILES, ColumnQuantiles, fit_quantiles
 from factorloom.session import materialize
 
 # Variance floors for features and the smallest usable target IQR.
@@ -88,7 +88,7 @@ def _require(features: list[str]) -> list[str]:
     return features
 
 
-def iqr_clip(df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
+def iqr_clip(df: DataFrame, features: Sequence[str], exact_rows: int | None = None) -> DataFrame:
     fitted = fit_quantiles(df, features, QUARTILES, exact_rows)
     return df.withColumns(
         {
@@ -111,7 +111,7 @@ def _minmax(low: float, high: float, least: float, most: float) -> FeatureScale:
     return FeatureScale(low, high, least, most - least if most > least else 1.0)
 
 
-def fit_target_scale(df: DataFrame, target: str, exact_rows: int = EXACT_ROWS) -> TargetScale:
+def fit_target_scale(df: DataFrame, target: str, exact_rows: int | None = None) -> TargetScale:
     data = materialize(df.select(target), "target")
     q = fit_quantiles(data, [target], QUARTILES, exact_rows, stored=True)[target]
     row = data.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std")).first()
@@ -130,7 +130,7 @@ def fit_prep(
     features: Sequence[str],
     target: str,
     method: str = "robust",
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int | None = None,
     stored: bool = False,
 ) -> FeaturePrep:
     """Fit from moments, ranks and clipped moments, each for all features at once.
@@ -170,7 +170,7 @@ def fit_prep(
     return FeaturePrep(tuple(features), scales, target, target_scale)
 
 
-def robust_scale(df: DataFrame, features: Sequence[str], exact_rows: int = EXACT_ROWS) -> DataFrame:
+def robust_scale(df: DataFrame, features: Sequence[str], exact_rows: int | None = None) -> DataFrame:
     """Clip, then (x - median) / IQR of the clipped values."""
     fitted = fit_quantiles(df, features, QUARTILES, exact_rows)
     scales = {c: _robust(q, *iqr_bounds(q)) for c, q in fitted.items() if q.n}
@@ -193,7 +193,7 @@ def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
-def scale_target(df: DataFrame, target: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def scale_target(df: DataFrame, target: str, exact_rows: int | None = None) -> DataFrame:
     scale = fit_target_scale(df, target, exact_rows)
     return df.withColumn(target, scale.apply(F.col(target)))
 

@@ -12,9 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.operators.quantiles import EXACT_ROWS, fit_quantiles
+from factorloom.operators.quantiles import fit_quantiles
 from factorloom.operators.ranks import group_quantiles
-from factorloom.operators.series import BLOCK_ROWS, forward_return, null_safe_join
+from factorloom.operators.series import forward_return, null_safe_join
 from factorloom.session import materialize
 from factorloom.sources.tables import between_dates
 
@@ -53,7 +53,7 @@ def _summary(
     aggregates: Sequence[Column],
     quantiles: dict[str, float],
     by: Sequence[str] = (),
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int | None = None,
 ) -> DataFrame:
     """Aggregates plus quantile columns, for the table or per group."""
     if not by:
@@ -79,7 +79,7 @@ def _summary(
 
 
 def describe_column(
-    df: DataFrame, column: str, by: Sequence[str] = (), exact_rows: int = EXACT_ROWS
+    df: DataFrame, column: str, by: Sequence[str] = (), exact_rows: int | None = None
 ) -> DataFrame:
     """count, mean, sample std, min, quartiles, max."""
     x = _valued(column)
@@ -171,7 +171,7 @@ def sign_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(*_signs(_valued(column)))
 
 
-def iqr_outliers(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def iqr_outliers(df: DataFrame, column: str, exact_rows: int | None = None) -> DataFrame:
     """Quartiles, 1.5-IQR bounds, and rows strictly outside them."""
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], (0.25, 0.75), exact_rows, stored=True)[column]
@@ -215,7 +215,7 @@ def row_and_distinct(
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), distinct.alias("distinct_values"))
 
 
-def profile_target(df: DataFrame, column: str, exact_rows: int = EXACT_ROWS) -> DataFrame:
+def profile_target(df: DataFrame, column: str, exact_rows: int | None = None) -> DataFrame:
     """The whole distribution profile as one row: quantiles, then one aggregate."""
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], REPORT_QUANTILES, exact_rows, stored=True)[column]
@@ -356,7 +356,7 @@ def validate_bars(
     price: str = "open",
     horizon: int = 20,
     pad_days: int = 20,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Quality checks as (check, value, ok), ending in the verdict.
 

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.session import materialize
+from factorloom.session import materialize, setting
 
 EXACT_ROWS = 50_000
 FETCH_ROWS = 10_000
@@ -75,7 +75,7 @@ def fit_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float] = QUARTILES,
-    exact_rows: int = EXACT_ROWS,
+    exact_rows: int | None = None,
     fetch_rows: int = FETCH_ROWS,
     stored: bool = False,
 ) -> dict[str, ColumnQuantiles]:
@@ -85,6 +85,8 @@ def fit_quantiles(
     the caller says that ``df`` is a stored table.
     """
     columns = list(dict.fromkeys(columns))
+    if exact_rows is None:
+        exact_rows = setting(df.sparkSession, "exactRows", EXACT_ROWS)
     if not columns:
         return {}
     numbers = {c: F.col(c).cast("double") for c in columns}

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.session import scratch_path
+from factorloom.session import scratch_path, setting
 
 BLOCK_ROWS = 2_000_000
+NUMBERS_PER_SLICE = 1_000
 KEYS = ("order_book_id",)
 ORDER = ("date",)
 
@@ -105,10 +106,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Data
 
 
 def time_slice(df: DataFrame, column: str, unit: str = "minute") -> Column:
-    """The unit a block is made of: whole minutes for timestamps, else the value itself."""
+    """The unit a block is made of: a minute, a thousand numbers, or else the value itself.
+
+    The slices of one instrument are numbered in one task, so there must be far fewer of them
+    than rows; a slice itself is never cut.
+    """
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_trunc(unit, F.col(column))
+    if isinstance(kind, T.IntegralType):
+        return F.floor(F.col(column) / NUMBERS_PER_SLICE)
     return F.col(column)
 
 
@@ -118,7 +125,7 @@ def lay_out(
     order: Sequence[str] = ORDER,
     before: int = 0,
     after: int = 0,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     unit: str = "minute",
 ) -> Series:
     """Prepare ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead.
@@ -127,6 +134,7 @@ def lay_out(
     instrument needs to be cut.
     """
     keys, order = tuple(keys), tuple(order)
+    block_rows = block_rows or setting(df.sparkSession, "blockRows", BLOCK_ROWS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     large = sizes.filter(F.col("__n") > block_rows).drop("__n")
     if large.isEmpty():
@@ -183,7 +191,7 @@ def forward_return(
     target: str = "target_feature",
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     infinite: bool = False,
 ) -> DataFrame:
     """Relative change of ``price`` ``horizon`` rows ahead, per instrument.
@@ -204,7 +212,7 @@ def fill_gaps(
     columns: Sequence[str],
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Forward fill, then backward fill, then 0, per instrument."""
     series = lay_out(df, keys, order, block_rows=block_rows)

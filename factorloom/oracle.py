@@ -655,6 +655,27 @@ def statements() -> dict[str, str]:
             **scores(),
         ),
     }
+    fit = f"SELECT *, {SCALED_T.format('cleaned')} AS y FROM scaled"
+    feature_scores = tall(
+        [f"SELECT '{c}' AS name, avg((y - {c}) * (y - {c})) AS mse FROM fit" for c in FEATURES]
+    )
+    chosen = " ".join(f"WHEN '{c}' THEN {c}" for c in FEATURES)
+    out["train_final"] = using(
+        "cleaned",
+        f"SELECT {k}, {rnd(f'CASE name {chosen} END', 'factor_value')} FROM fit, best",
+        **FITTED,
+        fit=fit,
+        tried=feature_scores,
+        best="SELECT name FROM tried ORDER BY mse, name LIMIT 1",
+    )
+    out["write_factor_meta"] = using(
+        "cleaned",
+        "SELECT 'ts_mean_10(close)' AS expression, count(*) AS rows, 5 AS features, "
+        f"{rnd(R2, 'score')}, {rnd('corr(y, p)', 'correlation')}, {rnd(R2, 'r2')} FROM valued",
+        **FITTED,
+        fit=fit,
+        valued=f"SELECT y, {close10} AS p FROM fit",
+    )
     for fn in NAMES:
         x = "open" if fn in ("rank", "max", "min") else "volume"
         pair = [(rolling(fn, c, 10), f"on_{c}") for c in (x, "r_volume")]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from factorloom.functions.registry import Registry
 from factorloom.functions.windows import WindowFunction, apply_windows
-from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, Series, lay_out
+from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 
 Expr = str | float | int | tuple
 
@@ -124,7 +124,7 @@ def evaluate(
     functions: Registry,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Factor values per row: ``df`` plus one column per expression."""
     reach = max((lookback(e, functions) for e in exprs.values()), default=0)

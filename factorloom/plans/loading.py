@@ -14,7 +14,7 @@ from factorloom.operators.filters import (
     sigma_outlier_filter,
 )
 from factorloom.operators.reshape import attach_factors, pivot_factors
-from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, forward_return
+from factorloom.operators.series import KEYS, ORDER, forward_return
 from factorloom.sources.tables import between_dates
 
 TARGET = "target_feature"
@@ -31,7 +31,7 @@ def load_training_table(
     pad_days: int = 20,
     clip_to_end: bool = False,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Bars in the range with their forward return, factors beside them, cleaned.
 

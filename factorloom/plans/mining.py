@@ -100,7 +100,9 @@ def prepare(
     ``fit_where`` fits on part of the rows only, for example the training split.
     """
     names = feature_columns(table, target, list(features) if features else None)
-    loaded = materialize(table.select(*keys, *order, *names, target), "loaded")
+    dated = ["date"] if "date" in table.columns else []
+    ids = list(dict.fromkeys([*dated, *keys, *order]))
+    loaded = materialize(table.select(*ids, *names, target), "loaded")
     fitted = loaded if fit_where is None else loaded.filter(fit_where)
     prep = fit_prep(fitted, names, target, method, stored=True)
     rows = materialize(prep.transform(loaded), "prepared")
@@ -171,8 +173,9 @@ class FactorModel:
             write_trial_history(trial_table(spark, self.history), f"{path}/training_history")
 
     def _keys(self) -> list[str]:
-        named = [*self.prepared.order, *self.prepared.keys]
-        return ["date", *[c for c in named if c != "date"]] if "date" in named else named
+        p = self.prepared
+        dated = ["date"] if "date" in p.rows.columns else []
+        return list(dict.fromkeys([*dated, *p.keys, *p.order]))
 
 
 def write_factor_meta(stats: DataFrame, path: str) -> None:

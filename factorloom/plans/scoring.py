@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factorloom.functions.registry import Registry
 from factorloom.operators.joins import split_join
 from factorloom.operators.ranks import average_ranks
-from factorloom.operators.series import BLOCK_ROWS, KEYS, ORDER, Series, lay_out
+from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
 from factorloom.session import materialize
 
@@ -139,7 +139,7 @@ def score_expressions(
     functions: Registry,
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Score a list of expressions over a table, one row each."""
     reach = max(ex.lookback(e, functions) for e in exprs)

@@ -102,7 +102,9 @@ def search_on(
     where: Column | None = None,
 ) -> SearchResult:
     """Search formulas over laid-out rows; ``where`` limits the rows that are scored."""
-    sampled = key_share([*series.keys, *series.order], settings.random_state) < settings.max_samples
+    # a seed of its own: the sample must not follow the train and validation split
+    share = key_share([*series.keys, *series.order], settings.random_state + 1)
+    sampled = share < settings.max_samples
     scored = sampled if where is None else sampled & where
     for seed in seeds:
         ex.check(seed, functions)

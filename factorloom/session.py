@@ -29,6 +29,11 @@ def local_session(cpus: int | str = "*", app: str = "factorloom", **conf: str) -
     return spark
 
 
+def setting(spark: SparkSession, name: str, default: int) -> int:
+    """A size limit, from the session's ``spark.factorloom.<name>`` if set."""
+    return int(spark.conf.get(f"spark.factorloom.{name}", str(default)))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a temporary folder only in local mode."""
     root = spark.conf.get(CHECKPOINT_DIR, None)
