@@ -6,15 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TINY = 1e-10
+LARGEST = 1.7976931348623157e308
+
+
+def _without_infinity(x: Column) -> Column:
+    """Infinities become NaN. The remainder by the largest double keeps every other value, and
+    names ``x`` once: nested functions would otherwise grow exponentially in the plan."""
+    return x % F.lit(LARGEST)
 
 
 def finite(x: Column) -> Column:
     """NaN and infinities become NULL."""
-    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+    return F.nanvl(_without_infinity(x), F.lit(None).cast("double"))
 
 
 def nan_to_num(x: Column) -> Column:
-    return F.coalesce(finite(x), F.lit(0.0))
+    return F.coalesce(F.nanvl(_without_infinity(x), F.lit(0.0)), F.lit(0.0))
 
 
 def safe_add(a: Column, b: Column) -> Column:
@@ -34,11 +41,11 @@ def safe_div(a: Column, b: Column) -> Column:
 
 
 def safe_log(x: Column) -> Column:
-    return nan_to_num(F.when(x > 0, F.ln(x)))
+    return nan_to_num(F.ln(x))  # NULL unless positive
 
 
 def safe_sqrt(x: Column) -> Column:
-    return nan_to_num(F.when(x >= 0, F.sqrt(x)))
+    return nan_to_num(F.sqrt(x))  # NaN if negative
 
 
 def safe_abs(x: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType
+from pyspark.sql.types import DataType, DoubleType, FloatType
 
 from factorloom.functions.scalars import finite
 
@@ -14,13 +14,13 @@ CLOSE_HOUR = 15
 SIGMAS = 10.0
 
 
-def _floating(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))]
+def _floating(df: DataFrame) -> dict[str, DataType]:
+    return {f.name: f.dataType for f in df.schema if isinstance(f.dataType, (DoubleType, FloatType))}
 
 
 def inf_to_null(df: DataFrame) -> DataFrame:
     """Infinities and NaN become NULL in every floating-point column."""
-    return df.withColumns({c: finite(F.col(c)) for c in _floating(df)})
+    return df.withColumns({c: finite(F.col(c)).cast(t) for c, t in _floating(df).items()})
 
 
 def present(column: str, df: DataFrame) -> Column:

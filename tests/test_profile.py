@@ -137,3 +137,28 @@ def test_incomplete_day(frame):
 
     assert filters.drop_incomplete_day(rows(14)).count() == 1
     assert filters.drop_incomplete_day(rows(15)).count() == 3
+
+
+def test_safe_functions(frame):
+    from pyspark.sql import functions as F
+
+    from factorloom.functions import scalars as sc
+
+    rows = [(v,) for v in (None, math.nan, math.inf, -math.inf, 0.0, -2.0, 1e-12, -1e-12, 1e300, 4.0)]
+    x = F.col("x")
+    made = {
+        "num": sc.nan_to_num(x), "finite": sc.finite(x), "log": sc.safe_log(x), "sqrt": sc.safe_sqrt(x),
+        "abs": sc.safe_abs(x), "inv": sc.safe_inv(x), "sq": sc.safe_mul(x, x), "div": sc.safe_div(x, x),
+        "clip": sc.clip_bounds(x, -1.0, 3.0),
+    }
+    got = frame(rows, "x double", 1).select(*[c.alias(n) for n, c in made.items()]).collect()
+    got = {n: [r[n] for r in got] for n in made}
+    assert got["num"] == [0, 0, 0, 0, 0, -2.0, 1e-12, -1e-12, 1e300, 4.0]
+    assert got["finite"] == [None] * 4 + [0.0, -2.0, 1e-12, -1e-12, 1e300, 4.0]
+    assert got["log"][:6] == [0.0] * 6 and got["log"][9] == pytest.approx(math.log(4))
+    assert got["sqrt"][:6] == [0.0] * 6 and got["sqrt"][9] == 2.0
+    assert got["abs"][:5] == [0.0] * 5 and got["abs"][5] == 2.0
+    assert got["inv"] == pytest.approx([0, 0, 0, 0, 0, -0.5, 1e10, -1e10, 1e-300, 0.25])
+    assert got["sq"][8] == 0.0 and got["sq"][9] == 16.0
+    assert got["div"] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1]
+    assert got["clip"][0] is None and got["clip"][5] == -1.0 and got["clip"][9] == 3.0
