@@ -39,16 +39,17 @@ def drop_any_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def sigma_outlier_filter(df: DataFrame, target: str, sigmas: float = SIGMAS) -> DataFrame:
     """Keep |target| <= sigmas * std, measured from zero; off when the std is 0 or undefined."""
-    std = df.agg(F.stddev_samp(target)).scalar()
-    keep = F.when(std > 0, F.abs(F.col(target)) <= sigmas * std).otherwise(F.lit(True))
-    return df.filter(keep)
+    reach = F.nullif(sigmas * F.stddev_samp(target), F.lit(0.0))
+    limit = df.agg(F.coalesce(reach, F.lit(float("inf")))).scalar()
+    return df.filter(F.abs(F.col(target)) <= limit)
 
 
 def drop_incomplete_day(df: DataFrame) -> DataFrame:
     """Drop the latest date when its last row is before 15:00."""
-    latest = df.agg(F.max(F.struct("date", "datetime"))).scalar()
-    complete = F.hour(latest["datetime"]) >= CLOSE_HOUR
-    return df.filter(F.when(complete, F.lit(True)).otherwise(F.col("date") < latest["date"]))
+    latest = F.max(F.struct("date", "datetime"))
+    cut = F.when(F.hour(latest["datetime"]) < CLOSE_HOUR, latest["date"])
+    dropped = df.agg(cut).scalar()
+    return df.filter(F.coalesce(F.col("date") < dropped, F.lit(True)))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -18,7 +18,7 @@ from factorloom.operators.schema import feature_columns
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
 from factorloom.plans.loading import TARGET, load_required
-from factorloom.plans.scoring import ic, mse, r2, score_summary
+from factorloom.plans.scoring import agreement, score_summary
 from factorloom.plans.search import SearchResult, SearchSettings, reach_limit, search_on
 from factorloom.session import materialize
 from factorloom.sources.tables import scan_bars, write_factor_values
@@ -124,11 +124,12 @@ def guard_training(prepared: Prepared) -> int:
 
 @dataclass
 class FactorModel:
-    """A found formula with the table it was found on."""
+    """A found formula with the table it was found on, and that table's stored layout."""
 
     result: SearchResult
     prepared: Prepared
     config: MiningConfig
+    series: Series | None = None
     history: list[tuple] = field(default_factory=list)
 
     @property
@@ -137,30 +138,25 @@ class FactorModel:
 
     def values(self, rows: DataFrame | None = None) -> DataFrame:
         """Factor value per row, by default on the training rows."""
-        p = self.prepared
-        return ex.evaluate(
-            p.rows if rows is None else rows,
-            {PREDICTION: self.result.best},
-            self.config.functions(),
-            p.keys,
-            p.order,
-        )
+        p, functions = self.prepared, self.config.functions()
+        wanted = {PREDICTION: self.result.best}
+        if rows is None and self.series is not None:
+            return ex.evaluate_on(self.series, wanted, functions).own()
+        return ex.evaluate(p.rows if rows is None else rows, wanted, functions, p.keys, p.order)
 
     def summary(self) -> DataFrame:
         return score_summary(self.values(), self.prepared.prep.target, PREDICTION)
 
     def training_stats(self) -> DataFrame:
         """One row: expression, rows, features, score, correlation, R2."""
-        target = self.prepared.prep.target
-        values = self.values()
-        return (
-            values.agg(F.count(F.lit(1)).alias("rows"))
-            .withColumn("expression", F.lit(self.expression))
-            .withColumn("features", F.lit(len(self.prepared.features)))
-            .withColumn("score", r2(values, target, PREDICTION).scalar())
-            .withColumn("correlation", ic(values, target, PREDICTION).scalar())
-            .withColumn("r2", F.col("score"))
-            .select("expression", "rows", "features", "score", "correlation", "r2")
+        fit = agreement(self.values(), self.prepared.prep.target, PREDICTION)
+        return fit.select(
+            F.lit(self.expression).alias("expression"),
+            "rows",
+            F.lit(len(self.prepared.features)).alias("features"),
+            F.col("r2").alias("score"),
+            F.col("ic").alias("correlation"),
+            "r2",
         )
 
     def save(self, path: str) -> None:
@@ -206,7 +202,7 @@ def train(
     result = search_on(
         series, prepared.features, prepared.prep.target, functions, config.search, seeds, where
     )
-    return FactorModel(result, prepared, config)
+    return FactorModel(result, prepared, config, series)
 
 
 @dataclass
@@ -232,10 +228,7 @@ def trial_configs(
     for number, config in enumerate(configs, 1):
         try:
             model = train(prepared, config, where=~held_out)
-            valid = model.values().filter(held_out)
-            row = mse(valid, target, PREDICTION).withColumn(
-                "r2", r2(valid, target, PREDICTION).scalar()
-            ).first()
+            row = agreement(model.values().filter(held_out), target, PREDICTION).first()
         except (PySparkException, ValueError) as error:
             log.error("trial %d failed: %s", number, error)
             continue

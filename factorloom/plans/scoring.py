@@ -80,13 +80,24 @@ def rank_ic(df: DataFrame, y: str, p: str) -> DataFrame:
     return joined.agg(F.try_divide(weighted("ry", "rp"), spread).alias("rank_ic"))
 
 
+def agreement(df: DataFrame, y: str, p: str) -> DataFrame:
+    """Rows, mse, r2 and ic in one pass."""
+    return _pairs(df, y, p).agg(
+        F.count(F.lit(1)).alias("rows"),
+        _mse(y, p).alias("mse"),
+        _r2(y, p).alias("r2"),
+        _ic(y, p).alias("ic"),
+    )
+
+
 def score_summary(df: DataFrame, y: str, p: str) -> DataFrame:
     """mse, r2, correlation, ic and rank_ic in one row."""
+    # read twice, so the two columns are written once
+    pairs = materialize(_pairs(df, y, p).select(y, p), "scored")
     return (
-        _pairs(df, y, p)
-        .agg(_mse(y, p).alias("mse"), _r2(y, p).alias("r2"), _ic(y, p).alias("ic"))
+        agreement(pairs, y, p)
         .withColumn("correlation", F.col("ic"))
-        .withColumn("rank_ic", rank_ic(df, y, p).scalar())
+        .withColumn("rank_ic", rank_ic(pairs, y, p).scalar())
         .select("mse", "r2", "correlation", "ic", "rank_ic")
     )
 
