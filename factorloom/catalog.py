@@ -255,10 +255,8 @@ def _(spark, folder):
 
 @query("drop_incomplete_day")
 def _(spark, folder):
-    cut = dt.datetime(2024, 1, 30, 14)
-    return filters.drop_incomplete_day(
-        views.minute_bars(spark, folder).filter(F.col("datetime") < F.lit(cut).cast("timestamp_ntz"))
-    )
+    """Ten hours to the west the last day ends before 15:00 and is dropped."""
+    return filters.drop_incomplete_day(views.minute_bars(spark, folder, hours_west=10))
 
 
 @query("drop_incomplete_day_full")

@@ -33,6 +33,11 @@ def _ranks(n: int, p: float) -> tuple[int, int, float]:
     return low, min(low + 1, n - 1), position - low
 
 
+def _around(share: float) -> list[float]:
+    """A share of the rows, and a margin to each side of it."""
+    return [min(max(share + m, 0.0), 1.0) for m in (-MARGIN, MARGIN)]
+
+
 @dataclass
 class ColumnQuantiles:
     """Values of the wanted ranks of one column."""
@@ -67,8 +72,7 @@ class _Region:
     def points(self) -> list[float]:
         """Shares of the region, a margin to each side of the wanted ranks."""
         shares = [(r - self.below) / max(self.inside - 1, 1) for r in self.ranks]
-        around = {min(max(s + m, 0.0), 1.0) for s in shares for m in (-MARGIN, MARGIN)}
-        return sorted(around)
+        return sorted({point for s in shares for point in _around(s)})
 
 
 def fit_quantiles(
@@ -93,8 +97,9 @@ def fit_quantiles(
     data = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in numbers.items()])
     if not stored:
         data = materialize(data, "columns")
-    counts = data.agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
-    found = {c: ColumnQuantiles(counts[f"n_{i}"]) for i, c in enumerate(columns)}
+    shares = sorted({s for p in probabilities for s in _around(p)})
+    sketched = _first_look(data, columns, shares)
+    found = {c: ColumnQuantiles(n) for c, (n, _) in sketched.items()}
     wanted = {
         c: sorted({r for p in probabilities for r in _ranks(q.n, p)[:2]})
         for c, q in found.items()
@@ -103,9 +108,11 @@ def fit_quantiles(
     small = [c for c in wanted if found[c].n <= exact_rows]
     _fill_small(data, {c: wanted[c] for c in small}, found)
     regions = [_Region(c, wanted[c], 0, found[c].n) for c in wanted if c not in small]
+    cuts: dict[str, list[float]] | None = {r.column: sketched[r.column][1] for r in regions}
     while regions:
         _fetch(data, [r for r in regions if r.inside <= fetch_rows], found)
-        regions = _narrow(data, [r for r in regions if r.inside > fetch_rows], found)
+        regions = _narrow(data, [r for r in regions if r.inside > fetch_rows], found, cuts)
+        cuts = None
     return found
 
 
@@ -124,11 +131,16 @@ def _fill_small(
         found[c].values = dict(zip(ranks, row[f"q_{i}"], strict=True))
 
 
+def _chunks(columns: Iterable[str]) -> Iterable[list[str]]:
+    """A few columns at a time, so that each job reads only those."""
+    unique = list(dict.fromkeys(columns))
+    for start in range(0, len(unique), COLUMNS_PER_JOB):
+        yield unique[start : start + COLUMNS_PER_JOB]
+
+
 def _jobs(regions: list[_Region]) -> Iterable[dict[str, list[_Region]]]:
-    """Regions by column, a few columns at a time, so that each job reads only those."""
-    columns = list(dict.fromkeys(r.column for r in regions))
-    for start in range(0, len(columns), COLUMNS_PER_JOB):
-        chunk = columns[start : start + COLUMNS_PER_JOB]
+    """Regions by column, for a few columns at a time."""
+    for chunk in _chunks(r.column for r in regions):
         yield {
             c: sorted((r for r in regions if r.column == c), key=lambda r: r.below) for c in chunk
         }
@@ -165,31 +177,46 @@ def _between_cuts(data: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     return _tall(data, cuts).withColumn("g", below + _reached(own))
 
 
-def _cuts(data: DataFrame, work: dict[str, list[_Region]]) -> dict[str, list[float]]:
-    """Cut points for each column, from sketches merged in two steps."""
-    points = sorted({p for regions in work.values() for r in regions for p in r.points()})
-    group = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))
+def _sketches(tall: DataFrame, by: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """Count ``n`` and the values ``q`` near the points, from sketches merged in two steps."""
+    part = F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("part")
     merged = (
-        _in_regions(data, work)
-        .groupBy("c", "g", group.alias("part"))
+        tall.groupBy(*by, part)
         .agg(F.kll_sketch_agg_double("v", F.lit(SKETCH_K)).alias("s"))
-        .groupBy("c", "g")
+        .groupBy(*by)
         .agg(F.kll_merge_agg_double("s", F.lit(SKETCH_K)).alias("s"))
     )
     asked = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(p) for p in points]))
-    rows = {(r["c"], r["g"]): r["q"] for r in merged.select("c", "g", asked.alias("q")).collect()}
-    cuts = {}
-    for i, (c, regions) in enumerate(work.items()):
-        proposed = set()
-        for g, region in enumerate(regions):
-            answer = dict(zip(points, rows[i, g], strict=True))
-            proposed.update(answer[p] for p in region.points())
-        cuts[c] = sorted(proposed)
-    return cuts
+    return merged.select(*by, F.kll_sketch_get_n_double("s").alias("n"), asked.alias("q"))
+
+
+def _first_look(
+    data: DataFrame, columns: list[str], points: Sequence[float]
+) -> dict[str, tuple[int, list[float]]]:
+    """Row count and first cut points of each column, in one scan."""
+    found: dict[str, tuple[int, list[float]]] = {c: (0, []) for c in columns}
+    for chunk in _chunks(columns):
+        for row in _sketches(_tall(data, chunk), ["c"], points).collect():
+            found[chunk[row["c"]]] = (row["n"], sorted(set(row["q"])))
+    return found
+
+
+def _cuts(data: DataFrame, work: dict[str, list[_Region]]) -> dict[str, list[float]]:
+    """Cut points around the wanted ranks of each region."""
+    points = sorted({p for regions in work.values() for r in regions for p in r.points()})
+    rows = _sketches(_in_regions(data, work), ["c", "g"], points).collect()
+    answers = {(r["c"], r["g"]): dict(zip(points, r["q"], strict=True)) for r in rows}
+    return {
+        c: sorted({answers[i, g][p] for g, r in enumerate(regions) for p in r.points()})
+        for i, (c, regions) in enumerate(work.items())
+    }
 
 
 def _narrow(
-    data: DataFrame, regions: list[_Region], found: dict[str, ColumnQuantiles]
+    data: DataFrame,
+    regions: list[_Region],
+    found: dict[str, ColumnQuantiles],
+    known: dict[str, list[float]] | None = None,
 ) -> list[_Region]:
     """Count the regions between the cuts and keep those that hold a wanted rank.
 
@@ -198,7 +225,7 @@ def _narrow(
     """
     open_regions: list[_Region] = []
     for work in _jobs(regions):
-        cuts = _cuts(data, work)
+        cuts = {c: known[c] for c in work} if known else _cuts(data, work)
         rows = (
             _between_cuts(data, cuts)
             .groupBy("c", "g")

@@ -65,7 +65,8 @@ class Series:
     def store(self, buckets: int | None = None) -> Series:
         """Write the layout once, bucketed and sorted, so later windows need no shuffle."""
         spark = self.rows.sparkSession
-        count = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+        count = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), most)
         path = scratch_path(spark, "series")
         name = "factorloom_" + path.rsplit("-", 1)[1]
         (

@@ -475,9 +475,13 @@ def statements() -> dict[str, str]:
             f"WHERE {T} IS NOT NULL",
         ),
         "drop_incomplete_day": using(
-            "minute_bars",
-            "SELECT * FROM minute_bars WHERE datetime < TIMESTAMP '2024-01-30 14:00:00' "
-            "AND date < DATE '2024-01-30'",
+            "ticks",
+            "SELECT * FROM west WHERE date < DATE '2024-01-30'",
+            west="""SELECT order_book_id,
+                CAST(date_trunc('minute', datetime - INTERVAL 10 HOUR) AS DATE) AS date,
+                date_trunc('minute', datetime - INTERVAL 10 HOUR) AS datetime,
+                min_by(open, seq) AS open, round(sum(open), 2) AS volume
+                FROM ticks GROUP BY 1, 2, 3""",
         ),
         "drop_incomplete_day_full": using("minute_bars", "SELECT * FROM minute_bars"),
         "describe_table": using(

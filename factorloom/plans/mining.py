@@ -70,7 +70,7 @@ FINAL_CONFIG = MiningConfig(
 
 @dataclass
 class Prepared:
-    """A prepared table written once, with the fitted parameters."""
+    """Prepared rows, a plain projection of a stored table, with the fitted parameters."""
 
     rows: DataFrame
     prep: FeaturePrep
@@ -81,8 +81,9 @@ class Prepared:
     def features(self) -> list[str]:
         return list(self.prep.features)
 
-    def lay_out(self, functions: Registry, max_depth: int) -> Series:
-        reach = reach_limit(functions, max_depth)
+    def lay_out(self, *configs: MiningConfig) -> Series:
+        """The rows by instrument, stored once with enough lookback for all the settings."""
+        reach = max(reach_limit(c.functions(), c.search.max_depth) for c in configs)
         return lay_out(self.rows, self.keys, self.order, before=reach).store()
 
 
@@ -95,7 +96,7 @@ def prepare(
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ORDER,
 ) -> Prepared:
-    """Fit the preparation and write keys, scaled features and scaled target once.
+    """Write keys, features and target once, and fit the preparation on them.
 
     ``fit_where`` fits on part of the rows only, for example the training split.
     """
@@ -105,8 +106,7 @@ def prepare(
     loaded = materialize(table.select(*ids, *names, target), "loaded")
     fitted = loaded if fit_where is None else loaded.filter(fit_where)
     prep = fit_prep(fitted, names, target, method, stored=True)
-    rows = materialize(prep.transform(loaded), "prepared")
-    return Prepared(rows, prep, tuple(keys), tuple(order))
+    return Prepared(prep.transform(loaded), prep, tuple(keys), tuple(order))
 
 
 def guard_training(prepared: Prepared) -> int:
@@ -197,11 +197,9 @@ def train(
     series: Series | None = None,
 ) -> FactorModel:
     guard_training(prepared)
-    functions = config.functions()
-    series = series or prepared.lay_out(functions, config.search.max_depth)
-    result = search_on(
-        series, prepared.features, prepared.prep.target, functions, config.search, seeds, where
-    )
+    series = series or prepared.lay_out(config)
+    features, target = prepared.features, prepared.prep.target
+    result = search_on(series, features, target, config.functions(), config.search, seeds, where)
     return FactorModel(result, prepared, config, series)
 
 
@@ -220,14 +218,16 @@ def trial_configs(
 ) -> TrialOutcome:
     """Search with each setting on the training rows and score on the held-out rows.
 
-    Windows are computed on the whole table before the split. A setting that fails is skipped.
+    Windows are computed on the whole table before the split, and all settings share one stored
+    layout. A setting that fails is skipped.
     """
+    series = prepared.lay_out(*configs)
     target = prepared.prep.target
     held_out = key_share([*prepared.keys, *prepared.order], seed) < share
     outcome = TrialOutcome(None, None, [])
     for number, config in enumerate(configs, 1):
         try:
-            model = train(prepared, config, where=~held_out)
+            model = train(prepared, config, where=~held_out, series=series)
             row = agreement(model.values().filter(held_out), target, PREDICTION).first()
         except (PySparkException, ValueError) as error:
             log.error("trial %d failed: %s", number, error)

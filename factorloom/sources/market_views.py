@@ -50,11 +50,13 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def minute_bars(spark: SparkSession, folder: str) -> DataFrame:
-    minute = F.date_trunc("minute", "datetime").cast("timestamp_ntz")
+def minute_bars(spark: SparkSession, folder: str, hours_west: int = 0) -> DataFrame:
+    """Minute bars, with the clock of a place so many hours to the west."""
+    local = F.col("datetime") - F.make_dt_interval(hours=F.lit(hours_west))
+    minute = F.date_trunc("minute", local).cast("timestamp_ntz")
     return (
         ticks(spark, folder)
-        .groupBy("order_book_id", "date", minute.alias("datetime"))
+        .groupBy("order_book_id", minute.cast("date").alias("date"), minute.alias("datetime"))
         .agg(F.min_by("open", "seq").alias("open"), F.round(F.sum("open"), 2).alias("volume"))
     )
 
