@@ -485,6 +485,9 @@ QUERIES |= {
     "extremes": _profile(lambda df: profile.extremes(df, TARGET)),
     "sign_counts": _profile(lambda df: profile.sign_counts(df, TARGET), returns),
     "iqr_outliers": _profile(lambda df: profile.iqr_outliers(df, TARGET)),
+    "iqr_outliers_by": _profile(
+        lambda df: profile.iqr_outliers(df, "volume", by=["order_book_id"]), views.bars
+    ),
     "missing_inf_counts": _profile(
         lambda df: profile.missing_inf_counts(df, "ratio"), extreme_bars
     ),

@@ -13,7 +13,7 @@ from factorloom.functions.windows import WindowFunction
 
 @dataclass(frozen=True)
 class ScalarFunction:
-    """``build(*columns)`` gives a column from the same row."""
+    """``build(*columns)`` gives a column from the same row, best from built-in functions."""
 
     name: str
     arity: int

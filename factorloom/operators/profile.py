@@ -171,14 +171,22 @@ def sign_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     return df.groupBy(*by).agg(*_signs(_valued(column)))
 
 
-def iqr_outliers(df: DataFrame, column: str, exact_rows: int | None = None) -> DataFrame:
+def iqr_outliers(
+    df: DataFrame, column: str, by: Sequence[str] = (), exact_rows: int | None = None
+) -> DataFrame:
     """Quartiles, 1.5-IQR bounds, and rows strictly outside them."""
+    if by:
+        # the rows are read again beside their group's quartiles; the optimizer broadcasts the
+        # quartiles when they are few, and splits the rows of a hot group otherwise
+        quartiles = _summary(df, column, [], {"__q1": 0.25, "__q3": 0.75}, by)
+        rows = null_safe_join(df.select(*by, column), quartiles, by)
+        return rows.groupBy(*by).agg(*_outliers(_valued(column), F.col("__q1"), F.col("__q3")))
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], (0.25, 0.75), exact_rows, stored=True)[column]
     return data.agg(*_outliers(_valued(column), fitted.at(0.25), fitted.at(0.75)))
 
 
-def _outliers(x: Column, q1: float | None, q3: float | None) -> list[Column]:
+def _outliers(x: Column, q1: Column | float | None, q3: Column | float | None) -> list[Column]:
     low, high = F.lit(q1).cast("double"), F.lit(q3).cast("double")
     spread = high - low
     lower, upper = low - IQR_REACH * spread, high + IQR_REACH * spread
@@ -304,8 +312,8 @@ def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     return _per_column(wide, columns, ("nulls", "percent")).filter(F.col("nulls") > 0)
 
 
-def table_extent(df: DataFrame) -> DataFrame:
-    return df.agg(
+def table_extent(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*by).agg(
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.count_distinct("order_book_id").alias("instruments"),
@@ -333,16 +341,18 @@ def low_variance_flag(df: DataFrame, columns: Sequence[str], limit: float = LOW_
     )
 
 
-def extreme_flag(df: DataFrame, column: str, limit: float = EXTREME_RETURN) -> DataFrame:
+def extreme_flag(
+    df: DataFrame, column: str, limit: float = EXTREME_RETURN, by: Sequence[str] = ()
+) -> DataFrame:
     largest = F.max(F.abs(_valued(column)))
-    return df.agg(
+    return df.groupBy(*by).agg(
         largest.alias("max_abs"), F.coalesce(largest > limit, F.lit(False)).alias("extreme")
     )
 
 
-def target_missing_rate(df: DataFrame, column: str) -> DataFrame:
+def target_missing_rate(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     missing = F.count_if(_missing(_double(column)))
-    return df.agg(
+    return df.groupBy(*by).agg(
         missing.alias("missing_count"),
         (_share(missing) * 100).alias("missing_pct"),
         (F.count(F.lit(1)) - missing).alias("rows_after"),

@@ -176,7 +176,8 @@ def _cut(
     blocks = slices.select(
         *on, "__home", F.array_distinct(F.concat(*targets)).alias("__targets")
     )
-    placed = null_safe_join(rows, blocks, on).withColumn(
+    # the map is the small side: hashing it spares the rows a sort they would lose again
+    placed = null_safe_join(rows, blocks.hint("shuffle_hash"), on).withColumn(
         _BLOCK, F.explode(F.coalesce("__targets", F.array(F.lit(0).cast("bigint"))))
     )
     placed = placed.withColumn(

@@ -572,6 +572,14 @@ def statements() -> dict[str, str]:
         "extremes": profiled(EXTREMES),
         "sign_counts": profiled(SIGNS | SIGN_SHARES, "fr"),
         "iqr_outliers": using("cleaned", f"SELECT {listed(OUTLIERS)} FROM cleaned, qs", qs=QS),
+        "iqr_outliers_by": using(
+            "bars",
+            "SELECT order_book_id, "
+            + listed({n: e.replace(T, "volume") for n, e in OUTLIERS.items()})
+            + " FROM bars JOIN qs USING (order_book_id) GROUP BY 1",
+            qs=f"SELECT order_book_id, {quantile('volume', 0.25)} AS q1, "
+            f"{quantile('volume', 0.75)} AS q3 FROM bars GROUP BY 1",
+        ),
         "missing_inf_counts": using(
             "odd", f"SELECT {listed({n: e.replace(T, 'ratio') for n, e in QUALITY.items()})} FROM odd"
         ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 from enum import Enum
@@ -14,6 +15,8 @@ from pyspark.sql.types import StructType
 
 from factorloom.operators.schema import SORT_COLUMNS
 
+log = logging.getLogger(__name__)
+
 MISSING_TABLE = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 # Table folders of the three bar sources.
@@ -123,7 +126,9 @@ def write_table(df: DataFrame, config: TableConfig, path: str) -> None:
     """
     folders = config.partition_columns
     if not folders:
-        if not df.isEmpty():
+        if df.isEmpty():
+            log.warning("%s: no rows, nothing written", config.name)
+        else:
             df.write.mode("overwrite").parquet(path)
         return
     inner = [c for c in SORT_COLUMNS if c in df.columns and c not in folders]
