@@ -1,15 +1,25 @@
-"""Joins that keep a hot key from landing in one task."""
+"""Joins on keys that may be NULL, or that may be hot."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOT_KEYS = 1_000
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join where NULL keys match; keeps the left key columns."""
+    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    condition = reduce(
+        Column.__and__, [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in on]
+    )
+    return left.join(renamed, condition, "left").drop(*[f"__r_{c}" for c in on])
+
+
 def split_join(
     left: DataFrame,
     right: DataFrame,

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.operators.joins import null_safe_join
 from factorloom.operators.quantiles import fit_quantiles
 from factorloom.operators.ranks import group_quantiles
-from factorloom.operators.series import forward_return, null_safe_join
+from factorloom.operators.series import forward_return
 from factorloom.session import materialize
 from factorloom.sources.tables import between_dates
 

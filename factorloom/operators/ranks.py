@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.operators.series import null_safe_join
+from factorloom.operators.joins import null_safe_join
 from factorloom.session import materialize
 
 _PART = "__part"

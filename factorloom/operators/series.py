@@ -3,7 +3,7 @@
 A plain window puts a whole instrument into one task. Here instruments above
 ``block_rows`` are cut into consecutive blocks of whole time slices. Slices next to a block's
 edge are copied into it, so every row still sees its full frame; the copies are dropped
-afterwards. Instruments below the limit keep the plain one-exchange plan.
+afterwards. Without such instruments the plan is the plain one with a single exchange.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.session import scratch_path, setting
+from factorloom.operators.joins import null_safe_join
+from factorloom.operators.ranks import running_counts
+from factorloom.session import materialize, scratch_path, setting
 
 BLOCK_ROWS = 2_000_000
 NUMBERS_PER_SLICE = 1_000
@@ -97,24 +99,11 @@ class Series:
         return self.with_rows(rows), {n: F.coalesce(F.col(n), F.lit(False)) for n in flags}
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join where NULL keys match; keeps the left key columns."""
-    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
-    condition = reduce(
-        Column.__and__, [left[c].eqNullSafe(renamed[f"__r_{c}"]) for c in on]
-    )
-    return left.join(renamed, condition, "left").drop(*[f"__r_{c}" for c in on])
-
-
-def time_slice(df: DataFrame, column: str, unit: str = "minute") -> Column:
-    """The unit a block is made of: a minute, a thousand numbers, or else the value itself.
-
-    The slices of one instrument are numbered in one task, so there must be far fewer of them
-    than rows; a slice itself is never cut.
-    """
+def time_slice(df: DataFrame, column: str) -> Column:
+    """A short stretch of the order: a minute, a thousand numbers, or else the value itself."""
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_trunc(unit, F.col(column))
+        return F.date_trunc("minute", F.col(column))
     if isinstance(kind, T.IntegralType):
         return F.floor(F.col(column) / NUMBERS_PER_SLICE)
     return F.col(column)
@@ -127,20 +116,42 @@ def lay_out(
     before: int = 0,
     after: int = 0,
     block_rows: int | None = None,
-    unit: str = "minute",
 ) -> Series:
-    """Prepare ``df`` for frames reaching ``before`` rows back and ``after`` rows ahead.
+    """Prepare ``df`` for frames reaching ``before`` rows back, or ``after`` rows ahead.
 
     ``order`` must be unique within an instrument. One narrow count job decides whether any
     instrument needs to be cut.
     """
+    if before and after:
+        raise ValueError("frames may reach back or ahead, not both")
     keys, order = tuple(keys), tuple(order)
     block_rows = block_rows or setting(df.sparkSession, "blockRows", BLOCK_ROWS)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     large = sizes.filter(F.col("__n") > block_rows).drop("__n")
     if large.isEmpty():
         return Series(df, keys, order)
-    return _cut(df, large, keys, order, before, after, block_rows, unit)
+    return _cut(df, materialize(large, "large"), keys, order, before, after, block_rows)
+
+
+def _slice_counts(
+    df: DataFrame,
+    large: DataFrame,
+    keys: tuple[str, ...],
+    order: tuple[str, ...],
+    block_rows: int,
+) -> tuple[Column, DataFrame]:
+    """How slices are made, and the rows per slice of the large instruments.
+
+    Slices that would still exceed a block fall back to single places in the order.
+    """
+    marked = large.withColumn("__large", F.lit(True))
+    for unit in (time_slice(df, order[0]), F.struct(*order)):
+        counts = df.groupBy(*keys, unit.alias(_SLICE)).agg(F.count(F.lit(1)).alias("n"))
+        counts = null_safe_join(counts, marked, keys).filter(F.col("__large")).drop("__large")
+        counts = materialize(counts, "slices")
+        if counts.agg(F.max("n")).first()[0] <= block_rows:
+            break
+    return unit, counts
 
 
 def _cut(
@@ -151,39 +162,32 @@ def _cut(
     before: int,
     after: int,
     block_rows: int,
-    unit: str,
 ) -> Series:
-    rows = df.withColumn(_SLICE, time_slice(df, order[0], unit))
-    on = keys + (_SLICE,)
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    marked = null_safe_join(counts, large.withColumn("__large", F.lit(True)), keys)
-    by_time = Window.partitionBy(*keys).orderBy(_SLICE)
-    slices = (
-        marked.filter(F.col("__large"))
-        .withColumn("__end", F.sum("__n").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("__start", F.col("__end") - F.col("__n"))
-        .withColumn("__home", F.floor(F.col("__start") / block_rows))
-        .withColumn("__next", F.lead("__home").over(by_time))
-        .withColumn("__prev", F.lag("__home").over(by_time))
-    )
-    targets = [F.array("__home")]
-    if before:
-        ahead = Window.partitionBy(*keys).orderBy("__end").rangeBetween(0, before - 1)
-        targets.append(F.collect_set("__next").over(ahead))
-    if after:
-        behind = Window.partitionBy(*keys).orderBy("__start").rangeBetween(1 - after, 0)
-        targets.append(F.collect_set("__prev").over(behind))
-    blocks = slices.select(
-        *on, "__home", F.array_distinct(F.concat(*targets)).alias("__targets")
-    )
+    unit, counts = _slice_counts(df, large, keys, order, block_rows)
+    # looking ahead is looking back with positions counted from the other end
+    placed = running_counts(counts, keys, _SLICE)
+    start = F.col("total") - F.col("before") - F.col("n") if after else F.col("before")
+    placed = placed.withColumn("__start", start).withColumn("__end", start + F.col("n"))
+    home = F.floor(F.col("__start") / block_rows)
+    targets = F.array(home)
+    reach = max(before, after)
+    if reach:
+        # the blocks of the next ``reach`` rows after the slice need it in their frames
+        first = F.floor(F.col("__end") / block_rows)
+        last = F.floor((F.col("__end") + (reach - 1)) / block_rows)
+        later = F.when(F.col("__end") < F.col("total"), F.sequence(first, last))
+        targets = F.array_distinct(F.concat(targets, F.coalesce(later, targets)))
+    on = (*keys, _SLICE)
+    blocks = placed.select(*on, home.alias("__home"), targets.alias("__targets"))
     # the map is the small side: hashing it spares the rows a sort they would lose again
-    placed = null_safe_join(rows, blocks.hint("shuffle_hash"), on).withColumn(
+    rows = null_safe_join(df.withColumn(_SLICE, unit), blocks.hint("shuffle_hash"), on)
+    rows = rows.withColumn(
         _BLOCK, F.explode(F.coalesce("__targets", F.array(F.lit(0).cast("bigint"))))
     )
-    placed = placed.withColumn(
+    rows = rows.withColumn(
         _OWN, F.col("__home").isNull() | (F.col("__home") == F.col(_BLOCK))
     ).drop(_SLICE, "__home", "__targets")
-    return Series(placed, keys, order, split=True)
+    return Series(rows, keys, order, split=True)
 
 
 def forward_return(

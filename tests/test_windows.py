@@ -179,6 +179,27 @@ def test_null_instrument_and_timestamps(frame):
     assert got[10**9] == got[10]
 
 
+@pytest.mark.parametrize("call", ["back", "ahead"])
+def test_crowded_minute_is_cut_too(frame, call):
+    """All rows of the hot instrument lie in one second; ties are told apart by ``seq``."""
+    at = dt.datetime(2024, 1, 1, 10)
+    rows = [(1, at + dt.timedelta(microseconds=i // 3), i % 3, float(i % 11)) for i in range(900)]
+    rows += [(2, at, i, float(i)) for i in range(5)]
+    df = frame(rows, "order_book_id int, datetime timestamp_ntz, seq int, x double")
+    order = ["datetime", "seq"]
+
+    def run(block_rows):
+        if call == "back":
+            out = ts.add_rolling(df, "x", ["sum", "rank"], (7,), order=order, block_rows=block_rows)
+        else:
+            out = se.forward_return(df, "x", 5, order=order, block_rows=block_rows)
+        return out.orderBy("order_book_id", *order).collect()
+
+    assert run(10**9) == run(50)
+    laid = se.lay_out(df, order=order, before=6, block_rows=50)
+    assert max(r["count"] for r in laid.rows.groupBy(*laid.partition).count().collect()) <= 56
+
+
 def test_number_slices(frame):
     df = frame([(1, i, float(i % 7)) for i in range(5000)], "order_book_id int, seq bigint, x double")
     plain, cut = (
