@@ -12,6 +12,7 @@ from factorloom.functions.scalars import clip_bounds
 from factorloom.operators.filters import drop_any_null, drop_null_target
 from factorloom.operators.profile import IQR_REACH, LOW_STD
 from factorloom.operators.quantiles import QUARTILES, ColumnQuantiles, fit_quantiles
+from factorloom.operators.tall import moments
 from factorloom.session import materialize
 
 # Variance floors for features and the smallest usable target IQR.
@@ -61,10 +62,8 @@ class FeaturePrep:
 
 
 def column_stds(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
-    row = df.agg(
-        *[F.stddev_samp(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(columns)]
-    ).first()
-    return {c: row[f"s_{i}"] for i, c in enumerate(columns)}
+    found = moments(df, columns)
+    return {c: found[c]["std"] if c in found else None for c in columns}
 
 
 def varying(stds: dict[str, float | None], columns: Sequence[str]) -> list[str]:
@@ -114,8 +113,8 @@ def _minmax(low: float, high: float, least: float, most: float) -> FeatureScale:
 def fit_target_scale(df: DataFrame, target: str, exact_rows: int | None = None) -> TargetScale:
     data = materialize(df.select(target), "target")
     q = fit_quantiles(data, [target], QUARTILES, exact_rows, stored=True)[target]
-    row = data.agg(F.avg(target).alias("mean"), F.stddev_samp(target).alias("std")).first()
-    return _target_scale(q, row["mean"], row["std"])
+    row = moments(data, [target]).get(target)
+    return _target_scale(q, row and row["mean"], row and row["std"])
 
 
 def _target_scale(q: ColumnQuantiles, mean: float | None, std: float | None) -> TargetScale:
@@ -143,16 +142,10 @@ def fit_prep(
     data = drop_any_null(df, [*features, target]).select(*features, target)
     if not stored:
         data = materialize(data, "features")
-    everything = [*features, target]
-    asks = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("mean")]
-    for i, c in enumerate(everything):
-        x = F.col(c).cast("double")
-        asks += [F.stddev_samp(x).alias(f"s_{i}"), F.min(x).alias(f"a_{i}"), F.max(x).alias(f"b_{i}")]
-    row = data.agg(*asks).first()
-    if row["n"] == 0:
+    found = moments(data, [*features, target])
+    if not found:
         raise ValueError("no complete row is left; check the features and the target")
-    place = {c: i for i, c in enumerate(everything)}
-    valid = _require(varying({c: row[f"s_{place[c]}"] for c in features}, features))
+    valid = _require(varying({c: found[c]["std"] for c in features}, features))
     fitted = fit_quantiles(data, [*valid, target], QUARTILES, exact_rows, stored=True)
     bounds = {c: iqr_bounds(fitted[c]) for c in valid}
     clipped = data.select(
@@ -163,10 +156,10 @@ def fit_prep(
     scales = {
         c: _robust(fitted[c], *bounds[c])
         if method == "robust"
-        else _minmax(*bounds[c], row[f"a_{place[c]}"], row[f"b_{place[c]}"])
+        else _minmax(*bounds[c], found[c]["low"], found[c]["high"])
         for c in valid
     }
-    target_scale = _target_scale(fitted[target], row["mean"], row[f"s_{place[target]}"])
+    target_scale = _target_scale(fitted[target], found[target]["mean"], found[target]["std"])
     return FeaturePrep(tuple(features), scales, target, target_scale)
 
 
@@ -179,13 +172,10 @@ def robust_scale(df: DataFrame, features: Sequence[str], exact_rows: int | None
 
 def minmax_scale(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - min) / (max - min), 0 for a constant column."""
-    row = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"a_{i}") for i, c in enumerate(features)],
-        *[F.max(F.col(c).cast("double")).alias(f"b_{i}") for i, c in enumerate(features)],
-    ).first()
+    found = moments(df, features)
     scaled = {}
-    for i, c in enumerate(features):
-        low, high = row[f"a_{i}"], row[f"b_{i}"]
+    for c, row in found.items():
+        low, high = row["low"], row["high"]
         if low is None:
             continue
         x = F.col(c).cast("double")

@@ -16,6 +16,7 @@ from factorloom.operators.joins import null_safe_join
 from factorloom.operators.quantiles import fit_quantiles
 from factorloom.operators.ranks import group_quantiles
 from factorloom.operators.series import forward_return
+from factorloom.operators.tall import named, number, tall
 from factorloom.session import materialize
 from factorloom.sources.tables import between_dates
 
@@ -38,11 +39,6 @@ def _double(column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _valued(column: str) -> Column:
-    c = _double(column)
-    return F.when(~F.isnan(c), c)
-
-
 def _stored(df: DataFrame, column: str) -> DataFrame:
     """The one column, written once: a profile reads it several times."""
     return materialize(df.select(column), "column")
@@ -83,7 +79,7 @@ def describe_column(
     df: DataFrame, column: str, by: Sequence[str] = (), exact_rows: int | None = None
 ) -> DataFrame:
     """count, mean, sample std, min, quartiles, max."""
-    x = _valued(column)
+    x = number(column)
     aggregates = [
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),
@@ -108,13 +104,13 @@ def quantiles(
     names = {_name(p): p for p in probabilities}
     if exact:
         return _summary(df, column, [], names, by)
-    rough = F.percentile_approx(_valued(column), list(names.values()))
+    rough = F.percentile_approx(number(column), list(names.values()))
     table = df.groupBy(*by).agg(rough.alias("__q"))
     return table.select(*by, *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def center_spread(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    x = _valued(column)
+    x = number(column)
     aggregates = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("std")]
     return _summary(df, column, aggregates, {"median": 0.5}, by).select(
         *by, "mean", "median", "std"
@@ -137,11 +133,11 @@ def kurt(x: Column) -> Column:
 
 
 def skew_sample(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(skew(_valued(column)).alias("skew"))
+    return df.groupBy(*by).agg(skew(number(column)).alias("skew"))
 
 
 def kurt_sample(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(kurt(_valued(column)).alias("kurt"))
+    return df.groupBy(*by).agg(kurt(number(column)).alias("kurt"))
 
 
 def _extremes(x: Column) -> list[Column]:
@@ -149,7 +145,7 @@ def _extremes(x: Column) -> list[Column]:
 
 
 def extremes(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by).agg(*_extremes(_valued(column)))
+    return df.groupBy(*by).agg(*_extremes(number(column)))
 
 
 def _share(count: Column) -> Column:
@@ -169,7 +165,7 @@ def _signs(x: Column) -> list[Column]:
 
 def sign_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Zero, positive and negative rows, as counts and shares of all rows."""
-    return df.groupBy(*by).agg(*_signs(_valued(column)))
+    return df.groupBy(*by).agg(*_signs(number(column)))
 
 
 def iqr_outliers(
@@ -181,10 +177,10 @@ def iqr_outliers(
         # quartiles when they are few, and splits the rows of a hot group otherwise
         quartiles = _summary(df, column, [], {"__q1": 0.25, "__q3": 0.75}, by)
         rows = null_safe_join(df.select(*by, column), quartiles, by)
-        return rows.groupBy(*by).agg(*_outliers(_valued(column), F.col("__q1"), F.col("__q3")))
+        return rows.groupBy(*by).agg(*_outliers(number(column), F.col("__q1"), F.col("__q3")))
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], (0.25, 0.75), exact_rows, stored=True)[column]
-    return data.agg(*_outliers(_valued(column), fitted.at(0.25), fitted.at(0.75)))
+    return data.agg(*_outliers(number(column), fitted.at(0.25), fitted.at(0.75)))
 
 
 def _outliers(x: Column, q1: Column | float | None, q3: Column | float | None) -> list[Column]:
@@ -219,7 +215,7 @@ def missing_inf_counts(df: DataFrame, column: str, by: Sequence[str] = ()) -> Da
 def row_and_distinct(
     df: DataFrame, column: str, by: Sequence[str] = (), exact: bool = True
 ) -> DataFrame:
-    x = _valued(column)
+    x = number(column)
     distinct = F.count_distinct(x) if exact else F.approx_count_distinct(x)
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), distinct.alias("distinct_values"))
 
@@ -228,7 +224,7 @@ def profile_target(df: DataFrame, column: str, exact_rows: int | None = None) ->
     """The whole distribution profile as one row: quantiles, then one aggregate."""
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], REPORT_QUANTILES, exact_rows, stored=True)[column]
-    x = _valued(column)
+    x = number(column)
     # the distinct count shuffles single values; kept apart so no other buffer travels along
     distinct = data.agg(F.count_distinct(x)).scalar()
     table = data.agg(
@@ -285,16 +281,6 @@ def write_profile_report(profile: DataFrame, path: str) -> None:
     profile_report(profile).write.mode("overwrite").parquet(path)
 
 
-def _per_column(wide: DataFrame, columns: Sequence[str], metrics: Sequence[str]) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(c).alias("column"), *[F.col(f"{m}_{i}").alias(m) for m in metrics]
-        )
-        for i, c in enumerate(columns)
-    ]
-    return wide.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
-
 def _null(df: DataFrame, column: str) -> Column:
     floating = dict(df.dtypes)[column] in ("double", "float")
     return _missing(F.col(column)) if floating else F.col(column).isNull()
@@ -303,14 +289,14 @@ def _null(df: DataFrame, column: str) -> Column:
 def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Missing count and percentage of the columns that have any."""
     columns = list(columns or df.columns)
-    wide = df.agg(
-        *[F.count_if(_null(df, c)).alias(f"nulls_{i}") for i, c in enumerate(columns)],
-        *[
-            (_share(F.count_if(_null(df, c))) * 100).alias(f"percent_{i}")
-            for i, c in enumerate(columns)
-        ],
+    flags = F.array(*[_null(df, c) for c in columns])
+    missing = F.count_if(F.col("v"))
+    counted = (
+        df.select(F.posexplode(flags).alias("c", "v"))
+        .groupBy("c")
+        .agg(missing.alias("nulls"), (_share(missing) * 100).alias("percent"))
     )
-    return _per_column(wide, columns, ("nulls", "percent")).filter(F.col("nulls") > 0)
+    return named(counted.filter(F.col("nulls") > 0), columns)
 
 
 def table_extent(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -324,20 +310,22 @@ def table_extent(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per feature: missing percentage, zero percentage, sample std."""
-    asks = []
-    for i, c in enumerate(features):
-        x = _valued(c)
-        asks += [
-            (_share(F.count_if(x.isNull())) * 100).alias(f"missing_pct_{i}"),
-            (_share(F.count_if(x == 0)) * 100).alias(f"zero_pct_{i}"),
-            F.stddev_samp(x).alias(f"std_{i}"),
-        ]
-    return _per_column(df.agg(*asks), features, ("missing_pct", "zero_pct", "std"))
+    v = F.col("v")
+    measured = (
+        tall(df, features)
+        .groupBy("c")
+        .agg(
+            (_share(F.count_if(v.isNull())) * 100).alias("missing_pct"),
+            (_share(F.count_if(v == 0)) * 100).alias("zero_pct"),
+            F.stddev_samp(v).alias("std"),
+        )
+    )
+    return named(measured, features)
 
 
 def low_variance_flag(df: DataFrame, columns: Sequence[str], limit: float = LOW_STD) -> DataFrame:
-    stds = df.agg(*[F.stddev_samp(_valued(c)).alias(f"std_{i}") for i, c in enumerate(columns)])
-    return _per_column(stds, columns, ("std",)).withColumn(
+    stds = tall(df, columns).groupBy("c").agg(F.stddev_samp("v").alias("std"))
+    return named(stds, columns).withColumn(
         "low_variance", F.coalesce(F.col("std") < limit, F.lit(False))
     )
 
@@ -345,7 +333,7 @@ def low_variance_flag(df: DataFrame, columns: Sequence[str], limit: float = LOW_
 def extreme_flag(
     df: DataFrame, column: str, limit: float = EXTREME_RETURN, by: Sequence[str] = ()
 ) -> DataFrame:
-    largest = F.max(F.abs(_valued(column)))
+    largest = F.max(F.abs(number(column)))
     return df.groupBy(*by).agg(
         largest.alias("max_abs"), F.coalesce(largest > limit, F.lit(False)).alias("extreme")
     )
@@ -377,16 +365,16 @@ def validate_bars(
     valued = forward_return(
         data, price, horizon, "target_feature", block_rows=block_rows, infinite=True
     )
-    target, x = F.col("target_feature"), _valued(price)
+    target, x = F.col("target_feature"), number(price)
     wide = valued.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(_null(data, c)).alias(f"null_{c}") for c in data.columns],
         F.stddev_samp(x).alias("price_std"),
         F.count_if(_missing(target)).alias("target_missing"),
         F.count_if(~_missing(target)).alias("target_rows"),
-        F.stddev_samp(_valued("target_feature")).alias("target_std"),
+        F.stddev_samp(number("target_feature")).alias("target_std"),
         F.count_if(F.abs(target) == float("inf")).alias("target_infinite"),
-        F.max(F.abs(_valued("target_feature"))).alias("target_max_abs"),
+        F.max(F.abs(number("target_feature"))).alias("target_max_abs"),
         F.count_distinct("order_book_id").alias("instruments"),
     )
     steady = lambda c: F.coalesce(~(F.col(c) < LOW_STD), F.lit(True))

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.operators.tall import number, tall
 from factorloom.session import materialize, setting
 
 EXACT_ROWS = 50_000
@@ -93,8 +94,7 @@ def fit_quantiles(
         exact_rows = setting(df.sparkSession, "exactRows", EXACT_ROWS)
     if not columns:
         return {}
-    numbers = {c: F.col(c).cast("double") for c in columns}
-    data = df.select(*[F.when(~F.isnan(x), x).alias(c) for c, x in numbers.items()])
+    data = df.select(*[number(c).alias(c) for c in columns])
     if not stored:
         data = materialize(data, "columns")
     shares = sorted({s for p in probabilities for s in _around(p)})
@@ -146,9 +146,8 @@ def _jobs(regions: list[_Region]) -> Iterable[dict[str, list[_Region]]]:
         }
 
 
-def _tall(data: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """One row (column number ``c``, value ``v``) per value."""
-    return data.select(F.posexplode(F.array(*columns)).alias("c", "v")).dropna(subset=["v"])
+def _values(data: DataFrame, columns: Iterable[str]) -> DataFrame:
+    return tall(data, list(columns)).dropna(subset=["v"])
 
 
 def _per_column(lists: Iterable[list[float]]) -> Column:
@@ -166,7 +165,7 @@ def _in_regions(data: DataFrame, work: dict[str, list[_Region]]) -> DataFrame:
     """Values that lie in a region, with the number ``g`` of the region in its column."""
     lows = _per_column([r.low for r in regions] for regions in work.values())
     highs = _per_column([r.high for r in regions] for regions in work.values())
-    placed = _tall(data, work).withColumn("g", _reached(lows) - 1)
+    placed = _values(data, work).withColumn("g", _reached(lows) - 1)
     return placed.filter((F.col("g") >= 0) & (F.col("v") <= F.get(highs, F.col("g"))))
 
 
@@ -174,7 +173,7 @@ def _between_cuts(data: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
     """All values, numbered 2j between cut j-1 and cut j, and 2j+1 on cut j."""
     own = _per_column(cuts.values())
     below = F.size(F.filter(own, lambda x: x < F.col("v")))
-    return _tall(data, cuts).withColumn("g", below + _reached(own))
+    return _values(data, cuts).withColumn("g", below + _reached(own))
 
 
 def _sketches(tall: DataFrame, by: Sequence[str], points: Sequence[float]) -> DataFrame:
@@ -196,7 +195,7 @@ def _first_look(
     """Row count and first cut points of each column, in one scan."""
     found: dict[str, tuple[int, list[float]]] = {c: (0, []) for c in columns}
     for chunk in _chunks(columns):
-        for row in _sketches(_tall(data, chunk), ["c"], points).collect():
+        for row in _sketches(_values(data, chunk), ["c"], points).collect():
             found[chunk[row["c"]]] = (row["n"], sorted(set(row["q"])))
     return found
 
