@@ -23,7 +23,8 @@ FETCH_ROWS = 10_000
 SKETCH_K = 4096
 SKETCH_GROUPS = 512
 MARGIN = 0.004
-COLUMNS_PER_JOB = 16
+COLUMNS_PER_JOB = 32
+FETCH_PER_JOB = 200_000
 
 QUARTILES = (0.25, 0.5, 0.75)
 
@@ -131,16 +132,26 @@ def _fill_small(
         found[c].values = dict(zip(ranks, row[f"q_{i}"], strict=True))
 
 
-def _chunks(columns: Iterable[str]) -> Iterable[list[str]]:
-    """A few columns at a time, so that each job reads only those."""
-    unique = list(dict.fromkeys(columns))
-    for start in range(0, len(unique), COLUMNS_PER_JOB):
-        yield unique[start : start + COLUMNS_PER_JOB]
+def _chunks(sizes: dict[str, int], limit: float = math.inf) -> Iterable[list[str]]:
+    """A few columns at a time, so that a job reads only those and stays within the limit."""
+    chunk: list[str] = []
+    held = 0
+    for column, size in sizes.items():
+        if chunk and (len(chunk) == COLUMNS_PER_JOB or held + size > limit):
+            yield chunk
+            chunk, held = [], 0
+        chunk.append(column)
+        held += size
+    if chunk:
+        yield chunk
 
 
-def _jobs(regions: list[_Region]) -> Iterable[dict[str, list[_Region]]]:
+def _jobs(regions: list[_Region], limit: float = math.inf) -> Iterable[dict[str, list[_Region]]]:
     """Regions by column, for a few columns at a time."""
-    for chunk in _chunks(r.column for r in regions):
+    sizes: dict[str, int] = {}
+    for r in regions:
+        sizes[r.column] = sizes.get(r.column, 0) + r.inside
+    for chunk in _chunks(sizes, limit):
         yield {
             c: sorted((r for r in regions if r.column == c), key=lambda r: r.below) for c in chunk
         }
@@ -194,7 +205,7 @@ def _first_look(
 ) -> dict[str, tuple[int, list[float]]]:
     """Row count and first cut points of each column, in one scan."""
     found: dict[str, tuple[int, list[float]]] = {c: (0, []) for c in columns}
-    for chunk in _chunks(columns):
+    for chunk in _chunks(dict.fromkeys(columns, 0)):
         for row in _sketches(_values(data, chunk), ["c"], points).collect():
             found[chunk[row["c"]]] = (row["n"], sorted(set(row["q"])))
     return found
@@ -248,7 +259,7 @@ def _narrow(
 
 def _fetch(data: DataFrame, regions: list[_Region], found: dict[str, ColumnQuantiles]) -> None:
     """Read the few values of small regions and pick the ranks."""
-    for work in _jobs(regions):
+    for work in _jobs(regions, FETCH_PER_JOB):
         rows = (
             _in_regions(data, work).groupBy("c", "g", "v").agg(F.count(F.lit(1)).alias("n")).collect()
         )
