@@ -7,10 +7,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from factorloom import catalog, oracle
 from tests.compare import connect, differences
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.QUERIES, oracle.statements()
 
 # split windows, joins of ranges and sketches again, with limits small enough to be reached
 SPLIT = ("forward_return", "ts_rank", "ts_family_windows", "fill_gaps", "eval_expression",
