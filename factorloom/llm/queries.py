@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, mixing, secrets
+from factorloom.llm import fingerprints, mixing, pieces, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +17,27 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/labels.parquet")
+
+
+def encode_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    model = pieces.read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(documents(spark, folder), model, ["doc_id"])
+
+
+def score_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels(spark, folder)))
+    names = ("severity", "grade", "rejected")
+    return scored.select("doc_id", *[F.col(f"__{n}").alias(n) for n in names])
+
+
+def score_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return quality.score_documents(docs, quality.train(docs, labels(spark, folder)))
+
+
 def find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, folder))
 
@@ -28,7 +51,10 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_encode_pieces": encode_pieces,
+    "op3_score_toxicity": score_toxicity,
     "op5_find_secrets": find_secrets,
+    "op6_score_quality": score_quality,
     "op7_mix_sources": mix_sources,
     "op9_fingerprint": fingerprint,
 }
