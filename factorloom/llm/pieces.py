@@ -15,17 +15,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.llm import words
+
 MARK = "▁"
-TABLE = 200_000
-BATCH_ROWS = 1_000
-CHUNK = re.compile(r"\n| *[^ \n]+| +")
+TABLE = 400_000
+LINE, SPACE = 0x0A, 0x20
 
 
 def load(model: bytes):
@@ -42,112 +44,183 @@ def read_model(path: str) -> bytes:
 def chunks_are_free(model: bytes) -> bool:
     """Whether the vocabulary keeps chunks apart and texts reach the merges unchanged."""
     pieces = load(model)
-    words = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
+    names = [pieces.id_to_piece(i) for i in range(pieces.get_piece_size())]
     crossing = re.compile(rf"[^{MARK}]{MARK}|.\n|\n.", re.DOTALL)
-    probe = "a  b ﬁ Ａ é\t\r\n x "
+    probe = "a  b ﬁ Ａ é\t\r\n x "
     same = pieces.decode(pieces.encode(probe)) == probe
-    return same and not any(crossing.search(w) for w in words if not re.fullmatch(r"<.*>", w))
+    return same and not any(crossing.search(n) for n in names if not re.fullmatch(r"<.*>", n))
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of runs one after the other: each start and the ``size - 1`` places after it."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(total)
+
+
+def ends_of(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Runs:
+    """Runs of values of different sizes in one array; more can be added."""
+
+    def __init__(self, kind):
+        self.values = np.zeros(0, kind)
+        self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.values) + ends_of(sizes)[:-1]
+        self.starts = np.concatenate([self.starts, first])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])
+
+    def take(self, slots: np.ndarray) -> np.ndarray:
+        return self.values[ragged(self.starts[slots], self.sizes[slots])]
 
 
 class ChunkTable:
-    """Ids of the distinct chunks met so far."""
+    """Ids of the distinct chunks met so far, found by a hash of their bytes."""
 
     def __init__(self, model: bytes, most: int = TABLE):
-        self.pieces = load(model)
-        self.most = most
-        self.mark = self.pieces.piece_to_id(MARK)
-        self.before_line = len(self.pieces.encode("\n"))
-        self.ids: dict[str, list[int]] = {}
-        self.labels: dict[str, str] = {}
-
-    def add(self, chunks: set[str]) -> None:
-        """Segment chunks that are not in the table yet."""
-        new = [c for c in chunks if c not in self.ids]
-        if len(self.ids) + len(new) > self.most:
-            self.ids, self.labels = {}, {}
-            new = list(chunks)
-        # the library puts a marker before a text: take it from the chunk, or put a line break between
-        marked = [c for c in new if c[0] == " " and c != " "]
-        plain = [c for c in new if c[0] not in " \n"]
-        found = dict(zip(marked, self.pieces.encode([c[1:] for c in marked]), strict=True))
-        split = self.pieces.encode(["\n" + c for c in plain])
-        found |= {c: ids[self.before_line :] for c, ids in zip(plain, split, strict=True)}
-        if " " in chunks:
-            found[" "] = [self.mark]
-        if "\n" in chunks:
-            found["\n"] = self.pieces.encode("\n")[1:]
-        self.ids |= found
-        self.labels |= {c: ",".join(map(str, ids)) for c, ids in found.items()}
-
-
-def chunks_of(text: str) -> list[str]:
-    return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
-
-
-GROUP_CHARS = 1 << 18
-
-
-def _groups(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Texts in groups of about GROUP_CHARS characters, so that a table serves many of them."""
+        self.pieces, self.most = load(model), most
+        self.line = self.pieces.encode("\n")[-1]
+        numbers = [f"{i},".encode() for i in range(self.pieces.get_piece_size())]
+        self.labels = Runs(np.uint8)
+        self.labels.add(np.frombuffer(b"".join(numbers), np.uint8), np.array([len(x) for x in numbers]))
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.bytes, self.ids = Runs(np.uint8), Runs(np.int32)
+
+    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Segment chunks by one call: line breaks stay apart, so one is put before each chunk."""
+        line = (sizes == 1) & (data[starts] == LINE)
+        order = np.argsort(line, kind="stable")  # a line break is its own chunk, and goes last
+        keys, starts, sizes = keys[order], starts[order], sizes[order]
+        raw = data[ragged(starts, sizes)]
+        slots = len(self.ids.sizes) + np.arange(len(keys))
+        self.bytes.add(raw, sizes)
+        plain = len(keys) - int(line.sum())
+        joined = np.full(int(sizes[:plain].sum()) + plain, LINE, np.uint8)
+        joined[ragged(ends_of(sizes[:plain] + 1)[:-1] + 1, sizes[:plain])] = raw[: int(sizes[:plain].sum())]
+        # the library puts a marker before the whole text, so ids before the first break are dropped
+        flat = np.asarray(self.pieces.encode(joined.tobytes().decode()), np.int32)
+        breaks = np.flatnonzero(flat == self.line)
+        counts = np.diff(np.append(breaks, len(flat))) - 1
+        ids = flat[breaks[0] :][flat[breaks[0] :] != self.line] if plain else flat[:0]
+        lines = len(keys) - plain
+        self.ids.add(np.append(ids, [self.line] * lines), np.append(counts, [1] * lines).astype(np.int64))
+        keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
+        order = np.argsort(keys)
+        self.keys, self.slots = keys[order], slots[order]
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(keys), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The slot of each chunk; new chunks are segmented first."""
+        found = words.hashes(data, starts, ends, fold=False)
+        keys, first, place = np.unique(found, return_index=True, return_inverse=True)
+        new = ~self._known(keys)
+        if len(self.keys) + new.sum() > self.most:
+            self.clear()
+            new[:] = True
+        if new.any():
+            where = first[new]
+            self._add(keys[new], data, starts[where], ends[where] - starts[where])
+        slots = self.slots[np.searchsorted(self.keys, keys)][place]
+        if not np.array_equal(self.bytes.take(slots), data):
+            raise ValueError("two chunks share a hash")
+        return slots
+
+
+def chunk_bounds(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chunks of texts that begin at ``heads``: markers and what follows them, or a line break."""
+    new = data == LINE
+    new[1:] |= data[:-1] == LINE
+    new[1:] |= (data[1:] == SPACE) & (data[:-1] != SPACE)
+    new[heads] = True
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], len(data))
+
+
+@dataclass
+class Encoded:
+    """Ids of some texts one after the other, the same as decimal numbers with commas, and where texts end."""
+
+    ids: np.ndarray
+    id_ends: np.ndarray
+    labels: np.ndarray
+    label_ends: np.ndarray
+
+
+def encode_block(texts: list[str], table: ChunkTable) -> Encoded:
+    """Encode some texts; empty ones have no ids."""
+    parts = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+    sizes = np.array([len(p) for p in parts], np.int64)
+    offsets = ends_of(sizes)
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    if not len(data):
+        none = np.zeros(len(texts) + 1, np.int64)
+        return Encoded(np.zeros(0, np.int32), none, np.zeros(0, np.uint8), none)
+    starts, ends = chunk_bounds(data, offsets[:-1][sizes > 0])
+    slots = table.find(data, starts, ends)
+    ids = table.ids.take(slots)
+    id_ends = ends_of(table.ids.sizes[slots])[np.searchsorted(starts, offsets)]
+    return Encoded(ids, id_ends, table.labels.take(ids), ends_of(table.labels.sizes[ids])[id_ends])
+
+
+def text_blocks(texts: list[str], most: int = words.BLOCK) -> Iterator[list[str]]:
+    """Texts in groups of about ``most`` characters."""
     group, size = [], 0
     for text in texts:
         group.append(text)
         size += len(text)
-        if size >= GROUP_CHARS:
+        if size >= most:
             yield group
             group, size = [], 0
     if group:
         yield group
 
 
-def encode_texts(texts: Iterable[str], table: ChunkTable) -> Iterator[tuple[list[int], str]]:
-    """Ids of each text, and the same as decimal numbers joined by commas."""
-    for group in _groups(texts):
-        parted = [chunks_of(t) for t in group]
-        table.add(set(chain.from_iterable(parted)))
-        for chunks in parted:
-            ids = list(chain.from_iterable(map(table.ids.__getitem__, chunks)))
-            yield ids, ",".join(map(table.labels.__getitem__, chunks))
+def _digest(raw: bytes) -> str:
+    return hashlib.sha256(raw).hexdigest()
 
 
-def _digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+def _encoder(model: bytes, carried: int, with_ids: bool):
+    names = [f"__c{i}" for i in range(carried)]
 
-
-def _encoder(model: bytes, carried: list[str], with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH_ROWS):
-                batch = whole.slice(start, BATCH_ROWS)
-                texts = (t or "" for t in batch.column("__text").to_pylist())
-                counts, digests, decoded, all_ids = [], [], [], []
-                for ids, label in encode_texts(texts, table):
-                    counts.append(len(ids))
-                    digests.append(_digest(label))
-                    decoded.append(_digest(table.pieces.decode(ids)))
-                    if with_ids:
-                        all_ids.append(pa.array(ids, pa.int32()))
-                columns = [batch.column(f"__c{i}") for i in range(len(carried))]
-                columns += [pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded)]
-                names = [f"__c{i}" for i in range(len(carried))] + ["__n", "__ids_sha", "__text_sha"]
+        for batch in batches:
+            first = 0
+            for texts in text_blocks([t or "" for t in batch.column("__text").to_pylist()]):
+                found = encode_block(texts, table)
+                raw, ids, ends = found.labels.tobytes(), found.ids.tolist(), found.id_ends
+                labels = [
+                    _digest(raw[a : b - 1] if b > a else b"")
+                    for a, b in zip(found.label_ends, found.label_ends[1:])
+                ]
+                decoded = [
+                    _digest(table.pieces.decode(ids[a:b]).encode() if b > a else b"")
+                    for a, b in zip(ends, ends[1:])
+                ]
+                own = batch.slice(first, len(texts))
+                first += len(texts)
+                columns = [own.column(n) for n in names]
+                columns += [pa.array(np.diff(ends)), pa.array(labels), pa.array(decoded)]
                 if with_ids:
-                    flat = pa.concat_arrays(all_ids) if all_ids else pa.array([], pa.int32())
-                    ends = pa.array([0, *_running(counts)], pa.int32())
-                    columns.append(pa.ListArray.from_arrays(ends, flat))
-                    names.append("__ids")
-                yield pa.RecordBatch.from_arrays(columns, names)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(found.ids)))
+                all_names = [*names, "__n", "__ids_sha", "__text_sha", "__ids"][: len(columns)]
+                yield pa.RecordBatch.from_arrays(columns, all_names)
 
     return run
 
 
-def _running(counts: list[int]) -> Iterator[int]:
-    total = 0
-    for n in counts:
-        total += n
-        yield total
-
-
 def encode(docs: DataFrame, model: bytes, carry: list[str], with_ids: bool = False) -> DataFrame:
     """The ``carry`` columns of ``docs`` with n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
     if not chunks_are_free(model):
@@ -161,7 +234,7 @@ def encode(docs: DataFrame, model: bytes, carry: list[str], with_ids: bool = Fal
     if with_ids:
         kinds["__ids"], names["__ids"] = "array<int>", "ids"
     schema = ", ".join(f"{n} {k}" for n, k in kinds.items())
-    found = rows.mapInArrow(_encoder(model, carry, with_ids), schema)
+    found = rows.mapInArrow(_encoder(model, len(carry), with_ids), schema)
     return found.select(*[F.col(n).alias(to) for n, to in names.items()])
 
 
