@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, mixing, pieces, quality, secrets, toxicity
+from factorloom.llm import fingerprints, mixing, pieces, quality, secrets, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, folder))
 
 
+def link_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.link_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_encode_pieces": encode_pieces,
     "op3_score_toxicity": score_toxicity,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op6_score_quality": score_quality,
     "op7_mix_sources": mix_sources,
     "op9_fingerprint": fingerprint,
+    "op10_link_embeddings": link_embeddings,
 }
 
 SQL: dict[str, str] = {
