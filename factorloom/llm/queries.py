@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, mixing, pieces, quality, secrets, toxicity, vectors
+from factorloom.llm import fingerprints, mixing, neardups, pieces, quality, secrets, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,10 @@ def score_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, labels(spark, folder)))
 
 
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardups.near_duplicates(documents(spark, folder), size=3, percent=85)
+
+
 def find_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_documents(documents(spark, folder))
 
@@ -57,6 +61,7 @@ def link_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_encode_pieces": encode_pieces,
     "op3_score_toxicity": score_toxicity,
+    "op4_near_duplicates": near_duplicates,
     "op5_find_secrets": find_secrets,
     "op6_score_quality": score_quality,
     "op7_mix_sources": mix_sources,
