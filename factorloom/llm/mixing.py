@@ -24,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 LIMIT = 2.0
-RANGE_ROWS = 50_000
+RANGE_ROWS = 2_000
 RANGES = 4096
 
 
