@@ -10,8 +10,11 @@ Runs make lists far shorter than single values: a common line alone no longer br
 
 Members of a list are compared in full while it is short. In a longer list, some members (the centres) are
 compared with all others; centres have then met everyone and leave. Lists whose members are all
-connected already are done, which ends a list of thousands of near copies after one round. The rounds go on until
-no list is left, so no pair is lost; the work is quadratic only for unlike documents that share a run.
+connected already are done, which ends a list of thousands of near copies after one round; only members outside a
+list's largest component have to be centres. For documents of lists
+still open after that (unlike ones around a common passage), lists are made anew from whole sets: of the
+shingles in order of rarity, the first 15 % and one more must hold a shared one, and a rare shingle has few owners. The
+rounds go on until no list is left, so no pair is lost.
 
 Pairs pass the estimate from the union's sketch, then the full sets decide. Each document is first
 checked against its most promising partner; other pairs only matter while they are not connected.
@@ -26,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom.llm import shingles, words
@@ -36,6 +39,7 @@ from factorloom.llm.storage import store
 K = 64
 KEYED = 48
 RUN = 3
+CENTRES = 512  # members of a long list that meet all others in one round
 SHORT = 16  # members of a list that are all compared with each other
 LEAST_SHARED = 0.58  # of the union's sketch: six standard deviations below 0.85
 
@@ -79,28 +83,34 @@ def _full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     return found.join(needed, ["id", "print"], "left_semi").dropDuplicates(["id", "print"]).drop("print")
 
 
-def _ratio_holds(percent: int) -> Column:
-    return (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+def _may_be_similar(percent: int) -> Column:
+    """Whether sets of ``n_a`` and ``n_b`` shingles, ``u_a`` and ``u_b`` of them nobody else's, can be similar."""
+    common = F.least(F.col("n_a") - F.col("u_a"), F.col("n_b") - F.col("u_b"))
+    union = F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a"))
+    return common * 100 >= union * percent
 
 
 def _pairs_of_short(members: DataFrame, percent: int) -> DataFrame:
     """All pairs of the members of lists with at most SHORT of them."""
-    lists = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
+    lists = members.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n", "u"))).alias("m"))
     one = lists.select("m", F.posexplode("m").alias("i", "a"))
     two = one.select("a", F.explode(F.slice("m", F.col("i") + 2, SHORT)).alias("b"))
-    pairs = two.select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")
-    )
-    return pairs.filter(_ratio_holds(percent)).select("a", "b").filter("a <> b").distinct()
+    names = {"id": "{}", "n": "n_{}", "u": "u_{}"}
+    pairs = two.select(*[F.col(f"{x}.{c}").alias(n.format(x)) for x in "ab" for c, n in names.items()])
+    return pairs.filter(_may_be_similar(percent)).select("a", "b").filter("a <> b").distinct()
 
 
 def _stars(members: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each list's centres with its members, and the centres: one of each of ``centres`` salts."""
+    """Pairs of each list's centres with its members, and the centres: one of each of ``centres`` salts.
+
+    Only members outside the list's largest component need to meet the others.
+    """
     salt = F.pmod(F.xxhash64("id", "key"), F.lit(centres))
-    chosen = members.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n")).alias("c"))
-    chosen = store(chosen.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("n_a")), "centres")
-    pairs = members.select("key", "id", F.col("n").alias("n_b")).join(chosen, "key").filter("id <> c")
-    pairs = pairs.filter(_ratio_holds(percent))
+    chosen = members.filter("outside").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n", "u")).alias("c"))
+    chosen = chosen.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("n_a"), F.col("c.u").alias("u_a"))
+    chosen = store(chosen, "centres")
+    others = members.select("key", "id", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+    pairs = others.join(chosen, "key").filter(F.col("id") != F.col("c")).filter(_may_be_similar(percent))
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), chosen
 
 
@@ -135,6 +145,48 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(alike(F.col("v_a"), F.col("v_b"))).select("a", "b")
 
 
+def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Lists (key, id, n, u, size) of the rarest shingles of the documents in ``left``.
+
+    Similar sets share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each, in any common
+    order. Shingles of one document only are left out, but counted: ``u``. A member that
+    could not be similar to the smallest and least peculiar set of its list leaves the list.
+    """
+
+    def run(batches):
+        for batch in batches:
+            raw = batch.column("values").to_pylist()
+            counts = [len(x) // 8 for x in raw]
+            own = pa.array(np.repeat(np.arange(len(raw)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(own), batch.column("n").take(own),
+                 pa.array(np.frombuffer(b"".join(raw), np.int64))],
+                ["id", "n", "key"],
+            )
+
+    wanted = sets.join(left.select("id", "n").distinct(), "id").select("id", "n", "values")
+    values = store(wanted.mapInArrow(run, "id bigint, n bigint, key bigint"), "values")
+    owners = values.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    order = Window.partitionBy("id", "n").orderBy("size", "key")
+    first = values.join(owners, "key").withColumn("place", F.row_number().over(order))
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    own = first.groupBy("id", "n").agg(F.count(F.when(F.col("size") == 1, 1)).alias("u"))
+    lists = first.filter((F.col("place") <= length) & (F.col("size") > 1)).drop("place", "size")
+    lists = store(lists.join(own, ["id", "n"]).select("key", "id", "n", "u"), "rare")
+    best = lists.groupBy("key").agg(F.min("n").alias("n_b"), F.min("u").alias("u_b"))
+    fit = lists.withColumnsRenamed({"n": "n_a", "u": "u_a"}).join(best, "key")
+    union = F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a"))
+    fit = fit.filter((F.col("n_a") - F.col("u_a")) * 100 >= union * percent)
+    lists = fit.select("key", "id", F.col("n_a").alias("n"), F.col("u_a").alias("u"))
+    return _sized(lists)
+
+
+def _sized(lists: DataFrame) -> DataFrame:
+    """Lists of two members or more, with their size."""
+    sizes = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    return store(lists.join(sizes, "key"), "lists")
+
+
 class _Links:
     """Links found so far and their components."""
 
@@ -143,6 +195,8 @@ class _Links:
         self.parts = spark.createDataFrame([], "item bigint, component bigint")
 
     def add(self, more: DataFrame) -> None:
+        if more.isEmpty():
+            return
         # what is connected already is as good as a link to its component
         known = self.parts.select(F.col("item").alias("a"), F.col("component").alias("b"))
         self.parts = connected(known.union(more.select("a", "b")), "a", "b")
@@ -160,6 +214,8 @@ class _Links:
 def _settle(pairs: DataFrame, classes: DataFrame, sets: DataFrame, found: _Links, percent: int, k: int) -> None:
     """Add the links among ``pairs``: first each item's best pair, then what is still apart."""
     pairs = store(_promising(found.apart(pairs), classes, percent, k), "promising")
+    if pairs.isEmpty():
+        return
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared") / F.col("of"), -F.col("a"))).alias("a"))
     found.add(store(_similar(best, sets, percent), "best"))
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
@@ -182,26 +238,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         lambda i: F.xxhash64(F.slice("sketch", i, RUN)),
     )
     keyed = classes.filter(F.size("sketch") >= RUN).select(F.explode(runs).alias("key"), "id", "n", "print")
-    lists = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = store(keyed.join(lists, "key"), "members")
+    members = _sized(keyed)
     sets = store(_full_sets(docs, members.select("id", "print").distinct(), size), "sets")
-    members = members.drop("print")
+    members = members.select("key", "id", "n", F.lit(0).cast("long").alias("u"), "size")
 
     found = _Links(spark)
-    _settle(_pairs_of_short(members.filter(F.col("size") <= SHORT), percent), classes, sets, found, percent, k)
-    left, centres = members.filter(F.col("size") > SHORT), 1
-    while not left.isEmpty():
-        left = left.drop("size")
-        pairs, chosen = _stars(left, centres, percent)
+
+    def meet(lists: DataFrame) -> None:
+        pairs = _pairs_of_short(lists.filter(F.col("size") <= SHORT), percent)
         _settle(pairs, classes, sets, found, percent, k)
-        # centres have met their whole list; lists that are one component are done
-        left = left.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti")
-        named = found.named(left, "id", "part")
-        open_lists = named.groupBy("key").agg(
-            F.count(F.lit(1)).alias("size"), F.min("part").alias("p"), F.max("part").alias("q")
+
+    def still_open(lists: DataFrame) -> DataFrame:
+        """The long lists that are not yet one component, and who is outside the largest one."""
+        named = store(found.named(lists.drop("size", "outside"), "id", "part"), "named")
+        parts = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        largest = parts.groupBy("key").agg(
+            F.max_by("part", F.struct("c", "part")).alias("most"),
+            F.sum("c").alias("size"),
+            F.count(F.lit(1)).alias("parts"),
         )
-        left = store(left.join(open_lists.filter("p <> q").select("key", "size"), "key"), "left")
-        centres = min(centres * 4, 256)
+        rows = named.join(largest.filter("parts > 1").drop("parts"), "key")
+        rows = rows.withColumn("outside", F.col("part") != F.col("most")).drop("part", "most")
+        return store(rows, "open")
+
+    def star(lists: DataFrame, centres: int) -> DataFrame:
+        """Compare centres with their lists; what is left of the lists."""
+        pairs, chosen = _stars(lists, centres, percent)
+        _settle(pairs, classes, sets, found, percent, k)
+        met = chosen.select("key", F.col("c").alias("id"))
+        return still_open(lists.join(met, ["key", "id"], "left_anti"))
+
+    meet(members)
+    left = still_open(members.filter(F.col("size") > SHORT))
+    if not left.isEmpty():
+        left = star(left, 1)
+    if not left.isEmpty():
+        lists = _rare_lists(left, sets, percent)
+        meet(lists)
+        left = still_open(lists.filter(F.col("size") > SHORT))
+        while not left.isEmpty():
+            left = star(left, CENTRES)
 
     classes = found.named(classes.drop("sketch"), "id", "part")
     rows = sketched.drop("sketch").join(
