@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, mixing, neardups, pieces, quality, secrets, toxicity, vectors
+from factorloom.llm import fingerprints, mixing, neardups, pieces, quality, secrets, suffixes, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,12 @@ def score_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, labels(spark, folder)))
 
 
+def remove_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(documents(spark, folder))
+    digest = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", digest)
+
+
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardups.near_duplicates(documents(spark, folder), size=3, percent=85)
 
@@ -60,6 +66,7 @@ def link_embeddings(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_encode_pieces": encode_pieces,
+    "op2_remove_repeats": remove_repeats,
     "op3_score_toxicity": score_toxicity,
     "op4_near_duplicates": near_duplicates,
     "op5_find_secrets": find_secrets,
