@@ -1,11 +1,43 @@
-"""A corpus from raw documents in stages; each works on all its predecessor kept."""
+"""A training corpus from raw documents in five stages; each works on all its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns documents again, the last one token ids. Rows keep all
+their columns; where a stage changes texts, ``n_chars`` follows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from factorloom.llm import lines, mixing, neardups, pieces, toxicity
+from factorloom.llm.storage import store
+
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely toxic than not go; the model learns from the labels of the folder."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
+    return scored.filter(~F.col("__rejected")).select(*docs.columns)
 
-from factorloom.llm import mixing
-from factorloom.session import materialize
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines with a similar line before them go; every document stays, if need be without lines."""
+    found = lines.remove_similar_lines(docs)
+    if "n_chars" in docs.columns:
+        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(changed))
+    return found.select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    found = neardups.near_duplicates(docs, size=5, percent=80)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,17 +45,27 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(docs)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with a digest of the text they decode to."""
+    model = pieces.read_model(public_tokenizers.path(TOKENIZER))
+    return pieces.encode(docs, model, ["doc_id", "lang", "source"], with_ids=True)
+
+
 STAGES = [
+    ("toxicity", reject_toxic),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_near),
     ("mixing sources to target weights", mix_sources),
+    ("SentencePiece encoding and decoding", encode_pieces),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), "stage")
+    for _, stage in STAGES:
+        docs = store(stage(spark, docs, sf_dir), "stage")
     return docs
 
 
-#: Most stages cannot be written in SQL; tests hold them against brute force.
+#: The stages learn a model, compare sets and segment texts, which SQL cannot express; tests use brute force.
 ORACLE_SQL = None

@@ -4,8 +4,9 @@ A document's sketch holds its ``K`` smallest shingle hashes. Documents with equa
 class, found by a fingerprint of the whole set. For the others, inverted lists are kept for
 runs of three neighbouring sketch values: of two sets with a Jaccard similarity J, each value of the union's
 sketch is shared with chance J, and a run of three shared ones is a run in both sketches. A pair at 0.85 without a
-common run among its first ``KEYED`` values has a chance below 1e-9; when the sets are no larger than the sketch
-such a run exists for certain (of 7 or more values at most 15 % differ, so some three in a row do not).
+common run among its first ``KEYED`` values has a chance below 1e-9 (at 0.8, below 1e-7); when the sets are no larger than
+that, such a run exists for certain (at most a fifth of the values differ, so some three in a row do not; in
+sets of up to ``SMALL`` values, two). Similarities below 0.8 are refused.
 Runs make lists far shorter than single values: a common line alone no longer brings documents together.
 
 Members of a list are compared in full while it is short. In a longer list, some members (the centres) are
@@ -39,6 +40,7 @@ from factorloom.llm.storage import store
 K = 64
 KEYED = 48
 RUN = 3
+SMALL = 6  # values of a set whose runs of two count too
 CENTRES = 512  # members of a long list that meet all others in one round
 SHORT = 16  # members of a list that are all compared with each other
 LEAST_SHARED = 0.58  # of the union's sketch: six standard deviations below 0.85
@@ -66,6 +68,18 @@ def sketch_documents(docs: DataFrame, size: int, k: int = K) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, n bigint, print binary, sketch array<bigint>")
 
 
+def _run_keys(values: Column) -> Column:
+    """Hashes of runs of neighbouring values; in sets of up to SMALL values, runs of two as well."""
+
+    def runs(length: int, most: int) -> Column:
+        starts = F.sequence(F.lit(1), F.least(F.size(values), F.lit(most)) - (length - 1))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(values, i, length)))
+        return F.when(F.size(values) >= length, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    few = F.when(F.size(values) <= SMALL, runs(RUN - 1, SMALL)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(runs(RUN, KEYED), few)
+
+
 def _full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
     """(id, values): whole shingle sets of the needed documents."""
 
@@ -228,16 +242,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     Documents are linked when the Jaccard similarity of their sets of ``size``-word shingles is at
     least ``percent`` / 100; components hold everything reachable by links.
     """
+    if percent < 80:
+        raise ValueError("runs of three sketch values find similarities of 0.8 and more")
     spark = docs.sparkSession
     sketched = store(sketch_documents(docs, size, k), "sketches")
     whole = sketched.filter("n > 0 and doc_id is not null")
     classes = whole.groupBy("n", "print").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
     classes = store(classes, "classes")
-    runs = F.transform(
-        F.sequence(F.lit(1), F.least(F.size("sketch"), F.lit(KEYED)) - (RUN - 1)),
-        lambda i: F.xxhash64(F.slice("sketch", i, RUN)),
-    )
-    keyed = classes.filter(F.size("sketch") >= RUN).select(F.explode(runs).alias("key"), "id", "n", "print")
+    keyed = classes.select(F.explode(_run_keys(F.col("sketch"))).alias("key"), "id", "n", "print")
     members = _sized(keyed)
     sets = store(_full_sets(docs, members.select("id", "print").distinct(), size), "sets")
     members = members.select("key", "id", "n", F.lit(0).cast("long").alias("u"), "size")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, mixing, neardups, pieces, quality, secrets, suffixes, toxicity, vectors
+from factorloom.llm import fingerprints, lines, mixing, neardups, pieces, quality, secrets, suffixes, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +60,18 @@ def fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.fingerprint_documents(documents(spark, folder))
 
 
+def dedup_lines(spark: SparkSession, folder: str) -> DataFrame:
+    found = lines.remove_similar_lines(documents(spark, folder).select("doc_id", "text"))
+    gone = F.coalesce("__gone", F.array().cast("array<int>"))
+    return found.select(
+        "doc_id",
+        F.col("__n_lines").cast("long").alias("n_lines"),
+        F.size(gone).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        gone.alias("removed_lines"),
+    )
+
+
 def link_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.link_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
@@ -72,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op5_find_secrets": find_secrets,
     "op6_score_quality": score_quality,
     "op7_mix_sources": mix_sources,
+    "op8_dedup_lines": dedup_lines,
     "op9_fingerprint": fingerprint,
     "op10_link_embeddings": link_embeddings,
 }

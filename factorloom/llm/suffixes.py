@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm import words
+from factorloom.llm.packing import batch as packed_batch
+from factorloom.llm.packing import group_of, heads_of, in_round, joined, numbers, packed, parts_of, spread
 from factorloom.llm.storage import store
 
 U64 = np.uint64
@@ -79,58 +81,6 @@ def candidate_suffixes(places: np.ndarray, size: int, length: int) -> np.ndarray
     return np.column_stack([first[head], last[np.append(head[1:], True)]])
 
 
-def _packed(array: np.ndarray, kind: str) -> bytes:
-    return np.ascontiguousarray(array.astype(kind)).tobytes()
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
-    columns = [pa.array([row[i] for row in rows], k) for i, k in enumerate(kinds)]
-    return pa.RecordBatch.from_arrays(columns, names)
-
-
-def _in_round(values: np.ndarray, number: int, rounds: int) -> np.ndarray:
-    return (values >> U64(56)) % U64(rounds) == U64(number)
-
-
-def _group_of(values: np.ndarray, groups: int) -> np.ndarray:
-    return (((values & U64(0xFFFFFFFF)) * U64(groups)) >> U64(32)).astype(np.int64)
-
-
-def _parts(group: np.ndarray):
-    """Each group's number and its places, in order."""
-    order = np.argsort(group, kind="stable")
-    ordered = group[order]
-    for part in np.split(order, np.flatnonzero(np.diff(ordered)) + 1):
-        yield int(group[part[0]]), part
-
-
-def _heads(*columns: np.ndarray) -> np.ndarray:
-    """Where a new class begins among ordered entries."""
-    new = np.ones(len(columns[0]), bool)
-    for values in columns:
-        if len(values):
-            new[1:] &= values[1:] == values[:-1]
-    new[1:] = ~new[1:]
-    return np.flatnonzero(new)
-
-
-def _spread(values: np.ndarray, heads: np.ndarray, size: int) -> np.ndarray:
-    return np.repeat(values, np.diff(np.append(heads, size)))
-
-
-def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
-
-
-def _numbers(table: pa.Table, name: str) -> np.ndarray:
-    """Numbers of documents inside each row, as numbers in all rows' documents."""
-    firsts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in table["ids"].to_pylist()])])
-    parts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table[name].to_pylist()]
-    return np.concatenate([p + f for p, f in zip(parts, firsts)]) if parts else np.zeros(0, np.int64)
-
-
 def _per_document(docs, ids, keys, values: np.ndarray) -> pa.Table:
     """One row per document with its values, in order."""
     pairs, inverse = np.unique(np.column_stack([ids[docs], keys[docs]]), axis=0, return_inverse=True)
@@ -159,37 +109,37 @@ def _sample_rows(hashes, owner, places, ids, keys, groups: int) -> list[tuple]:
         return []
     order = np.argsort(hashes, kind="stable")
     hashes, owner, places = hashes[order], owner[order], places[order]
-    heads, doc = _heads(hashes), ids[owner]
+    heads, doc = heads_of(hashes), ids[owner]
     many = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
-    many = _spread(many, heads, len(hashes))
+    many = spread(many, heads, len(hashes))
     first = np.zeros(len(hashes), bool)
     first[heads] = True
     rows = []
-    for r, part in _parts(_group_of(hashes, groups)):
+    for r, part in parts_of(group_of(hashes, groups)):
         go, stay = part[~many[part] | first[part]], part[many[part]]
         own, number = np.unique(np.concatenate([owner[go], owner[stay]]), return_inverse=True)
         rows.append((
-            r, _packed(hashes[go], "<u8"), _packed(many[go], "u1"), _packed(number[: len(go)], "<u4"),
-            _packed(places[go], "<u4"), _packed(number[len(go) :], "<u4"), _packed(places[stay], "<u4"),
-            _packed(ids[own], "<i8"), _packed(keys[own], "<i8"),
+            r, packed(hashes[go], "<u8"), packed(many[go], "u1"), packed(number[: len(go)], "<u4"),
+            packed(places[go], "<u4"), packed(number[len(go) :], "<u4"), packed(places[stay], "<u4"),
+            packed(ids[own], "<i8"), packed(keys[own], "<i8"),
         ))
     return rows
 
 
 def _rank_sample(table: pa.Table) -> pa.Table:
     """Sort one group of the sample; the places of strings that lie in two documents."""
-    hashes, known = _joined(table, "hashes", "<u8"), _joined(table, "known", "u1")
-    ids, keys = _joined(table, "ids", "<i8"), _joined(table, "keys", "<i8")
-    docs, places = _numbers(table, "docs"), _joined(table, "places", "<u4")
+    hashes, known = joined(table, "hashes", "<u8"), joined(table, "known", "u1")
+    ids, keys = joined(table, "ids", "<i8"), joined(table, "keys", "<i8")
+    docs, places = numbers(table, "docs"), joined(table, "places", "<u4")
     if len(hashes):
         order = np.argsort(hashes, kind="stable")
-        heads, doc = _heads(hashes[order]), ids[docs[order]]
+        heads, doc = heads_of(hashes[order]), ids[docs[order]]
         shared = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
         shared |= np.maximum.reduceat(known[order], heads) > 0
-        hit = order[_spread(shared, heads, len(order))]
+        hit = order[spread(shared, heads, len(order))]
         docs, places = docs[hit], places[hit]
-    docs = np.concatenate([docs, _numbers(table, "own_docs")])
-    places = np.concatenate([places, _joined(table, "own_places", "<u4")])
+    docs = np.concatenate([docs, numbers(table, "own_docs")])
+    places = np.concatenate([places, joined(table, "own_places", "<u4")])
     return _per_document(docs, ids, keys, places[:, None])
 
 
@@ -216,27 +166,27 @@ def _run_rows(data, at, owner, starts, ids, keys, length, number, rounds, groups
     counts = np.diff(np.append(heads, len(at)))
     word, begin, owner, starts = word[heads], at[heads], owner[heads], starts[heads]
     word = words.mixed(word)
-    mine = _in_round(word, number, rounds)
+    mine = in_round(word, number, rounds)
     word, begin, owner, starts, counts = (x[mine] for x in (word, begin, owner, starts, counts))
     if not len(word):
         return []
     end = begin + counts + length - 1
     text = words.hashes(data, begin, end, fold=False)
     order = np.lexsort((counts, text))
-    first = _heads(text[order], counts[order])
+    first = heads_of(text[order], counts[order])
     doc = ids[owner]
     low = np.empty(len(order), np.int64)
-    low[order] = _spread(np.minimum.reduceat(doc[order], first), first, len(order))
+    low[order] = spread(np.minimum.reduceat(doc[order], first), first, len(order))
     settled = doc > low
     rows = []
-    for r, part in _parts(_group_of(word, groups)):
+    for r, part in parts_of(group_of(word, groups)):
         go, stay = part[~settled[part]], part[settled[part]]
         own, number_ = np.unique(np.concatenate([owner[go], owner[stay]]), return_inverse=True)
         rows.append((
             r, b"".join(data[a:b].tobytes() for a, b in zip(begin[go].tolist(), end[go].tolist())),
-            _packed(counts[go], "<u4"), _packed(number_[: len(go)], "<u4"), _packed(starts[go], "<u4"),
-            _packed(number_[len(go) :], "<u4"), _packed(starts[stay], "<u4"), _packed(counts[stay], "<u4"),
-            _packed(ids[own], "<i8"), _packed(keys[own], "<i8"),
+            packed(counts[go], "<u4"), packed(number_[: len(go)], "<u4"), packed(starts[go], "<u4"),
+            packed(number_[len(go) :], "<u4"), packed(starts[stay], "<u4"), packed(counts[stay], "<u4"),
+            packed(ids[own], "<i8"), packed(keys[own], "<i8"),
         ))
     return rows
 
@@ -244,9 +194,9 @@ def _run_rows(data, at, owner, starts, ids, keys, length, number, rounds, groups
 def _sort_runs(length: int):
     def run(table: pa.Table) -> pa.Table:
         """Sort the suffixes of one group; runs of those that start in a smaller document too."""
-        data, counts = _joined(table, "bytes", "u1"), _joined(table, "counts", "<u4").astype(np.int64)
-        ids, keys = _joined(table, "ids", "<i8"), _joined(table, "keys", "<i8")
-        docs, starts = _numbers(table, "docs"), _joined(table, "starts", "<u4").astype(np.int64)
+        data, counts = joined(table, "bytes", "u1"), joined(table, "counts", "<u4").astype(np.int64)
+        ids, keys = joined(table, "ids", "<i8"), joined(table, "keys", "<i8")
+        docs, starts = numbers(table, "docs"), joined(table, "starts", "<u4").astype(np.int64)
         found = np.zeros((0, 2), np.int64)
         found_docs = np.zeros(0, np.int64)
         if len(counts):
@@ -258,11 +208,11 @@ def _sort_runs(length: int):
             order = np.argsort(one, kind="stable")
             if ((one[order][1:] == one[order][:-1]) & (other[order][1:] != other[order][:-1])).any():
                 order = np.lexsort((other, one))
-            heads = _heads(one[order], other[order])
+            heads = heads_of(one[order], other[order])
             doc = ids[docs[run_of]]
             low = np.minimum.reduceat(doc[order], heads)
             later = np.zeros(len(order), bool)
-            later[order] = doc[order] > _spread(low, heads, len(order))
+            later[order] = doc[order] > spread(low, heads, len(order))
             hit = np.flatnonzero(later)
             new = np.ones(len(hit), bool)
             new[1:] = (hit[1:] != hit[:-1] + 1) | (run_of[hit[1:]] != run_of[hit[:-1]])
@@ -271,8 +221,8 @@ def _sort_runs(length: int):
             hit = hit[first]
             found_docs = docs[run_of[hit]]
             found = np.column_stack([starts[run_of[hit]] + within[hit], sizes])
-        own = np.column_stack([_joined(table, "own_starts", "<u4"), _joined(table, "own_counts", "<u4")])
-        docs = np.concatenate([found_docs, _numbers(table, "own_docs")])
+        own = np.column_stack([joined(table, "own_starts", "<u4"), joined(table, "own_counts", "<u4")])
+        docs = np.concatenate([found_docs, numbers(table, "own_docs")])
         return _per_document(docs, ids, keys, np.concatenate([found, own]))
 
     return run
@@ -293,12 +243,12 @@ def _sample_scan(number: int, rounds: int, groups: int, length: int):
                     continue
                 places = np.concatenate(parts)
                 hashes = string_hashes(data, places + np.repeat(offsets[:-1], counts), window)
-                mine = _in_round(hashes, number, rounds)
+                mine = in_round(hashes, number, rounds)
                 rows = _sample_rows(
                     hashes[mine], owner[mine], places[mine], ids[first:last], keys[first:last], groups
                 )
                 if rows:
-                    yield _batch(rows, SAMPLE)
+                    yield packed_batch(rows, SAMPLE)
 
     return run
 
@@ -317,7 +267,7 @@ def _suffix_scan(number: int, rounds: int, groups: int, length: int):
                     ids[first:last], keys[first:last], length, number, rounds, groups,
                 )
                 if rows:
-                    yield _batch(rows, RUNS)
+                    yield packed_batch(rows, RUNS)
 
     return run
 

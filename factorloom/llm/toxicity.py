@@ -10,8 +10,8 @@ The supplied labels know two grades. ``severity_grades`` parts the toxic ones: a
 share of words that mark toxic documents, the grade is 2. Any number of grades can be given instead.
 
 Cases: a null or empty text has the score 0 and falls to the grade of the thresholds alone; repeated words
-count once; without labelled rows, or with one grade only, ``fit`` raises ValueError; an empty table
-of documents gives an empty result; other columns stay as they are.
+count once; without labelled rows, or with one grade only, nothing can be learned and the severity is 0
+everywhere; an empty table of documents gives an empty result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def fit(
     """
     top = int(grades.max()) if len(grades) else 0
     if top < 1 or not (grades == 0).any():
-        raise ValueError("labelled documents of at least two grades are needed")
+        return SeverityModel(np.zeros(2**bits, np.float32), np.array([700.0]))
     kept, place = np.unique(numbers, return_inverse=True)
     n = len(grades)
     weights = np.zeros(len(kept))
