@@ -373,6 +373,35 @@ def _(spark, folder):
     return returns(spark, folder).select(*KEYS, "open", TARGET)
 
 
+@query("forward_return_minute")
+def _(spark, folder):
+    """Targets two minutes ahead, ordered by minute."""
+    data = views.minute_bars(spark, folder)
+    keys = ["order_book_id", "datetime"]
+    order = tables.bar_order(data, "minute")
+    tables.require_unique_order(data, ["order_book_id"], order)
+    return series.forward_return(data, horizon=2, order=order).select(*keys, "open", TARGET)
+
+
+def _tick_data(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[str, ...]]:
+    data = views.type_ticks(spark, folder)
+    return data, tables.bar_order(data, "tick")
+
+
+@query("forward_return_ticks")
+def _(spark, folder):
+    """Targets twenty ticks ahead; the sequence number decides between ticks of one moment."""
+    data, order = _tick_data(spark, folder)
+    return series.forward_return(data, order=order).select("order_book_id", *order, "open", TARGET)
+
+
+@query("ts_rank_ticks")
+def _(spark, folder):
+    data, order = _tick_data(spark, folder)
+    ranked = ex.evaluate(data, {"rank": ("ts_rank_10", "open")}, reg.default_registry(), order=order)
+    return rounded(ranked.select("order_book_id", *order, "rank"), columns=["rank"])
+
+
 def _rolling(fn: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         data = views.bars(spark, folder).select(*KEYS, "open", "volume", "r_volume")
@@ -508,6 +537,25 @@ QUERIES |= {
     "extreme_flag": _profile(lambda df: profile.extreme_flag(df, TARGET)),
     "target_missing_rate": _profile(lambda df: profile.target_missing_rate(df, TARGET), returns),
     "validate_bars": _profile(lambda df: profile.validate_bars(df, *WHOLE), views.bars, 4),
+    "profile_target_by": _profile(
+        lambda df: profile.profile_target(df, TARGET, by=["num_trades"]).drop("skew", "kurt")
+    ),
+    "null_profile_by": _profile(
+        lambda df: profile.null_profile(df, ["open", "r_volume", TARGET], by=["order_book_id"]), returns
+    ),
+    "feature_quality_by": _profile(
+        lambda df: profile.feature_quality(df, ["volume", "r_volume"], by=["order_book_id"]), views.bars, 4
+    ),
+    "low_variance_flag_by": _profile(
+        lambda df: profile.low_variance_flag(df, ["open", "volume"], by=["order_book_id"]), views.bars, 4
+    ),
+    "validate_bars_by": _profile(
+        lambda df: profile.validate_bars(df, *WHOLE, by=["order_book_id"]).filter(
+            F.col("check").isin("rows", "target_rows", "target_missing", "null_r_volume")
+        ),
+        views.bars,
+        4,
+    ),
 }
 
 
@@ -601,6 +649,10 @@ QUERIES |= {
     "ic": _profile(lambda df: scoring.ic(df, "y", "p"), scored),
     "rank_ic": _profile(lambda df: scoring.rank_ic(df, "y", "p"), scored),
     "score_summary": _profile(lambda df: scoring.score_summary(df, "y", "p"), scored, 4),
+    "rank_ic_by": _profile(lambda df: scoring.rank_ic(df, "y", "p", ["order_book_id"]), scored),
+    "score_summary_by": _profile(
+        lambda df: scoring.score_summary(df, "y", "p", ["order_book_id"]), scored, 4
+    ),
 }
 
 
@@ -617,11 +669,45 @@ def _(spark, folder):
     return rounded(scoring.rank_expressions(scores, parsimony=0.01, top=3), 4)
 
 
+@query("rank_expressions_ic")
+def _(spark, folder):
+    """The strongest linear correlation first, whatever its sign."""
+    scores = scoring.score_expressions(clean(spark, folder), SCORED, TARGET, reg.default_registry())
+    return rounded(scoring.rank_expressions(scores, parsimony=0.0, top=3, metric="ic"), 4)
+
+
+@query("rank_expressions_missing")
+def _(spark, folder):
+    """A formula with values on too few rows is not ranked, however good its score."""
+    functions = reg.default_registry() | reg.registry(
+        [timeseries.momentum_function(3), timeseries.momentum_function(400)]
+    )
+    exprs = [("ts_momentum_400", "open"), ("ts_momentum_3", "open"), "open", "volume"]
+    scores = scoring.score_expressions(clean(spark, folder), exprs, TARGET, functions)
+    return rounded(scoring.rank_expressions(scores, parsimony=0.0, least_rows=0.5).drop("id"), 4)
+
+
+ONE_STEP = ("safe_add", "safe_sub", "ts_mean_3")
+
+
+@query("search_one_step")
+def _(spark, folder):
+    """A search over every one-step formula of two columns, one constant and three functions."""
+    functions = {n: f for n, f in reg.default_registry((3,)).items() if n in ONE_STEP}
+    settings = search.SearchSettings(
+        population_size=1000, generations=1, beam=1000, max_samples=1.0, max_depth=2, constants=1,
+        stopping_criteria=0.0,
+    )
+    found = search.search_factors(clean(spark, folder), ["open", "volume"], TARGET, functions, settings)
+    table = search.history_table(spark, found)
+    return rounded(table.select("expression", "size", "mse", "ic", "fitness"), 3)
+
+
 @query("seed_expressions")
 def _(spark, folder):
     """Given formulas are scored first, whatever the population size."""
     settings = search.SearchSettings(
-        population_size=len(SCORED), generations=1, beam=len(SCORED), max_samples=1.0, max_depth=3
+        population_size=0, generations=1, beam=len(SCORED), max_samples=1.0, max_depth=3
     )
     found = search.search_factors(
         clean(spark, folder), ["open"], TARGET, reg.default_registry(), settings, SCORED
@@ -630,7 +716,9 @@ def _(spark, folder):
     return rounded(table.select("expression", "size", "mse", "ic", "fitness"), 4)
 
 
-SMALL_SEARCH = search.SearchSettings(population_size=40, generations=3, beam=5, max_depth=3)
+SMALL_SEARCH = search.SearchSettings(
+    population_size=40, generations=3, beam=5, max_depth=3, max_samples=1.0
+)
 
 
 @query("search_factors")
@@ -651,6 +739,7 @@ def small_trials(spark: SparkSession, folder: str) -> mining.TrialOutcome:
                 generations=2,
                 beam=4,
                 max_depth=2,
+                max_samples=1.0,
                 parsimony_coefficient=c.search.parsimony_coefficient,
             ),
         )
@@ -669,7 +758,7 @@ def _(spark, folder):
     """Load, prepare, choose among the plain features, save; gives the saved factor values."""
     path = scratch_path(spark, "final")
     settings = search.SearchSettings(
-        population_size=len(FEATURES), generations=1, max_samples=1.0, max_depth=1
+        population_size=0, generations=1, max_samples=1.0, max_depth=1
     )
     config = mining.MiningConfig(window_sizes=(10,), search=settings)
     mining.train_final(views.bars(spark, folder), *WHOLE, config, path, features=FEATURES)

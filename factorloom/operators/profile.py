@@ -220,14 +220,22 @@ def row_and_distinct(
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), distinct.alias("distinct_values"))
 
 
-def profile_target(df: DataFrame, column: str, exact_rows: int | None = None) -> DataFrame:
-    """The whole distribution profile as one row: quantiles, then one aggregate."""
-    data = _stored(df, column)
-    fitted = fit_quantiles(data, [column], REPORT_QUANTILES, exact_rows, stored=True)[column]
+def _profile_groups(df: DataFrame, column: str, by: list[str]) -> DataFrame:
+    """The distribution profile of each group: exact quantiles, then one aggregate beside the quartiles."""
+    names = {_name(p): p for p in REPORT_QUANTILES}
+    marks = _summary(df, column, [], names | {"median": 0.5, "__q1": 0.25, "__q3": 0.75}, by)
+    rows = null_safe_join(df.select(*by, column), marks.select(*by, "__q1", "__q3"), by)
     x = number(column)
-    # the distinct count shuffles single values; kept apart so no other buffer travels along
-    distinct = data.agg(F.count_distinct(x)).scalar()
-    table = data.agg(
+    table = rows.groupBy(*by).agg(
+        *_moments(x), *_outliers(x, F.col("__q1"), F.col("__q3")), *_quality(_double(column))
+    )
+    distinct = df.groupBy(*by).agg(F.count_distinct(x).alias("distinct_values"))
+    found = null_safe_join(table, marks.drop("__q1", "__q3"), by)
+    return null_safe_join(found, distinct, by)
+
+
+def _moments(x: Column) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.count(x).alias("count"),
         F.avg(x).alias("mean"),
@@ -236,6 +244,22 @@ def profile_target(df: DataFrame, column: str, exact_rows: int | None = None) ->
         kurt(x).alias("kurt"),
         *_extremes(x),
         *_signs(x),
+    ]
+
+
+def profile_target(
+    df: DataFrame, column: str, exact_rows: int | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """The whole distribution profile as one row, or one per group: quantiles, then one aggregate."""
+    if by:
+        return _profile_groups(df, column, list(by))
+    data = _stored(df, column)
+    fitted = fit_quantiles(data, [column], REPORT_QUANTILES, exact_rows, stored=True)[column]
+    x = number(column)
+    # the distinct count shuffles single values; kept apart so no other buffer travels along
+    distinct = data.agg(F.count_distinct(x)).scalar()
+    table = data.agg(
+        *_moments(x),
         *_outliers(x, fitted.at(0.25), fitted.at(0.75)),
         *_quality(_double(column)),
     )
@@ -286,14 +310,16 @@ def _null(df: DataFrame, column: str) -> Column:
     return _missing(F.col(column)) if floating else F.col(column).isNull()
 
 
-def null_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def null_profile(
+    df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()
+) -> DataFrame:
     """Missing count and percentage of the columns that have any."""
-    columns = list(columns or df.columns)
+    columns = list(columns or [c for c in df.columns if c not in by])
     flags = F.array(*[_null(df, c) for c in columns])
     missing = F.count_if(F.col("v"))
     counted = (
-        df.select(F.posexplode(flags).alias("c", "v"))
-        .groupBy("c")
+        df.select(*by, F.posexplode(flags).alias("c", "v"))
+        .groupBy(*by, "c")
         .agg(missing.alias("nulls"), (_share(missing) * 100).alias("percent"))
     )
     return named(counted.filter(F.col("nulls") > 0), columns)
@@ -308,12 +334,12 @@ def table_extent(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def feature_quality(df: DataFrame, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Per feature: missing percentage, zero percentage, sample std."""
     v = F.col("v")
     measured = (
-        tall(df, features)
-        .groupBy("c")
+        tall(df, features, by)
+        .groupBy(*by, "c")
         .agg(
             (_share(F.count_if(v.isNull())) * 100).alias("missing_pct"),
             (_share(F.count_if(v == 0)) * 100).alias("zero_pct"),
@@ -323,8 +349,10 @@ def feature_quality(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return named(measured, features)
 
 
-def low_variance_flag(df: DataFrame, columns: Sequence[str], limit: float = LOW_STD) -> DataFrame:
-    stds = tall(df, columns).groupBy("c").agg(F.stddev_samp("v").alias("std"))
+def low_variance_flag(
+    df: DataFrame, columns: Sequence[str], limit: float = LOW_STD, by: Sequence[str] = ()
+) -> DataFrame:
+    stds = tall(df, columns, by).groupBy(*by, "c").agg(F.stddev_samp("v").alias("std"))
     return named(stds, columns).withColumn(
         "low_variance", F.coalesce(F.col("std") < limit, F.lit(False))
     )
@@ -356,8 +384,9 @@ def validate_bars(
     horizon: int = 20,
     pad_days: int = 20,
     block_rows: int | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Quality checks as (check, value, ok), ending in the verdict.
+    """Quality checks as (check, value, ok), ending in the verdict, for the table or per group.
 
     The verdict fails when the cleaned target hardly varies, or when no target is left.
     """
@@ -366,7 +395,7 @@ def validate_bars(
         data, price, horizon, "target_feature", block_rows=block_rows, infinite=True
     )
     target, x = F.col("target_feature"), number(price)
-    wide = valued.agg(
+    wide = valued.groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count_if(_null(data, c)).alias(f"null_{c}") for c in data.columns],
         F.stddev_samp(x).alias("price_std"),
@@ -401,4 +430,4 @@ def validate_bars(
     verdict = F.struct(
         F.lit("verdict").alias("check"), usable.cast("double").alias("value"), usable.alias("ok")
     )
-    return wide.select(F.explode(F.array(*entries, verdict)).alias("e")).select("e.*")
+    return wide.select(*by, F.explode(F.array(*entries, verdict)).alias("e")).select(*by, "e.*")

@@ -8,6 +8,7 @@ afterwards. Without such instruments the plan is the plain one with a single exc
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -21,6 +22,7 @@ from factorloom.operators.ranks import running_counts
 from factorloom.session import materialize, scratch_path, setting
 
 BLOCK_ROWS = 2_000_000
+BUCKET_ROWS = 2_000_000
 NUMBERS_PER_SLICE = 1_000
 KEYS = ("order_book_id",)
 ORDER = ("date",)
@@ -38,6 +40,7 @@ class Series:
     keys: tuple[str, ...]
     order: tuple[str, ...]
     split: bool = False
+    table: str | None = None
 
     @property
     def partition(self) -> tuple[str, ...]:
@@ -64,11 +67,17 @@ class Series:
     def helpers(self) -> list[str]:
         return [_BLOCK, _OWN] if self.split else []
 
-    def store(self, buckets: int | None = None) -> Series:
-        """Write the layout once, bucketed and sorted, so later windows need no shuffle."""
+    def store(self, buckets: int | None = None, bucket_rows: int = BUCKET_ROWS) -> Series:
+        """Write the layout once, bucketed and sorted, so later windows need no shuffle.
+
+        A bucket is one task, so their number follows the rows. ``drop`` removes the table.
+        """
         spark = self.rows.sparkSession
         most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-        count = min(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), most)
+        least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if buckets is None:
+            buckets = max(least, math.ceil(self.rows.count() / bucket_rows))
+        count = min(buckets, most)
         path = scratch_path(spark, "series")
         name = "factorloom_" + path.rsplit("-", 1)[1]
         (
@@ -78,7 +87,12 @@ class Series:
             .sortBy(*self.partition, *self.order)
             .saveAsTable(name)
         )
-        return self.with_rows(spark.table(name))
+        return replace(self, rows=spark.table(name), table=name)
+
+    def drop(self) -> None:
+        """Remove a stored layout from the catalog; its files stay with the scratch folder."""
+        if self.table:
+            self.rows.sparkSession.sql(f"DROP TABLE IF EXISTS {self.table}")
 
     def every_row(self, flags: dict[str, Column]) -> tuple[Series, dict[str, Column]]:
         """For each condition, a column telling whether it holds on all rows of the instrument."""
@@ -223,11 +237,13 @@ def fill_gaps(
     """Forward fill, then backward fill, then 0, per instrument."""
     series = lay_out(df, keys, order, block_rows=block_rows)
     to_here = series.over(Window.unboundedPreceding, 0)
-    from_here = series.over(0, Window.unboundedFollowing)
+    # the next value is the last one in descending order: a growing frame, where a frame from each
+    # row to the end would be read anew for every row
+    back = Window.partitionBy(*series.partition).orderBy(*[F.col(c).desc() for c in series.order])
+    from_here = back.rowsBetween(Window.unboundedPreceding, 0)
     rows = series.rows.withColumns(
         {f"__f_{c}": F.last(c, ignorenulls=True).over(to_here) for c in columns}
-        | {f"__b_{c}": F.first(c, ignorenulls=True).over(from_here) for c in columns}
-    )
+    ).withColumns({f"__b_{c}": F.last(c, ignorenulls=True).over(from_here) for c in columns})
     fills = {c: [F.col(f"__f_{c}"), F.col(f"__b_{c}")] for c in columns}
     if series.split:
         rows = _carry_across_blocks(series, rows, columns)
@@ -248,10 +264,11 @@ def _carry_across_blocks(series: Series, rows: DataFrame, columns: Sequence[str]
     )
     blocks = Window.partitionBy(*series.keys).orderBy(_BLOCK)
     past = blocks.rowsBetween(Window.unboundedPreceding, -1)
-    future = blocks.rowsBetween(1, Window.unboundedFollowing)
+    back = Window.partitionBy(*series.keys).orderBy(F.col(_BLOCK).desc())
+    future = back.rowsBetween(Window.unboundedPreceding, -1)
     carried = edges.select(
         *series.partition,
         *[F.last(f"__l_{c}", ignorenulls=True).over(past).alias(f"__fc_{c}") for c in columns],
-        *[F.first(f"__s_{c}", ignorenulls=True).over(future).alias(f"__bc_{c}") for c in columns],
+        *[F.last(f"__s_{c}", ignorenulls=True).over(future).alias(f"__bc_{c}") for c in columns],
     )
     return null_safe_join(rows, carried, series.partition)

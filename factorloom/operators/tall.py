@@ -18,9 +18,9 @@ def number(column: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def tall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row (column position ``c``, value ``v``) per value, NULL included."""
-    return df.select(F.posexplode(F.array(*[number(c) for c in columns])).alias("c", "v"))
+def tall(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """One row (column position ``c``, value ``v``) per value, NULL included, beside the ``by`` columns."""
+    return df.select(*by, F.posexplode(F.array(*[number(c) for c in columns])).alias("c", "v"))
 
 
 def named(df: DataFrame, columns: Sequence[str], name: str = "column") -> DataFrame:

@@ -51,6 +51,10 @@ TABLES = {
                        WHEN volume < 5 THEN 'NaN'::DOUBLE
                        ELSE '-Infinity'::DOUBLE END AS ratio
         FROM bars""",
+    "type_ticks": """
+        SELECT event_type AS order_book_id, CAST(ts AS DATE) AS date, ts AS datetime,
+               event_id AS seq, value AS open
+        FROM events""",
     "scored": "SELECT *, target_feature AS y, volume AS p FROM cleaned",
 }
 NEEDS = {
@@ -90,6 +94,7 @@ def rnds(names: Sequence[str], digits: int = 6) -> str:
 # ---- windows ---------------------------------------------------------------------------------
 
 SERIES = "PARTITION BY order_book_id ORDER BY date"
+SERIES_TICK = "PARTITION BY order_book_id ORDER BY datetime, seq"
 
 
 def frame(size: int) -> str:
@@ -302,6 +307,38 @@ RANKED = f"SELECT {ranks('y')} AS ry, {ranks('p')} AS rp FROM scored"
 MSE = "avg((y - p) * (y - p))"
 R2 = f"1 - {MSE} / var_pop(y)"
 
+RANKED_BY = (
+    "SELECT *, rank() OVER (PARTITION BY order_book_id ORDER BY y) "
+    "+ (count(*) OVER (PARTITION BY order_book_id, y) - 1) / 2.0 AS ry, "
+    "rank() OVER (PARTITION BY order_book_id ORDER BY p) "
+    "+ (count(*) OVER (PARTITION BY order_book_id, p) - 1) / 2.0 AS rp FROM scored"
+)
+
+
+def one_step() -> str:
+    """Every one-step formula of two columns, the constant -10 and three functions, with its scores."""
+    columns, constant = ("open", "volume"), "-10"
+    formulas = {c: (1, c) for c in columns}
+    formulas |= {f"ts_mean_3({c})": (2, rolling("mean", c, 3)) for c in columns}
+    for name, sign in (("safe_add", "+"), ("safe_sub", "-")):
+        for a in (*columns, constant):
+            for b in (*columns, constant):
+                if (a, b) != (constant, constant):
+                    formulas[f"{name}({a}, {b})"] = (3, f"({a}) {sign} ({b})")
+    values = ", ".join(f"{e} AS e{i}" for i, (_, e) in enumerate(formulas.values()))
+    rows = [
+        f"SELECT '{name}' AS expression, {size} AS size, avg(({T} - e{i}) * ({T} - e{i})) AS mse, "
+        f"corr({T}, e{i}) AS ic FROM vals"
+        for i, (name, (size, _)) in enumerate(formulas.items())
+    ]
+    return using(
+        "cleaned",
+        f"SELECT expression, size, {rnds(('mse', 'ic'), 3)}, {rnd('mse + 0.01 * size', 'fitness', 3)} "
+        f"FROM ({tall(rows)})",
+        vals=f"SELECT {T}, {values} FROM cleaned",
+    )
+
+
 NESTED_IN = f"{rolling('max', 'volume', 5)} - volume"
 SCORES = (
     ("open", 1, "open"),
@@ -526,6 +563,22 @@ def statements() -> dict[str, str]:
         "refresh_missing": event_rows,
         "refresh_latest": event_rows,
         "forward_return": using("fr", f"SELECT {k}, open, {T} FROM fr"),
+        "forward_return_minute": using(
+            "minute_bars",
+            f"""SELECT order_book_id, datetime, open, (lead(open, 2) OVER w - open) / nullif(open, 0) AS {T}
+            FROM minute_bars WINDOW w AS (PARTITION BY order_book_id ORDER BY datetime)""",
+        ),
+        "forward_return_ticks": using(
+            "type_ticks",
+            f"""SELECT order_book_id, datetime, seq, open,
+            (lead(open, 20) OVER w - open) / nullif(open, 0) AS {T}
+            FROM type_ticks WINDOW w AS (PARTITION BY order_book_id ORDER BY datetime, seq)""",
+        ),
+        "ts_rank_ticks": using(
+            "type_ticks",
+            f"SELECT order_book_id, datetime, seq, "
+            f"{rnd(rolling('rank', 'open', 10).replace(SERIES, SERIES_TICK), 'rank')} FROM type_ticks",
+        ),
         "degenerate_guard": using(
             "bars",
             f"SELECT {k}, x, {rnd(rolling('rank', 'x', 10), 'ts_rank_10')}, "
@@ -604,6 +657,55 @@ def statements() -> dict[str, str]:
             f"count({T}) AS rows_after FROM fr",
         ),
         "validate_bars": validation(),
+        "profile_target_by": using(
+            "cleaned",
+            "SELECT num_trades, "
+            + listed({n: e for n, e in ALL_METRICS.items() if n not in SHAPE})
+            + " FROM cleaned JOIN qs USING (num_trades) GROUP BY 1",
+            qs=f"SELECT num_trades, {quantile(T, 0.25)} AS q1, {quantile(T, 0.75)} AS q3 "
+            "FROM cleaned GROUP BY 1",
+        ),
+        "null_profile_by": using(
+            "fr",
+            "SELECT * FROM ("
+            + tall([
+                f"SELECT order_book_id, '{c}' AS \"column\", count(*) - count({c}) AS nulls, "
+                f"{rnd(f'100.0 * (count(*) - count({c})) / count(*)', 'percent')} FROM fr GROUP BY 1"
+                for c in ("open", "r_volume", T)
+            ])
+            + ") WHERE nulls > 0",
+        ),
+        "feature_quality_by": using(
+            "bars",
+            tall([
+                f"SELECT order_book_id, '{c}' AS \"column\", "
+                f"{rnd(f'100.0 * (count(*) - count({c})) / count(*)', 'missing_pct', 4)}, "
+                f"{rnd(f'100.0 * count(*) FILTER (WHERE {c} = 0) / count(*)', 'zero_pct', 4)}, "
+                f"{rnd(f'stddev_samp({c})', 'std', 4)} FROM bars GROUP BY 1"
+                for c in ("volume", "r_volume")
+            ]),
+        ),
+        "low_variance_flag_by": using(
+            "bars",
+            tall([
+                f"SELECT order_book_id, '{c}' AS \"column\", {rnd(f'stddev_samp({c})', 'std', 4)}, "
+                f"coalesce(stddev_samp({c}) < 1e-6, false) AS low_variance FROM bars GROUP BY 1"
+                for c in ("open", "volume")
+            ]),
+        ),
+        "validate_bars_by": using(
+            "fr",
+            tall([
+                f"SELECT order_book_id, '{n}' AS \"check\", {rnd(f'CAST({e} AS DOUBLE)', 'value', 4)}, "
+                f"({e}) {rule} AS ok FROM fr GROUP BY 1"
+                for n, e, rule in (
+                    ("rows", "count(*)", "> 0"),
+                    ("target_rows", f"count({T})", "> 0"),
+                    ("target_missing", f"count(*) - count({T})", "= 0"),
+                    ("null_r_volume", "count(*) - count(r_volume)", "= 0"),
+                )
+            ]),
+        ),
         "drop_low_variance": using("cleaned", f"SELECT {k}, {rnds(FEATURES, 9)} FROM cleaned"),
         "iqr_clip": using(
             "cleaned",
@@ -650,6 +752,41 @@ def statements() -> dict[str, str]:
             "scored", f"SELECT {rnd('corr(ry, rp)', 'rank_ic')} FROM ranked", ranked=RANKED
         ),
         "score_summary": using("scored", f"SELECT {summary} FROM scored", ranked=RANKED),
+        "rank_ic_by": using(
+            "scored",
+            f"SELECT order_book_id, {rnd('corr(ry, rp)', 'rank_ic')} FROM ranked GROUP BY 1",
+            ranked=RANKED_BY,
+        ),
+        "score_summary_by": using(
+            "scored",
+            f"SELECT order_book_id, {rnd(MSE, 'mse', 4)}, {rnd(R2, 'r2', 4)}, "
+            f"{rnd('corr(y, p)', 'correlation', 4)}, {rnd('corr(y, p)', 'ic', 4)}, "
+            f"{rnd('corr(ry, rp)', 'rank_ic', 4)} FROM ranked GROUP BY 1",
+            ranked=RANKED_BY,
+        ),
+        "rank_expressions_ic": using(
+            "cleaned",
+            f"SELECT id, expression, size, rows, {rnds(('mse', 'r2', 'ic'), 4)}, "
+            f"{rnd('-abs(ic)', 'fitness', 4)} FROM scores ORDER BY -abs(ic), id LIMIT 3",
+            **scores(),
+        ),
+        "rank_expressions_missing": using(
+            "cleaned",
+            f"SELECT expression, size, rows, {rnds(('mse', 'r2', 'ic'), 4)}, {rnd('mse', 'fitness', 4)} "
+            "FROM scores WHERE rows >= 0.5 * (SELECT max(rows) FROM scores)",
+            vals=f"SELECT {T}, {momentum('open', 400)} AS e0, {momentum('open', 3)} AS e1, open AS e2, "
+            "volume AS e3 FROM cleaned",
+            scores=tall([
+                f"SELECT '{name}' AS expression, {size} AS size, count(e{i}) AS rows, "
+                f"avg(({T} - e{i}) * ({T} - e{i})) AS mse, "
+                f"1 - avg(({T} - e{i}) * ({T} - e{i})) / (var_pop({T}) FILTER (WHERE e{i} IS NOT NULL)) AS r2, "
+                f"corr({T}, e{i}) AS ic FROM vals"
+                for i, (name, size) in enumerate((
+                    ("ts_momentum_400(open)", 2), ("ts_momentum_3(open)", 2), ("open", 1), ("volume", 1),
+                ))
+            ]),
+        ),
+        "search_one_step": one_step(),
         "score_expressions": using(
             "cleaned",
             f"SELECT id, expression, size, rows, {rnds(('mse', 'r2', 'ic'), 4)} FROM scores",

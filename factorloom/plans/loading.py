@@ -15,6 +15,7 @@ from factorloom.operators.filters import (
 )
 from factorloom.operators.reshape import attach_factors, pivot_factors
 from factorloom.operators.series import KEYS, ORDER, forward_return
+from factorloom.session import materialize
 from factorloom.sources.tables import between_dates
 
 TARGET = "target_feature"
@@ -37,12 +38,16 @@ def load_training_table(
 
     The look-ahead pad gives the last days their target; ``clip_to_end`` drops the padded days
     afterwards. The table may be empty here; ``require_rows`` checks it.
+
+    The bars are written before rows per instrument are counted, and the targets before their spread is
+    measured, so that neither the source nor the window is computed twice.
     """
-    data = between_dates(inf_to_null(bars), start, end, pad_days)
+    data = materialize(between_dates(inf_to_null(bars), start, end, pad_days), "bars")
     data = forward_return(data, price, horizon, TARGET, KEYS, order, block_rows)
     if clip_to_end:
         data = between_dates(data, start, end)
-    data = sigma_outlier_filter(drop_null_target(data, TARGET), TARGET)
+    data = materialize(drop_null_target(data, TARGET), "targets")
+    data = sigma_outlier_filter(data, TARGET)
     if factors is not None:
         wide = pivot_factors(between_dates(factors, start, end), factor_names)
         data = attach_factors(data, wide)

@@ -11,7 +11,7 @@ from factorloom.operators.series import ORDER
 from factorloom.plans import expressions as ex
 from factorloom.plans.loading import TARGET, load_required
 from factorloom.plans.mining import FactorModel, MiningConfig, Prepared, prepare, train
-from factorloom.sources.tables import scan_bars
+from factorloom.sources.tables import bar_order, scan_bars
 
 
 class FactorMiner:
@@ -38,7 +38,9 @@ class FactorMiner:
     def from_source(
         cls, spark: SparkSession, root: str, config: MiningConfig = MiningConfig(), **options
     ) -> FactorMiner:
-        return cls(scan_bars(spark, root, config.data_source), config, **options)
+        bars = scan_bars(spark, root, config.data_source)
+        options.setdefault("order", bar_order(bars, config.data_source))
+        return cls(bars, config, **options)
 
     def load(self, start: str | dt.date, end: str | dt.date, **options) -> FactorMiner:
         self.data = load_required(

@@ -7,7 +7,6 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from factorloom.plans.loading import TARGET, load_required
 from factorloom.plans.scoring import agreement, score_summary
 from factorloom.plans.search import SearchResult, SearchSettings, reach_limit, search_on
 from factorloom.session import materialize
-from factorloom.sources.tables import scan_bars, write_factor_values
+from factorloom.sources.tables import bar_order, scan_bars, write_factor_values
 
 log = logging.getLogger(__name__)
 
@@ -219,7 +218,7 @@ def trial_configs(
     """Search with each setting on the training rows and score on the held-out rows.
 
     Windows are computed on the whole table before the split, and all settings share one stored
-    layout. A setting that fails is skipped.
+    layout. A setting that cannot be trained is skipped; failed cluster jobs are not swallowed.
     """
     series = prepared.lay_out(*configs)
     target = prepared.prep.target
@@ -229,12 +228,15 @@ def trial_configs(
         try:
             model = train(prepared, config, where=~held_out, series=series)
             row = agreement(model.values().filter(held_out), target, PREDICTION).first()
-        except (PySparkException, ValueError) as error:
+        except ValueError as error:
             log.error("trial %d failed: %s", number, error)
             continue
         outcome.history.append((number, config.label(), row["mse"], row["r2"], model.expression))
         if row["mse"] is not None and (outcome.best_mse is None or row["mse"] < outcome.best_mse):
             outcome.best, outcome.best_mse = config, row["mse"]
+    series.drop()
+    if not outcome.history:
+        raise ValueError("no setting could be tried")
     return outcome
 
 
@@ -270,5 +272,5 @@ def mine_source(
 ) -> FactorModel:
     """``train_final`` on a stored bar table: day, minute or tick."""
     bars = scan_bars(spark, root, config.data_source)
-    order = options.pop("order", ORDER if config.data_source == "day" else ("datetime",))
+    order = options.pop("order", None) or bar_order(bars, config.data_source)
     return train_final(bars, start, end, config, path, order=order, **options)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions.registry import Registry
-from factorloom.operators.joins import split_join
+from factorloom.operators.joins import null_safe_join, split_join
 from factorloom.operators.ranks import average_ranks
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
@@ -50,39 +50,47 @@ def ic(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     return _pairs(df, y, p).groupBy(*by).agg(_ic(y, p).alias("ic"))
 
 
-def rank_ic(df: DataFrame, y: str, p: str) -> DataFrame:
-    """Pearson correlation of average ranks over all rows.
+def rank_ic(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pearson correlation of average ranks over all rows, or per group.
 
     Works on counts of distinct pairs, so repeated values shrink before any shuffle; both
     columns are ranked in one pass and hot values are joined by broadcast.
     """
+    by = list(by)
     joint = materialize(
         _pairs(df, y, p)
-        .groupBy((F.col(y).cast("double") + 0.0).alias("y"), (F.col(p).cast("double") + 0.0).alias("p"))
+        .groupBy(
+            *by, (F.col(y).cast("double") + 0.0).alias("y"), (F.col(p).cast("double") + 0.0).alias("p")
+        )
         .agg(F.count(F.lit(1)).alias("n")),
         "pairs",
     )
-    sides = [
-        joint.groupBy(F.lit(side).alias("side"), F.col(side).alias("v")).agg(F.sum("n").alias("n"))
-        for side in ("y", "p")
-    ]
-    ranked = materialize(average_ranks(reduce(DataFrame.unionByName, sides), ["side"], "v"), "ranks")
+    # both sides come from one read of the pairs
+    each = F.explode(
+        F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("v")) for s in ("y", "p")])
+    )
+    sides = joint.select(*by, each.alias("e"), "n").select(*by, "e.*", "n")
+    counts = sides.groupBy(*by, "side", "v").agg(F.sum("n").alias("n"))
+    ranked = materialize(average_ranks(counts, [*by, "side"], "v"), "ranks")
     # ranks are measured from their known mean, which keeps the sums small
     centred = ranked.withColumn("r", F.col("rank") - (F.col("total") + 1) / 2)
     joined = joint
     for side in ("y", "p"):
         lookup = centred.filter(F.col("side") == side).select(
-            F.col("v").alias(side), F.col("r").alias(f"r{side}")
+            *by, F.col("v").alias(side), F.col("r").alias(f"r{side}")
         )
-        joined = split_join(joined, lookup, [side], measured=joint)
+        if by:
+            joined = null_safe_join(joined, lookup, [*by, side])
+        else:
+            joined = split_join(joined, lookup, [side], measured=joint)
     weighted = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
     spread = F.sqrt(weighted("ry", "ry")) * F.sqrt(weighted("rp", "rp"))
-    return joined.agg(F.try_divide(weighted("ry", "rp"), spread).alias("rank_ic"))
+    return joined.groupBy(*by).agg(F.try_divide(weighted("ry", "rp"), spread).alias("rank_ic"))
 
 
-def agreement(df: DataFrame, y: str, p: str) -> DataFrame:
+def agreement(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, mse, r2 and ic in one pass."""
-    return _pairs(df, y, p).agg(
+    return _pairs(df, y, p).groupBy(*by).agg(
         F.count(F.lit(1)).alias("rows"),
         _mse(y, p).alias("mse"),
         _r2(y, p).alias("r2"),
@@ -90,10 +98,13 @@ def agreement(df: DataFrame, y: str, p: str) -> DataFrame:
     )
 
 
-def score_summary(df: DataFrame, y: str, p: str) -> DataFrame:
-    """mse, r2, correlation, ic and rank_ic in one row."""
-    # read twice, so the two columns are written once
-    pairs = materialize(_pairs(df, y, p).select(y, p), "scored")
+def score_summary(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
+    """mse, r2, correlation, ic and rank_ic in one row, or one row per group."""
+    # read twice, so the columns are written once
+    pairs = materialize(_pairs(df, y, p).select(*by, y, p), "scored")
+    if by:
+        table = null_safe_join(agreement(pairs, y, p, by), rank_ic(pairs, y, p, by), list(by))
+        return table.select(*by, "mse", "r2", F.col("ic").alias("correlation"), "ic", "rank_ic")
     return (
         agreement(pairs, y, p)
         .withColumn("correlation", F.col("ic"))
@@ -108,8 +119,9 @@ def score_on(
     y: str,
     functions: Registry,
     where: Column | None = None,
+    with_rank_ic: bool = False,
 ) -> DataFrame:
-    """Score expressions on laid-out rows: id, expression, size, rows, mse, r2, ic.
+    """Score expressions on laid-out rows: id, expression, size, rows, mse, r2, ic, and rank_ic if asked for.
 
     Values are turned to (id, value) rows inside the scan stage and combined on the map side;
     one wide aggregate of hundreds of columns is far slower.
@@ -125,16 +137,11 @@ def score_on(
         tall = valued.select(
             F.col(y).cast("double").alias("y"), F.posexplode(F.array(*names)).alias("i", "p")
         )
-        parts.append(
-            _pairs(tall, "y", "p")
-            .groupBy((F.col("i") + start).alias("id"))
-            .agg(
-                F.count(F.lit(1)).alias("rows"),
-                _mse("y", "p").alias("mse"),
-                _r2("y", "p").alias("r2"),
-                _ic("y", "p").alias("ic"),
-            )
-        )
+        tall = tall.withColumn("id", F.col("i") + start).drop("i")
+        scored = agreement(tall, "y", "p", ["id"])
+        if with_rank_ic:
+            scored = scored.join(rank_ic(tall, "y", "p", ["id"]), "id", "left")
+        parts.append(scored)
     labels = spark.createDataFrame(
         [(i, ex.text(e), ex.size(e)) for i, e in enumerate(exprs)],
         "id int, expression string, size int",
@@ -158,11 +165,33 @@ def score_expressions(
     return score_on(series, exprs, y, functions)
 
 
-def rank_expressions(scores: DataFrame, parsimony: float = 0.01, top: int = 10) -> DataFrame:
-    """The ``top`` expressions by mse plus a penalty per function, column and constant."""
-    fitness = F.col("mse") + parsimony * F.col("size")
+# Each metric as something to make small; a strong negative correlation is as useful as a positive one.
+METRICS = {
+    "mse": lambda: F.col("mse"),
+    "ic": lambda: -F.abs(F.col("ic")),
+    "rank_ic": lambda: -F.abs(F.col("rank_ic")),
+}
+LEAST_ROWS = 0.9
+
+
+def rank_expressions(
+    scores: DataFrame,
+    parsimony: float = 0.01,
+    top: int = 10,
+    metric: str = "mse",
+    least_rows: float = LEAST_ROWS,
+) -> DataFrame:
+    """The ``top`` expressions by the metric plus a penalty per function, column and constant.
+
+    An expression with values on fewer than ``least_rows`` of the rows of the fullest one is left
+    out: a score on a few rows cannot be compared.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}; choose one of {', '.join(METRICS)}")
+    fitness = METRICS[metric]() + parsimony * F.col("size")
+    fullest = scores.agg(F.max("rows")).scalar()
     return (
-        scores.filter(F.col("mse").isNotNull())
+        scores.filter(METRICS[metric]().isNotNull() & (F.col("rows") >= least_rows * fullest))
         .withColumn("fitness", fitness)
         .orderBy("fitness", "id")
         .limit(top)

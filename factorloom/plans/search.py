@@ -8,7 +8,8 @@ shuffle it again.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +18,9 @@ from factorloom.functions.registry import Registry
 from factorloom.operators.prep import key_share
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
-from factorloom.plans.scoring import rank_expressions, score_on
+from factorloom.plans.scoring import LEAST_ROWS, rank_expressions, score_on
 
+MOST_PARTNERS = 200  # a parent of a two-argument function meets per round
 HISTORY = "round int, id int, expression string, size int, mse double, r2 double, ic double, fitness double"
 
 
@@ -26,8 +28,11 @@ HISTORY = "round int, id int, expression string, size int, mse double, r2 double
 class SearchSettings:
     """Sizes and limits of a search.
 
-    ``population_size`` candidates are scored in each of ``generations`` rounds, and the best
-    ``beam`` breed the next round. ``max_samples`` is the share of rows scored.
+    ``population_size`` formulas are scored in each of ``generations`` rounds (in the first, beside seeds and
+    plain columns), and the best ``beam`` breed the next round. Formulas beyond that number are left
+    out by hash. ``max_samples`` is the share of rows scored, so figures of the search are figures of that
+    share. ``metric`` is ``mse``, ``ic`` or ``rank_ic``; formulas with values on less than ``least_rows``
+    of the rows are not ranked. ``stopping_criteria`` concerns mse.
     """
 
     population_size: int = 1000
@@ -40,6 +45,8 @@ class SearchSettings:
     parsimony_coefficient: float = 0.01
     max_samples: float = 0.9
     random_state: int = 42
+    metric: str = "mse"
+    least_rows: float = LEAST_ROWS
 
 
 @dataclass
@@ -62,28 +69,49 @@ def constant_table(settings: SearchSettings) -> list[float]:
     return [low + (high - low) * i / steps for i in range(settings.constants)]
 
 
-def _pick(candidates: Sequence[ex.Expr], limit: int, salt: str) -> list[ex.Expr]:
-    """At most ``limit`` candidates, chosen by a hash so that a seed repeats its choice."""
+def _pick(candidates: Iterable[ex.Expr], limit: int, salt: str) -> list[ex.Expr]:
+    """At most ``limit`` candidates, chosen by a hash so that a seed repeats its choice.
+
+    Candidates are taken as they come; only ``limit`` of them are held.
+    """
 
     def order(expr: ex.Expr) -> str:
         return hashlib.md5(f"{salt}|{ex.text(expr)}".encode()).hexdigest()
 
-    return sorted(candidates, key=order)[:limit]
+    return heapq.nsmallest(limit, candidates, key=order)
+
+
+def _partners_of(parent: ex.Expr, name: str, partners: Sequence[ex.Expr]) -> Sequence[ex.Expr]:
+    """All partners, or MOST_PARTNERS of them from a place that depends on the parent and function."""
+    if len(partners) <= MOST_PARTNERS:
+        return partners
+    key = hashlib.md5(f"{name}|{ex.text(parent)}".encode()).digest()
+    start = int.from_bytes(key[:8], "big") % len(partners)
+    return [partners[(start + i) % len(partners)] for i in range(MOST_PARTNERS)]
 
 
 def offspring(
     parents: Sequence[ex.Expr], partners: Sequence[ex.Expr], functions: Registry, max_depth: int
-) -> list[ex.Expr]:
-    """Every one-step extension of the parents within the depth limit."""
-    grown: list[ex.Expr] = []
+) -> Iterator[ex.Expr]:
+    """One-step extensions of the parents within the depth limit, each once.
+
+    Every pair is made up to MOST_PARTNERS partners; beyond, each parent meets that many, so the
+    number grows with the parents and not with their square.
+    """
+    seen: set[ex.Expr] = set()
     for name, function in functions.items():
         for parent in parents:
             if function.arity == 1:
-                grown.append((name, parent))
+                grown = [(name, parent)]
             elif function.arity == 2:
-                for other in partners:
-                    grown += [(name, parent, other), (name, other, parent)]
-    return [e for e in grown if ex.depth(e) <= max_depth and ex.columns(e)]
+                others = _partners_of(parent, name, partners)
+                grown = [e for o in others for e in ((name, parent, o), (name, o, parent))]
+            else:
+                continue
+            for e in grown:
+                if e not in seen and ex.depth(e) <= max_depth and ex.columns(e):
+                    seen.add(e)
+                    yield e
 
 
 def reach_limit(functions: Registry, max_depth: int) -> int:
@@ -111,10 +139,9 @@ def search_on(
     terminals: list[ex.Expr] = list(features)
     partners: list[ex.Expr] = [*terminals, *constant_table(settings)]
     first = [*seeds, *terminals]
-    room = max(settings.population_size - len(first), 0)
     first += _pick(
         offspring(terminals, partners, functions, settings.max_depth),
-        room,
+        settings.population_size,
         f"{settings.random_state}|0",
     )
     candidates = list(dict.fromkeys(first))
@@ -127,8 +154,11 @@ def search_on(
             break
         rounds = number + 1
         seen.update(candidates)
-        scores = score_on(series, candidates, target, functions, scored)
-        top = rank_expressions(scores, settings.parsimony_coefficient, settings.beam).collect()
+        ranked = settings.metric == "rank_ic"
+        scores = score_on(series, candidates, target, functions, scored, with_rank_ic=ranked)
+        top = rank_expressions(
+            scores, settings.parsimony_coefficient, settings.beam, settings.metric, settings.least_rows
+        ).collect()
         for row in top:
             history.append(
                 (number, row["id"], row["expression"], row["size"], row["mse"], row["r2"],
@@ -136,11 +166,11 @@ def search_on(
             )
             survivors.append((row["fitness"], candidates[row["id"]], (row["mse"], row["r2"], row["ic"])))
         survivors = sorted(survivors, key=lambda s: (s[0], ex.text(s[1])))[: settings.beam]
-        if survivors and survivors[0][2][0] <= settings.stopping_criteria:
+        if settings.metric == "mse" and survivors and survivors[0][2][0] <= settings.stopping_criteria:
             break
         parents = [s[1] for s in survivors]
         grown = offspring(parents, [*parents, *partners], functions, settings.max_depth)
-        fresh = [e for e in dict.fromkeys(grown) if e not in seen]
+        fresh = (e for e in grown if e not in seen)
         salt = f"{settings.random_state}|{rounds}"
         candidates = _pick(fresh, settings.population_size, salt)
     if not survivors:
@@ -160,7 +190,10 @@ def search_factors(
     order: Sequence[str] = ORDER,
 ) -> SearchResult:
     series = stored_series(df, functions, settings.max_depth, keys, order)
-    return search_on(series, features, target, functions, settings, seeds)
+    try:
+        return search_on(series, features, target, functions, settings, seeds)
+    finally:
+        series.drop()
 
 
 def stored_series(

@@ -83,6 +83,31 @@ def scan_bars(
     return scan(spark, stock_path(root, SOURCES[source]), schema)
 
 
+# Columns that order the rows of an instrument; ticks share moments, so their sequence number decides.
+BAR_ORDERS = {"day": ("date",), "minute": ("datetime",), "tick": ("datetime", "seq")}
+
+
+def bar_order(bars: DataFrame, source: str, tie_break: str | None = None) -> tuple[str, ...]:
+    """The order of a source's rows within an instrument; fails when the bars cannot have it."""
+    if source not in BAR_ORDERS:
+        raise ValueError(f"unknown bar source {source!r}; use one of {sorted(BAR_ORDERS)}")
+    order = BAR_ORDERS[source]
+    if tie_break:
+        order = (order[0], tie_break)
+    missing = [c for c in order if c not in bars.columns]
+    if missing:
+        raise ValueError(f"{source} bars need the columns {', '.join(missing)} for a unique order")
+    return order
+
+
+def require_unique_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Fail when two rows of an instrument have the same place in the order."""
+    again = df.groupBy(*keys, *order).count().filter(F.col("count") > 1)
+    if not again.isEmpty():
+        raise ValueError(f"rows are not unique by {', '.join([*keys, *order])}; name a tie-break column")
+    return df
+
+
 def scan_factors(
     spark: SparkSession, root: str, name: str, schema: StructType | None = None
 ) -> DataFrame:
