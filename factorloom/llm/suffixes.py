@@ -43,8 +43,8 @@ PERIOD = 21
 COVER = np.array([0, 1, 4, 14, 16])  # any difference modulo 21 is one of two members
 LENGTH = 50
 WORD = 8
-SAMPLE_BUCKETS = 8  # rounds over the sample
-SUFFIX_BUCKETS = 2  # rounds over the suffixes left
+SAMPLE_BUCKETS = 5  # rounds over the sample
+SUFFIX_BUCKETS = 1  # rounds over the suffixes left
 GROUP_ENTRIES = 1_500_000  # of one group, sorted in one task
 LAST_ID = 2**63 - 1
 
@@ -61,10 +61,14 @@ def string_hashes(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray
     return words.mixed(found)
 
 
-def sample_places(size: int, window: int) -> np.ndarray:
-    """Sampled positions of a text of ``size`` bytes."""
-    places = (np.arange(0, size, PERIOD)[:, None] + COVER[None, :]).ravel()
-    return places[places <= size - window]
+def sample_places(sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and sampled position of each sampled string of texts of ``sizes`` bytes."""
+    window = length - PERIOD + 1
+    most = int(sizes.max()) if len(sizes) else 0
+    pattern = (np.arange(0, most + 1, PERIOD)[:, None] + COVER[None, :]).ravel()
+    counts = np.where(sizes >= length, np.searchsorted(pattern, sizes - window, "right"), 0)
+    owner = np.repeat(np.arange(len(sizes)), counts)
+    return owner, pattern[np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)]
 
 
 def candidate_suffixes(places: np.ndarray, size: int, length: int) -> np.ndarray:
@@ -235,14 +239,10 @@ def _sample_scan(number: int, rounds: int, groups: int, length: int):
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
             for first, last, data, offsets in words.blocks(batch.column("text")):
-                sizes = np.diff(offsets)
-                parts = [sample_places(int(n), window) if n >= length else np.zeros(0, np.int64) for n in sizes]
-                counts = np.array([len(p) for p in parts])
-                owner = np.repeat(np.arange(len(parts)), counts)
+                owner, places = sample_places(np.diff(offsets), length)
                 if not len(owner):
                     continue
-                places = np.concatenate(parts)
-                hashes = string_hashes(data, places + np.repeat(offsets[:-1], counts), window)
+                hashes = string_hashes(data, places + offsets[owner], window)
                 mine = in_round(hashes, number, rounds)
                 rows = _sample_rows(
                     hashes[mine], owner[mine], places[mine], ids[first:last], keys[first:last], groups
