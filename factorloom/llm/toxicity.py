@@ -1,6 +1,6 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-A document's features are the hashed words it holds. One weight vector is shared by all
+A document's features are the hashed words and beginnings of words it holds. One weight vector is shared by all
 thresholds: P(grade >= k) = sigmoid(score - threshold_k), with ordered thresholds. The expected severity is the
 sum of these probabilities, from 0 to the highest grade.
 
@@ -28,7 +28,9 @@ from factorloom.llm.labelled import labelled_sample
 
 SAMPLE_ROWS = 20_000
 BITS = 19
-REJECT = 0.5
+BEGINNINGS = (4, 5)  # bytes of a word that count as a feature too, so forms of a word share weights
+REJECT = 0.3  # chance of any grade above 0 from which a document goes
+LEAST_RATIO = 10.0
 
 
 @dataclass(frozen=True)
@@ -38,18 +40,26 @@ class SeverityModel:
 
     def at_least(self, scores: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1.., a column each."""
-        return 1 / (1 + np.exp(self.thresholds[None, :] - scores[:, None]))
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -700, 700)))
 
     def severity(self, scores: np.ndarray) -> np.ndarray:
         return self.at_least(scores).sum(axis=1)
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of each distinct hashed word, by row."""
+    """Row and number of each distinct hashed word, and word beginning of some bytes, by row."""
     rows, numbers = [], []
     for first, _, data, offsets in words.blocks(column):
-        owner, found = words.word_hashes(data, offsets, words.SIGNS)
-        pairs = np.unique((owner.astype(np.uint64) << np.uint64(bits)) | (found >> np.uint64(64 - bits)))
+        starts, ends = words.bounds(data, offsets, words.SIGNS)
+        owner = words.owners(starts, offsets)
+        found, of = [words.hashes(data, starts, ends, fold=True)], [owner]
+        for size in BEGINNINGS:
+            longer = ends - starts > size
+            head = words.hashes(data, starts[longer], starts[longer] + size, fold=True)
+            found.append(words.mixed(head + np.uint64(size)))
+            of.append(owner[longer])
+        key = np.concatenate(of).astype(np.uint64) << np.uint64(bits)
+        pairs = np.unique(key | (np.concatenate(found) >> np.uint64(64 - bits)))
         rows.append((pairs >> np.uint64(bits)).astype(np.int64) + first)
         numbers.append((pairs & np.uint64(2**bits - 1)).astype(np.int64))
     if not rows:
@@ -70,22 +80,42 @@ def severity_grades(rows: np.ndarray, numbers: np.ndarray, toxic: np.ndarray, bi
     return np.where(toxic == 0, 0, np.where(share > median, 2, 1))
 
 
+def telling(rows: np.ndarray, numbers: np.ndarray, grades: np.ndarray, least: float, bits: int) -> np.ndarray:
+    """Features whose presence depends on the grade being above 0: likelihood ratio of at least ``least``."""
+    size, above = 2**bits, grades > 0
+    n, m = len(grades), int(above.sum())
+    held = np.bincount(numbers, minlength=size).astype(float)
+    both = np.bincount(numbers[above[rows]], minlength=size).astype(float)
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.maximum(seen, 1e-12) / np.maximum(expected, 1e-12))
+
+    ratio = 2 * (
+        part(both, held * m / n) + part(held - both, held * (n - m) / n)
+        + part(m - both, (n - held) * m / n) + part(n - m - held + both, (n - held) * (n - m) / n)
+    )
+    return (ratio >= least) & (held >= 3)
+
+
 def fit(
     rows: np.ndarray,
     numbers: np.ndarray,
     grades: np.ndarray,
     bits: int = BITS,
-    steps: int = 80,
-    rate: float = 0.2,
-    penalty: float = 2e-4,
+    steps: int = 200,
+    rate: float = 0.1,
+    penalty: float = 1e-4,
+    least: float = LEAST_RATIO,
 ) -> SeverityModel:
-    """Maximum likelihood with a quadratic penalty, by Adam on all rows.
+    """Maximum likelihood with a quadratic penalty, by Adam on all rows, over the telling features.
 
     Thresholds are learned as the first one and positive gaps, which keeps them ordered.
     """
     top = int(grades.max()) if len(grades) else 0
     if top < 1 or not (grades == 0).any():
         return SeverityModel(np.zeros(2**bits, np.float32), np.array([700.0]))
+    chosen = telling(rows, numbers, grades, least, bits)[numbers]
+    rows, numbers = rows[chosen], numbers[chosen]
     kept, place = np.unique(numbers, return_inverse=True)
     n = len(grades)
     weights = np.zeros(len(kept))
@@ -139,10 +169,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, learn=Non
         numbers_of, "label int, numbers binary"
     )
     table = found.toArrow().sort_by([("numbers", "ascending"), ("label", "ascending")])
-    each = [np.frombuffer(x, "<i4") for x in table["numbers"].to_pylist()]
-    owner = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    numbers = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+    raw = table["numbers"].to_pylist()
+    owner = np.repeat(np.arange(len(raw), dtype=np.int32), [len(x) // 4 for x in raw])
+    numbers = np.frombuffer(b"".join(raw), "<i4")
     toxic = np.asarray(table["label"].to_pylist(), dtype=np.int64)
+    del table, raw
     return fit(owner, numbers, severity_grades(owner, numbers, toxic))
 
 
