@@ -3,7 +3,7 @@
 Every item points to the smallest item it knows. A round lets each item learn the smallest
 pointer among its neighbours and then follows pointers twice, so chains shrink quickly. Each
 round is written to the shared folder, which keeps plans short and survives lost executors.
-Only one number, how many pointers changed, comes back to the driver.
+Only one number, how many pointers changed, comes back to the driver, with the write.
 
 Cases: an item without links is not part of the result; a link of an item with itself changes
 nothing; repeated links count once; null ends are dropped.
@@ -11,7 +11,7 @@ nothing; repeated links count once; null ends are dropped.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from factorloom.session import materialize
@@ -28,15 +28,15 @@ def connected(links: DataFrame, one: str, other: str) -> DataFrame:
     both, state = materialize(both, "links"), materialize(state, "parents")
     for _ in range(ROUNDS):
         told = both.join(state.withColumnRenamed("a", "x"), both["b"] == F.col("x"))
+        told = told.groupBy("a").agg(F.min("p").alias("q"))
         # what an item learns is also told to its parent, so whole trees move at once
-        told = told.select("a", F.col("p").alias("q"))
         learned = told.join(state, "a").filter("q < p")
-        offers = learned.select("a", "q").union(learned.select(F.col("p").alias("a"), "q"))
-        offers = offers.groupBy("a").agg(F.min("q").alias("q"))
+        ends = F.explode(F.array("a", "p")).alias("a")
+        offers = learned.select(ends, "q").groupBy("a").agg(F.min("q").alias("q"))
         moved = state.join(offers, "a", "left").select("a", F.least("p", F.coalesce("q", "p")).alias("p"), "q")
-        moved = materialize(moved, "moved")
-        changed = moved.filter(F.col("q").isNotNull()).count()
-        if not changed:
+        seen = Observation()
+        moved = materialize(moved.observe(seen, F.count("q").alias("changed")), "moved")
+        if not seen.get["changed"]:
             return state.withColumnsRenamed({"a": "item", "p": "component"})
         up = moved.select(F.col("a").alias("x"), F.col("p").alias("y"))
         jumped = moved.drop("q").join(up, F.col("p") == F.col("x"), "left")

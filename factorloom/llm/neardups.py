@@ -14,7 +14,8 @@ compared with all others; centres have then met everyone and leave. Lists whose
 connected already are done, which ends a list of thousands of near copies after one round; only members outside a
 list's largest component have to be centres. For documents of lists
 still open after that (unlike ones around a common passage), lists are made anew from whole sets: of the
-shingles in order of rarity, the first 15 % and one more must hold a shared one, and a rare shingle has few owners. The
+shingles in order of rarity, the first 15 % and one more must hold a shared one, and a rare shingle has few owners. A
+document meets a large family there only if all the family's shingles together cover enough of it. The
 rounds go on until no list is left, so no pair is lost.
 
 Pairs pass the estimate from the union's sketch, then the full sets decide. Each document is first
@@ -41,6 +42,7 @@ K = 64
 KEYED = 48
 RUN = 3
 SMALL = 6  # values of a set whose runs of two count too
+LONGEST = 3  # lists of a document that the first round of centres walks
 CENTRES = 512  # members of a long list that meet all others in one round
 SHORT = 16  # members of a list that are all compared with each other
 LEAST_SHARED = 0.58  # of the union's sketch: six standard deviations below 0.85
@@ -114,20 +116,43 @@ def _pairs_of_short(members: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_may_be_similar(percent)).select("a", "b").filter("a <> b").distinct()
 
 
-def _stars(members: DataFrame, centres: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _stars(
+    members: DataFrame, centres: int, percent: int, allowed: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Pairs of each list's centres with its members, and the centres: one of each of ``centres`` salts.
 
-    Only members outside the list's largest component need to meet the others.
+    Only members outside the list's largest component need to meet the others. With ``allowed``, a centre
+    meets members of a large family (``family``) only if the family's shingles cover enough of it.
     """
     salt = F.pmod(F.xxhash64("id", "key"), F.lit(centres))
     chosen = members.filter("outside").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n", "u")).alias("c"))
     chosen = chosen.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("n_a"), F.col("c.u").alias("u_a"))
     chosen = store(chosen, "centres")
-    others = members.select("key", "id", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
-    pairs = others.join(chosen, "key").filter(F.col("id") != F.col("c")).filter(_may_be_similar(percent))
+    others = members.withColumnsRenamed({"n": "n_b", "u": "u_b"}).drop("size", "outside")
+    if allowed is None:
+        pairs = others.join(chosen, "key")
+    else:
+        families = chosen.join(allowed.withColumnRenamed("id", "c"), "c")
+        pairs = others.filter("family is not null").join(families, ["key", "family"]).drop("family")
+        single = others.filter("family is null").drop("family").join(chosen, "key")
+        pairs = pairs.unionByName(single)
+    pairs = pairs.filter(F.col("id") != F.col("c")).filter(_may_be_similar(percent))
     return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), chosen
 
 
+def _covered(values: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
+    """(id, family): documents of which a large family's shingles, all together, cover ``percent``.
+
+    No member of another family can be similar to the document.
+    """
+    own = owners.select("id", F.col("family").alias("mine"))
+    union = values.join(owners.filter("family is not null").select("id", "family"), "id")
+    union = union.select("family", "key").distinct()
+    shared = values.join(union, "key").groupBy("id", "n", "family").agg(F.count(F.lit(1)).alias("shared"))
+    shared = shared.filter(F.col("shared") * 100 >= F.col("n") * percent).join(own, "id")
+    return shared.filter(~F.col("mine").eqNullSafe(F.col("family"))).select("id", "family")
+
+
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
     """Pairs whose sketches allow the similarity, with the shared part of the union's sketch."""
     one = classes.select(F.col("id").alias("a"), F.col("sketch").alias("s_a"))
@@ -159,8 +184,8 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(alike(F.col("v_a"), F.col("v_b"))).select("a", "b")
 
 
-def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Lists (key, id, n, u, size) of the rarest shingles of the documents in ``left``.
+def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (key, id, n, u, size) of the rarest shingles of the documents in ``left``, and all their shingles.
 
     Similar sets share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each, in any common
     order. Shingles of one document only are left out, but counted: ``u``. A member that
@@ -192,7 +217,7 @@ def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     union = F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a"))
     fit = fit.filter((F.col("n_a") - F.col("u_a")) * 100 >= union * percent)
     lists = fit.select("key", "id", F.col("n_a").alias("n"), F.col("u_a").alias("u"))
-    return _sized(lists)
+    return _sized(lists), values
 
 
 def _sized(lists: DataFrame) -> DataFrame:
@@ -209,20 +234,26 @@ class _Links:
         self.parts = spark.createDataFrame([], "item bigint, component bigint")
 
     def add(self, more: DataFrame) -> None:
-        if more.isEmpty():
+        """Join components by new links, as a graph of components: only what changes is walked."""
+        links = store(self.apart(more, keep=True), "new")
+        if links.isEmpty():
             return
-        # what is connected already is as good as a link to its component
-        known = self.parts.select(F.col("item").alias("a"), F.col("component").alias("b"))
-        self.parts = connected(known.union(more.select("a", "b")), "a", "b")
+        joined = connected(links, "c_a", "c_b")
+        joined = joined.select(F.col("item").alias("__i"), F.col("component").alias("__c"))
+        items = links.select(F.explode(F.array("a", "b")).alias("item")).distinct()
+        parts = self.named(items, "item", "component").union(self.parts).distinct()
+        parts = parts.join(joined, F.col("component") == F.col("__i"), "left")
+        self.parts = store(parts.select("item", F.coalesce("__c", "component").alias("component")), "parts")
 
     def named(self, rows: DataFrame, item: str, to: str) -> DataFrame:
         parts = self.parts.select(F.col("item").alias("__i"), F.col("component").alias("__c"))
         rows = rows.join(parts, F.col(item) == F.col("__i"), "left")
         return rows.withColumn(to, F.coalesce("__c", item)).drop("__i", "__c")
 
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        rows = self.named(self.named(pairs, "a", "c_a"), "b", "c_b")
-        return rows.filter("c_a <> c_b").drop("c_a", "c_b")
+    def apart(self, pairs: DataFrame, keep: bool = False) -> DataFrame:
+        """Pairs of different components, with these if ``keep``."""
+        rows = self.named(self.named(pairs, "a", "c_a"), "b", "c_b").filter("c_a <> c_b")
+        return rows if keep else rows.drop("c_a", "c_b")
 
 
 def _settle(pairs: DataFrame, classes: DataFrame, sets: DataFrame, found: _Links, percent: int, k: int) -> None:
@@ -231,9 +262,17 @@ def _settle(pairs: DataFrame, classes: DataFrame, sets: DataFrame, found: _Links
     if pairs.isEmpty():
         return
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct(F.col("shared") / F.col("of"), -F.col("a"))).alias("a"))
-    found.add(store(_similar(best, sets, percent), "best"))
+    sure = store(_similar(best, sets, percent).select("a", "b"), "best")
+    # what two best partners connect needs no test: an item's first partner, or that one's
+    up = sure.select(F.col("b").alias("x"), F.col("a").alias("y"))
+    near = up.join(up.select(F.col("x").alias("y"), F.col("y").alias("z")), "y", "left")
+    near = near.select("x", F.coalesce("z", "y").alias("top"))
     rest = pairs.join(best, ["a", "b"], "left_anti").select("a", "b")
-    found.add(store(_similar(found.apart(rest), sets, percent), "rest"))
+    for end in "ab":
+        top = near.select(F.col("x").alias(end), F.col("top").alias(f"top_{end}"))
+        rest = rest.join(top, end, "left").withColumn(f"top_{end}", F.coalesce(f"top_{end}", end))
+    rest = rest.filter("top_a <> top_b").select("a", "b")
+    found.add(sure.union(store(_similar(rest, sets, percent), "rest")))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
@@ -273,9 +312,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         rows = rows.withColumn("outside", F.col("part") != F.col("most")).drop("part", "most")
         return store(rows, "open")
 
-    def star(lists: DataFrame, centres: int) -> DataFrame:
+    def star(lists: DataFrame, centres: int, allowed: DataFrame | None = None) -> DataFrame:
         """Compare centres with their lists; what is left of the lists."""
-        pairs, chosen = _stars(lists, centres, percent)
+        pairs, chosen = _stars(lists, centres, percent, allowed)
         _settle(pairs, classes, sets, found, percent, k)
         met = chosen.select("key", F.col("c").alias("id"))
         return still_open(lists.join(met, ["key", "id"], "left_anti"))
@@ -283,13 +322,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     meet(members)
     left = still_open(members.filter(F.col("size") > SHORT))
     if not left.isEmpty():
-        left = star(left, 1)
+        # a few of the longest lists of each document are enough to gather large families
+        place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "key"))
+        star(left.withColumn("place", place).filter(F.col("place") <= LONGEST).drop("place"), 1)
+        left = still_open(left)
     if not left.isEmpty():
-        lists = _rare_lists(left, sets, percent)
+        lists, values = _rare_lists(left, sets, percent)
         meet(lists)
-        left = still_open(lists.filter(F.col("size") > SHORT))
+        parts = found.named(values.select("id").distinct(), "id", "part")
+        large = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHORT)
+        owners = parts.join(large.select("part", F.col("part").alias("family")), "part", "left").drop("part")
+        owners = store(owners, "families")
+        allowed = store(_covered(values, owners, percent), "covered")
+        left = still_open(lists.filter(F.col("size") > SHORT).join(owners, "id"))
         while not left.isEmpty():
-            left = star(left, CENTRES)
+            left = star(left, CENTRES, allowed)
 
     classes = found.named(classes.drop("sketch"), "id", "part")
     rows = sketched.drop("sketch").join(
