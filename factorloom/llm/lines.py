@@ -320,8 +320,9 @@ LINE_KEY = ["doc_id", "key", "line"]
 
 def _verified(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Lines of ``pairs`` whose whole set is similar to the other's."""
-    pairs = pairs.drop("kind", "r").distinct()
-    others = pairs.select(*[F.col(f"other_{c}").alias(n) for c, n in zip(("id", "key", "line"), LINE_KEY)])
+    names = [f"other_{c}" for c in ("id", "key", "line")]
+    pairs = store(pairs.groupBy(*LINE_KEY, *names).agg(F.count(F.lit(1)).alias("lists")), "pairs")
+    others = pairs.select(*[F.col(c).alias(n) for c, n in zip(names, LINE_KEY)])
     needed = pairs.select(*LINE_KEY).union(others).distinct()
     needed = needed.groupBy("doc_id", "key").agg(F.collect_list("line").alias("wanted"))
     texts = keyed.join(needed, ["doc_id", "key"])
@@ -337,10 +338,18 @@ def _verified(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             found.append(100 * common >= percent * (len(a) + len(b) - common))
         return pa.array(found, pa.bool_())
 
-    second = sets.select(*[F.col(n).alias(f"other_{c}") for c, n in zip(("id", "key", "line"), LINE_KEY)],
-                         F.col("tokens").alias("others"))
-    rows = pairs.join(sets, LINE_KEY).join(second, ["other_id", "other_key", "other_line"])
-    return rows.filter(alike(F.col("tokens"), F.col("others"))).select(*LINE_KEY).distinct()
+    second = sets.select(*[F.col(n).alias(c) for c, n in zip(names, LINE_KEY)], F.col("tokens").alias("others"))
+
+    def hold(chosen: DataFrame) -> DataFrame:
+        rows = chosen.join(sets, LINE_KEY).join(second, names)
+        return store(rows.filter(alike(F.col("tokens"), F.col("others"))).select(*LINE_KEY).distinct(), "alike")
+
+    # the partner met in most lists first; other partners only of lines that it does not settle
+    best = F.max_by(F.struct(*names), F.struct("lists", *names)).alias("b")
+    first = pairs.groupBy(*LINE_KEY).agg(best).select(*LINE_KEY, "b.*")
+    settled = hold(first)
+    rest = pairs.drop("lists").join(first, [*LINE_KEY, *names], "left_anti").join(settled, LINE_KEY, "left_anti")
+    return settled.union(hold(rest))
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
