@@ -24,7 +24,7 @@ def test_one_row_formula_is_not_ranked(moves):
     functions = reg.default_registry((3,)) | reg.registry([momentum_function(59)])
     exprs = [("ts_momentum_59", "other"), "other"]
     scores = scoring.score_expressions(moves, exprs, "y", functions)
-    assert sorted(r["rows"] for r in scores.collect()) == [2, 60]
+    assert sorted(r["rows"] for r in scores.collect()) == [1, 60]  # the other window starts at 0
     assert [r["expression"] for r in scoring.rank_expressions(scores).collect()] == ["other"]
     assert len(scoring.rank_expressions(scores, least_rows=0.0).collect()) == 2
 
