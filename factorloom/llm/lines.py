@@ -114,9 +114,10 @@ def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> lis
     line, found = line_words(data, offsets, starts, owner)
     if not len(line):
         return []
-    # rarest first; equal words of a line come together
-    rank = (np.minimum(counts[_bucket(found)], 2**24 - 1).astype(U64) << U64(40)) | (found >> U64(24))
-    order = np.lexsort((found, rank, line)) if len(found) < 1000 else _by_line(rank, line)
+    # rarest first, then by hash, so equal words of a line come together
+    order = np.argsort(found)
+    order = order[np.argsort(counts[_bucket(found[order])], kind="stable")]
+    order = order[np.argsort(line[order], kind="stable")]
     line, found = line[order], found[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (found[1:] != found[:-1])
@@ -164,11 +165,6 @@ def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> lis
     return rows
 
 
-def _by_line(rank: np.ndarray, line: np.ndarray) -> np.ndarray:
-    order = np.argsort(rank, kind="stable")
-    return order[np.argsort(line[order], kind="stable")]
-
-
 def _spread_places(heads: np.ndarray, size: int) -> np.ndarray:
     return spread(heads, heads, size)
 
