@@ -13,7 +13,8 @@ smaller id. Suffixes matter only through their first ``length`` bytes, and only
    One set of buckets at a time is sorted by a 128-bit fingerprint of 50 bytes; among equal ones the smallest document
    id wins. Equal runs of one block of texts are reduced to those of its smallest document first, so
    a passage that a third of all documents share costs one entry per block.
-3. Runs of starting positions come back per document and are merged to spans.
+3. What the groups find comes back by buckets of documents, packed, and meets the texts there; runs of starting
+   positions are merged to spans.
 
 Ranks of the sample are shared-or-not classes instead of places in a full order: a total order would have to
 be shuffled with every position, and the result does not need it.
@@ -46,6 +47,7 @@ WORD = 8
 SAMPLE_BUCKETS = 5  # rounds over the sample
 SUFFIX_BUCKETS = 1  # rounds over the suffixes left
 GROUP_ENTRIES = 1_500_000  # of one group, sorted in one task
+BUCKET_BYTES = 8_000_000  # of texts that are put together again in one task
 LAST_ID = 2**63 - 1
 
 _SALTS = np.random.default_rng(50).integers(1, 2**63, 16, dtype=np.uint64) | U64(1)
@@ -85,21 +87,64 @@ def candidate_suffixes(places: np.ndarray, size: int, length: int) -> np.ndarray
     return np.column_stack([first[head], last[np.append(head[1:], True)]])
 
 
-def _per_document(docs, ids, keys, values: np.ndarray) -> pa.Table:
-    """One row per document with its values, in order."""
-    pairs, inverse = np.unique(np.column_stack([ids[docs], keys[docs]]), axis=0, return_inverse=True)
-    inverse = inverse.ravel()
-    order = np.lexsort((values[:, 0], inverse))
-    cuts = np.searchsorted(inverse[order], np.arange(len(pairs) + 1))
-    raw = np.ascontiguousarray(values[order].astype("<u4"))
-    parts = [raw[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-    return pa.table(
-        {"doc_id": pa.array(pairs[:, 0], pa.int64()), "key": pa.array(pairs[:, 1], pa.int64()),
-         "places": pa.array(parts, pa.binary())}
-    )
+FOUND = "bucket int, doc_ids binary, doc_keys binary, counts binary, places binary"
+FOUND_KINDS = pa.schema([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("doc_ids", "doc_keys", "counts", "places")]])
+
+
+def _per_bucket(docs, ids, keys, values: np.ndarray, buckets: int) -> pa.Table:
+    """One row for each bucket of documents: its documents with their values, in order."""
+    own_ids, own_keys = ids[docs], keys[docs]
+    bucket = own_keys % buckets  # never negative, like pmod
+    order = np.lexsort((values[:, 0], own_ids, own_keys, bucket))
+    own_ids, own_keys, bucket, values = own_ids[order], own_keys[order], bucket[order], values[order]
+    rows = []
+    for part in np.split(np.arange(len(order)), np.flatnonzero(np.diff(bucket)) + 1):
+        if len(part):
+            heads = heads_of(own_keys[part], own_ids[part])
+            counts = np.diff(np.append(heads, len(part)))
+            first = part[heads]
+            rows.append((
+                int(bucket[part[0]]), packed(own_ids[first], "<i8"), packed(own_keys[first], "<i8"),
+                packed(counts, "<u4"), packed(values[part], "<u4"),
+            ))
+    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(FOUND_KINDS.types)]
+    return pa.Table.from_arrays(columns, schema=FOUND_KINDS)
+
+
+class _Places:
+    """Values per document of one bucket, put together from all groups."""
+
+    def __init__(self, found: pa.Table, width: int):
+        ids, keys = joined(found, "doc_ids", "<i8"), joined(found, "doc_keys", "<i8")
+        values = joined(found, "places", "<u4").astype(np.int64).reshape(-1, width)
+        owner = np.repeat(np.arange(len(ids)), joined(found, "counts", "<u4"))
+        ids, keys = ids[owner], keys[owner]
+        order = np.lexsort((values[:, 0], ids, keys))
+        self.values, ids, keys = values[order], ids[order], keys[order]
+        heads = heads_of(keys, ids) if len(order) else np.zeros(0, np.int64)
+        ends = np.append(heads[1:], len(order))
+        names = zip(ids[heads].tolist(), keys[heads].tolist(), strict=True)
+        self.of = dict(zip(names, zip(heads.tolist(), ends.tolist(), strict=True), strict=True))
+        self.none = np.zeros((0, width), np.int64)
+
+    def get(self, doc_id: int, key: int) -> np.ndarray:
+        where = self.of.get((doc_id, key))
+        return self.none if where is None else self.values[where[0] : where[1]]
+
+
+def _texts(table: pa.Table):
+    """Number, id, key and bytes of each document of a bucket."""
+    ids, keys = table["doc_id"].to_pylist(), table["key"].to_pylist()
+    column = table["text"].combine_chunks()
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    n = 0
+    for part in parts:
+        data, offsets = words.buffers(part)
+        for i in range(len(part)):
+            yield n, ids[n], keys[n], data[offsets[i] : offsets[i + 1]]
+            n += 1
 
 
-FOUND = "doc_id bigint, key bigint, places binary"
 SAMPLE = "r int, hashes binary, known binary, docs binary, places binary, own_docs binary, own_places binary, ids binary, keys binary"
 RUNS = "r int, bytes binary, counts binary, docs binary, starts binary, own_docs binary, own_starts binary, own_counts binary, ids binary, keys binary"
 
@@ -130,8 +175,16 @@ def _sample_rows(hashes, owner, places, ids, keys, groups: int) -> list[tuple]:
     return rows
 
 
-def _rank_sample(table: pa.Table) -> pa.Table:
-    """Sort one group of the sample; the places of strings that lie in two documents."""
+def _rank_sample(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Sort one group of the sample; the places of strings that lie in two documents."""
+        docs, ids, keys, places = _shared_sample(table)
+        return _per_bucket(docs, ids, keys, places[:, None], buckets)
+
+    return run
+
+
+def _shared_sample(table: pa.Table):
     hashes, known = joined(table, "hashes", "<u8"), joined(table, "known", "u1")
     ids, keys = joined(table, "ids", "<i8"), joined(table, "keys", "<i8")
     docs, places = numbers(table, "docs"), joined(table, "places", "<u4")
@@ -144,7 +197,7 @@ def _rank_sample(table: pa.Table) -> pa.Table:
         docs, places = docs[hit], places[hit]
     docs = np.concatenate([docs, numbers(table, "own_docs")])
     places = np.concatenate([places, joined(table, "own_places", "<u4")])
-    return _per_document(docs, ids, keys, places[:, None])
+    return docs, ids, keys, places
 
 
 def smallest_words(data: np.ndarray, length: int) -> np.ndarray:
@@ -195,7 +248,7 @@ def _run_rows(data, at, owner, starts, ids, keys, length, number, rounds, groups
     return rows
 
 
-def _sort_runs(length: int):
+def _sort_runs(length: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         """Sort the suffixes of one group; runs of those that start in a smaller document too."""
         data, counts = joined(table, "bytes", "u1"), joined(table, "counts", "<u4").astype(np.int64)
@@ -227,7 +280,7 @@ def _sort_runs(length: int):
             found = np.column_stack([starts[run_of[hit]] + within[hit], sizes])
         own = np.column_stack([joined(table, "own_starts", "<u4"), joined(table, "own_counts", "<u4")])
         docs = np.concatenate([found_docs, numbers(table, "own_docs")])
-        return _per_document(docs, ids, keys, np.concatenate([found, own]))
+        return _per_bucket(docs, ids, keys, np.concatenate([found, own]), buckets)
 
     return run
 
@@ -275,48 +328,36 @@ def _suffix_scan(number: int, rounds: int, groups: int, length: int):
 def _regions(length: int):
     """Texts of the suffixes that are left: one row per run."""
 
-    def run(batches):
-        for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            found = [[], [], []]
-            data, offsets = words.buffers(batch.column("text"))
-            for i, raw in enumerate(batch.column("flags").to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                places = np.sort(np.concatenate([np.frombuffer(part, "<u4") for part in raw])).astype(np.int64)
-                for a, b in candidate_suffixes(places, len(text), length).tolist():
-                    found[0].append(i)
-                    found[1].append(a)
-                    found[2].append(text[a : b + length - 1].tobytes())
-            take = pa.array(found[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(take), keys.take(take), pa.array(found[1], pa.int64()), words.packed(found[2])],
-                ["doc_id", "key", "start", "bytes"],
-            )
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        places = _Places(found, 1)
+        rows = [[], [], [], []]
+        for _, doc_id, key, text in _texts(texts):
+            for a, b in candidate_suffixes(places.get(doc_id, key)[:, 0], len(text), length).tolist():
+                for column, value in zip(rows, (doc_id, key, a, text[a : b + length - 1].tobytes()), strict=True):
+                    column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        columns = [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "key", "start", "bytes"])
 
     return run
 
 
 def _kept(length: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = words.buffers(batch.column("text"))
-            removed, spans, kept = [], [], []
-            for i, raw in enumerate(batch.column("starts").to_pylist()):
-                text = data[offsets[i] : offsets[i + 1]]
-                change = np.zeros(len(text) + 1, np.int32)
-                for part in raw or []:
-                    runs = np.frombuffer(part, "<u4").astype(np.int64).reshape(-1, 2)
-                    np.add.at(change, runs[:, 0], 1)
-                    np.add.at(change, runs[:, 0] + runs[:, 1] + length - 1, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                removed.append(int(gone.sum()))
-                spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
-                kept.append(text[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__doc_id"), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
-                 pa.array(spans, pa.int64()), words.packed(kept)],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        places = _Places(found, 2)
+        sizes, removed, spans, kept = [], [], [], []
+        for _, doc_id, key, text in _texts(texts):
+            runs = places.get(doc_id, key)
+            change = np.bincount(runs[:, 0], minlength=len(text) + 1)
+            change -= np.bincount(runs[:, 0] + runs[:, 1] + length - 1, minlength=len(text) + 1)
+            gone = np.cumsum(change[:-1]) > 0
+            sizes.append(len(text))
+            removed.append(int(gone.sum()))
+            spans.append(int((gone[1:] & ~gone[:-1]).sum() + gone[:1].sum()))
+            kept.append(text[~gone].tobytes())
+        numbers_ = [pa.array(x, pa.int64()) for x in (sizes, removed, spans)]
+        columns = [texts["own_id"].combine_chunks(), *numbers_, words.packed(kept)]
+        return pa.Table.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
@@ -336,34 +377,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < PERIOD + WORD:
         raise ValueError(f"strings of at least {PERIOD + WORD} bytes are needed")
     text = F.coalesce("text", F.lit("")).cast("binary")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("__doc_id"), text.alias("text")).withColumns(
-        {
-            "doc_id": F.coalesce("__doc_id", F.lit(LAST_ID)),
-            "key": F.xxhash64("text"),
-        }
-    )
-    rows = keyed.select("doc_id", "key", "text")
+    own = F.col("doc_id").cast("long")
+    rows = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(LAST_ID)).alias("doc_id"), text.alias("text"))
+    rows = rows.withColumn("key", F.xxhash64("text"))
     partitions = spark.sparkContext.defaultParallelism
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(partitions, math.ceil(total / BUCKET_BYTES))
+    # equal texts in many documents share a key, so the id takes part in the bucket
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "key"))
+    texts = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+
     entries = total * len(COVER) / PERIOD / SAMPLE_BUCKETS
     groups = max(partitions, math.ceil(entries / GROUP_ENTRIES))
-    flagged = _rounds(rows, _sample_scan, SAMPLE, _rank_sample, SAMPLE_BUCKETS, groups, length, "cover")
-    flags = flagged.groupBy("doc_id", "key").agg(F.collect_list("places").alias("flags"))
-
-    same = rows.dropDuplicates(["doc_id", "key"]) if _ids_repeat(keyed) else rows
-    texts = same.join(flags, ["doc_id", "key"])
+    sampled = rows.select("doc_id", "key", "text")
+    shared = _rounds(sampled, _sample_scan, SAMPLE, _rank_sample(buckets), SAMPLE_BUCKETS, groups, length, "cover")
+    regions = texts.select("bucket", "doc_id", "key", "text").groupBy("bucket").cogroup(shared.groupBy("bucket"))
     regions = store(
-        texts.mapInArrow(_regions(length), "doc_id bigint, key bigint, start bigint, bytes binary"), "regions"
+        regions.applyInArrow(_regions(length), "doc_id bigint, key bigint, start bigint, bytes binary"), "regions"
     )
     total = regions.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     groups = max(partitions, math.ceil(total / SUFFIX_BUCKETS / GROUP_ENTRIES))
-    found = _rounds(regions, _suffix_scan, RUNS, _sort_runs(length), SUFFIX_BUCKETS, groups, length, "suffixes")
-    starts = found.groupBy("doc_id", "key").agg(F.collect_list("places").alias("starts"))
-    whole = keyed.join(starts, ["doc_id", "key"], "left").select("__doc_id", "text", "starts")
-    return whole.mapInArrow(
+    sort = _sort_runs(length, buckets)
+    found = _rounds(regions, _suffix_scan, RUNS, sort, SUFFIX_BUCKETS, groups, length, "suffixes")
+    return texts.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
         _kept(length), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
     )
-
-
-def _ids_repeat(keyed: DataFrame) -> bool:
-    return not keyed.groupBy("doc_id").count().filter("count > 1").isEmpty()
