@@ -172,7 +172,7 @@ def _(spark, folder):
 @query("write_trial_history")
 def _(spark, folder):
     path = scratch_path(spark, "trials")
-    mining.write_trial_history(mining.trial_table(spark, small_trials(spark, folder).history), path)
+    mining.write_trial_history(mining.trial_table(spark, built_in_trials(spark, folder).history), path)
     return spark.read.option("header", True).schema(mining.TRIALS).csv(path)
 
 
@@ -716,41 +716,20 @@ def _(spark, folder):
     return rounded(table.select("expression", "size", "mse", "ic", "fitness"), 4)
 
 
-SMALL_SEARCH = search.SearchSettings(
-    population_size=40, generations=3, beam=5, max_depth=3, max_samples=1.0
-)
-
-
 @query("search_factors")
 def _(spark, folder):
+    """A search with the built-in final setting."""
     prepared = mining.prepare(clean(spark, folder), FEATURES)
-    config = mining.MiningConfig(window_sizes=(3, 10), search=SMALL_SEARCH)
-    return rounded(search.history_table(spark, mining.train(prepared, config).result))
+    return rounded(search.history_table(spark, mining.train(prepared).result))
 
 
-def small_trials(spark: SparkSession, folder: str) -> mining.TrialOutcome:
-    """The built-in trial settings with few candidates and rounds."""
-    prepared = mining.prepare(clean(spark, folder), FEATURES)
-    configs = [
-        mining.MiningConfig(
-            window_sizes=c.window_sizes,
-            search=search.SearchSettings(
-                population_size=20,
-                generations=2,
-                beam=4,
-                max_depth=2,
-                max_samples=1.0,
-                parsimony_coefficient=c.search.parsimony_coefficient,
-            ),
-        )
-        for c in mining.TRIAL_CONFIGS
-    ]
-    return mining.trial_configs(prepared, configs)
+def built_in_trials(spark: SparkSession, folder: str) -> mining.TrialOutcome:
+    return mining.trial_configs(mining.prepare(clean(spark, folder), FEATURES))
 
 
 @query("trial_configs")
 def _(spark, folder):
-    return rounded(mining.trial_table(spark, small_trials(spark, folder).history))
+    return rounded(mining.trial_table(spark, built_in_trials(spark, folder).history))
 
 
 @query("train_final")
@@ -767,8 +746,7 @@ def _(spark, folder):
 
 @query("train_final_search")
 def _(spark, folder):
-    """The same with a search over rolling and math functions."""
+    """The same with the built-in final setting: a search over rolling and math functions."""
     path = scratch_path(spark, "final")
-    config = mining.MiningConfig(window_sizes=(3, 10), search=SMALL_SEARCH)
-    mining.train_final(views.bars(spark, folder), *WHOLE, config, path, features=FEATURES)
+    mining.train_final(views.bars(spark, folder), *WHOLE, path=path, features=FEATURES)
     return rounded(tables.scan(spark, f"{path}/factor_values.parquet"))
