@@ -8,8 +8,8 @@ shuffle it again.
 from __future__ import annotations
 
 import hashlib
-import heapq
-from collections.abc import Iterable, Iterator, Sequence
+import random
+from collections.abc import Callable, Container, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +20,7 @@ from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
 from factorloom.plans.scoring import LEAST_ROWS, rank_expressions, score_on
 
-MOST_PARTNERS = 200  # a parent of a two-argument function meets per round
+MOST_PARTNERS = 200  # a parent of a two-argument function meets in ``offspring``
 HISTORY = "round int, id int, expression string, size int, mse double, r2 double, ic double, fitness double"
 
 
@@ -29,8 +29,8 @@ class SearchSettings:
     """Sizes and limits of a search.
 
     ``population_size`` formulas are scored in each of ``generations`` rounds (in the first, beside seeds and
-    plain columns), and the best ``beam`` breed the next round. Formulas beyond that number are left
-    out by hash. ``max_samples`` is the share of rows scored, so figures of the search are figures of that
+    plain columns), and the best ``beam`` breed the next round. They are drawn uniformly by seed and round from
+    all one-step extensions; in later rounds up to half of them from those of survivors with each other. ``max_samples`` is the share of rows scored, so figures of the search are figures of that
     share. ``metric`` is ``mse``, ``ic`` or ``rank_ic``; formulas with values on less than ``least_rows``
     of the rows are not ranked. ``stopping_criteria`` concerns mse.
     """
@@ -69,16 +69,35 @@ def constant_table(settings: SearchSettings) -> list[float]:
     return [low + (high - low) * i / steps for i in range(settings.constants)]
 
 
-def _pick(candidates: Iterable[ex.Expr], limit: int, salt: str) -> list[ex.Expr]:
-    """At most ``limit`` candidates, chosen by a hash so that a seed repeats its choice.
+def _extensions(
+    parents: Sequence[ex.Expr], partners: Sequence[ex.Expr], functions: Registry, max_depth: int
+) -> tuple[int, Callable[[int], ex.Expr | None]]:
+    """The number of places of (function, parent, partner, side), and what gives the formula of a place.
 
-    Candidates are taken as they come; only ``limit`` of them are held.
+    A place gives None if its formula has no column or has another place too.
     """
-
-    def order(expr: ex.Expr) -> str:
-        return hashlib.md5(f"{salt}|{ex.text(expr)}".encode()).hexdigest()
-
-    return heapq.nsmallest(limit, candidates, key=order)
+    parents = [p for p in dict.fromkeys(parents) if ex.depth(p) < max_depth]
+    partners = [p for p in dict.fromkeys(partners) if ex.depth(p) < max_depth]
+    among_parents, among_partners = set(parents), set(partners)
+    single = [n for n, f in functions.items() if f.arity == 1]
+    double = [n for n, f in functions.items() if f.arity == 2]
+    alone = len(single) * len(parents)
+
+    def at(place: int) -> ex.Expr | None:
+        if place < alone:
+            name, parent = divmod(place, len(parents))
+            grown = (single[name], parents[parent])
+        else:
+            rest, side = divmod(place - alone, 2)
+            rest, other = divmod(rest, len(partners))
+            name, parent = divmod(rest, len(parents))
+            one, two = parents[parent], partners[other]
+            if side and two in among_parents and one in among_partners:
+                return None
+            grown = (double[name], two, one) if side else (double[name], one, two)
+        return grown if ex.columns(grown) else None
+
+    return alone + len(double) * len(parents) * len(partners) * 2, at
 
 
 def _partners_of(parent: ex.Expr, name: str, partners: Sequence[ex.Expr]) -> Sequence[ex.Expr]:
@@ -96,7 +115,8 @@ def offspring(
     """One-step extensions of the parents within the depth limit, each once.
 
     Every pair is made up to MOST_PARTNERS partners; beyond, each parent meets that many, so the
-    number grows with the parents and not with their square.
+    number grows with the parents and not with their square. A search does not use this bound: it
+    takes its candidates by ``draw``, from all pairs.
     """
     seen: set[ex.Expr] = set()
     for name, function in functions.items():
@@ -114,6 +134,37 @@ def offspring(
                     yield e
 
 
+def draw(
+    parents: Sequence[ex.Expr],
+    partners: Sequence[ex.Expr],
+    functions: Registry,
+    max_depth: int,
+    limit: int,
+    salt: str,
+    seen: Container[ex.Expr] = (),
+) -> list[ex.Expr]:
+    """At most ``limit`` of all one-step extensions not seen yet, uniformly; a salt repeats its choice.
+
+    Places are shuffled as they are drawn, so only the places drawn are held and every formula has its chance.
+    """
+    places, at = _extensions(parents, partners, functions, max_depth)
+    chance = random.Random(salt)
+    moved: dict[int, int] = {}
+    found: list[ex.Expr] = []
+    for place in range(places):
+        if len(found) >= limit:
+            break
+        other = chance.randrange(place, places)
+        first = moved.pop(place, place)
+        taken = first if other == place else moved.get(other, other)
+        if other != place:
+            moved[other] = first
+        e = at(taken)
+        if e is not None and e not in seen:
+            found.append(e)
+    return found
+
+
 def reach_limit(functions: Registry, max_depth: int) -> int:
     """The longest lookback any formula of the allowed depth can have."""
     longest = max((getattr(f, "size", 1) - 1 for f in functions.values()), default=0)
@@ -139,10 +190,8 @@ def search_on(
     terminals: list[ex.Expr] = list(features)
     partners: list[ex.Expr] = [*terminals, *constant_table(settings)]
     first = [*seeds, *terminals]
-    first += _pick(
-        offspring(terminals, partners, functions, settings.max_depth),
-        settings.population_size,
-        f"{settings.random_state}|0",
+    first += draw(
+        terminals, partners, functions, settings.max_depth, settings.population_size, f"{settings.random_state}|0"
     )
     candidates = list(dict.fromkeys(first))
     seen: set[ex.Expr] = set()
@@ -169,10 +218,13 @@ def search_on(
         if settings.metric == "mse" and survivors and survivors[0][2][0] <= settings.stopping_criteria:
             break
         parents = [s[1] for s in survivors]
-        grown = offspring(parents, [*parents, *partners], functions, settings.max_depth)
-        fresh = (e for e in grown if e not in seen)
-        salt = f"{settings.random_state}|{rounds}"
-        candidates = _pick(fresh, settings.population_size, salt)
+        salt, room = f"{settings.random_state}|{rounds}", settings.population_size
+        # survivors with each other first: among many columns they would hardly ever be drawn
+        among = draw(parents, parents, functions, settings.max_depth, room // 2, f"{salt}|among", seen)
+        rest = seen.union(among)
+        candidates = among + draw(
+            parents, [*parents, *partners], functions, settings.max_depth, room - len(among), salt, rest
+        )
     if not survivors:
         raise ValueError("no expression could be scored")
     _, best, (best_mse, best_r2, best_ic) = survivors[0]
