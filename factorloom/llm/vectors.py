@@ -11,6 +11,11 @@ only in the first tree (and there the first leaf) where it meets. So the numbers
 table of pairs is written: a leaf returns, for each of its rows, the number of links it is to count and
 the smallest row it is connected with inside the leaf. Components follow from these few links.
 
+Leaves with more than LEAF_ROWS rows are split further by random directions; there the margin is the length a
+pair at the threshold has along a random direction. Where the rows lie too close together for that, the leaf is
+compared block against block, one task for each pair of blocks. A task folds the pairs of each matrix product into counts
+and roots, so its memory depends on LEAF_ROWS alone.
+
 Equal vectors are one class with a multiplicity, so thousands of copies cost one row.
 
 Cases: vectors that are null, empty, zero, of another length than most, or that hold null or
@@ -35,7 +40,10 @@ LEAF_SAMPLE = 128  # rows of the sample in a leaf
 TREES = 8
 SPILL = 0.15  # share of a node's rows, around the median, that go down both sides
 MOST_LEAVES = 4  # of one row in one tree; beyond, only the nearer side is followed
-BLOCK = 2_048
+LEAF_ROWS = 8_192  # a larger leaf is split further, or compared block by block
+MOST_SHARE = 0.8  # of a leaf's rows that may go down one side of a further split
+BLOCK = 1_024  # rows on each side of one matrix product
+TREE = 2**40  # leaf numbers of a tree start at its own multiple
 
 
 @dataclass
@@ -132,9 +140,10 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _roots(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The smallest row connected with each row."""
-    parent = np.arange(n)
+def _join(parent: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The smallest row connected with each row, after more links."""
+    apart = parent[one] != parent[other]
+    one, other = one[apart], other[apart]
     while True:
         a, b = parent[one], parent[other]
         low = np.minimum(a, b)
@@ -150,36 +159,64 @@ def _roots(n: int, one: np.ndarray, other: np.ndarray) -> np.ndarray:
             return parent
 
 
-def _meet_first(leaves: np.ndarray, a: np.ndarray, b: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Leaf numbers of all rows one after the other, and the row of each."""
+    raw = column.to_pylist()
+    own = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+    return np.frombuffer(b"".join(raw), np.int64), own
+
+
+def _by_tree(numbers: np.ndarray, own: np.ndarray, n: int, trees: int) -> np.ndarray:
+    """(row, tree, place): the leaf numbers, filled up with -1."""
+    key = own * trees + numbers // TREE
+    order = np.argsort(key, kind="stable")
+    key, numbers = key[order], numbers[order]
+    place = np.arange(len(key)) - np.searchsorted(key, key, "left")
+    found = np.full((n * trees, int(place.max(initial=0)) + 1), -1, np.int64)
+    found[key, place] = numbers
+    return found.reshape(n, trees, -1)
+
+
+def _meet_first(leaves: np.ndarray, a: np.ndarray, b: np.ndarray, leaf: int) -> np.ndarray:
     """Whether pairs that meet in this leaf meet in no earlier tree, and in no smaller leaf of this one."""
     first = np.ones(len(a), bool)
-    for t in range(tree + 1):
-        for i in range(MOST_LEAVES):
-            mine = leaves[a, t, i]
-            for j in range(MOST_LEAVES):
-                same = (mine == leaves[b, t, j]) & (mine >= 0)
-                first &= ~(same if t < tree else same & (mine < leaf))
+    many = (leaves >= 0).sum(2)
+    for t in range(leaf // TREE + 1):
+        for i in range(leaves.shape[2]):
+            live = np.flatnonzero(first & (many[a, t] > i))
+            if not len(live):
+                break
+            for j in range(leaves.shape[2]):
+                live = live[many[b[live], t] > j]
+                if not len(live):
+                    break
+                mine = leaves[a[live], t, i]
+                same = (mine == leaves[b[live], t, j]) & (mine < leaf)
+                first[live[same]] = False
+                live = live[~same]
     return first
 
 
-def _compare(ids, rows, copies, leaves, tree: int, leaf: int, threshold: float):
-    """Links counted here for each row, and the root of each row's component inside the leaf."""
-    n = len(ids)
+def _compare(rows, copies, leaves, leaf: int, threshold: float, cut: int = 0):
+    """Links counted here for each row, and the root of each row's component inside the leaf.
+
+    With a ``cut`` only rows before it are compared with rows from there on.
+    """
+    n = len(rows)
     counted = np.zeros(n, np.int64)
-    ones, others = [], []
-    for i in range(0, n, BLOCK):
-        for j in range(i, n, BLOCK):
-            cosines = rows[i : i + BLOCK] @ rows[j : j + BLOCK].T
-            a, b = np.nonzero(cosines >= threshold)
+    roots = np.arange(n)
+    for i in range(0, cut or n, BLOCK):
+        above = rows[i : min(i + BLOCK, cut or n)]
+        for j in range(cut or i, n, BLOCK):
+            a, b = np.nonzero(above @ rows[j : j + BLOCK].T >= threshold)
             a, b = a + i, b + j
             keep = a < b
             a, b = a[keep], b[keep]
-            ones.append(a)
-            others.append(b)
-            own = _meet_first(leaves, a, b, tree, leaf)
+            roots = _join(roots, a, b)
+            own = _meet_first(leaves, a, b, leaf)
             a, b = a[own], b[own]
             counted += np.bincount(a, copies[b], n).astype(np.int64) + np.bincount(b, copies[a], n).astype(np.int64)
-    return counted, _roots(n, np.concatenate(ones), np.concatenate(others))
+    return counted, roots
 
 
 def _classes(vectors: DataFrame) -> DataFrame:
@@ -195,6 +232,96 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return plain.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
 
 
+ROUTED = "vec_id bigint, copies bigint, row binary, leaves binary"
+NOTHING = pa.table({n: pa.array([], pa.int64()) for n in ("vec_id", "counted", "root")})
+MIX = np.uint64(0x9E3779B97F4A7C15)  # so that ids at even steps fill all blocks
+DEALT = 10_000  # rows of a batch that go to leaves at once
+SHARES = [i / 20 for i in range(1, 20)]
+
+
+def _split_large(routed: DataFrame, width: int, threshold: float) -> tuple[DataFrame, dict[int, int]]:
+    """Splits leaves above LEAF_ROWS until none is left but those too dense to split; these with their rows.
+
+    A round takes one aggregate for the rows of the leaves and one for the places of the cuts; only
+    numbers of large leaves come to the driver.
+    """
+    spark = routed.sparkSession
+    margin = float(np.sqrt(max(2 - 2 * threshold, 0) / width))
+    solid: dict[int, int] = {}
+    fresh = 2**32  # above the numbers of any first leaf
+
+    def places(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_ragged(batch.column("leaves"))[0])], ["leaf"])
+
+    while True:
+        counts = routed.select("leaves").mapInArrow(places, "leaf bigint").groupBy("leaf").count()
+        large = {r["leaf"]: r["count"] for r in counts.filter(F.col("count") > LEAF_ROWS).collect()}
+        solid = {leaf: n for leaf, n in large.items() if leaf in solid}
+        large = {leaf: n for leaf, n in large.items() if leaf not in solid}
+        if not large:
+            return routed, solid
+        chosen = np.array(sorted(large), np.int64)
+
+        def ways(chosen=chosen):
+            directions = np.stack([np.random.default_rng(int(x)).normal(size=width) for x in chosen])
+            return directions / np.linalg.norm(directions, axis=1, keepdims=True)
+
+        def along(batch, directions, chosen=chosen):
+            """Leaf numbers of a batch and their rows; of the places in chosen leaves also how far along they lie."""
+            numbers, own = _ragged(batch.column("leaves"))
+            at = np.minimum(np.searchsorted(chosen, numbers), len(chosen) - 1)
+            hit = chosen[at] == numbers
+            rows = _matrix(batch.column("row"), width)
+            return numbers, own, at, hit, np.einsum("ij,ij->i", rows[own[hit]], directions[at[hit]])
+
+        def measure(batches, along=along, ways=ways):
+            directions = ways()
+            for batch in batches:
+                numbers, _, _, hit, away = along(batch, directions)
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[hit]), pa.array(away)], ["leaf", "away"])
+
+        cuts = routed.select("row", "leaves").mapInArrow(measure, "leaf bigint, away double")
+        cuts = cuts.groupBy("leaf").agg(F.percentile_approx("away", SHARES, 1_000).alias("at")).collect()
+        middle = {}
+        for row in cuts:
+            cut = row["at"][len(SHARES) // 2]
+            low, high = np.interp([cut - margin, cut + margin], row["at"], SHARES, 0, 1)
+            if max(high, 1 - low) <= MOST_SHARE:
+                middle[row["leaf"]] = cut
+            else:
+                solid[row["leaf"]] = large[row["leaf"]]
+        if not middle:
+            return routed, solid
+        cut = np.array([middle.get(x, np.nan) for x in chosen.tolist()])
+        first = np.arange(len(chosen), dtype=np.int64) * 2 + fresh + chosen // TREE * TREE
+        fresh += 2 * len(chosen)
+
+        def split(batches, along=along, ways=ways, cut=cut, first=first):
+            directions = ways()
+            for batch in batches:
+                numbers, own, at, hit, away = along(batch, directions)
+                spot = np.flatnonzero(hit)
+                mine = cut[at[spot]]
+                going = ~np.isnan(mine)
+                spot, away, mine = spot[going], away[going], mine[going]
+                low, high = away <= mine + margin, away > mine - margin
+                stays = np.ones(len(numbers), bool)
+                stays[spot] = False
+                child = first[at[spot]]
+                numbers = np.concatenate([numbers[stays], child[low], child[high] + 1])
+                own = np.concatenate([own[stays], own[spot][low], own[spot][high]])
+                order = np.lexsort((numbers, own))
+                ends = np.searchsorted(own[order], np.arange(1, batch.num_rows))
+                leaves = [x.tobytes() for x in np.split(numbers[order], ends)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.select(["vec_id", "copies", "row"]).columns, pa.array(leaves, pa.binary())],
+                    ["vec_id", "copies", "row", "leaves"],
+                )
+
+        routed = materialize(routed.mapInArrow(split, ROUTED), "split")
+
+
 def link_vectors(
     vectors: DataFrame,
     threshold: float = 0.9,
@@ -227,42 +354,66 @@ def link_vectors(
     def route(batches):
         for batch in batches:
             rows = _unit(_matrix(batch.column("v"), width))
-            leaves = np.stack([t.leaves(rows) for t in forest.value], axis=1)  # row, tree, path
-            own, tree, path = np.nonzero(leaves >= 0)
-            take = pa.array(own)
-            raw = [x.tobytes() for x in rows]
-            where = [x.tobytes() for x in leaves]
+            leaves = [t.leaves(rows).astype(np.int64) for t in forest.value]
+            leaves = np.concatenate([np.where(x < 0, -1, x + t * TREE) for t, x in enumerate(leaves)], axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(tree, pa.int32()),
-                    pa.array(leaves[own, tree, path], pa.int32()),
-                    batch.column("vec_id").take(take),
-                    batch.column("copies").take(take),
-                    pa.array([raw[i] for i in own], pa.binary()),
-                    pa.array([where[i] for i in own], pa.binary()),
+                    batch.column("vec_id"),
+                    batch.column("copies"),
+                    pa.array([x.tobytes() for x in rows], pa.binary()),
+                    pa.array([x[x >= 0].tobytes() for x in leaves], pa.binary()),
                 ],
-                ["tree", "leaf", "vec_id", "copies", "row", "leaves"],
+                ["vec_id", "copies", "row", "leaves"],
             )
 
-    routed = classes.mapInArrow(
-        route, "tree int, leaf int, vec_id bigint, copies bigint, row binary, leaves binary"
-    )
+    routed = materialize(classes.mapInArrow(route, ROUTED), "routed")
+    routed, solid = _split_large(routed, width, threshold)
+    blocks = spark.sparkContext.broadcast({leaf: -(-n // LEAF_ROWS) for leaf, n in solid.items()})
+
+    def deal(batches):
+        """Each row to its leaves; in a leaf of many blocks, to its block's comparison with each of them."""
+        for batch in batches:
+            numbers, own = _ragged(batch.column("leaves"))
+            many = np.array([blocks.value.get(x, 1) for x in numbers.tolist()], np.int64)
+            mixed = batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.uint64) * MIX >> np.uint64(32)
+            mine = mixed.astype(np.int64)[own] % many
+            start = np.repeat(np.cumsum(many) - many, many)
+            other = np.arange(len(start)) - start
+            leaf, mine, take = np.repeat(numbers, many), np.repeat(mine, many), np.repeat(own, many)
+            for i in range(0, len(take), DEALT):
+                at = slice(i, i + DEALT)
+                some = batch.take(pa.array(take[at]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(leaf[at]),
+                        pa.array(np.minimum(mine[at], other[at])),
+                        pa.array(np.maximum(mine[at], other[at])),
+                        pa.array(mine[at] > other[at]),
+                        *some.columns,
+                    ],
+                    ["leaf", "one", "two", "second", *some.schema.names],
+                )
+
+    dealt = routed.mapInArrow(deal, f"leaf bigint, one bigint, two bigint, second boolean, {ROUTED}")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id").combine_chunks()
+        table = table.sort_by([("second", "ascending"), ("vec_id", "ascending")]).combine_chunks()
         ids = table["vec_id"].to_numpy()
         rows = _matrix(table["row"].combine_chunks(), width)
-        leaves = np.frombuffer(b"".join(table["leaves"].to_pylist()), np.int32)
-        leaves = leaves.reshape(len(ids), trees, MOST_LEAVES)
+        leaves = _by_tree(*_ragged(table["leaves"].combine_chunks()), len(ids), trees)
         copies = table["copies"].to_numpy().astype(float)
-        tree, leaf = table["tree"][0].as_py(), table["leaf"][0].as_py()
-        counted, roots = _compare(ids, rows, copies, leaves, tree, leaf, threshold)
+        cut = 0
+        if table["one"][0].as_py() != table["two"][0].as_py():
+            cut = len(ids) - sum(table["second"].to_pylist())
+            if cut in (0, len(ids)):
+                return NOTHING
+        counted, roots = _compare(rows, copies, leaves, table["leaf"][0].as_py(), threshold, cut)
         linked = np.flatnonzero((counted > 0) | (roots != np.arange(len(ids))))
         return pa.table(
             {"vec_id": ids[linked], "counted": counted[linked], "root": ids[roots[linked]]}
         )
 
-    found = routed.groupBy("tree", "leaf").applyInArrow(compare, "vec_id bigint, counted bigint, root bigint")
+    found = dealt.groupBy("leaf", "one", "two").applyInArrow(compare, "vec_id bigint, counted bigint, root bigint")
     found = materialize(found, "met")
     parts = connected(found, "vec_id", "root")
     links = found.groupBy("vec_id").agg(F.sum("counted").alias("__links"))
