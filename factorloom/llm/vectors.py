@@ -18,8 +18,8 @@ and roots, so its memory depends on LEAF_ROWS alone.
 
 Equal vectors are one class with a multiplicity, so thousands of copies cost one row.
 
-Cases: vectors that are null, empty, zero, of another length than most, or that hold null or
-non-finite numbers link with nothing; repeated vec_ids of equal vectors are returned once per
+Cases: vectors that are null, empty, zero, or that hold null or non-finite numbers link with nothing;
+vectors link only with others of their length; repeated vec_ids of equal vectors are returned once per
 row; null vec_ids are returned, never linked; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -39,7 +39,6 @@ SAMPLE_ROWS = 20_000
 LEAF_SAMPLE = 128  # rows of the sample in a leaf
 TREES = 8
 SPILL = 0.15  # share of a node's rows, around the median, that go down both sides
-MOST_LEAVES = 4  # of one row in one tree; beyond, only the nearer side is followed
 LEAF_ROWS = 8_192  # a larger leaf is split further, or compared block by block
 MOST_SHARE = 0.8  # of a leaf's rows that may go down one side of a further split
 BLOCK = 1_024  # rows on each side of one matrix product
@@ -55,38 +54,23 @@ class Tree:
     margins: np.ndarray
     children: np.ndarray
 
-    def leaves(self, rows: np.ndarray) -> np.ndarray:
-        """The leaves each row reaches, -1 where there are fewer than MOST_LEAVES."""
-        n = len(rows)
-        found = np.full((n, MOST_LEAVES), -1, np.int32)
+    def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All leaves the rows reach, and the row of each."""
+        at, own = np.zeros(len(rows), np.int64), np.arange(len(rows))
         if not len(self.cuts):
-            found[:, 0] = 0
-            return found
-        count = np.zeros(n, np.int64)
-        going = np.ones(n, np.int64)  # places a row has taken: leaves and open paths
-        at, own = np.zeros(n, np.int64), np.arange(n)
+            return at, own
+        leaves, reached = [], []
         while len(own):
             away = np.einsum("ij,ij->i", rows[own], self.directions[at]) - self.cuts[at]
             side = (away > 0).astype(np.int64)
             near = np.abs(away) <= self.margins[at]
-            # rows take turns, so that no row follows more paths than it may
-            order = np.lexsort((np.abs(away), own))
-            rank = np.empty(len(own), np.int64)
-            first = np.searchsorted(own[order], own[order], "left")
-            spilled = near[order].cumsum() - near[order]
-            rank[order] = spilled - spilled[first]
-            split = near & (going[own] + rank < MOST_LEAVES)
-            np.add.at(going, own[split], 1)
-            at_next = np.concatenate([self.children[at, side], self.children[at[split], 1 - side[split]]])
-            own_next = np.concatenate([own, own[split]])
-            done = at_next < 0
-            for row, leaf in zip(own_next[done], -1 - at_next[done], strict=True):
-                found[row, count[row]] = leaf
-                count[row] += 1
-            at, own = at_next[~done], own_next[~done]
-            order = np.argsort(own, kind="stable")
-            at, own = at[order], own[order]
-        return found
+            at = np.concatenate([self.children[at, side], self.children[at[near], 1 - side[near]]])
+            own = np.concatenate([own, own[near]])
+            done = at < 0
+            leaves.append(-1 - at[done])
+            reached.append(own[done])
+            at, own = at[~done], own[~done]
+        return np.concatenate([*leaves, at]), np.concatenate([*reached, own])
 
 
 def grow(sample: np.ndarray, seed: int, leaf: int = LEAF_SAMPLE, spill: float = SPILL) -> Tree:
@@ -166,6 +150,13 @@ def _ragged(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(raw), np.int64), own
 
 
+def _packed(numbers: np.ndarray, own: np.ndarray, n: int) -> pa.Array:
+    """The leaf numbers of each row as one binary value; what _ragged takes apart."""
+    order = np.lexsort((numbers, own))
+    ends = np.searchsorted(own[order], np.arange(1, n))
+    return pa.array([x.tobytes() for x in np.split(numbers[order].astype(np.int64), ends)], pa.binary())
+
+
 def _by_tree(numbers: np.ndarray, own: np.ndarray, n: int, trees: int) -> np.ndarray:
     """(row, tree, place): the leaf numbers, filled up with -1."""
     key = own * trees + numbers // TREE
@@ -232,6 +223,7 @@ def _classes(vectors: DataFrame) -> DataFrame:
     return plain.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
 
 
+FOUND = "vec_id bigint, counted bigint, root bigint"
 ROUTED = "vec_id bigint, copies bigint, row binary, leaves binary"
 NOTHING = pa.table({n: pa.array([], pa.int64()) for n in ("vec_id", "counted", "root")})
 MIX = np.uint64(0x9E3779B97F4A7C15)  # so that ids at even steps fill all blocks
@@ -311,40 +303,26 @@ def _split_large(routed: DataFrame, width: int, threshold: float) -> tuple[DataF
                 child = first[at[spot]]
                 numbers = np.concatenate([numbers[stays], child[low], child[high] + 1])
                 own = np.concatenate([own[stays], own[spot][low], own[spot][high]])
-                order = np.lexsort((numbers, own))
-                ends = np.searchsorted(own[order], np.arange(1, batch.num_rows))
-                leaves = [x.tobytes() for x in np.split(numbers[order], ends)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.select(["vec_id", "copies", "row"]).columns, pa.array(leaves, pa.binary())],
+                    [*batch.select(["vec_id", "copies", "row"]).columns, _packed(numbers, own, batch.num_rows)],
                     ["vec_id", "copies", "row", "leaves"],
                 )
 
         routed = materialize(routed.mapInArrow(split, ROUTED), "split")
 
 
-def link_vectors(
-    vectors: DataFrame,
-    threshold: float = 0.9,
-    trees: int = TREES,
-    sample_rows: int = SAMPLE_ROWS,
-    leaf_sample: int = LEAF_SAMPLE,
-    spill: float = SPILL,
-    seed: int = 7,
+def _links_among(
+    classes: DataFrame,
+    width: int,
+    threshold: float,
+    trees: int,
+    sample_rows: int,
+    leaf_sample: int,
+    spill: float,
+    seed: int,
 ) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    spark = vectors.sparkSession
-    classes = materialize(_classes(vectors), "classes")
-    sizes = classes.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    result = vectors.select("vec_id", _fingerprint("embedding").alias("__f"))
-    if sizes is None:
-        return result.select(
-            "vec_id",
-            F.lit(0).cast("long").alias("n_links"),
-            F.col("vec_id").alias("component_id"),
-            F.lit(True).alias("kept"),
-        )
-    width = sizes["width"]
-    classes = classes.filter(F.size("v") == width)
+    """(vec_id, counted, root): links of vectors of one length, counted once, and the row each is connected with."""
+    spark = classes.sparkSession
     chosen = classes.orderBy(F.xxhash64("vec_id")).limit(sample_rows).select("v").toArrow()
     sample = _unit(_matrix(chosen["v"].combine_chunks(), width))
     forest = spark.sparkContext.broadcast(
@@ -354,14 +332,15 @@ def link_vectors(
     def route(batches):
         for batch in batches:
             rows = _unit(_matrix(batch.column("v"), width))
-            leaves = [t.leaves(rows).astype(np.int64) for t in forest.value]
-            leaves = np.concatenate([np.where(x < 0, -1, x + t * TREE) for t, x in enumerate(leaves)], axis=1)
+            reached = [t.leaves(rows) for t in forest.value]
+            numbers = np.concatenate([x + t * TREE for t, (x, _) in enumerate(reached)])
+            leaves = _packed(numbers, np.concatenate([own for _, own in reached]), len(rows))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("vec_id"),
                     batch.column("copies"),
                     pa.array([x.tobytes() for x in rows], pa.binary()),
-                    pa.array([x[x >= 0].tobytes() for x in leaves], pa.binary()),
+                    leaves,
                 ],
                 ["vec_id", "copies", "row", "leaves"],
             )
@@ -413,8 +392,36 @@ def link_vectors(
             {"vec_id": ids[linked], "counted": counted[linked], "root": ids[roots[linked]]}
         )
 
-    found = dealt.groupBy("leaf", "one", "two").applyInArrow(compare, "vec_id bigint, counted bigint, root bigint")
-    found = materialize(found, "met")
+    return dealt.groupBy("leaf", "one", "two").applyInArrow(compare, FOUND)
+
+
+def link_vectors(
+    vectors: DataFrame,
+    threshold: float = 0.9,
+    trees: int = TREES,
+    sample_rows: int = SAMPLE_ROWS,
+    leaf_sample: int = LEAF_SAMPLE,
+    spill: float = SPILL,
+    seed: int = 7,
+) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id, kept."""
+    classes = materialize(_classes(vectors), "classes")
+    sizes = classes.groupBy(F.size("v").alias("width")).count().orderBy("width").collect()
+    result = vectors.select("vec_id", _fingerprint("embedding").alias("__f"))
+    if not sizes:
+        return result.select(
+            "vec_id",
+            F.lit(0).cast("long").alias("n_links"),
+            F.col("vec_id").alias("component_id"),
+            F.lit(True).alias("kept"),
+        )
+    # vectors of each length are linked among themselves; a lone one with its copies only
+    found = vectors.sparkSession.createDataFrame([], FOUND)
+    for size in sizes:
+        if size["count"] > 1:
+            alike = classes.filter(F.size("v") == size["width"])
+            met = _links_among(alike, size["width"], threshold, trees, sample_rows, leaf_sample, spill, seed)
+            found = found.union(materialize(met, "met"))
     parts = connected(found, "vec_id", "root")
     links = found.groupBy("vec_id").agg(F.sum("counted").alias("__links"))
     classes = (

@@ -58,3 +58,35 @@ def test_two_blocks_meet_only_each_other():
     rows = vectors._unit(near(rng.normal(size=8), 30, 0.001, rng))
     counted, roots = vectors._compare(rows, np.ones(30), np.zeros((30, 1, 1), np.int64), 0, 0.9, cut=10)
     assert counted.tolist() == [20] * 10 + [10] * 20 and (roots == 0).all()
+
+
+def test_a_row_near_many_cuts_reaches_all_their_leaves():
+    rng = np.random.default_rng(5)
+    sample = rng.normal(size=(512, 8))
+    tree = vectors.grow(sample, 1, 8, 0.9)
+    numbers, own = tree.leaves(sample)
+    assert len(set(zip(numbers.tolist(), own.tolist()))) == len(own) and set(own) == set(range(512))
+    assert np.bincount(own).max() > 4
+    for row in (0, 100, 500):  # by following both sides one node after the other
+        open_nodes, want = [0], set()
+        while open_nodes:
+            node = open_nodes.pop()
+            if node < 0:
+                want.add(-1 - node)
+                continue
+            away = sample[row] @ tree.directions[node] - tree.cuts[node]
+            side = int(away > 0)
+            open_nodes.append(tree.children[node, side])
+            if abs(away) <= tree.margins[node]:
+                open_nodes.append(tree.children[node, 1 - side])
+        assert want == set(numbers[own == row].tolist())
+
+
+def test_vectors_of_each_length_link_among_themselves(spark):
+    rows = [(i, [1.0, 0.01 * i, 0.0]) for i in range(5)] + [(10, [1.0, 0.0]), (11, [1.0, 0.1]), (12, [0.0, 1.0])]
+    rows += [(20, [3.0]), (21, [3.0])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(frame).collect()}
+    want = {i: (4, 0, i == 0) for i in range(5)}
+    want |= {10: (1, 10, True), 11: (1, 10, False), 12: (0, 12, True), 20: (1, 20, True), 21: (1, 20, False)}
+    assert found == want
