@@ -33,11 +33,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = neardups.near_duplicates(docs, size=5, percent=80)
+    """Of each group of near duplicates the document with the smallest id stays; each text of a repeated id is a document."""
+    names = docs.columns
+    docs = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    texts = docs.filter("__id is not null").select("__id", "__text")
+    unlike = texts.groupBy("__id").agg(F.min("__text").alias("one"), F.max("__text").alias("other"))
+    if unlike.filter("one <> other").isEmpty():
+        docs = docs.withColumn("__own", F.col("__id"))
+    else:
+        # numbers of their own for ids and texts, in the order of the ids
+        sorted_texts = texts.distinct().repartitionByRange("__id", "__text").sortWithinPartitions("__id", "__text")
+        numbers = store(sorted_texts.withColumn("__own", F.monotonically_increasing_id()), "numbers")
+        docs = store(docs.join(numbers, ["__id", "__text"], "left"), "numbered")
+    found = neardups.near_duplicates(docs.select(F.col("__own").alias("doc_id"), "text"), size=5, percent=80)
     gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "text"])
+    kept = docs.join(gone, F.col("__own") == F.col("__gone"), "left_anti")
+    return kept.select(*names).dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
