@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import fingerprints, lines, mixing, neardups, pieces, quality, secrets, suffixes, toxicity, vectors
+from factorloom.llm import (
+    fingerprints,
+    lines,
+    middles,
+    mixing,
+    neardups,
+    periods,
+    pieces,
+    quality,
+    secrets,
+    suffixes,
+    token_counts,
+    toxicity,
+    vectors,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +90,37 @@ def link_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.link_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"))
 
 
+def fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    found = middles.fill_in_middle(documents(spark, folder))
+    back = middles.restored(F.col("output"), F.col("form"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"),
+    )
+
+
+def find_runs(spark: SparkSession, folder: str) -> DataFrame:
+    plant = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periods.find_runs(documents(spark, folder), plant=plant)
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    top = {n: F.col(f"strongest.{n}") for n in ("start", "length", "period")}
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[c.alias(n) for n, c in top.items()],
+        F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def count_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        found = token_counts.count_tokens(documents(spark, folder), file.read())
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
 QUERIES: dict[str, Query] = {
     "op1_encode_pieces": encode_pieces,
     "op2_remove_repeats": remove_repeats,
@@ -87,9 +132,13 @@ QUERIES: dict[str, Query] = {
     "op8_dedup_lines": dedup_lines,
     "op9_fingerprint": fingerprint,
     "op10_link_embeddings": link_embeddings,
+    "op11_fill_in_middle": fill_in_middle,
+    "op12_find_runs": find_runs,
+    "op13_count_tokens": count_tokens,
 }
 
 SQL: dict[str, str] = {
     "op5_find_secrets": secrets.sql(),
     "op7_mix_sources": mixing.sql(),
+    "op11_fill_in_middle": middles.sql(),
 }
