@@ -14,6 +14,7 @@ the words that hold them reach the library whole; other columns are carried alon
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections.abc import Iterator, Sequence
@@ -99,6 +100,18 @@ def frequent_words(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, mos
     return {w.encode(): n for w, n in zip(found, lengths(load(tokenizer), found))}
 
 
+_WORKER: dict[str, WordLengths] = {}
+
+
+def in_worker(tokenizer: str, found: bytes, counts: bytes) -> WordLengths:
+    """The worker's own lengths; later tasks of a worker that is used again find what earlier ones learned."""
+    key = hashlib.sha256(b"\0".join([tokenizer.encode(), found, counts])).hexdigest()
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = WordLengths(tokenizer, dict(zip(found.split(b"\n"), counts)) if counts else {})
+    return _WORKER[key]
+
+
 def count_tokens(docs: DataFrame, tokenizer: str, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The ``carry`` columns with ``n_bytes`` and ``n_tokens``; ``tokenizer`` is the library's JSON text."""
     if not words_are_free(tokenizer):
@@ -109,8 +122,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, carry: Sequence[str] = ("doc_i
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer, *compact))
 
     def make():
-        own, found, counts = shared.value
-        known = WordLengths(own, dict(zip(found.split(b"\n"), counts)) if counts else {})
+        known = in_worker(*shared.value)
 
         def run(batch: pa.RecordBatch) -> Iterator[tuple[int, list[pa.Array]]]:
             for texts in byte_blocks(batch.column("text")):
