@@ -5,19 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 
-from factorloom.functions import scalars, timeseries
+from factorloom.functions import kernels, scalars, timeseries
 from factorloom.functions.windows import WindowFunction
 
 
 @dataclass(frozen=True)
 class ScalarFunction:
-    """``build(*columns)`` gives a column from the same row, best from built-in functions."""
+    """``build(*columns)`` gives a column from the same row, best from built-in functions.
+
+    ``kernel(*arrays)`` is the same over numpy arrays with NaN for missing; with it, searches
+    score formulas in blocks.
+    """
 
     name: str
     arity: int
     build: Callable[..., Column]
+    kernel: Callable[..., np.ndarray] | None = None
 
 
 Function = ScalarFunction | WindowFunction
@@ -41,12 +47,12 @@ def registry(functions: Iterable[Function]) -> Registry:
 
 
 def math_functions() -> list[Function]:
-    return [ScalarFunction(n, arity, build) for n, (arity, build) in MATH.items()]
+    return [ScalarFunction(n, arity, build, kernels.SCALARS[n]) for n, (arity, build) in MATH.items()]
 
 
 def standard_functions() -> list[Function]:
     """The short names, with the same protected meaning."""
-    return [ScalarFunction(n, *MATH[f"safe_{n}"]) for n in STANDARD]
+    return [ScalarFunction(n, *MATH[f"safe_{n}"], kernels.SCALARS[f"safe_{n}"]) for n in STANDARD]
 
 
 def rolling_functions(sizes: Sequence[int]) -> list[Function]:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factorloom.functions import kernels
 from factorloom.functions.windows import Parts, WindowFunction, apply_windows
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 
@@ -63,7 +65,10 @@ def rolling_function(fn: str, size: int) -> WindowFunction:
     def finish(x: Column, held: Parts) -> Column:
         return F.coalesce(make(x, held), F.lit(0.0))
 
-    return WindowFunction(f"ts_{fn}_{size}", size, parts, finish, zero_guard=fn == "rank")
+    def kernel(x: np.ndarray, segments: kernels.Segments, zero: np.ndarray | None = None) -> np.ndarray:
+        return kernels.rolling(fn, x, segments, size, zero)
+
+    return WindowFunction(f"ts_{fn}_{size}", size, parts, finish, zero_guard=fn == "rank", kernel=kernel)
 
 
 def momentum_function(size: int) -> WindowFunction:
@@ -79,7 +84,10 @@ def momentum_function(size: int) -> WindowFunction:
         change = F.try_divide(x - held["first"], held["first"])
         return F.when(held["count"] == size, change)
 
-    return WindowFunction(f"ts_momentum_{size}", size, parts, finish)
+    def kernel(x: np.ndarray, segments: kernels.Segments, zero: np.ndarray | None = None) -> np.ndarray:
+        return kernels.momentum(x, segments, size)
+
+    return WindowFunction(f"ts_momentum_{size}", size, parts, finish, kernel=kernel)
 
 
 def add_windows(
