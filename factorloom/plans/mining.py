@@ -17,8 +17,8 @@ from factorloom.operators.schema import feature_columns
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
 from factorloom.plans.loading import TARGET, load_required
-from factorloom.plans.scoring import agreement, score_summary
-from factorloom.plans.search import SearchResult, SearchSettings, reach_limit, search_on
+from factorloom.plans.scoring import agreement, score_on, score_summary
+from factorloom.plans.search import Search, SearchResult, SearchSettings, reach_limit, search_all
 from factorloom.session import materialize
 from factorloom.sources.tables import bar_order, scan_bars, write_factor_values
 
@@ -81,9 +81,9 @@ class Prepared:
         return list(self.prep.features)
 
     def lay_out(self, *configs: MiningConfig) -> Series:
-        """The rows by instrument, stored once with enough lookback for all the settings."""
+        """The rows by instrument, with enough lookback for all the settings."""
         reach = max(reach_limit(c.functions(), c.search.max_depth) for c in configs)
-        return lay_out(self.rows, self.keys, self.order, before=reach).store()
+        return lay_out(self.rows, self.keys, self.order, before=reach)
 
 
 def prepare(
@@ -123,7 +123,7 @@ def guard_training(prepared: Prepared) -> int:
 
 @dataclass
 class FactorModel:
-    """A found formula with the table it was found on, and that table's stored layout."""
+    """A found formula with the table it was found on, and that table's layout."""
 
     result: SearchResult
     prepared: Prepared
@@ -194,11 +194,15 @@ def train(
     seeds: Sequence[ex.Expr] = (),
     where: Column | None = None,
     series: Series | None = None,
+    journal: str | None = None,
 ) -> FactorModel:
+    """Search with one setting. ``journal`` is a folder for finished rounds; a stopped search goes on from it."""
     guard_training(prepared)
     series = series or prepared.lay_out(config)
-    features, target = prepared.features, prepared.prep.target
-    result = search_on(series, features, target, config.functions(), config.search, seeds, where)
+    searches = [Search(prepared.features, config.functions(), config.search, seeds)]
+    (result,) = search_all(series, prepared.prep.target, searches, where, journal)
+    if isinstance(result, ValueError):
+        raise result
     return FactorModel(result, prepared, config, series)
 
 
@@ -214,27 +218,34 @@ def trial_configs(
     configs: Sequence[MiningConfig] = TRIAL_CONFIGS,
     share: float = 0.2,
     seed: int = 42,
+    n_trials: int | None = None,
+    journal: str | None = None,
 ) -> TrialOutcome:
     """Search with each setting on the training rows and score on the held-out rows.
 
-    Windows are computed on the whole table before the split, and all settings share one stored
-    layout. A setting that cannot be trained is skipped; failed cluster jobs are not swallowed.
+    Windows are computed on the whole table before the split. All settings go round by round together: one pass
+    scores the candidates of every setting, and each keeps its own survivors. A setting that cannot be trained is skipped; failed
+    cluster jobs are not swallowed. ``n_trials`` takes the first settings only.
     """
+    configs = list(configs)[:n_trials]
+    guard_training(prepared)
     series = prepared.lay_out(*configs)
     target = prepared.prep.target
     held_out = key_share([*prepared.keys, *prepared.order], seed) < share
+    searches = [Search(prepared.features, c.functions(), c.search) for c in configs]
+    found = search_all(series, target, searches, ~held_out, journal)
     outcome = TrialOutcome(None, None, [])
-    for number, config in enumerate(configs, 1):
-        try:
-            model = train(prepared, config, where=~held_out, series=series)
-            row = agreement(model.values().filter(held_out), target, PREDICTION).first()
-        except ValueError as error:
-            log.error("trial %d failed: %s", number, error)
+    best = list(dict.fromkeys(r.best for r in found if not isinstance(r, ValueError)))
+    functions = {n: f for c in configs for n, f in c.functions().items()}
+    scores = {best[r["id"]]: r for r in score_on(series, best, target, functions, held_out).collect()} if best else {}
+    for number, (config, result) in enumerate(zip(configs, found), 1):
+        if isinstance(result, ValueError):
+            log.error("trial %d failed: %s", number, result)
             continue
-        outcome.history.append((number, config.label(), row["mse"], row["r2"], model.expression))
+        row = scores[result.best]
+        outcome.history.append((number, config.label(), row["mse"], row["r2"], result.expression))
         if row["mse"] is not None and (outcome.best_mse is None or row["mse"] < outcome.best_mse):
             outcome.best, outcome.best_mse = config, row["mse"]
-    series.drop()
     if not outcome.history:
         raise ValueError("no setting could be tried")
     return outcome
@@ -251,10 +262,11 @@ def train_final(
     history: Sequence[tuple] = (),
     seeds: Sequence[ex.Expr] = (),
     order: Sequence[str] = ORDER,
+    journal: str | None = None,
 ) -> FactorModel:
     """Load, prepare, search and, with ``path``, save."""
     table = load_required(bars, start, end, factors=factors, order=order)
-    model = train(prepare(table, features, order=order), config or FINAL_CONFIG, seeds)
+    model = train(prepare(table, features, order=order), config or FINAL_CONFIG, seeds, journal=journal)
     model = replace(model, history=list(history))
     if path:
         model.save(path)

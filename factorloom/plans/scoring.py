@@ -13,9 +13,12 @@ from factorloom.operators.joins import null_safe_join, split_join
 from factorloom.operators.ranks import average_ranks
 from factorloom.operators.series import KEYS, ORDER, Series, lay_out
 from factorloom.plans import expressions as ex
+from factorloom.plans import moments
 from factorloom.session import materialize
 
 EXPRESSIONS_PER_JOB = 200
+LEAST_LINEAR = 20  # sums and differences that make a read of their own worth while
+SCORES = "id int, expression string, size int, rows bigint, mse double, r2 double, ic double"
 
 
 def _pairs(df: DataFrame, y: str, p: str) -> DataFrame:
@@ -159,10 +162,29 @@ def score_expressions(
     order: Sequence[str] = ORDER,
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Score a list of expressions over a table, one row each."""
-    reach = max(ex.lookback(e, functions) for e in exprs)
+    """Score a list of expressions over a table, one row each.
+
+    Many sums and differences of columns are scored by one read for the second moments of these columns; where
+    moments do not tell (missing or huge values, parts that cancel), and for all other expressions, values are made row by row.
+    """
+    known: dict[ex.Expr, moments.Score] = {}
+    sign = moments.signs(functions)
+    if sum(isinstance(e, tuple) and e[0] in sign for e in exprs) >= LEAST_LINEAR:
+        known = moments.score_linear(df, exprs, y, functions)
+    left = [e for e in exprs if e not in known]
+    spark = df.sparkSession
+    rows = [(i, ex.text(e), ex.size(e), *known[e][:4]) for i, e in enumerate(exprs) if e in known]
+    told = spark.createDataFrame(rows, SCORES)
+    if not left:
+        return told
+    reach = max(ex.lookback(e, functions) for e in left)
     series = lay_out(df, keys, order, before=reach, block_rows=block_rows)
-    return score_on(series, exprs, y, functions)
+    scores = score_on(series, left, y, functions)
+    if not known:
+        return scores
+    places = spark.createDataFrame([(n, i) for n, i in enumerate(i for i, e in enumerate(exprs) if e not in known)], "id int, place int")
+    scores = scores.join(places, "id").withColumn("id", F.col("place")).drop("place")
+    return scores.select(*told.columns).unionByName(told)
 
 
 # Each metric as something to make small; a strong negative correlation is as useful as a positive one.

@@ -24,10 +24,10 @@ FINAL = [(mining.FINAL_CONFIG.functions().keys(), mining.FINAL_CONFIG.search)]
 def test_registered_searches_run_the_built_in_settings(spark, monkeypatch, name, want):
     seen = []
 
-    def noted(series, features, target, functions, settings, seeds=(), where=None):
-        seen.append((functions.keys(), settings))
-        return search.SearchResult("open", 1.0, 0.0, 0.0, 1, [(0, 0, "open", 1, 1.0, 0.0, 0.0, 1.01)])
+    def noted(series, target, searches, where=None, journal=None):
+        seen.extend((s.functions.keys(), s.settings) for s in searches)
+        return [search.SearchResult("open", 1.0, 0.0, 0.0, 1, [(0, 0, "open", 1, 1.0, 0.0, 0.0, 1.01)]) for _ in searches]
 
-    monkeypatch.setattr(mining, "search_on", noted)
+    monkeypatch.setattr(mining, "search_all", noted)
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
     assert seen == want

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import pytest
-
 from factorloom.functions import registry as reg
 from factorloom.plans import search
 
@@ -26,21 +24,9 @@ def test_draws_follow_seed_and_round_and_are_even():
     assert 95 < sum(apart) / len(apart) < 105  # of even draws: 100
 
 
-def test_a_search_meets_pairs_outside_any_window(monkeypatch):
-    class Rows:
-        keys, order = ("order_book_id",), ("date",)
-
-    class Scored:
-        def collect(self):
-            return []
-
-    met = []
-    monkeypatch.setattr(search, "key_share", lambda *_: 0)
-    monkeypatch.setattr(search, "score_on", lambda series, candidates, *_, **__: met.extend(candidates))
-    monkeypatch.setattr(search, "rank_expressions", lambda *_: Scored())
+def test_a_search_meets_pairs_outside_any_window():
     settings = search.SearchSettings(population_size=10**6, generations=1)
-    with pytest.raises(ValueError, match="could be scored"):
-        search.search_on(Rows(), COLUMNS, "y", ADD, settings)
+    met = search.Search(COLUMNS, ADD, settings).candidates
     assert {("safe_add", a, b) for a in COLUMNS for b in COLUMNS} <= set(met)
 
 

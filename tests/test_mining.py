@@ -158,7 +158,7 @@ def test_search_equals_brute_force_in_its_first_round(table):
     found = search.search_factors(table, ["a", "b"], "y", functions, settings)
     everything = [
         "a", "b",
-        *search.offspring(["a", "b"], ["a", "b", *search.constant_table(settings)], functions, 1),
+        *search.draw(["a", "b"], ["a", "b", *search.constant_table(settings)], functions, 1, 10**6, "any"),
     ]
     scores = scoring.score_expressions(table, everything, "y", functions).toPandas()
     best = (scores["mse"] + 0.01 * scores["size"]).min()
