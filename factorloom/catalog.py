@@ -15,19 +15,16 @@ from factorloom.operators import filters, prep, profile, reshape, schema, series
 from factorloom.plans import expressions as ex
 from factorloom.plans import mining, scoring, search
 from factorloom.plans.loading import TARGET, load_training_table
-from factorloom.session import scratch_path
+from factorloom.session import materialize, scratch_path
 from factorloom.sources import calendar, tables
 from factorloom.sources import market_views as views
 from factorloom.streaming.refresh import RefreshJob
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# The date range of the range scans, and the range whose padded end is the last
-# stored day, so that target queries use every bar.
+# The date range of the range scans, and how far targets look ahead.
 RANGE = ("1996-01-01", "1998-12-31")
-WHOLE = ("1995-01-01", "2001-10-15")
-AS_OF = "2001-11-04"
-EVENT_AS_OF = "2024-01-30"
+PAD_DAYS = 20
 
 KEYS = ["order_book_id", "date"]
 FEATURES = ["open", "high", "low", "close", "volume"]
@@ -55,13 +52,26 @@ def bars_schema() -> StructType:
     return StructType.fromDDL(BAR_SCHEMA)
 
 
+def whole(spark: SparkSession, folder: str) -> tuple[dt.date, dt.date]:
+    """The range whose padded end is the last stored day, so that target queries use every bar."""
+    stored = views.calendar(spark, folder).agg(F.min("date"), F.max("date")).first()
+    first, last = stored[0] or calendar.GLOBAL_START, stored[1] or calendar.GLOBAL_START
+    return first, last - dt.timedelta(days=PAD_DAYS)
+
+
+def as_of(days: DataFrame) -> dt.date:
+    """The last day of a calendar."""
+    return days.agg(F.max("date")).first()[0] or calendar.GLOBAL_START
+
+
 def returns(spark: SparkSession, folder: str) -> DataFrame:
-    data = tables.between_dates(views.bars(spark, folder), *WHOLE, pad_days=20)
-    return series.forward_return(data)
+    # written once: rows per instrument are counted before the window
+    data = tables.between_dates(views.bars(spark, folder), *whole(spark, folder), pad_days=PAD_DAYS)
+    return series.forward_return(materialize(data, "bars"))
 
 
 def clean(spark: SparkSession, folder: str) -> DataFrame:
-    return load_training_table(views.bars(spark, folder), *WHOLE)
+    return load_training_table(views.bars(spark, folder), *whole(spark, folder))
 
 
 def extreme_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,19 +309,22 @@ def _(spark, folder):
 @query("missing_dates")
 def _(spark, folder):
     stored = calendar.existing_dates(views.order_dates(spark, folder))
-    return calendar.missing_dates(views.calendar(spark, folder), stored, AS_OF)
+    days = views.calendar(spark, folder)
+    return calendar.missing_dates(days, stored, as_of(days))
 
 
 @query("missing_dates_global")
 def _(spark, folder):
     stored = calendar.existing_dates(views.order_dates(spark, folder))
-    return calendar.missing_dates(views.calendar(spark, folder), stored, AS_OF, use_global_start=True)
+    days = views.calendar(spark, folder)
+    return calendar.missing_dates(days, stored, as_of(days), use_global_start=True)
 
 
 @query("new_dates")
 def _(spark, folder):
     stored = calendar.existing_dates(views.order_dates(spark, folder))
-    return calendar.new_dates(views.calendar(spark, folder), stored, AS_OF)
+    days = views.calendar(spark, folder)
+    return calendar.new_dates(days, stored, as_of(days))
 
 
 @query("score_with_keys")
@@ -344,7 +357,7 @@ def _(spark, folder):
 @query("refresh_full")
 def _(spark, folder):
     job = event_job(spark, folder)
-    job.full(EVENT_AS_OF)
+    job.full(as_of(job.calendar))
     return job.stored()
 
 
@@ -353,7 +366,7 @@ def _(spark, folder):
     job = event_job(spark, folder)
     _store(job, "2024-01-01", "2024-01-07")
     _store(job, "2024-01-15", "2024-01-22")
-    job.missing(EVENT_AS_OF)
+    job.missing(as_of(job.calendar))
     return job.stored()
 
 
@@ -361,7 +374,7 @@ def _(spark, folder):
 def _(spark, folder):
     job = event_job(spark, folder)
     job.full("2024-01-12")
-    job.latest(EVENT_AS_OF)
+    job.latest(as_of(job.calendar))
     return job.stored()
 
 
@@ -499,6 +512,11 @@ def _profile(run: Callable[[DataFrame], DataFrame], source: Query = clean, digit
     return lambda spark, folder: rounded(run(source(spark, folder)), digits)
 
 
+def validated(spark: SparkSession, folder: str, by: Sequence[str] = ()) -> DataFrame:
+    bars = views.bars(spark, folder)
+    return rounded(profile.validate_bars(bars, *whole(spark, folder), pad_days=PAD_DAYS, by=by), 4)
+
+
 QUERIES |= {
     "describe_column": _profile(lambda df: profile.describe_column(df, TARGET)),
     "describe_column_by": _profile(
@@ -536,10 +554,8 @@ QUERIES |= {
     ),
     "extreme_flag": _profile(lambda df: profile.extreme_flag(df, TARGET)),
     "target_missing_rate": _profile(lambda df: profile.target_missing_rate(df, TARGET), returns),
-    "validate_bars": _profile(lambda df: profile.validate_bars(df, *WHOLE), views.bars, 4),
-    "profile_target_by": _profile(
-        lambda df: profile.profile_target(df, TARGET, by=["num_trades"]).drop("skew", "kurt")
-    ),
+    "validate_bars": lambda spark, folder: validated(spark, folder),
+    "profile_target_by": _profile(lambda df: profile.profile_target(df, TARGET, by=["num_trades"])),
     "null_profile_by": _profile(
         lambda df: profile.null_profile(df, ["open", "r_volume", TARGET], by=["order_book_id"]), returns
     ),
@@ -549,13 +565,7 @@ QUERIES |= {
     "low_variance_flag_by": _profile(
         lambda df: profile.low_variance_flag(df, ["open", "volume"], by=["order_book_id"]), views.bars, 4
     ),
-    "validate_bars_by": _profile(
-        lambda df: profile.validate_bars(df, *WHOLE, by=["order_book_id"]).filter(
-            F.col("check").isin("rows", "target_rows", "target_missing", "null_r_volume")
-        ),
-        views.bars,
-        4,
-    ),
+    "validate_bars_by": lambda spark, folder: validated(spark, folder, ["order_book_id"]),
 }
 
 
@@ -740,7 +750,7 @@ def _(spark, folder):
         population_size=0, generations=1, max_samples=1.0, max_depth=1
     )
     config = mining.MiningConfig(window_sizes=(10,), search=settings)
-    mining.train_final(views.bars(spark, folder), *WHOLE, config, path, features=FEATURES)
+    mining.train_final(views.bars(spark, folder), *whole(spark, folder), config, path, features=FEATURES)
     return rounded(tables.scan(spark, f"{path}/factor_values.parquet"))
 
 
@@ -748,5 +758,6 @@ def _(spark, folder):
 def _(spark, folder):
     """The same with the built-in final setting: a search over rolling and math functions."""
     path = scratch_path(spark, "final")
-    mining.train_final(views.bars(spark, folder), *WHOLE, path=path, features=FEATURES)
+    journal = scratch_path(spark, "journal")
+    mining.train_final(views.bars(spark, folder), *whole(spark, folder), path=path, features=FEATURES, journal=journal)
     return rounded(tables.scan(spark, f"{path}/factor_values.parquet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql.types import DataType, DoubleType, FloatType
 
 from factorloom.functions.scalars import finite
 
+# Hour of the close, and the reach of the outlier filter.
 CLOSE_HOUR = 15
 SIGMAS = 10.0
 
@@ -44,11 +46,15 @@ def sigma_outlier_filter(df: DataFrame, target: str, sigmas: float = SIGMAS) ->
     return df.filter(F.abs(F.col(target)) <= limit)
 
 
-def drop_incomplete_day(df: DataFrame) -> DataFrame:
-    """Drop the latest date when its last row is before 15:00."""
+def drop_incomplete_day(df: DataFrame, last: dt.date | None = None) -> DataFrame:
+    """Drop the latest date when its last row is before 15:00.
+
+    With ``last``, the latest date as folder names tell it, only the rows of that date are read to decide.
+    """
     latest = F.max(F.struct("date", "datetime"))
     cut = F.when(F.hour(latest["datetime"]) < CLOSE_HOUR, latest["date"])
-    dropped = df.agg(cut).scalar()
+    seen = df if last is None else df.filter(F.col("date") == F.lit(last))
+    dropped = seen.agg(cut).scalar()
     return df.filter(F.coalesce(F.col("date") < dropped, F.lit(True)))
 
 

@@ -41,10 +41,14 @@ TABLES = {
     "fr": """
         SELECT *, (lead(open, 20) OVER (PARTITION BY order_book_id ORDER BY date) - open) / open
                   AS target_feature
-        FROM bars WHERE date BETWEEN DATE '1995-01-01' AND DATE '2001-11-04'""",
+        FROM bars""",
     "cleaned": """
         SELECT * FROM fr WHERE target_feature IS NOT NULL
           AND abs(target_feature) <= 10 * (SELECT stddev_samp(target_feature) FROM fr)""",
+    # the same rows as "cleaned", by a join with one row
+    "steady": """
+        SELECT fr.* FROM fr, (SELECT 10 * stddev_samp(target_feature) AS reach FROM fr) AS spread
+        WHERE target_feature IS NOT NULL AND abs(target_feature) <= reach""",
     "odd": """
         SELECT *, CASE WHEN r_volume IS NOT NULL THEN open
                        WHEN num_trades > 1 THEN 'Infinity'::DOUBLE
@@ -62,6 +66,7 @@ NEEDS = {
     "event_bars": ["ticks"],
     "fr": ["bars"],
     "cleaned": ["fr"],
+    "steady": ["fr"],
     "odd": ["bars"],
     "scored": ["cleaned"],
 }
@@ -149,6 +154,11 @@ DESCRIBED = {
     "max": f"max({T})",
 }
 SHAPE = {"skew": f"skewness({T})", "kurt": f"kurtosis({T})"}
+# undefined for few or equal values
+GROUP_SHAPE = {
+    "skew": f"CASE WHEN count({T}) > 2 AND min({T}) < max({T}) THEN skewness({T}) END",
+    "kurt": f"CASE WHEN count({T}) > 3 AND min({T}) < max({T}) THEN kurtosis({T}) END",
+}
 EXTREMES = {"min": f"min({T})", "max": f"max({T})", "range": f"max({T}) - min({T})"}
 SIGNS = {
     f"{name}_count": f"count(*) FILTER (WHERE {T} {op} 0)"
@@ -232,27 +242,29 @@ BAR_COLUMNS = (
 )
 
 
-def validation() -> str:
-    base = "date BETWEEN DATE '1995-01-01' AND DATE '2001-11-04'"
-    numbers = {
-        "rows": ("count(*)", "> 0"),
-        "instruments": ("count(DISTINCT order_book_id)", "> 0"),
-        **{f"null_{c}": (f"count(*) - count({c})", "= 0") for c in BAR_COLUMNS},
-        "price_std": ("stddev_samp(open)", ">= 1e-6"),
-        "target_missing": (f"count(*) - count({T})", "= 0"),
-        "target_rows": (f"count({T})", "> 0"),
-        "target_std": (f"stddev_samp({T})", ">= 1e-6"),
-        "target_infinite": (f"count(*) FILTER (WHERE isinf({T}))", "= 0"),
-        "target_max_abs": (f"max(abs({T}))", "<= 10"),
-    }
+CHECKS = {
+    "rows": ("count(*)", "> 0"),
+    "instruments": ("count(DISTINCT order_book_id)", "> 0"),
+    **{f"null_{c}": (f"count(*) - count({c})", "= 0") for c in BAR_COLUMNS},
+    "price_std": ("stddev_samp(open)", ">= 1e-6"),
+    "target_missing": (f"count(*) - count({T})", "= 0"),
+    "target_rows": (f"count({T})", "> 0"),
+    "target_std": (f"stddev_samp({T})", ">= 1e-6"),
+    "target_infinite": (f"count(*) FILTER (WHERE isinf({T}))", "= 0"),
+    "target_max_abs": (f"max(abs({T}))", "<= 10"),
+}
+USABLE = f"count({T}) > 0 AND coalesce(stddev_samp({T}) >= 1e-6, true)"
+
+
+def validation(by: str = "") -> str:
+    """All checks and the verdict, of the table or of each group."""
+    keys, group = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     rows = [
-        f"SELECT '{name}' AS \"check\", {rnd(f'CAST({e} AS DOUBLE)', 'value', 4)}, "
-        f"({e}) {rule} AS ok FROM fr WHERE {base}"
-        for name, (e, rule) in numbers.items()
+        f"SELECT {keys}'{name}' AS \"check\", {rnd(f'CAST({e} AS DOUBLE)', 'value', 4)}, "
+        f"coalesce(({e}) {rule}, true) AS ok FROM fr{group}"
+        for name, (e, rule) in CHECKS.items()
     ]
-    rows.append(
-        f"SELECT 'verdict', CAST(stddev_samp({T}) >= 1e-6 AS DOUBLE), stddev_samp({T}) >= 1e-6 FROM fr"
-    )
+    rows.append(f"SELECT {keys}'verdict', CAST({USABLE} AS DOUBLE), {USABLE} FROM fr{group}")
     return using("fr", tall(rows))
 
 
@@ -422,7 +434,7 @@ def statements() -> dict[str, str]:
         round(avg(factor_value) FILTER (WHERE factor_name = 'R'), 6) AS "R"
         FROM factor_long GROUP BY 1, 2"""
     span = "date BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'"
-    due = "date <= DATE '2001-11-04'"
+    due = "date <= (SELECT max(date) FROM calendar)"
     quality = [
         f"SELECT '{c}' AS \"column\", "
         f"{rnd(f'100.0 * (count(*) - count({c})) / count(*)', 'missing_pct', 4)}, "
@@ -481,9 +493,7 @@ def statements() -> dict[str, str]:
         "write_partitioned_index": event_members,
         "write_partitioned_factor": event_factors,
         "write_unpartitioned": using("calendar", "SELECT * FROM calendar"),
-        "write_factor_values": using(
-            "cleaned", f"SELECT {k}, {T} AS factor_value FROM cleaned"
-        ),
+        "write_factor_values": using("steady", f"SELECT {k}, {T} AS factor_value FROM steady"),
         "write_profile_report": report(),
         "cast_schema": using("bars", f"{cast} FROM bars"),
         "order_columns": using("bars", "SELECT * FROM bars"),
@@ -497,9 +507,9 @@ def statements() -> dict[str, str]:
             f"SELECT {k}, CASE WHEN isnan(ratio) OR isinf(ratio) THEN NULL ELSE ratio END AS ratio,"
             " open, r_volume FROM odd",
         ),
-        "sigma_outlier_filter": using("cleaned", f"{target} cleaned"),
+        "sigma_outlier_filter": using("steady", f"{target} steady"),
         "sigma_outlier_filter_narrow": using(
-            "fr", f"{target} fr WHERE abs({T}) <= 2 * (SELECT stddev_samp({T}) FROM fr)"
+            "fr", f"{target} fr, spread WHERE abs({T}) <= reach", spread=f"SELECT 2 * stddev_samp({T}) AS reach FROM fr"
         ),
         "drop_any_null": using(
             "fr",
@@ -513,7 +523,7 @@ def statements() -> dict[str, str]:
         ),
         "drop_incomplete_day": using(
             "ticks",
-            "SELECT * FROM west WHERE date < DATE '2024-01-30'",
+            "SELECT * FROM west WHERE date < (SELECT max(date) FROM west)",
             west="""SELECT order_book_id,
                 CAST(date_trunc('minute', datetime - INTERVAL 10 HOUR) AS DATE) AS date,
                 date_trunc('minute', datetime - INTERVAL 10 HOUR) AS datetime,
@@ -660,7 +670,7 @@ def statements() -> dict[str, str]:
         "profile_target_by": using(
             "cleaned",
             "SELECT num_trades, "
-            + listed({n: e for n, e in ALL_METRICS.items() if n not in SHAPE})
+            + listed(ALL_METRICS | GROUP_SHAPE)
             + " FROM cleaned JOIN qs USING (num_trades) GROUP BY 1",
             qs=f"SELECT num_trades, {quantile(T, 0.25)} AS q1, {quantile(T, 0.75)} AS q3 "
             "FROM cleaned GROUP BY 1",
@@ -693,20 +703,8 @@ def statements() -> dict[str, str]:
                 for c in ("open", "volume")
             ]),
         ),
-        "validate_bars_by": using(
-            "fr",
-            tall([
-                f"SELECT order_book_id, '{n}' AS \"check\", {rnd(f'CAST({e} AS DOUBLE)', 'value', 4)}, "
-                f"({e}) {rule} AS ok FROM fr GROUP BY 1"
-                for n, e, rule in (
-                    ("rows", "count(*)", "> 0"),
-                    ("target_rows", f"count({T})", "> 0"),
-                    ("target_missing", f"count(*) - count({T})", "= 0"),
-                    ("null_r_volume", "count(*) - count(r_volume)", "= 0"),
-                )
-            ]),
-        ),
-        "drop_low_variance": using("cleaned", f"SELECT {k}, {rnds(FEATURES, 9)} FROM cleaned"),
+        "validate_bars_by": validation("order_book_id"),
+        "drop_low_variance": using("steady", f"SELECT {k}, {rnds(FEATURES, 9)} FROM steady"),
         "iqr_clip": using(
             "cleaned",
             f"SELECT {k}, {', '.join(rnd(clipped(c), c, 9) for c in FEATURES)} FROM cleaned, bounds",

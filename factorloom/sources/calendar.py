@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.sources.tables import as_date, between_dates, read_if_present, stock_path
+from factorloom.sources.tables import TableConfig, as_date, between_dates, read_if_present, stock_path
+
+DEFAULT_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # folder of rows without a date
 
 # Fixed value: first date of the market's history.
 GLOBAL_START = dt.date(1990, 12, 19)
@@ -30,6 +32,24 @@ def existing_dates(table: DataFrame) -> DataFrame:
     return table.select(F.col("date").cast("date").alias("date")).dropna().distinct()
 
 
+def folder_dates(spark: SparkSession, path: str, config: TableConfig) -> DataFrame:
+    """Dates of a stored table from the names of its folders, on whatever level they are; no data file is opened.
+
+    The writer makes a folder only for rows it has, and a table that is not stored has no dates. A table without folders
+    by date is read.
+    """
+    levels = config.partition_columns
+    if "date" not in levels:
+        table = read_if_present(spark, path, config.schema)
+        return spark.createDataFrame([], "date date") if table is None else existing_dates(table)
+    pattern = "/".join([path.rstrip("/"), *[f"{c}=*" for c in levels[: levels.index("date") + 1]]])
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or []
+    names = {f.getPath().getName().split("=", 1)[1] for f in found if f.isDirectory()}
+    days = [(dt.date.fromisoformat(n),) for n in names if n != DEFAULT_PARTITION]
+    return spark.createDataFrame(sorted(days), "date date")
+
+
 def missing_dates(
     calendar: DataFrame,
     existing: DataFrame,

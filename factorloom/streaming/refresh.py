@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.operators.schema import format_table
-from factorloom.sources.calendar import GLOBAL_START, existing_dates, missing_dates, new_dates
+from factorloom.sources.calendar import GLOBAL_START, folder_dates, missing_dates, new_dates
 from factorloom.sources.tables import TableConfig, as_date, read_if_present, write_table
 
 Fetch = Callable[[dt.date, dt.date], DataFrame]
@@ -37,15 +37,18 @@ class RefreshJob:
     def stored(self) -> DataFrame | None:
         return read_if_present(self.spark, self.path, self.config.schema)
 
+    def dates(self) -> DataFrame:
+        """The stored dates, from folder names where the table has folders by date."""
+        return folder_dates(self.spark, self.path, self.config)
+
     def full(self, as_of: str | dt.date) -> None:
         self._write(self.fetch_range(GLOBAL_START, as_of, sort=False))
 
     def missing(self, as_of: str | dt.date, use_global_start: bool = False) -> list[dt.date]:
         """Fetch the trading days without data, all in one job; gives those days."""
-        stored = self.stored()
-        if stored is None:
+        if self.stored() is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        due = missing_dates(self.calendar, existing_dates(stored), as_of, use_global_start)
+        due = missing_dates(self.calendar, self.dates(), as_of, use_global_start)
         days = [r["date"] for r in due.collect()]
         if days:
             wanted = self.spark.createDataFrame([(d,) for d in days], "date date")
@@ -55,9 +58,8 @@ class RefreshJob:
 
     def latest(self, as_of: str | dt.date) -> tuple[dt.date, dt.date] | None:
         """Fetch what came after the last stored day; everything if nothing is stored."""
-        stored = self.stored()
-        existing = None if stored is None else existing_dates(stored)
-        if existing is None or existing.isEmpty():
+        existing = self.dates()
+        if existing.isEmpty():
             self.full(as_of)
             return GLOBAL_START, as_date(as_of)
         bounds = new_dates(self.calendar, existing, as_of).agg(
