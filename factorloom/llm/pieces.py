@@ -94,15 +94,16 @@ class ChunkTable:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.bytes, self.ids = Runs(np.uint8), Runs(np.int32)
 
-    def _add(self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-        """Segment chunks by one call: line breaks stay apart, so one is put before each chunk."""
+    def _segment(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Slots of new chunks, segmented by one call: line breaks stay apart, so one is put before each chunk."""
         line = (sizes == 1) & (data[starts] == LINE)
         order = np.argsort(line, kind="stable")  # a line break is its own chunk, and goes last
-        keys, starts, sizes = keys[order], starts[order], sizes[order]
+        starts, sizes = starts[order], sizes[order]
         raw = data[ragged(starts, sizes)]
-        slots = len(self.ids.sizes) + np.arange(len(keys))
+        slots = np.empty(len(order), np.int64)
+        slots[order] = len(self.ids.sizes) + np.arange(len(order))
         self.bytes.add(raw, sizes)
-        plain = len(keys) - int(line.sum())
+        plain = len(order) - int(line.sum())
         joined = np.full(int(sizes[:plain].sum()) + plain, LINE, np.uint8)
         joined[ragged(ends_of(sizes[:plain] + 1)[:-1] + 1, sizes[:plain])] = raw[: int(sizes[:plain].sum())]
         # the library puts a marker before the whole text, so ids before the first break are dropped
@@ -110,8 +111,11 @@ class ChunkTable:
         breaks = np.flatnonzero(flat == self.line)
         counts = np.diff(np.append(breaks, len(flat))) - 1
         ids = flat[breaks[0] :][flat[breaks[0] :] != self.line] if plain else flat[:0]
-        lines = len(keys) - plain
+        lines = len(order) - plain
         self.ids.add(np.append(ids, [self.line] * lines), np.append(counts, [1] * lines).astype(np.int64))
+        return slots
+
+    def _add(self, keys: np.ndarray, slots: np.ndarray) -> None:
         keys, slots = np.concatenate([self.keys, keys]), np.concatenate([self.slots, slots])
         order = np.argsort(keys)
         self.keys, self.slots = keys[order], slots[order]
@@ -131,12 +135,25 @@ class ChunkTable:
             new[:] = True
         if new.any():
             where = first[new]
-            self._add(keys[new], data, starts[where], ends[where] - starts[where])
+            self._add(keys[new], self._segment(data, starts[where], ends[where] - starts[where]))
         slots = self.slots[np.searchsorted(self.keys, keys)][place]
-        if not np.array_equal(self.bytes.take(slots), data):
-            raise ValueError("two chunks share a hash")
+        odd = self._unlike(slots, data, starts, ends)
+        if len(odd):  # another chunk has the hash: these are segmented apart
+            slots[odd] = self._segment(data, starts[odd], ends[odd] - starts[odd])
         return slots
 
+    def _unlike(self, slots: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Chunks whose bytes are not those of their slot; the chunks make up ``data``."""
+        if np.array_equal(self.bytes.take(slots), data):
+            return np.zeros(0, np.int64)
+        at, sizes = self.bytes.starts[slots], self.bytes.sizes[slots]
+        values = self.bytes.values
+        same = [
+            n == b - a and np.array_equal(values[p : p + n], data[a:b])
+            for p, n, a, b in zip(at.tolist(), sizes.tolist(), starts.tolist(), ends.tolist())
+        ]
+        return np.flatnonzero(~np.array(same))
+
 
 def chunk_bounds(data: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of texts that begin at ``heads``: markers and what follows them, or a line break."""

@@ -55,7 +55,7 @@ def _block_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts, ends = words.bounds(data, offsets, words.SPACES)
     owner = words.owners(starts, offsets)
     total = np.bincount(owner, minlength=n).astype(float)
-    found = words.hashes(data, starts, ends, fold=True)
+    found = words.feature_hashes(data, starts, ends, fold=True)
     order = np.lexsort((found, owner))
     owner_s, found_s = owner[order], found[order]
     new = np.ones(len(order), bool)

@@ -52,10 +52,10 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     for first, _, data, offsets in words.blocks(column):
         starts, ends = words.bounds(data, offsets, words.SIGNS)
         owner = words.owners(starts, offsets)
-        found, of = [words.hashes(data, starts, ends, fold=True)], [owner]
+        found, of = [words.feature_hashes(data, starts, ends, fold=True)], [owner]
         for size in BEGINNINGS:
             longer = ends - starts > size
-            head = words.hashes(data, starts[longer], starts[longer] + size, fold=True)
+            head = words.feature_hashes(data, starts[longer], starts[longer] + size, fold=True)
             found.append(words.mixed(head + np.uint64(size)))
             of.append(owner[longer])
         key = np.concatenate(of).astype(np.uint64) << np.uint64(bits)
