@@ -122,7 +122,7 @@ class _Places:
         order = np.lexsort((values[:, 0], ids, keys))
         self.values, ids, keys = values[order], ids[order], keys[order]
         heads = heads_of(keys, ids) if len(order) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(order))
+        ends = np.append(heads[1:], len(order)) if len(order) else heads
         names = zip(ids[heads].tolist(), keys[heads].tolist(), strict=True)
         self.of = dict(zip(names, zip(heads.tolist(), ends.tolist(), strict=True), strict=True))
         self.none = np.zeros((0, width), np.int64)
