@@ -3,7 +3,7 @@
 For a tokenizer that drops white space and never looks across it, a text's count is the sum of its words'
 counts. A table of frequent words and their counts goes to all workers once; words it misses are encoded by
 the library, each distinct one once, and kept in a cache of the worker. The table comes from
-``SAMPLE_ROWS`` rows that are cheapest to read and holds at most ``TABLE_WORDS`` words; it decides how often the library
+the first ``SAMPLE_ROWS`` rows of every task and holds at most ``TABLE_WORDS`` words; it decides how often the library
 is called and never what a word counts, so results do not depend on it. The cache falls
 back to the table when it holds ``CACHE_WORDS`` words, and words above ``LONG`` bytes are never kept, so memory is bounded.
 
@@ -15,8 +15,10 @@ the words that hold them reach the library whole; other columns are carried alon
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -26,7 +28,8 @@ from pyspark.sql import functions as F
 from factorloom.llm.carried import map_texts
 from factorloom.llm.splitting import byte_blocks, word_lists
 
-SAMPLE_ROWS = 5_000
+SAMPLE_ROWS = 200  # of each task
+TASK_WORDS = 4_000
 TABLE_WORDS = 1 << 16
 CACHE_WORDS = 1 << 19
 LONG = 64
@@ -90,13 +93,32 @@ class WordLengths:
         return totals
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, most: int = TABLE_WORDS) -> dict[bytes, int]:
-    """The words met most often in ``rows`` rows, with their tokens; at most ``most`` words of ``LONG`` bytes."""
-    each = F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("word")
-    counted = docs.select("text").limit(rows).select(each).groupBy("word").count()
-    short = F.octet_length("word").between(1, LONG)
-    top = counted.filter(short).orderBy(F.desc("count"), "word").limit(most).select("word").toArrow()
-    found = top["word"].to_pylist()
+def _first_words(rows: int, most: int):
+    """The words a task meets most often in its first rows; it reads no further."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: Counter[bytes] = Counter()
+        for batch in itertools.islice(batches, 1):
+            for texts in byte_blocks(batch.column("text").slice(0, rows)):
+                for raw in texts:
+                    for found in word_lists(raw):
+                        counted.update(found)
+        top = [(w.decode(), n) for w, n in counted.most_common(most) if len(w) <= LONG]
+        if top:
+            columns = [pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n"])
+
+    return run
+
+
+def frequent_words(
+    docs: DataFrame, tokenizer: str, rows: int = SAMPLE_ROWS, each: int = TASK_WORDS, most: int = TABLE_WORDS
+) -> dict[bytes, int]:
+    """Frequent words with their tokens, at most ``most`` of ``LONG`` bytes: of the first ``rows`` rows of each task the
+    ``each`` most frequent ones, added up. What is shuffled follows the number of tasks."""
+    counted = docs.select("text").mapInArrow(_first_words(rows, each), "word string, n bigint")
+    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    found = top.toArrow()["word"].to_pylist()
     return {w.encode(): n for w, n in zip(found, lengths(load(tokenizer), found))}
 
 
