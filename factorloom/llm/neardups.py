@@ -48,23 +48,29 @@ SHORT = 16  # members of a list that are all compared with each other
 LEAST_SHARED = 0.58  # of the union's sketch: six standard deviations below 0.85
 
 
+def _few(batch: pa.RecordBatch):
+    """Parts of a batch with a block of text each, so that what a task holds follows the block."""
+    for first, last, *_ in words.blocks(batch.column("text")):
+        yield batch.slice(first, last - first)
+
+
 def sketch_documents(docs: DataFrame, size: int, k: int = K) -> DataFrame:
     """doc_id, n (set size), print (of the whole set), sketch (sorted)."""
 
     def run(batches):
         for batch in batches:
-            ns, prints, sketches = [], [], []
-            for values in shingles.shingle_sets(batch.column("text"), size):
-                ns.append(len(values))
-                prints.append(shingles.set_fingerprint(values))
-                sketches.append(values[:k].astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
-            flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ns, pa.int64()), words.packed(prints), lists],
-                ["doc_id", "n", "print", "sketch"],
-            )
+            for part in _few(batch):
+                ns, prints, sketches = [], [], []
+                for values in shingles.shingle_sets(part.column("text"), size):
+                    ns.append(len(values))
+                    prints.append(shingles.set_fingerprint(values))
+                    sketches.append(values[:k].astype(np.int64))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sketches])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sketches)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(ns, pa.int64()), words.packed(prints), lists],
+                    ["doc_id", "n", "print", "sketch"],
+                )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id bigint, n bigint, print binary, sketch array<bigint>")
@@ -87,11 +93,12 @@ def _full_sets(docs: DataFrame, needed: DataFrame, size: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [v.tobytes() for v in shingles.shingle_sets(batch.column("text"), size)]
-            prints = [shingles.set_fingerprint(np.frombuffer(v, np.uint64)) for v in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), words.packed(prints), words.packed(sets)], ["id", "print", "values"]
-            )
+            for part in _few(batch):
+                sets = [v.tobytes() for v in shingles.shingle_sets(part.column("text"), size)]
+                prints = [shingles.set_fingerprint(np.frombuffer(v, np.uint64)) for v in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), words.packed(prints), words.packed(sets)], ["id", "print", "values"]
+                )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(needed.select("id").distinct(), "id")
     found = texts.mapInArrow(run, "id bigint, print binary, values binary")
