@@ -13,7 +13,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.functions import kernels
@@ -115,27 +115,27 @@ def _batch(columns: Sequence[np.ndarray]) -> pa.RecordBatch:
 
 
 def merged(parts: DataFrame) -> DataFrame:
-    """One row per kind, mask and pair. Both steps are dealt by the same key: one exchange of a row per task and pair."""
+    """One row per kind, mask and pair, by one exchange of a row per task and pair.
+
+    The tasks' rows of a pair are added in an order of their own, so that the last digits do not depend on which task ends first.
+    """
     key = ["kind", "mask", "a", "b"]
-    every = Window.partitionBy(*key)
-    share = lambda mean: F.try_divide(F.sum(F.col("n") * F.col(mean)).over(every), F.sum("n").over(every))
-    centred = parts.withColumns({"ca": share("ma"), "cb": share("mb")}).withColumns(
-        {"ga": F.col("ma") - F.col("ca"), "gb": F.col("mb") - F.col("cb")}
-    )
-    spread = lambda own, gap: F.sum(F.col(own) + F.col("n") * gap).alias(own)
-    ga, gb = F.col("ga"), F.col("gb")
-    return centred.groupBy(*key).agg(
-        F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.first("ca").alias("ma"), F.first("cb").alias("mb"),
-        spread("aa", ga * ga), spread("ab", ga * gb), spread("bb", gb * gb), spread("dd", (gb - ga) * (gb - ga)),
-    )
+    held = F.array_sort(F.collect_list(F.struct("ma", "mb", "n", "bad", "aa", "ab", "bb", "dd")))
+    total = lambda value, zero="0D": F.expr(f"aggregate(p, {zero}, (s, x) -> s + {value})")
+    whole = parts.groupBy(*key).agg(held.alias("p")).withColumns({"n": total("x.n", "0L"), "bad": total("x.bad", "0L")})
+    whole = whole.withColumns({m: F.try_divide(total(f"x.n * x.{m}"), F.col("n")) for m in ("ma", "mb")})
+    gaps = {"aa": ("x.ma - ma", "x.ma - ma"), "ab": ("x.ma - ma", "x.mb - mb"), "bb": ("x.mb - mb", "x.mb - mb")}
+    gaps["dd"] = ("x.mb - mb - (x.ma - ma)",) * 2
+    sums = [total(f"x.{name} + x.n * ({one}) * ({two})").alias(name) for name, (one, two) in gaps.items()]
+    return whole.select(*key, "n", "bad", "ma", "mb", *sums)
 
 
 def score(n: float, ma: float, mb: float, aa: float, ab: float, bb: float, dd: float) -> Score:
-    """The scores of values ``a`` as predictions of ``b``, to twelve digits: the order in which tasks end shows in the last ones."""
+    """The scores of values ``a`` as predictions of ``b``."""
     if not n:
         return Score(0, None, None, None)
     mse = max(dd, 0.0) / n + (mb - ma) ** 2
-    known = lambda x: float(f"{x:.12g}") if x is not None and math.isfinite(x) else None
+    known = lambda x: x if x is not None and math.isfinite(x) else None
     r2 = 1 - mse / (bb / n) if bb > 0 else None
     ic = ab / (math.sqrt(aa) * math.sqrt(bb)) if aa > 0 and bb > 0 else None
     return Score(int(n), known(mse), known(r2), known(ic))

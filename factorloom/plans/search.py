@@ -143,6 +143,11 @@ def scored_share(series: Series, settings: SearchSettings) -> Column:
     return key_share([*series.keys, *series.order], settings.random_state + 1) < settings.max_samples
 
 
+def _level(fitness: float) -> float:
+    """Fitness to ten digits: equal formulas in different words are equally good, whatever their last digits."""
+    return float(f"{fitness:.10g}")
+
+
 class Search:
     """The state of one search between rounds: formulas to score next, the best so far, and all seen."""
 
@@ -178,7 +183,7 @@ class Search:
             e = self.candidates[i]
             self.history.append((self.rounds, i, ex.text(e), ex.size(e), s.mse, s.r2, s.ic, fitness))
             self.survivors.append((fitness, e, (s.mse, s.r2, s.ic)))
-        self.survivors = sorted(self.survivors, key=lambda s: (s[0], ex.text(s[1])))[: settings.beam]
+        self.survivors = sorted(self.survivors, key=lambda s: (_level(s[0]), ex.text(s[1])))[: settings.beam]
         self.rounds += 1
         reached = settings.metric == "mse" and self.survivors and self.survivors[0][2][0] <= settings.stopping_criteria
         if reached or self.rounds >= settings.generations:
@@ -203,9 +208,8 @@ class Search:
             value = getattr(s, name)
             if value is not None and s.rows >= self.settings.least_rows * fullest:
                 fitness = (value if name == "mse" else -abs(value)) + worth * ex.size(e)
-                # equal formulas in different words are equally good, whatever their last digits
-                found.append((float(f"{fitness:.10g}"), i, s))
-        return sorted(found, key=lambda f: f[:2])[: self.settings.beam]
+                found.append((fitness, i, s))
+        return sorted(found, key=lambda f: (_level(f[0]), f[1]))[: self.settings.beam]
 
     def result(self) -> SearchResult:
         if not self.survivors:
