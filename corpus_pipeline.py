@@ -17,7 +17,7 @@ TOKENIZER = "piece_bpe_32k.model"
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are more likely toxic than not go; the model learns from the labels of the folder."""
+    """Documents the model gives a chance of 0.3 or more of being toxic go; it learns from the labels of the folder."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
     return scored.filter(~F.col("__rejected")).select(*docs.columns)

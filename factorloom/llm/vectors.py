@@ -3,8 +3,7 @@
 Each tree splits a bounded sample recursively by random directions at the median, until a
 leaf holds few sample rows. All rows then go down every tree; one that lies close to a
 split goes down both sides (spill), so near pairs are seldom parted. Rows of a leaf are
-compared with each other by one matrix product, and cosines near the threshold are
-computed again in double precision.
+compared with each other by one matrix product in double precision.
 
 A pair may meet in several leaves. Rows carry the leaves they reach in all trees, and a pair counts
 only in the first tree (and there the first leaf) where it meets. So the numbers of links of the leaves simply add up, and no
