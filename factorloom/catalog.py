@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 from factorloom.functions import registry as reg
 from factorloom.functions import scalars, timeseries
 from factorloom.operators import filters, prep, profile, reshape, schema, series
+from factorloom.operators.profile_state import ProfileState
 from factorloom.plans import expressions as ex
 from factorloom.plans import mining, scoring, search
 from factorloom.plans.loading import TARGET, load_training_table
@@ -569,6 +570,24 @@ QUERIES |= {
 }
 
 
+def refreshed(df: DataFrame, columns: Sequence[str]) -> ProfileState:
+    """A profile kept by month: all months first, then the last one again."""
+    state = ProfileState(df.sparkSession, scratch_path(df.sparkSession, "profile"), columns, grain="month")
+    data = materialize(df.select("date", *columns), "profiled")
+    state.refresh(data)
+    state.refresh(data, [as_of(data)])
+    return state
+
+
+QUERIES |= {
+    "kept_profile": _profile(lambda df: refreshed(df, [TARGET]).profile(TARGET)),
+    "kept_null_profile": _profile(lambda df: refreshed(df, ["open", "r_volume", TARGET]).null_profile(), returns),
+    "kept_feature_quality": _profile(
+        lambda df: refreshed(df, [*FEATURES, "r_volume"]).feature_quality(), views.bars, 4
+    ),
+}
+
+
 # ---- feature preparation ---------------------------------------------------------------------
 
 

@@ -829,6 +829,10 @@ def statements() -> dict[str, str]:
         exact = fn in ("max", "min")
         shown = ", ".join(f"{e} AS {n}" if exact else rnd(e, n, 4) for e, n in pair)
         out[f"ts_{fn}"] = using("bars", f"SELECT {k}, {shown} FROM bars")
+    # a profile merged from periods is that of the whole table
+    out["kept_profile"] = out["profile_target"]
+    out["kept_null_profile"] = out["null_profile"]
+    out["kept_feature_quality"] = out["feature_quality"]
     for name, expr in SCALARS.items():
         out[name] = using("bars", f"SELECT {k}, {rnd(expr, 'value')} FROM bars")
     return out
