@@ -8,7 +8,7 @@ an earlier one has a Jaccard similarity of at least ``percent`` / 100 with it, w
 3. Similar lines share a word among the first ``n - ceil(n * percent / 100) + 1`` in order of rarity.
    Lists of lines by such words are walked from each line back to earlier ones. Pairs must
    pass the length filter, the positional filter and a bound on the symmetric difference
-   from 64-bit word maps. A line that has met ``NEAREST`` promising partners in a list stops there, which keeps
+   from the parities of 64 word classes. A line that has met ``NEAREST`` promising partners in a list stops there, which keeps
    families of thousands of similar lines linear.
 4. The whole sets of the pairs decide. Lines that stopped early and were not removed walk their lists to the end.
 
@@ -125,7 +125,8 @@ def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> lis
     heads = heads_of(line)
     sizes = np.diff(np.append(heads, len(line)))
     spot = np.arange(len(line)) - np.repeat(heads, sizes)
-    maps = np.bitwise_or.reduceat(U64(1) << (found & U64(63)), heads)
+    # parities: words that two lines share cancel, so maps of long lines tell them apart as well
+    maps = np.bitwise_xor.reduceat(U64(1) << (found & U64(63)), heads)
     ones = np.add.reduceat(words.mixed(found ^ _SALTS[0]), heads)
     twos = np.add.reduceat(words.mixed(found ^ _SALTS[1]), heads)
     where = line[heads]  # lines with words
