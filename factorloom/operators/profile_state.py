@@ -10,8 +10,8 @@ Moments and sketches merge. Exact ranks are proved by counts: the merged sketch
 count as a whole, and only blocks around a cut are opened. The profiled table itself is never read again.
 
 Cases: NULL and NaN are missing values; a touched period without rows is emptied; rows without a date are a
-period that only a full refresh sets; columns are numbers (a text that is no number is missing); a refresh that was
-stopped between its two writes is found on reading and has to be repeated.
+period that only a full refresh sets; columns are numbers; a refresh that was stopped between its two writes is found
+by ``check``, which ``profile`` calls, and has to be repeated.
 """
 
 from __future__ import annotations
