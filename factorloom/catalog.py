@@ -19,6 +19,7 @@ from factorloom.plans.loading import TARGET, load_training_table
 from factorloom.session import materialize, scratch_path
 from factorloom.sources import calendar, tables
 from factorloom.sources import market_views as views
+from factorloom.sources.aligned import AlignedStore
 from factorloom.streaming.refresh import RefreshJob
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -297,6 +298,24 @@ def _(spark, folder):
     )
 
 
+def aligned(spark: SparkSession, folder: str) -> AlignedStore:
+    """Bars and long factors stored alike, two factors a column group."""
+    bars = views.bars(spark, folder).select(*KEYS, "open", "volume")
+    store = AlignedStore.create(materialize(bars, "bars"), scratch_path(spark, "aligned"), width=2)
+    store.add_factors(views.factor_long(spark, folder))
+    return store
+
+
+@query("stored_pivot_factors")
+def _(spark, folder):
+    return rounded(aligned(spark, folder).wide(["A", "N", "R"]))
+
+
+@query("stored_attach_factors")
+def _(spark, folder):
+    return rounded(aligned(spark, folder).attach(), columns=["A", "N", "R"])
+
+
 @query("existing_dates")
 def _(spark, folder):
     return calendar.existing_dates(views.bars(spark, folder))

@@ -829,6 +829,9 @@ def statements() -> dict[str, str]:
         exact = fn in ("max", "min")
         shown = ", ".join(f"{e} AS {n}" if exact else rnd(e, n, 4) for e, n in pair)
         out[f"ts_{fn}"] = using("bars", f"SELECT {k}, {shown} FROM bars")
+    # tables stored alike give what a pivot and a join give
+    out["stored_pivot_factors"] = out["pivot_factors"]
+    out["stored_attach_factors"] = out["attach_factors"]
     # a profile merged from periods is that of the whole table
     out["kept_profile"] = out["profile_target"]
     out["kept_null_profile"] = out["null_profile"]
