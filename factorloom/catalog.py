@@ -738,17 +738,52 @@ def _(spark, folder):
 ONE_STEP = ("safe_add", "safe_sub", "ts_mean_3")
 
 
-@query("search_one_step")
-def _(spark, folder):
-    """A search over every one-step formula of two columns, one constant and three functions."""
+def one_step_search(table: DataFrame, columns: Sequence[str], order: Sequence[str] = series.ORDER) -> DataFrame:
+    """A search over every one-step formula of the columns, one constant and three functions."""
     functions = {n: f for n, f in reg.default_registry((3,)).items() if n in ONE_STEP}
     settings = search.SearchSettings(
         population_size=1000, generations=1, beam=1000, max_samples=1.0, max_depth=2, constants=1,
         stopping_criteria=0.0,
     )
-    found = search.search_factors(clean(spark, folder), ["open", "volume"], TARGET, functions, settings)
-    table = search.history_table(spark, found)
-    return rounded(table.select("expression", "size", "mse", "ic", "fitness"), 3)
+    found = search.search_factors(table, columns, TARGET, functions, settings, order=order)
+    history = search.history_table(table.sparkSession, found)
+    return rounded(history.select("expression", "size", "mse", "ic", "fitness"), 3)
+
+
+@query("search_one_step")
+def _(spark, folder):
+    return one_step_search(clean(spark, folder), ["open", "volume"])
+
+
+def stored_training_table(
+    spark: SparkSession, rows: DataFrame, source: str, strategy: tables.PartitionStrategy, horizon: int
+) -> tuple[DataFrame, tuple[str, ...]]:
+    """Write rows as a stored bar table of the source, and load it for training in the source's order."""
+    root = scratch_path(spark, "db")
+    name = tables.SOURCES[source]
+    tables.write_table(rows, _config(name, strategy), tables.stock_path(root, name))
+    stored = tables.scan_bars(spark, root, source, rows.schema)
+    order = tables.bar_order(stored, source)
+    days = calendar.folder_dates(spark, tables.stock_path(root, name), _config(name, strategy))
+    first, last = days.agg(F.min("date"), F.max("date")).first()
+    bounds = (first or calendar.GLOBAL_START, last or calendar.GLOBAL_START)
+    return load_training_table(stored, *bounds, horizon=horizon, order=order), order
+
+
+@query("search_minutes")
+def _(spark, folder):
+    """Minute bars from their stored table to a search: targets two minutes ahead, windows by minute."""
+    rows = views.minute_bars(spark, folder)
+    table, order = stored_training_table(spark, rows, "minute", tables.PartitionStrategy.DATE, 2)
+    return one_step_search(table, ["open", "volume"], order)
+
+
+@query("search_ticks")
+def _(spark, folder):
+    """Ticks from their stored table to a search: twenty ticks ahead, windows by moment and sequence number."""
+    rows = views.type_ticks(spark, folder)
+    table, order = stored_training_table(spark, rows, "tick", tables.PartitionStrategy.DATE_AND_STOCK, 20)
+    return one_step_search(table, ["open"], order)
 
 
 @query("seed_expressions")

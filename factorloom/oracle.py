@@ -60,6 +60,20 @@ TABLES = {
                event_id AS seq, value AS open
         FROM events""",
     "scored": "SELECT *, target_feature AS y, volume AS p FROM cleaned",
+    "minute_fr": """
+        SELECT *, (lead(open, 2) OVER (PARTITION BY order_book_id ORDER BY datetime) - open)
+                  / nullif(open, 0) AS target_feature
+        FROM minute_bars""",
+    "minute_cleaned": """
+        SELECT minute_fr.* FROM minute_fr, (SELECT 10 * stddev_samp(target_feature) AS reach FROM minute_fr) AS spread
+        WHERE target_feature IS NOT NULL AND abs(target_feature) <= reach""",
+    "tick_fr": """
+        SELECT *, (lead(open, 20) OVER (PARTITION BY order_book_id ORDER BY datetime, seq) - open)
+                  / nullif(open, 0) AS target_feature
+        FROM type_ticks""",
+    "tick_cleaned": """
+        SELECT tick_fr.* FROM tick_fr, (SELECT 10 * stddev_samp(target_feature) AS reach FROM tick_fr) AS spread
+        WHERE target_feature IS NOT NULL AND abs(target_feature) <= reach""",
 }
 NEEDS = {
     "minute_bars": ["ticks"],
@@ -69,6 +83,10 @@ NEEDS = {
     "steady": ["fr"],
     "odd": ["bars"],
     "scored": ["cleaned"],
+    "minute_fr": ["minute_bars"],
+    "minute_cleaned": ["minute_fr"],
+    "tick_fr": ["type_ticks"],
+    "tick_cleaned": ["tick_fr"],
 }
 
 
@@ -99,6 +117,7 @@ def rnds(names: Sequence[str], digits: int = 6) -> str:
 # ---- windows ---------------------------------------------------------------------------------
 
 SERIES = "PARTITION BY order_book_id ORDER BY date"
+SERIES_MINUTE = "PARTITION BY order_book_id ORDER BY datetime"
 SERIES_TICK = "PARTITION BY order_book_id ORDER BY datetime, seq"
 
 
@@ -327,9 +346,11 @@ RANKED_BY = (
 )
 
 
-def one_step() -> str:
-    """Every one-step formula of two columns, the constant -10 and three functions, with its scores."""
-    columns, constant = ("open", "volume"), "-10"
+def one_step(
+    source: str = "cleaned", columns: Sequence[str] = ("open", "volume"), order: str = SERIES
+) -> str:
+    """Every one-step formula of the columns, the constant -10 and three functions, with its scores."""
+    constant = "-10"
     formulas = {c: (1, c) for c in columns}
     formulas |= {f"ts_mean_3({c})": (2, rolling("mean", c, 3)) for c in columns}
     for name, sign in (("safe_add", "+"), ("safe_sub", "-")):
@@ -344,10 +365,10 @@ def one_step() -> str:
         for i, (name, (size, _)) in enumerate(formulas.items())
     ]
     return using(
-        "cleaned",
+        source,
         f"SELECT expression, size, {rnds(('mse', 'ic'), 3)}, {rnd('mse + 0.01 * size', 'fitness', 3)} "
         f"FROM ({tall(rows)})",
-        vals=f"SELECT {T}, {values} FROM cleaned",
+        vals=f"SELECT {T}, {values.replace(SERIES, order)} FROM {source}",
     )
 
 
@@ -785,6 +806,8 @@ def statements() -> dict[str, str]:
             ]),
         ),
         "search_one_step": one_step(),
+        "search_minutes": one_step("minute_cleaned", order=SERIES_MINUTE),
+        "search_ticks": one_step("tick_cleaned", ["open"], SERIES_TICK),
         "score_expressions": using(
             "cleaned",
             f"SELECT id, expression, size, rows, {rnds(('mse', 'r2', 'ic'), 4)} FROM scores",
