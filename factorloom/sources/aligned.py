@@ -59,13 +59,18 @@ class AlignedStore:
     def create(
         cls, bars: DataFrame, path: str, buckets: int | None = None, width: int = WIDTH
     ) -> AlignedStore:
-        """Write the bars to a new folder. Without ``buckets`` their number follows the rows."""
+        """Write the bars to a new folder. Without ``buckets`` their number follows the rows.
+
+        The layout is written last: a folder without one, left by a write that stopped, is written anew.
+        """
         spark, path = bars.sparkSession, path.rstrip("/")
+        if _is_there(spark, f"{path}/layout/_SUCCESS"):
+            raise ValueError(f"{path} holds a store already")
         if buckets is None:
             buckets = min(max(1, -(-bars.count() // ROWS_PER_BUCKET)), MOST_BUCKETS)
-        _insert(bars, f"{path}/bars", bars.schema, buckets)
+        _insert(bars, f"{path}/bars", bars.schema, buckets, anew=True)
         layout = spark.createDataFrame([(buckets, width, bars.schema.json())], LAYOUT)
-        layout.coalesce(1).write.json(f"{path}/layout")
+        layout.coalesce(1).write.mode("overwrite").json(f"{path}/layout")
         return cls(spark, path)
 
     def places(self) -> dict[str, tuple[str, str]]:
@@ -184,10 +189,11 @@ def _entry(spark: SparkSession, path: str, schema: StructType, buckets: int) ->
     name = f"factorloom_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     keys = ", ".join(f"`{k}`" for k in FACTOR_KEYS)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
     folders = f"PARTITIONED BY ({GROUP}) " if GROUP in schema.names else ""
     spark.sql(
         f"CREATE TABLE {name} ({columns}) USING parquet {folders}"
-        f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'"
+        f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{place}'"
     )
     try:
         yield name
@@ -195,10 +201,15 @@ def _entry(spark: SparkSession, path: str, schema: StructType, buckets: int) ->
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _insert(rows: DataFrame, path: str, schema: StructType, buckets: int) -> None:
-    """Append rows, one file a bucket: the exchange deals rows the way buckets are numbered."""
+def _is_there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _insert(rows: DataFrame, path: str, schema: StructType, buckets: int, anew: bool = False) -> None:
+    """Append rows, one file a bucket: the exchange deals rows the way buckets are numbered. ``anew`` replaces all."""
     with _entry(rows.sparkSession, path, schema, buckets) as name:
-        rows.repartition(buckets, *FACTOR_KEYS).select(*schema.names).write.insertInto(name)
+        rows.repartition(buckets, *FACTOR_KEYS).select(*schema.names).write.insertInto(name, overwrite=anew)
 
 
 def _bucketed(spark: SparkSession, path: str, schema: StructType, buckets: int) -> DataFrame:

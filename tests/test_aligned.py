@@ -127,3 +127,13 @@ def test_empty_tables(spark, tmp_path):
     assert store.add_factors(spark.createDataFrame([], LONG), ["a"]) == ["a"]
     assert store.wide(["a"]).columns == ["date", "order_book_id", "a"] and store.wide().count() == 0
     assert os.path.isdir(f"{tmp_path}/s/names")
+
+
+def test_a_stopped_write_is_written_anew(spark, frame, tmp_path):
+    path = f"{tmp_path}/it's"
+    store = AlignedStore.create(bars_of(frame), path, buckets=2)
+    with pytest.raises(ValueError, match="holds a store already"):
+        AlignedStore.create(bars_of(frame), path)
+    os.remove(f"{path}/layout/_SUCCESS")
+    assert rows_of(AlignedStore.create(bars_of(frame), path, buckets=2).bars()) == rows_of(bars_of(frame))
+    assert store.bars().count() == 62
