@@ -109,10 +109,11 @@ class AlignedStore:
         """Append the bars, and the values of the stored factors, of days not stored yet.
 
         Days that a table holds already stay as they are, so an addition that stopped between its two writes is
-        finished by repeating it.
+        finished by repeating it. Rows without a day belong to no day and are not added.
         """
         held = self.bars().select("date").distinct()
-        _insert(bars.join(held, "date", "left_anti"), f"{self.path}/bars", self.schema, self.buckets)
+        fresh = bars.filter("date is not null").join(held, "date", "left_anti")
+        _insert(fresh, f"{self.path}/bars", self.schema, self.buckets)
         places = read_if_present(self.spark, f"{self.path}/names")
         if factors is not None and places is not None:
             rows = self._packed(factors, places)

@@ -70,7 +70,7 @@ def test_opened_again_and_grown(spark, frame, tmp_path):
     store = AlignedStore(spark, path)
     store.add_factors(factors_of(frame, first), ["d", "e"])
     for _ in range(2):  # days that are stored are not stored twice
-        store.add_days(bars_of(frame, DAYS).dropna(), factors_of(frame, DAYS))
+        store.add_days(bars_of(frame, DAYS), factors_of(frame, DAYS))
     more = bars_of(frame, first).unionByName(bars_of(frame, later).dropna())
     known = factors_of(frame, first).unionByName(factors_of(frame, DAYS).filter(F.col("date") > first[-1]))
     wide = pivot_factors(known.dropna("any", subset=["date", "order_book_id", "factor_name"]), ["a", "b", "c", "d", "e"])
