@@ -1,7 +1,7 @@
 """A value store for searches: series packed in blocks, columns and kept formulas side by side.
 
-A pack is one row: whole series one after the other, every column as the bytes of its values. Packs are
-written once, so a scoring pass has no exchange and no sort; it reads packs, evaluates each distinct
+A pack is one row: whole series one after the other, or a piece of a long one, every column as the bytes of its values.
+Packs are written once, in small row groups, so a scoring pass has no exchange and no sort; it reads packs, evaluates each distinct
 formula once per pack with the array functions, and emits moments. Formulas that later ones build on are kept as columns of the
 store under the formula itself, so a candidate is a few steps over stored columns however deep it is, and the plan of a pass
 never grows.
@@ -33,7 +33,12 @@ from factorloom.session import materialize
 
 PACK_ROWS = 16_384
 TASK_ROWS = 2_000_000
+PIECE_ROWS = 32_768
 KEEP_STEPS = 60  # formulas evaluated a second time in a round before the store keeps them
+# a pack is a row of megabytes: a writer holds, and a reader decodes, one row group at a time
+PACK_FILES = {
+    "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+}
 
 Wanted = Mapping[int, Sequence[ex.Expr]]
 
@@ -42,31 +47,45 @@ def supports(functions: Registry) -> bool:
     return all(f.kernel is not None for f in functions.values())
 
 
-def _packer(first: str, values: Sequence[str], masks: Sequence[str], most: int):
-    """Rows sorted by series to packs of whole series with at least ``most`` rows."""
+def _packer(first: str, values: Sequence[str], masks: Sequence[str], most: int, reach: int | None):
+    """Rows sorted by series to packs of whole series with at least ``most`` rows.
 
-    def pack(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        starts = np.flatnonzero(table[first].to_numpy())
+    With ``reach``, a longer series is cut into pieces: each begins with copies of the ``reach`` rows before it,
+    which no mask counts.
+    """
+    piece = None if reach is None else max(PIECE_ROWS, most, 2 * reach)
+
+    def pack(table: pa.Table, copies: int, cut: bool) -> pa.RecordBatch:
+        starts = np.union1d([0], np.flatnonzero(table[first].to_numpy()))
         sizes = np.diff(np.append(starts, len(table)))
+        own = np.arange(len(table)) >= copies
         cells = [sizes.astype(np.int64).tobytes()]
-        cells += [table[m].to_numpy().astype(np.bool_).tobytes() for m in masks]
+        cells += [(table[m].to_numpy().astype(np.bool_) & own).tobytes() for m in masks]
         cells += [pc.fill_null(table[v], math.nan).to_numpy().astype(np.float64).tobytes() for v in values]
-        return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["sizes", *masks, *values])
+        arrays = [pa.array([cut or copies > 0]), *[pa.array([c], pa.binary()) for c in cells]]
+        return pa.RecordBatch.from_arrays(arrays, ["cut", "sizes", *masks, *values])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        rows = 0
+        rows = copies = 0
         for batch in batches:
             heads = np.flatnonzero(batch.column(first).to_numpy(zero_copy_only=False))
+            if rows == copies and len(heads) and heads[0] == 0:  # the series ended with its last piece
+                held, rows, copies = [], 0, 0
             if rows and len(heads) and rows + heads[-1] >= most:
                 cut = int(heads[-1])
-                yield pack([*held, batch.slice(0, cut)])
-                held, rows, batch = [], 0, batch.slice(cut)
+                yield pack(pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks(), copies, False)
+                held, rows, copies, batch = [], 0, 0, batch.slice(cut)
             held.append(batch)
             rows += batch.num_rows
-        if rows:
-            yield pack(held)
+            if piece is not None and rows - copies >= piece:
+                table = pa.Table.from_batches(held).combine_chunks()
+                yield pack(table, copies, True)
+                last = np.flatnonzero(table[first].to_numpy())
+                copies = min(reach, len(table) - (int(last[-1]) if len(last) else 0))
+                held, rows = table.slice(len(table) - copies).to_batches(), copies
+        if rows > copies:
+            yield pack(pa.Table.from_batches(held).combine_chunks(), copies, False)
 
     return run
 
@@ -149,9 +168,12 @@ class ValueStore:
     @classmethod
     def build(
         cls, series: Series, features: Sequence[str], target: str, masks: Sequence[Column], functions: Registry,
-        pack_rows: int = PACK_ROWS,
+        pack_rows: int = PACK_ROWS, reach: int | None = None,
     ) -> ValueStore:
-        """Write the rows of ``series`` once; a mask tells the rows a score counts, among those with a target."""
+        """Write the rows of ``series`` once; a mask tells the rows a score counts, among those with a target.
+
+        With ``reach``, the longest lookback of any formula, a pack holds a piece of a long series.
+        """
         rows = series.rows
         y = F.col(target).cast("double")
         own = y.isNotNull() & ~F.isnan(y)
@@ -168,9 +190,11 @@ class ValueStore:
         )
         names = [f"m{i}" for i in range(len(masks))]
         values = ["y", *held.values()]
-        kinds = ", ".join(f"{n} binary" for n in ["sizes", *names, *values])
-        packs = materialize(flat.mapInArrow(_packer("__first", values, names, pack_rows), kinds), "packs")
-        return cls(packs, held, len(masks), functions, series.split)
+        kinds = ", ".join(["cut boolean", *[f"{n} binary" for n in ["sizes", *names, *values]]])
+        packs = flat.mapInArrow(_packer("__first", values, names, pack_rows, reach), kinds)
+        packs = materialize(packs, "packs", **PACK_FILES)
+        split = series.split or (reach is not None and not packs.filter("cut").isEmpty())
+        return cls(packs.drop("cut"), held, len(masks), functions, split)
 
     def steps(self, exprs: Iterable[ex.Expr]) -> int:
         """Functions to evaluate for ``exprs`` beyond what is held."""
@@ -209,7 +233,7 @@ class ValueStore:
                     yield pa.RecordBatch.from_arrays(cells, [*base, *[held[e] for e in kept]])
 
         kinds = ", ".join(f"{n} binary" for n in [*base, *[held[e] for e in kept]])
-        return replace(self, packs=materialize(self.packs.mapInArrow(run, kinds), "packs"), held=held)
+        return replace(self, packs=materialize(self.packs.mapInArrow(run, kinds), "packs", **PACK_FILES), held=held)
 
     def _windows(self, expr: ex.Expr) -> list[tuple]:
         nodes: set[ex.Expr] = set()

@@ -50,13 +50,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/factorloom/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, label: str = "table", **options: str) -> DataFrame:
+    """Write ``df`` once to the shared folder, with ``options`` of the writer, and read it back.
 
     Cuts the lineage and fixes values such as partition numbers, so a lost executor
     re-reads files and never recomputes them differently.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,6 +77,49 @@ def test_packs_hold_whole_series(table):
     assert sizes == [40, 90, 260]
 
 
+def test_files_of_packs_have_small_row_groups(table, monkeypatch):
+    """A file of large rows is not one row group, neither when packs are built nor when formulas are kept."""
+    monkeypatch.setitem(store.PACK_FILES, "parquet.block.size", "256")
+    spark, size = table.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "10")
+    series = lay_out(table.withColumn("order_book_id", F.pmod(F.hash("date"), F.lit(40)).cast("string")))
+    plain = store.ValueStore.build(series, ["a", "b"], "y", [F.lit(True)], FUNCTIONS, pack_rows=1)
+    spark.conf.unset(size)
+    for values in (plain, plain.keep([("ts_mean_7", "a")])):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in values.packs.inputFiles()]
+        assert any(m.num_rows > 1 for m in files)
+        assert all(m.num_row_groups == m.num_rows for m in files)
+
+
+@pytest.mark.parametrize("reach", [0, 20])
+def test_long_series_are_scored_in_pieces(spark, table, monkeypatch, reach):
+    """Pieces of a long series give the scores of the whole one; what a piece of zeros does not tell is unknown."""
+    monkeypatch.setattr(store, "PIECE_ROWS", 45)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "15")
+    try:
+        series, where = lay_out(table), F.col("a") > -1
+        plain = store.ValueStore.build(series, COLUMNS, "y", [F.lit(True), where], FUNCTIONS, pack_rows=30, reach=reach)
+        sizes = [n for r in plain.packs.collect() for n in np.frombuffer(r["sizes"], np.int64).tolist()]
+        assert plain.split and max(sizes) <= 45 + 15 + reach and len(sizes) > 6
+        exprs = [e for e in EXPRS if ex.lookback(e, FUNCTIONS) <= reach]
+        kept = plain.keep([("safe_mul", "a", "b"), ("ts_std_7", "b")][: 1 + reach])
+        for mask, condition in ((0, None), (1, where)):
+            rows = {r["id"]: r for r in scoring.score_on(series, exprs, "y", FUNCTIONS, condition).collect()}
+            for values in (plain, kept):
+                scores, unknown = values.score({mask: exprs})
+                assert {e for e in unknown if "ts_rank" not in ex.text(e)} == set()
+                for i, e in enumerate(exprs):
+                    if e not in unknown:
+                        same(scores[mask, e], rows[i])
+        small = {n: f for n, f in FUNCTIONS.items() if n in ("safe_add", "safe_mul", "ts_mean_3", "ts_rank_7")}
+        found = search.search_on(series, ["a", "late"], "y", small, SETTINGS)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(store, "PIECE_ROWS", 10**6)
+    whole = search.search_on(series, ["a", "late"], "y", small, SETTINGS)
+    assert [h[:4] for h in found.history] == [h[:4] for h in whole.history]
+
+
 def test_a_pass_has_no_exchange_of_rows_and_a_plan_of_one_size(table):
     values = store.ValueStore.build(lay_out(table), COLUMNS, "y", [F.lit(True)], FUNCTIONS)
     again = values.keep([EXPRS[8], EXPRS[10]]).keep([EXPRS[11]])
