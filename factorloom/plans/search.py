@@ -229,7 +229,11 @@ class _Blocks:
         self.masks = [scored_share(series, s) for s in samples.values()]
         self.masks = self.masks if where is None else [m & where for m in self.masks]
         self.series, self.target, self.functions = series, target, functions
-        self.store = ValueStore.build(series, features, target, self.masks, functions)
+        reach = max(
+            max([reach_limit(s.functions, s.settings.max_depth), *[ex.lookback(e, s.functions) for e in s.seeds]])
+            for s in searches
+        )
+        self.store = ValueStore.build(series, features, target, self.masks, functions, reach=reach)
 
     def _mask(self, search: Search) -> int:
         return self.mask[search.settings.random_state, search.settings.max_samples]
