@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.operators.joins import null_safe_join
+from factorloom.operators.joins import group_join, null_safe_join
 from factorloom.operators.quantiles import fit_quantiles
 from factorloom.operators.ranks import group_quantiles
 from factorloom.operators.series import forward_return
@@ -173,10 +173,10 @@ def iqr_outliers(
 ) -> DataFrame:
     """Quartiles, 1.5-IQR bounds, and rows strictly outside them."""
     if by:
-        # the rows are read again beside their group's quartiles; the optimizer broadcasts the
-        # quartiles when they are few, and splits the rows of a hot group otherwise
-        quartiles = _summary(df, column, [], {"__q1": 0.25, "__q3": 0.75}, by)
-        rows = null_safe_join(df.select(*by, column), quartiles, by)
+        # the rows are read again beside their group's quartiles, so both are written once
+        data = materialize(df.select(*by, column), "column")
+        quartiles = _summary(data, column, [], {"__q1": 0.25, "__q3": 0.75}, by)
+        rows = group_join(data, materialize(quartiles, "quartiles"), by)
         return rows.groupBy(*by).agg(*_outliers(number(column), F.col("__q1"), F.col("__q3")))
     data = _stored(df, column)
     fitted = fit_quantiles(data, [column], (0.25, 0.75), exact_rows, stored=True)[column]
@@ -223,8 +223,10 @@ def row_and_distinct(
 def _profile_groups(df: DataFrame, column: str, by: list[str]) -> DataFrame:
     """The distribution profile of each group: exact quantiles, then one aggregate beside the quartiles."""
     names = {_name(p): p for p in REPORT_QUANTILES}
-    marks = _summary(df, column, [], names | {"median": 0.5, "__q1": 0.25, "__q3": 0.75}, by)
-    rows = null_safe_join(df.select(*by, column), marks.select(*by, "__q1", "__q3"), by)
+    # both are read several times, so they are written once
+    df = materialize(df.select(*by, column), "column")
+    marks = materialize(_summary(df, column, [], names | {"median": 0.5, "__q1": 0.25, "__q3": 0.75}, by), "marks")
+    rows = group_join(df, marks.select(*by, "__q1", "__q3"), by)
     x = number(column)
     table = rows.groupBy(*by).agg(
         *_moments(x), *_outliers(x, F.col("__q1"), F.col("__q3")), *_quality(_double(column))

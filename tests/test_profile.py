@@ -9,6 +9,7 @@ import pytest
 
 from factorloom.operators import filters
 from factorloom.operators import profile as pr
+from factorloom.operators.joins import group_join
 
 DAY = dt.date(2020, 1, 1)
 
@@ -162,3 +163,29 @@ def test_safe_functions(frame):
     assert got["sq"][8] == 0.0 and got["sq"][9] == 16.0
     assert got["div"] == [0, 0, 0, 0, 0, 1, 1, 1, 1, 1]
     assert got["clip"][0] is None and got["clip"][5] == -1.0 and got["clip"][9] == 3.0
+
+
+def test_rows_of_hot_groups_meet_their_marks_without_a_shuffle_by_group(frame):
+    """Hot, small, missing and markless groups; only the rows of the others are shuffled."""
+    groups = ["hot"] * 60 + [None] * 40 + ["a", "b", "b"]
+    rows = frame([(g, float(i)) for i, g in enumerate(groups)], "g string, x double")
+    marks = frame([("hot", 1), (None, 2), ("a", 3)], "g string, m int")
+    got = group_join(rows, marks, ["g"], hot_keys=4, least=10)
+    want = {"hot": 1, None: 2, "a": 3, "b": None}
+    assert sorted((r["x"], r["m"]) for r in got.collect() if r["g"] != "b") == [
+        (float(i), want[g]) for i, g in enumerate(groups) if g != "b"
+    ]
+    assert [r["m"] for r in got.collect() if r["g"] == "b"] == [None, None]
+    assert "Union" in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = group_join(rows, marks, ["g"])
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.collect()))
+
+
+def test_grouped_profiles_of_hot_groups_equal_the_plain_ones(frame, values, monkeypatch):
+    df = frame([("ab"[i % 7 == 0], v) for i, v in enumerate(values)] + [(None, 1.0)], "g string, x double")
+    calls = [lambda: pr.profile_target(df, "x", by=["g"]), lambda: pr.iqr_outliers(df, "x", by=["g"])]
+    plain = [sorted(map(str, call().collect())) for call in calls]
+    used = []
+    hot = lambda *a: used.append(1) or group_join(*a, least=5)
+    monkeypatch.setattr(pr, "group_join", hot)
+    assert [sorted(map(str, call().collect())) for call in calls] == plain and len(used) == 2
