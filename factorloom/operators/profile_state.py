@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from factorloom.operators.profile import IQR_REACH, REPORT_QUANTILES
 from factorloom.operators.quantiles import FETCH_ROWS, SKETCH_K, ColumnQuantiles, _around, _ranks
 from factorloom.operators.tall import named, tall
-from factorloom.session import materialize
+from factorloom.session import materialize, shuffles_for
 from factorloom.sources.tables import as_date
 
 BLOCK_BITS = 12
 BLOCK_VALUES = 2**BLOCK_BITS
+TASK_ROWS = 1_000_000  # values that a task of a refresh orders
 NARROWING = 16  # regions a round cuts a wide region into
 GRAINS = {"day": {}, "month": {"day": 1}, "year": {"month": 1, "day": 1}}
 NO_COLUMN = -1  # marks a touched period, so that one without rows is written as well
@@ -75,8 +76,9 @@ class ProfileState:
         values = tall(rows, [f"c_{i}" for i in range(len(self.columns))], ["part"])
         values = materialize(values.withColumn("v", F.col("v") + 0.0), "profile")  # no negative zeros
         stamp = uuid.uuid4().hex
-        self._write(_blocks(values), "blocks", touched, stamp, "c", "low")
-        self._write(_days(values), "days", touched, stamp, "c")
+        with shuffles_for(self.spark, values.count(), TASK_ROWS):
+            self._write(_blocks(values), "blocks", touched, stamp, "c", "low")
+            self._write(_days(values), "days", touched, stamp, "c")
 
     def _write(self, state: DataFrame, name: str, touched: list[dt.date] | None, stamp: str, *order: str) -> None:
         if touched is not None:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
 
 
 def local_session(cpus: int | str = "*", app: str = "factorloom", **conf: str) -> SparkSession:
@@ -60,3 +64,14 @@ def materialize(df: DataFrame, label: str = "table", **options: str) -> DataFram
     path = scratch_path(spark, label)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def shuffles_for(spark: SparkSession, rows: int, task_rows: int) -> Iterator[None]:
+    """Jobs started inside shuffle to at least ``rows / task_rows`` partitions, so a task's share does not follow the input."""
+    before = spark.conf.get(SHUFFLE_PARTITIONS)
+    spark.conf.set(SHUFFLE_PARTITIONS, str(max(int(before), math.ceil(rows / task_rows))))
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_PARTITIONS, before)

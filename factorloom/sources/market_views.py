@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorloom.session import SHUFFLE_PARTITIONS
 from factorloom.sources.tables import scan
 
+TASK_ROWS = 1_000_000  # trades that a task turns to bars
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return scan(spark, f"{folder}/{name}.parquet")
@@ -17,7 +22,11 @@ def _day(column: str) -> Column:
 
 
 def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Day bars: one row per supplier and ship date. ``r_volume`` is missing on most days."""
+    """Day bars: one row per supplier and ship date. ``r_volume`` is missing on most days.
+
+    A bar has few trades, so a task holds nearly as many bars as it gets trades: above ``TASK_ROWS`` of them to each of the
+    session's shuffle partitions there are more.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
     trades = _table(spark, folder, "lineitem").select(
         F.col("l_suppkey").alias("order_book_id"),
@@ -28,6 +37,9 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_extendedprice").alias("turnover"),
         F.col("l_returnflag").alias("flag"),
     )
+    tasks = math.ceil(trades.count() / TASK_ROWS)
+    if tasks > int(spark.conf.get(SHUFFLE_PARTITIONS)):
+        trades = trades.repartition(tasks, "order_book_id", "date")
     return trades.groupBy("order_book_id", "date").agg(
         F.min_by("p", "k").alias("open"),
         F.max("p").alias("high"),

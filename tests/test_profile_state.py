@@ -9,6 +9,7 @@ import pytest
 
 from factorloom.operators import profile, profile_state
 from factorloom.operators.profile_state import ProfileState
+from factorloom.sources import market_views
 
 FIRST = dt.date(2021, 1, 29)
 DDL = "date date, x double, y double"
@@ -110,3 +111,31 @@ def test_distinct_values_by_sketch(frame, state, rows):
     exact = kept.distinct("x")
     assert exact == len({r[1] for r in rows})
     assert abs(kept.distinct("x", exact=False) - exact) <= 0.05 * exact
+
+
+def test_tasks_of_a_refresh_follow_the_rows(spark, frame, state, rows, monkeypatch):
+    """More values, more shuffle partitions; the session's number is put back, and the profile is the same."""
+    name, table = "spark.sql.shuffle.partitions", frame(rows, DDL)
+    before, seen = spark.conf.get(name), []
+    write = ProfileState._write
+    monkeypatch.setattr(ProfileState, "_write", lambda *a: seen.append(spark.conf.get(name)) or write(*a))
+    kept = state()
+    kept.refresh(table)
+    want = one(kept.profile("x"))
+    monkeypatch.setattr(profile_state, "TASK_ROWS", 200)
+    kept.refresh(table)
+    assert seen == [before] * 2 + ["12"] * 2 and spark.conf.get(name) == before
+    assert one(kept.profile("x")) == pytest.approx(want)
+
+
+def test_tasks_that_make_bars_follow_the_trades(spark, frame, tmp_path, monkeypatch):
+    trades = [
+        (i // 3, i % 3, i % 5, float(1 + i % 7), 10.0 * (i % 11 + 1), "RAN"[i % 3], dt.datetime(2020, 1, 1 + i % 4))
+        for i in range(300)
+    ]
+    ddl = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"
+    frame(trades, ddl).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plain = sorted(map(str, market_views.bars(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(market_views, "TASK_ROWS", 15)
+    bars = market_views.bars(spark, str(tmp_path))
+    assert bars.rdd.getNumPartitions() == 20 and sorted(map(str, bars.collect())) == plain
