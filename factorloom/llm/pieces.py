@@ -27,6 +27,7 @@ from factorloom.llm import words
 
 MARK = "▁"
 TABLE = 400_000
+BLOCK = 1 << 18  # bytes of text encoded at a time: what a task holds beside its table follows it
 LINE, SPACE = 0x0A, 0x20
 
 
@@ -214,8 +215,9 @@ def _encoder(model: bytes, carried: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model)
         for batch in batches:
-            first = 0
-            for texts in text_blocks([t or "" for t in batch.column("__text").to_pylist()]):
+            for first, last, *_ in words.blocks(batch.column("__text"), BLOCK):
+                own = batch.slice(first, last - first)
+                texts = [t or "" for t in own.column("__text").to_pylist()]
                 found = encode_block(texts, table)
                 raw, ids, ends = found.labels.tobytes(), found.ids.tolist(), found.id_ends
                 labels = [
@@ -226,8 +228,6 @@ def _encoder(model: bytes, carried: int, with_ids: bool):
                     _digest(table.pieces.decode(ids[a:b]).encode() if b > a else b"")
                     for a, b in zip(ends, ends[1:])
                 ]
-                own = batch.slice(first, len(texts))
-                first += len(texts)
                 columns = [own.column(n) for n in names]
                 columns += [pa.array(np.diff(ends)), pa.array(labels), pa.array(decoded)]
                 if with_ids:
