@@ -15,7 +15,9 @@ connected already are done, which ends a list of thousands of near copies after
 list's largest component have to be centres. For documents of lists
 still open after that (unlike ones around a common passage), lists are made anew from whole sets: of the
 shingles in order of rarity, the first 15 % and one more must hold a shared one, and a rare shingle has few owners. A
-document meets a large family there only if all the family's shingles together cover enough of it. The
+document meets a large family there only if all the family's shingles together cover enough of it. Centres and
+members meet there by their full sets inside a task (a list is dealt out in pieces of about ``PIECE`` shingles), which
+gives back a forest of the links it finds: no row is made for a pair. The
 rounds go on until no list is left, so no pair is lost.
 
 Pairs pass the estimate from the union's sketch, then the full sets decide. Each document is first
@@ -38,19 +40,21 @@ from factorloom.llm import shingles, words
 from factorloom.llm.components import connected
 from factorloom.llm.storage import store
 
+BLOCK = 1 << 19  # bytes of text a task takes at a time
 K = 64
 KEYED = 48
 RUN = 3
 SMALL = 6  # values of a set whose runs of two count too
 LONGEST = 3  # lists of a document that the first round of centres walks
-CENTRES = 512  # members of a long list that meet all others in one round
+CENTRES = 2048  # members of a long list that meet all others in one round
+PIECE = 1 << 20  # shingles of a long list's members that one task compares with its centres
 SHORT = 16  # members of a list that are all compared with each other
 LEAST_SHARED = 0.58  # of the union's sketch: six standard deviations below 0.85
 
 
 def _few(batch: pa.RecordBatch):
     """Parts of a batch with a block of text each, so that what a task holds follows the block."""
-    for first, last, *_ in words.blocks(batch.column("text")):
+    for first, last, *_ in words.blocks(batch.column("text"), BLOCK):
         yield batch.slice(first, last - first)
 
 
@@ -123,28 +127,82 @@ def _pairs_of_short(members: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(_may_be_similar(percent)).select("a", "b").filter("a <> b").distinct()
 
 
-def _stars(
-    members: DataFrame, centres: int, percent: int, allowed: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each list's centres with its members, and the centres: one of each of ``centres`` salts.
+def _centres(members: DataFrame, centres: int) -> DataFrame:
+    """(key, c, n_a, u_a): one of each of ``centres`` salts of each list.
 
-    Only members outside the list's largest component need to meet the others. With ``allowed``, a centre
-    meets members of a large family (``family``) only if the family's shingles cover enough of it.
+    Only members outside the list's largest component need to meet the others.
     """
     salt = F.pmod(F.xxhash64("id", "key"), F.lit(centres))
     chosen = members.filter("outside").groupBy("key", salt.alias("salt")).agg(F.min(F.struct("id", "n", "u")).alias("c"))
     chosen = chosen.select("key", F.col("c.id").alias("c"), F.col("c.n").alias("n_a"), F.col("c.u").alias("u_a"))
-    chosen = store(chosen, "centres")
-    others = members.withColumnsRenamed({"n": "n_b", "u": "u_b"}).drop("size", "outside")
-    if allowed is None:
-        pairs = others.join(chosen, "key")
-    else:
-        families = chosen.join(allowed.withColumnRenamed("id", "c"), "c")
-        pairs = others.filter("family is not null").join(families, ["key", "family"]).drop("family")
-        single = others.filter("family is null").drop("family").join(chosen, "key")
-        pairs = pairs.unionByName(single)
-    pairs = pairs.filter(F.col("id") != F.col("c")).filter(_may_be_similar(percent))
-    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct(), chosen
+    return store(chosen, "centres")
+
+
+def _stars(members: DataFrame, chosen: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each list's centres with its members."""
+    others = members.select("key", "id", F.col("n").alias("n_b"), F.col("u").alias("u_b"))
+    pairs = others.join(chosen, "key").filter(F.col("id") != F.col("c")).filter(_may_be_similar(percent))
+    return pairs.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+
+
+def _forest(percent: int):
+    """Links between the centres and the members of a piece of a list, one for each two components that meet."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        is_centre = table["centre"].to_numpy()
+        ids, n, u = (table[c].to_numpy() for c in ("id", "n", "u"))
+        family = table["family"].fill_null(-1).to_numpy()
+        no_family = table["family"].is_null().to_numpy()
+        raw = table["values"].to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        ends = np.cumsum(sizes)
+        codes = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)[1]
+        _, part = np.unique(table["part"].to_numpy(), return_inverse=True)
+        members = np.flatnonzero(~is_centre)
+        held = codes[np.repeat(~is_centre, sizes)]
+        starts = np.cumsum(sizes[members]) - sizes[members]
+        marked = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+        ones, others = [], []
+        for c in np.flatnonzero(is_centre).tolist():
+            common = np.minimum(n[c] - u[c], n[members] - u[members])
+            union = np.maximum(n[c] + u[members], n[members] + u[c])
+            meet = (part[members] != part[c]) & (common * 100 >= union * percent)
+            meet &= no_family[members] | np.isin(family[members], table["allowed"][c].as_py() or [])
+            if not meet.any():
+                continue
+            own = codes[ends[c] - sizes[c] : ends[c]]
+            marked[own] = True
+            common = np.add.reduceat(marked[held], starts, dtype=np.int64)
+            marked[own] = False
+            alike = members[meet & (common * 100 >= percent * (sizes[c] + sizes[members] - common))]
+            for other in alike[np.unique(part[alike], return_index=True)[1]].tolist():
+                ones.append(ids[c])
+                others.append(ids[other])
+            part[np.isin(part, part[alike])] = part[c]
+        return pa.table({"a": pa.array(ones, pa.int64()), "b": pa.array(others, pa.int64())})
+
+    return run
+
+
+def _met(members: DataFrame, chosen: DataFrame, sets: DataFrame, allowed: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect each list's centres with what is similar to them; ``members`` have part and tokens.
+
+    A centre meets members of a large family (``family``) only if the family's shingles cover enough of it.
+    """
+    pieces = F.ceil(F.col("tokens") / PIECE)
+    lists = members.select("key", pieces.alias("pieces")).distinct()
+    names = ["key", "piece", "id", "n", "u", "part"]
+    dealt = members.withColumn("piece", F.pmod(F.xxhash64("id", "key"), pieces))
+    dealt = dealt.select(*names, "family", F.lit(None).cast("array<bigint>").alias("allowed"), F.lit(False).alias("centre"))
+    families = allowed.groupBy("id").agg(F.collect_set("family").alias("allowed"))
+    centres = chosen.select("key", F.col("c").alias("id"), F.col("n_a").alias("n"), F.col("u_a").alias("u"))
+    centres = centres.join(members.select("key", "id", "part").distinct(), ["key", "id"]).join(lists, "key")
+    centres = centres.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+    centres = centres.join(families, "id", "left")
+    centres = centres.select(*names, F.lit(None).cast("bigint").alias("family"), "allowed", F.lit(True).alias("centre"))
+    rows = dealt.unionByName(centres).join(sets, "id")
+    return rows.groupBy("key", "piece").applyInArrow(_forest(percent), "a bigint, b bigint").distinct()
 
 
 def _covered(values: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
@@ -308,30 +366,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
     def still_open(lists: DataFrame) -> DataFrame:
         """The long lists that are not yet one component, and who is outside the largest one."""
-        named = store(found.named(lists.drop("size", "outside"), "id", "part"), "named")
-        parts = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"))
+        named = store(found.named(lists.drop("size", "tokens", "outside", "part"), "id", "part"), "named")
+        parts = named.groupBy("key", "part").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
         largest = parts.groupBy("key").agg(
             F.max_by("part", F.struct("c", "part")).alias("most"),
             F.sum("c").alias("size"),
+            F.sum("n").alias("tokens"),
             F.count(F.lit(1)).alias("parts"),
         )
         rows = named.join(largest.filter("parts > 1").drop("parts"), "key")
-        rows = rows.withColumn("outside", F.col("part") != F.col("most")).drop("part", "most")
+        rows = rows.withColumn("outside", F.col("part") != F.col("most")).drop("most")
         return store(rows, "open")
 
-    def star(lists: DataFrame, centres: int, allowed: DataFrame | None = None) -> DataFrame:
-        """Compare centres with their lists; what is left of the lists."""
-        pairs, chosen = _stars(lists, centres, percent, allowed)
-        _settle(pairs, classes, sets, found, percent, k)
-        met = chosen.select("key", F.col("c").alias("id"))
-        return still_open(lists.join(met, ["key", "id"], "left_anti"))
-
     meet(members)
     left = still_open(members.filter(F.col("size") > SHORT))
     if not left.isEmpty():
         # a few of the longest lists of each document are enough to gather large families
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("size"), "key"))
-        star(left.withColumn("place", place).filter(F.col("place") <= LONGEST).drop("place"), 1)
+        longest = left.withColumn("place", place).filter(F.col("place") <= LONGEST)
+        _settle(_stars(longest, _centres(longest, 1), percent), classes, sets, found, percent, k)
         left = still_open(left)
     if not left.isEmpty():
         lists, values = _rare_lists(left, sets, percent)
@@ -343,7 +396,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         allowed = store(_covered(values, owners, percent), "covered")
         left = still_open(lists.filter(F.col("size") > SHORT).join(owners, "id"))
         while not left.isEmpty():
-            left = star(left, CENTRES, allowed)
+            chosen = _centres(left, CENTRES)
+            found.add(store(_met(left, chosen, sets, allowed, percent), "met"))
+            left = still_open(left.join(chosen.select("key", F.col("c").alias("id")), ["key", "id"], "left_anti"))
 
     classes = found.named(classes.drop("sketch"), "id", "part")
     rows = sketched.drop("sketch").join(
