@@ -9,8 +9,9 @@ an earlier one has a Jaccard similarity of at least ``percent`` / 100 with it, w
    Lists of lines by such words are walked from each line back to earlier ones. Pairs must
    pass the length filter, the positional filter and a bound on the symmetric difference
    from the parities of 64 word classes. A line that has met ``NEAREST`` promising partners in a list stops there, which keeps
-   families of thousands of similar lines linear.
-4. The whole sets of the pairs decide. Lines that stopped early and were not removed walk their lists to the end.
+   families of thousands of similar lines linear; a list in which lines stopped is kept, once.
+4. Pairs pass the bound again with the parities of ``WIDE`` classes, then the whole sets decide. Lines that stopped early
+   and were not removed walk the kept lists to the end.
 
 Cases: a null text has one empty line; a line without words always stays; lines of rows with the same doc_id and
 place do not count as earlier than each other; repeated words count once; texts end up with the
@@ -38,14 +39,21 @@ COUNT_PART = 4096
 NEAREST = 4
 GROUP_BYTES = 8_000_000  # of text for one group task
 LINE = 0x0A
+WIDE = 1024
 _SALTS = np.random.default_rng(8).integers(1, 2**63, 2, dtype=np.uint64)
 
 ENTRIES = (
     "r int, ones binary, twos binary, set_docs binary, set_lines binary, tokens binary, maps binary, sizes binary, "
     "marks binary, spots binary, docs binary, lines binary, gone_docs binary, gone_lines binary, ids binary, keys binary"
 )
-MET = "kind int, r int, doc_id bigint, key bigint, line int, other_id bigint, other_key bigint, other_line int"
-GONE, PAIR, OPEN = 0, 1, 2
+MET = (
+    "kind int, r int, doc_id bigint, key bigint, line int, other_id bigint, other_key bigint, other_line int, "
+    "token bigint, held binary"
+)
+GONE, PAIR, OPEN, LIST = 0, 1, 2, 3
+HELD = np.dtype([
+    ("ids", "<i8"), ("keys", "<i8"), ("line", "<u4"), ("size", "<u4"), ("spot", "<u2"), ("maps", "<u8"),
+])
 
 
 # ---- lines of a block ------------------------------------------------------------------------
@@ -114,14 +122,19 @@ def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> lis
     line, found = line_words(data, offsets, starts, owner)
     if not len(line):
         return []
-    # rarest first, then by hash, so equal words of a line come together
+    # the distinct words of each line, rarest first, then by hash: a place in that order for each word of the block
     order = np.argsort(found)
-    order = order[np.argsort(counts[_bucket(found[order])], kind="stable")]
-    order = order[np.argsort(line[order], kind="stable")]
-    line, found = line[order], found[order]
-    new = np.ones(len(line), bool)
-    new[1:] = (line[1:] != line[:-1]) | (found[1:] != found[:-1])
-    line, found = line[new], found[new]
+    heads = heads_of(found[order])
+    known = found[order][heads]
+    rarest = np.argsort(counts[_bucket(known)], kind="stable")
+    rank = np.empty(len(rarest), np.int64)
+    rank[rarest] = np.arange(len(rarest))
+    both = line * len(known)
+    both[order] += spread(rank, heads, len(order))
+    both.sort()
+    both = both[heads_of(both)]
+    line = both // len(known)
+    found = known[rarest[both - line * len(known)]]
     heads = heads_of(line)
     sizes = np.diff(np.append(heads, len(line)))
     spot = np.arange(len(line)) - np.repeat(heads, sizes)
@@ -184,7 +197,8 @@ class _Lists:
         maps, mark = joined(table, "maps", "<u8"), joined(table, "marks", "<u4")
         order = np.lexsort((line, self.ids[docs], token))
         # equal sets are settled by their fingerprints: only the first of them stays in a list
-        again = np.lexsort((np.arange(len(order)), size[order], maps[order], mark[order], token[order]))
+        marked = (token.astype(U64) << U64(32)) | mark
+        again = np.lexsort((maps[order], marked[order]))
         first = heads_of(token[order][again], mark[order][again], maps[order][again], size[order][again])
         keep = np.zeros(len(order), bool)
         if len(order):
@@ -193,8 +207,29 @@ class _Lists:
         self.token, self.docs, self.line = token[order], docs[order], line[order]
         self.size, self.maps = size[order], maps[order]
         self.spot = joined(table, "spots", "<u2")[order].astype(np.int64)
-        heads = heads_of(self.token) if len(order) else np.zeros(0, np.int64)
-        self.rank = np.arange(len(order)) - spread(heads, heads, len(order))
+        self.heads = heads_of(self.token) if len(order) else np.zeros(0, np.int64)
+        self.rank = np.arange(len(order)) - spread(self.heads, self.heads, len(order))
+
+    @classmethod
+    def of_held(cls, held: bytes, percent: int) -> _Lists:
+        """One list as ``held`` gives it."""
+        rows, lists = np.frombuffer(held, HELD), cls.__new__(cls)
+        lists.ids, lists.keys, lists.docs = rows["ids"], rows["keys"], np.arange(len(rows))
+        lists.line, lists.size, lists.maps = rows["line"], rows["size"].astype(np.int64), rows["maps"]
+        lists.spot, lists.rank, lists.percent = rows["spot"].astype(np.int64), np.arange(len(rows)), percent
+        return lists
+
+    def held(self, r: int, stopped: np.ndarray) -> pa.Table:
+        """The lists in which entries stopped, one row each."""
+        which = np.unique(np.searchsorted(self.heads, stopped, "right") - 1)
+        ends, found = np.append(self.heads[1:], len(self.token)), []
+        for a, b in zip(self.heads[which].tolist(), ends[which].tolist(), strict=True):
+            rows, docs = np.empty(b - a, HELD), self.docs[a:b]
+            rows["ids"], rows["keys"], rows["line"] = self.ids[docs], self.keys[docs], self.line[a:b]
+            rows["size"], rows["spot"], rows["maps"] = self.size[a:b], self.spot[a:b], self.maps[a:b]
+            found.append(rows.tobytes())
+        none = np.zeros(len(which), np.int64)
+        return _met(LIST, r, *[none] * 6, self.token[self.heads[which]], found)
 
     def passing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Pairs of entries that the filters cannot rule out."""
@@ -228,18 +263,21 @@ class _Lists:
 
     def rows(self, kind: int, r: int, one: np.ndarray, other: np.ndarray) -> pa.Table:
         a, b = self.docs[one], self.docs[other]
+        token = self.token[one] if kind == OPEN else None
         return _met(
-            kind, r, self.ids[a], self.keys[a], self.line[one], self.ids[b], self.keys[b], self.line[other]
+            kind, r, self.ids[a], self.keys[a], self.line[one], self.ids[b], self.keys[b], self.line[other], token
         )
 
 
-def _met(kind, r, ids, keys, line, other_id, other_key, other_line) -> pa.Table:
+def _met(kind, r, ids, keys, line, other_id, other_key, other_line, token=None, held=None) -> pa.Table:
     n = len(ids)
     return pa.table({
         "kind": pa.array(np.full(n, kind), pa.int32()), "r": pa.array(np.full(n, r), pa.int32()),
         "doc_id": pa.array(ids, pa.int64()), "key": pa.array(keys, pa.int64()),
         "line": pa.array(line.astype(np.int32)), "other_id": pa.array(other_id, pa.int64()),
         "other_key": pa.array(other_key, pa.int64()), "other_line": pa.array(other_line.astype(np.int32)),
+        "token": pa.nulls(n, pa.int64()) if token is None else pa.array(token.astype(np.int64)),
+        "held": pa.nulls(n, pa.binary()) if held is None else pa.array(held, pa.binary()),
     })
 
 
@@ -265,20 +303,22 @@ def _meet(percent: int):
         lists = _Lists(table, percent)
         one, other, stopped = lists.walk(np.arange(len(lists.rank)), NEAREST)
         parts = [_equal_sets(table, r), lists.rows(PAIR, r, one, other), lists.rows(OPEN, r, stopped, stopped)]
-        return pa.concat_tables(parts)
+        return pa.concat_tables([*parts, lists.held(r, stopped)])
 
     return run
 
 
-def _meet_all(percent: int):
-    def run(table: pa.Table, open_lines: pa.Table) -> pa.Table:
-        r = (table if table.num_rows else open_lines)["r"][0].as_py()
-        lists = _Lists(table, percent)
-        wanted = set(zip(*(open_lines[c].to_pylist() for c in ("doc_id", "key", "line")), strict=True))
-        mine = zip(lists.ids[lists.docs].tolist(), lists.keys[lists.docs].tolist(), lists.line.tolist())
-        at = np.array([i for i, x in enumerate(mine) if x in wanted], np.int64)
-        one, other, _ = lists.walk(at, None)
-        return lists.rows(PAIR, r, one, other)
+def _walk_held(percent: int):
+    """Pairs of the ``wanted`` lines with the earlier ones of their held lists."""
+
+    def run(batches):
+        for batch in batches:
+            for r, held, lines in zip(*(batch.column(c).to_pylist() for c in ("r", "held", "wanted")), strict=True):
+                lists = _Lists.of_held(held, percent)
+                wanted = {(x["doc_id"], x["key"], x["line"]) for x in lines}
+                mine = zip(lists.ids.tolist(), lists.keys.tolist(), lists.line.tolist(), strict=True)
+                one, other, _ = lists.walk(np.array([i for i, x in enumerate(mine) if x in wanted], np.int64), None)
+                yield from lists.rows(PAIR, r, one, other).to_batches()
 
     return run
 
@@ -289,7 +329,7 @@ def _meet_all(percent: int):
 def _token_sets():
     def run(batches):
         for batch in batches:
-            found = [[], [], []]
+            found = [[], [], [], []]
             wanted = batch.column("wanted").to_pylist()
             for first, last, data, offsets in words.blocks(batch.column("text")):
                 starts, owner, number = line_starts(data, offsets)
@@ -301,12 +341,15 @@ def _token_sets():
                         at = text_starts[i] + n
                         found[0].append(first + i)
                         found[1].append(n)
-                        found[2].append(np.unique(hashes[cuts[at] : cuts[at + 1]]).tobytes())
+                        tokens = np.unique(hashes[cuts[at] : cuts[at + 1]])
+                        found[2].append(tokens.tobytes())
+                        odd = np.bincount((tokens % U64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+                        found[3].append(np.packbits(odd.astype(bool)).tobytes())
             take = pa.array(found[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("key").take(take),
-                 pa.array(found[1], pa.int32()), words.packed(found[2])],
-                ["doc_id", "key", "line", "tokens"],
+                [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(found[1], pa.int32()),
+                 pa.array([len(x) // 8 for x in found[2]], pa.int32()), words.packed(found[2]), words.packed(found[3])],
+                ["doc_id", "key", "line", "n", "tokens", "map"],
             )
 
     return run
@@ -318,13 +361,26 @@ LINE_KEY = ["doc_id", "key", "line"]
 def _verified(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Lines of ``pairs`` whose whole set is similar to the other's."""
     names = [f"other_{c}" for c in ("id", "key", "line")]
-    pairs = store(pairs.groupBy(*LINE_KEY, *names).agg(F.count(F.lit(1)).alias("lists")), "pairs")
+    pairs = store(pairs.select(*LINE_KEY, *names).distinct(), "pairs")
     others = pairs.select(*[F.col(c).alias(n) for c, n in zip(names, LINE_KEY)])
     needed = pairs.select(*LINE_KEY).union(others).distinct()
     needed = needed.groupBy("doc_id", "key").agg(F.collect_list("line").alias("wanted"))
     texts = keyed.join(needed, ["doc_id", "key"])
-    sets = store(texts.mapInArrow(_token_sets(), "doc_id bigint, key bigint, line int, tokens binary"), "tokens")
-    sets = sets.dropDuplicates(LINE_KEY)
+    made = texts.mapInArrow(_token_sets(), "doc_id bigint, key bigint, line int, n int, tokens binary, map binary")
+    sets = store(made.dropDuplicates(LINE_KEY), "tokens")
+
+    @F.arrow_udf("int")
+    def apart(one: pa.Array, other: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), U64).reshape(len(x), -1) for x in (one, other))
+        return pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int32))
+
+    # words that differ: at least as many as parities that do
+    both = pairs.join(sets.select(*LINE_KEY, "n", "map"), LINE_KEY)
+    other = [F.col(n).alias(c) for c, n in zip(names, LINE_KEY)]
+    both = both.join(sets.select(*other, F.col("n").alias("other_n"), F.col("map").alias("other_map")), names)
+    both = both.withColumns({"apart": apart("map", "other_map"), "all": F.col("n") + F.col("other_n")})
+    both = both.filter(F.col("apart") <= F.col("all") - 2 * F.ceil(F.col("all") * percent / (100 + percent)))
+    pairs = store(both.select(*LINE_KEY, *names, (F.col("apart") / F.col("all")).alias("apart")), "near")
 
     @F.arrow_udf("boolean")
     def alike(one: pa.Array, other: pa.Array) -> pa.Array:
@@ -341,12 +397,13 @@ def _verified(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
         rows = chosen.join(sets, LINE_KEY).join(second, names)
         return store(rows.filter(alike(F.col("tokens"), F.col("others"))).select(*LINE_KEY).distinct(), "alike")
 
-    # the partner met in most lists first; other partners only of lines that it does not settle
-    best = F.max_by(F.struct(*names), F.struct("lists", *names)).alias("b")
+    # the partner that seems nearest first; other partners only of lines that it does not settle
+    best = F.min_by(F.struct(*names), F.struct("apart", *names)).alias("b")
     first = pairs.groupBy(*LINE_KEY).agg(best).select(*LINE_KEY, "b.*")
     settled = hold(first)
-    rest = pairs.drop("lists").join(first, [*LINE_KEY, *names], "left_anti").join(settled, LINE_KEY, "left_anti")
-    return settled.union(hold(rest))
+    rest = pairs.drop("apart").join(first, [*LINE_KEY, *names], "left_anti").join(settled, LINE_KEY, "left_anti")
+    rest = store(rest, "rest")
+    return settled if rest.isEmpty() else settled.union(hold(rest))
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -373,10 +430,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = met.filter(F.col("kind") == PAIR).join(gone, LINE_KEY, "left_anti")
     gone = store(gone.union(_verified(keyed, pairs, percent)), "gone")
     still = met.filter(F.col("kind") == OPEN).join(gone, LINE_KEY, "left_anti")
-    still = store(still.select("r", *LINE_KEY).distinct(), "open")
+    still = store(still.groupBy("r", "token").agg(F.collect_set(F.struct(*LINE_KEY)).alias("wanted")), "open")
     if not still.isEmpty():
-        more = entries.groupBy("r").cogroup(still.groupBy("r")).applyInArrow(_meet_all(percent), MET)
-        gone = gone.union(_verified(keyed, store(more, "met"), percent))
+        more = met.filter(F.col("kind") == LIST).select("r", "token", "held").join(still, ["r", "token"])
+        gone = gone.union(_verified(keyed, more.mapInArrow(_walk_held(percent), MET), percent))
     return gone.groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 

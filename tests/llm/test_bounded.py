@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
-from factorloom.llm import neardups, pieces, shingles
+from factorloom.llm import lines, neardups, pieces, shingles, words
+from factorloom.llm.packing import batch as packed_batch
 from tests.llm.conftest import sentence
 from tests.llm.test_links import grouped, shingles_of
 
@@ -87,3 +90,32 @@ def test_long_lists_are_dealt_out_in_pieces(spark, monkeypatch):
     frame = spark.createDataFrame(texts, "doc_id bigint, text string")
     found = neardups.near_duplicates(frame, 3, 85).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == want
+
+
+@pytest.mark.parametrize("nearest", [1, 2])
+def test_lists_of_stopped_lines_are_kept(monkeypatch, nearest):
+    monkeypatch.setattr(lines, "NEAREST", nearest)
+    rng = random.Random(6)
+    texts = []
+    for _ in range(60):
+        line = [f"t{i}" for i in range(12)]
+        line[rng.randrange(12)] = f"y{rng.randrange(30)}"
+        texts.append(" ".join(line))
+    data, offsets = words.buffers(pa.array(texts))
+    ids = np.arange(len(texts))
+    rows = lines._entries(data, offsets, ids, ids * 11, np.zeros(2**lines.COUNT_BITS, np.int64), 1, 80)
+    table = pa.Table.from_batches([packed_batch(rows, lines.ENTRIES)])
+    met = lines._meet(80)(table).to_pylist()
+    stopped = {(r["token"], r["doc_id"], r["key"], r["line"]) for r in met if r["kind"] == lines.OPEN}
+    held = {r["token"]: r["held"] for r in met if r["kind"] == lines.LIST}
+    assert stopped and {t for t, *_ in stopped} == set(held)
+    wanted = [[{"doc_id": d, "key": k, "line": n} for t, d, k, n in stopped if t == token] for token in held]
+    batch = pa.RecordBatch.from_pydict({"r": [0] * len(held), "held": list(held.values()), "wanted": wanted})
+    names = [x for x in (f.split()[0] for f in lines.MET.split(", ")) if x not in ("kind", "r", "token", "held")]
+    again = [tuple(x[n] for n in names) for b in lines._walk_held(80)(iter([batch])) for x in b.to_pylist()]
+    lists = lines._Lists(table, 80)
+    at = [i for i in range(len(lists.token)) if (int(lists.token[i]), int(lists.ids[lists.docs[i]]),
+          int(lists.keys[lists.docs[i]]), int(lists.line[i])) in stopped]
+    one, other, _ = lists.walk(np.array(at), None)
+    assert sorted(again) == sorted(tuple(x[n] for n in names) for x in lists.rows(lines.PAIR, 0, one, other).to_pylist())
+    assert len(again) > len(stopped)
