@@ -16,6 +16,7 @@ everywhere; an empty table of documents gives an empty result; other columns sta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,7 @@ from factorloom.llm.labelled import labelled_sample
 
 SAMPLE_ROWS = 20_000
 BITS = 19
+BLOCK = 1 << 19
 BEGINNINGS = (4, 5)  # bytes of a word that count as a feature too, so forms of a word share weights
 REJECT = 0.3  # chance of any grade above 0 from which a document goes
 LEAST_RATIO = 10.0
@@ -46,10 +48,12 @@ class SeverityModel:
         return self.at_least(scores).sum(axis=1)
 
 
-def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Row and number of each distinct hashed word, and word beginning of some bytes, by row."""
-    rows, numbers = [], []
-    for first, _, data, offsets in words.blocks(column):
+def feature_blocks(column: pa.Array, bits: int = BITS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of rows of each block; row in the block and number of each distinct hashed word, and word beginning of some bytes, by row.
+
+    Features take many times the memory of their text, so no more than a block's are there at once.
+    """
+    for first, last, data, offsets in words.blocks(column, BLOCK):
         starts, ends = words.bounds(data, offsets, words.SIGNS)
         owner = words.owners(starts, offsets)
         found, of = [words.feature_hashes(data, starts, ends, fold=True)], [owner]
@@ -60,11 +64,7 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
             of.append(owner[longer])
         key = np.concatenate(of).astype(np.uint64) << np.uint64(bits)
         pairs = np.unique(key | (np.concatenate(found) >> np.uint64(64 - bits)))
-        rows.append((pairs >> np.uint64(bits)).astype(np.int64) + first)
-        numbers.append((pairs & np.uint64(2**bits - 1)).astype(np.int64))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(rows), np.concatenate(numbers)
+        yield last - first, (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64(2**bits - 1)).astype(np.int64)
 
 
 def severity_grades(rows: np.ndarray, numbers: np.ndarray, toxic: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -158,9 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, learn=Non
 
     def numbers_of(batches):
         for batch in batches:
-            owner, numbers = features(batch.column("text"))
-            ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            parts = [numbers[a:b].astype("<i4").tobytes() for a, b in zip(ends, ends[1:])]
+            parts = []
+            for count, owner, numbers in feature_blocks(batch.column("text")):
+                ends = np.searchsorted(owner, np.arange(count + 1))
+                parts += [numbers[a:b].astype("<i4").tobytes() for a, b in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("label").cast(pa.int32()), words.packed(parts)], ["label", "numbers"]
             )
@@ -177,14 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, learn=Non
     return fit(owner, numbers, severity_grades(owner, numbers, toxic))
 
 
+def raw_scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each text's features."""
+    blocks = feature_blocks(column)
+    scores = [np.bincount(rows, weights=weights[numbers], minlength=count) for count, rows, numbers in blocks]
+    return np.concatenate([np.zeros(0), *scores])
+
+
 def severity_column(docs: DataFrame, model: SeverityModel, text: str = "text"):
     """The raw score of a text column; the weights (a fixed size) are broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model.weights)
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        rows, numbers = features(column)
-        return pa.array(np.bincount(rows, weights=shared.value[numbers], minlength=len(column)))
+        return pa.array(raw_scores(column, shared.value))
 
     return score(F.col(text))
 
