@@ -8,10 +8,10 @@ an earlier one has a Jaccard similarity of at least ``percent`` / 100 with it, w
 3. Similar lines share a word among the first ``n - ceil(n * percent / 100) + 1`` in order of rarity.
    Lists of lines by such words are walked from each line back to earlier ones. Pairs must
    pass the length filter, the positional filter and a bound on the symmetric difference
-   from the parities of 64 word classes. A line that has met ``NEAREST`` promising partners in a list stops there, which keeps
+   from the parities of 64 word classes, and of up to 1024 for lines of more than ``NARROW`` words. A line that has met ``NEAREST`` promising partners in a list stops there, which keeps
    families of thousands of similar lines linear; a list in which lines stopped is kept, once.
-4. Pairs pass the bound again with the parities of ``WIDE`` classes, then the whole sets decide. Lines that stopped early
-   and were not removed walk the kept lists to the end.
+4. The whole sets decide. They are read from the texts of the lines that a table of fixed size, of bits by hash, holds for the pairs, so
+   texts stay where they are. Lines that stopped early and were not removed walk the kept lists to the end.
 
 Cases: a null text has one empty line; a line without words always stays; lines of rows with the same doc_id and
 place do not count as earlier than each other; repeated words count once; texts end up with the
@@ -21,6 +21,7 @@ lines that stay, joined by line breaks; an empty table gives an empty result; ot
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,17 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import words
 from factorloom.llm.packing import batch as packed_batch
-from factorloom.llm.packing import group_of, heads_of, joined, numbers, packed, parts_of, spread
+from factorloom.llm.packing import (
+    group_of,
+    heads_of,
+    joined,
+    joined_planes,
+    numbers,
+    packed,
+    parts_of,
+    planes,
+    spread,
+)
 from factorloom.llm.storage import store
 
 U64 = np.uint64
@@ -39,17 +50,23 @@ COUNT_PART = 4096
 NEAREST = 4
 GROUP_BYTES = 8_000_000  # of text for one group task
 LINE = 0x0A
-WIDE = 1024
+NARROW = 80  # words of a line that 64 parities tell apart; with each doubling the parities double
+LEVELS = 4
+WIDE = 64 << LEVELS
+LONG_LINES = 1024  # that are mapped at once
+FILTER_BITS = 25
+FILTER_PART = 4096
 _SALTS = np.random.default_rng(8).integers(1, 2**63, 2, dtype=np.uint64)
 
 ENTRIES = (
     "r int, ones binary, twos binary, set_docs binary, set_lines binary, tokens binary, maps binary, sizes binary, "
-    "marks binary, spots binary, docs binary, lines binary, gone_docs binary, gone_lines binary, ids binary, keys binary"
+    "marks binary, spots binary, more binary, docs binary, lines binary, gone_docs binary, gone_lines binary, ids binary, keys binary"
 )
 MET = (
     "kind int, r int, doc_id bigint, key bigint, line int, other_id bigint, other_key bigint, other_line int, "
-    "token bigint, held binary"
+    "token bigint, held binary, apart double"
 )
+PART = "part int, held binary"
 GONE, PAIR, OPEN, LIST = 0, 1, 2, 3
 HELD = np.dtype([
     ("ids", "<i8"), ("keys", "<i8"), ("line", "<u4"), ("size", "<u4"), ("spot", "<u2"), ("maps", "<u8"),
@@ -83,32 +100,44 @@ def _bucket(found: np.ndarray) -> np.ndarray:
     return (found >> U64(64 - COUNT_BITS)).astype(np.int64)
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """How often the words of each bucket occur in all texts; the table has a fixed size."""
+def _fixed_table(parts: DataFrame, kind: str, part: int, size: int, combine: np.ufunc) -> np.ndarray:
+    """A table of fixed size from (part, held) rows of all tasks."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = reduce(combine, (np.frombuffer(x, kind) for x in table["held"].to_pylist()))
+        return pa.table({"part": table["part"][:1], "held": words.packed([total.tobytes()])})
+
+    total = np.zeros(size, kind)
+    for row in parts.groupBy("part").applyInArrow(merge, PART).collect():
+        total[row["part"] * part : (row["part"] + 1) * part] = np.frombuffer(row["held"], kind)
+    return total
+
+
+def _parts(total: np.ndarray, part: int):
+    cut = total.reshape(-1, part)
+    some = np.flatnonzero(cut.any(axis=1))
+    if len(some):
+        held = words.packed([x.tobytes() for x in cut[some]])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), held], ["part", "held"])
+
+
+def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """How often the words of each bucket occur in all texts, and bytes of all texts; the table has a fixed size."""
+    size = 2**COUNT_BITS
 
     def count(batches):
-        total = np.zeros(2**COUNT_BITS, np.int64)
+        total = np.zeros(size + COUNT_PART, np.int64)
         for batch in batches:
             for _, _, data, offsets in words.blocks(batch.column("text")):
                 begin, end = words.bounds(data, offsets, words.SPACES)
-                total += np.bincount(_bucket(words.hashes(data, begin, end, fold=True)), minlength=len(total))
-        if total.any():
-            parts = total.reshape(-1, COUNT_PART)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(parts)), pa.int32()), words.packed([p.tobytes() for p in parts])],
-                ["part", "counts"],
-            )
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int64) for x in table["counts"].to_pylist())
-        return pa.table({"part": table["part"][:1], "counts": words.packed([total.tobytes()])})
-
-    schema = "part int, counts binary"
-    summed = docs.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(add, schema)
-    total = np.zeros(2**COUNT_BITS, np.int64)
-    for row in summed.collect():
-        total[row["part"] * COUNT_PART : (row["part"] + 1) * COUNT_PART] = np.frombuffer(row["counts"], np.int64)
-    return total
+                total[:size] += np.bincount(_bucket(words.hashes(data, begin, end, fold=True)), minlength=size)
+                total[size] += len(data)
+        yield from _parts(total, COUNT_PART)
+
+    found = _fixed_table(
+        docs.select("text").mapInArrow(count, PART), "<i8", COUNT_PART, size + COUNT_PART, np.add
+    )
+    return found[:size], int(found[size])
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -116,30 +145,71 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _rarest_first(line: np.ndarray, found: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line and hash of the distinct words of each line, by the count of the word, then by hash."""
+    rarity = np.minimum(counts[_bucket(found)], (1 << 24) - 1).astype(U64) << U64(40) | found >> U64(24)
+    bits = int(line[-1]).bit_length()
+    key = rarity >> U64(bits) | (line.astype(U64) << U64(63 - bits) << U64(1))
+    order = np.argsort(key)
+    key, words_of = key[order], found[order]
+    same = key[1:] == key[:-1]
+    if (same & (words_of[1:] != words_of[:-1])).any():  # words of a line that the first bits do not order
+        order = np.lexsort((found, rarity, line))
+        line, found = line[order], found[order]
+        heads = heads_of(line, found)
+        return line[heads], found[heads]
+    heads = np.flatnonzero(np.concatenate([[True], ~same]))
+    return line[order[heads]], words_of[heads]
+
+
+def _extra(size: np.ndarray) -> np.ndarray:
+    """Words of 64 parities that a line has besides its first."""
+    return (1 << np.searchsorted(NARROW << np.arange(LEVELS), size)) - 1
+
+
+def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Places from each start on, as many as its count."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _more_maps(found: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parities besides the first 64, a row for each long line, and the row of each line.
+
+    Half of a doubled map folds on the other to the map before it, so only one half of each is kept.
+    """
+    long = np.flatnonzero(sizes > NARROW)
+    row = np.cumsum(sizes > NARROW) - 1
+    made = [np.zeros((0, (WIDE >> 6) - 1), U64)]
+    for first in range(0, len(long), LONG_LINES):
+        some = long[first : first + LONG_LINES]
+        place = np.repeat(np.arange(len(some)) * WIDE, sizes[some])
+        place += (found[_ragged(heads[some], sizes[some])] & U64(WIDE - 1)).astype(np.int64)
+        odd = np.bincount(place, minlength=len(some) * WIDE) & 1
+        maps = np.packbits(odd.astype(bool), bitorder="little").view("<u8").reshape(len(some), -1)
+        kept = []
+        while maps.shape[1] > 1:
+            low, high = np.split(maps, 2, axis=1)
+            kept.insert(0, high)
+            maps = low ^ high
+        made.append(np.concatenate(kept, axis=1))
+    return np.concatenate(made), row
+
+
 def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> list[tuple]:
     """What a block sends to each group, see the columns of ENTRIES."""
     starts, owner, number = line_starts(data, offsets)
     line, found = line_words(data, offsets, starts, owner)
     if not len(line):
         return []
-    # the distinct words of each line, rarest first, then by hash: a place in that order for each word of the block
-    order = np.argsort(found)
-    heads = heads_of(found[order])
-    known = found[order][heads]
-    rarest = np.argsort(counts[_bucket(known)], kind="stable")
-    rank = np.empty(len(rarest), np.int64)
-    rank[rarest] = np.arange(len(rarest))
-    both = line * len(known)
-    both[order] += spread(rank, heads, len(order))
-    both.sort()
-    both = both[heads_of(both)]
-    line = both // len(known)
-    found = known[rarest[both - line * len(known)]]
+    # the distinct words of each line, rarest first, then by hash
+    line, found = _rarest_first(line, found, counts)
     heads = heads_of(line)
     sizes = np.diff(np.append(heads, len(line)))
     spot = np.arange(len(line)) - np.repeat(heads, sizes)
     # parities: words that two lines share cancel, so maps of long lines tell them apart as well
     maps = np.bitwise_xor.reduceat(U64(1) << (found & U64(63)), heads)
+    more, more_row = _more_maps(found, heads, sizes)
+    extra = _extra(sizes)
     ones = np.add.reduceat(words.mixed(found ^ _SALTS[0]), heads)
     twos = np.add.reduceat(words.mixed(found ^ _SALTS[1]), heads)
     where = line[heads]  # lines with words
@@ -170,11 +240,12 @@ def _entries(data, offsets, ids, keys, counts, groups: int, percent: int) -> lis
         own, ordinal = np.unique(docs, return_inverse=True)
         x, y, z = np.split(ordinal, [len(s), len(s) + len(l)])
         rows.append((
-            r, packed(ones[s], "<u8"), packed(twos[s], "<u8"), packed(x, "<u4"), packed(place[s], "<u4"),
-            packed(token[t] >> U64(32), "<u4"), packed(maps[l], "<u8"), packed(sizes[l], "<u4"),
-            packed(ones[l] >> U64(32), "<u4"), packed(np.minimum(spot[t], 65535), "<u2"), packed(y, "<u4"),
-            packed(place[l], "<u4"), packed(z, "<u4"), packed(place[g], "<u4"),
-            packed(ids[own], "<i8"), packed(keys[own], "<i8"),
+            r, packed(ones[s], "<u8"), packed(twos[s], "<u8"), planes(x, "<u4"), planes(place[s], "<u4"),
+            packed(token[t] >> U64(32), "<u4"), packed(maps[l], "<u8"), planes(sizes[l], "<u4"),
+            packed(ones[l] >> U64(32), "<u4"), planes(np.minimum(spot[t], 65535), "<u2"),
+            packed(more.ravel()[_ragged(more_row[l] * more.shape[1], extra[l])], "<u8"), planes(y, "<u4"),
+            planes(place[l], "<u4"), planes(z, "<u4"), planes(place[g], "<u4"),
+            planes(ids[own], "<i8"), packed(keys[own], "<i8"),
         ))
     return rows
 
@@ -190,33 +261,43 @@ class _Lists:
     """Entries of one group in lists by word, each in order of lines."""
 
     def __init__(self, table: pa.Table, percent: int):
-        self.ids, self.keys = joined(table, "ids", "<i8"), joined(table, "keys", "<i8")
-        self.percent = percent
-        token, docs = joined(table, "tokens", "<u4"), numbers(table, "docs")
-        line, size = joined(table, "lines", "<u4"), joined(table, "sizes", "<u4").astype(np.int64)
+        self.ids, self.keys = joined_planes(table, "ids", "<i8"), joined(table, "keys", "<i8")
+        token, docs = joined(table, "tokens", "<u4"), numbers(table, "docs", joined_planes)
+        line, size = joined_planes(table, "lines", "<u4"), joined_planes(table, "sizes", "<u4").astype(np.int64)
         maps, mark = joined(table, "maps", "<u8"), joined(table, "marks", "<u4")
         order = np.lexsort((line, self.ids[docs], token))
         # equal sets are settled by their fingerprints: only the first of them stays in a list
         marked = (token.astype(U64) << U64(32)) | mark
-        again = np.lexsort((maps[order], marked[order]))
-        first = heads_of(token[order][again], mark[order][again], maps[order][again], size[order][again])
+        again = np.argsort(words.mixed(marked ^ words.mixed(maps ^ words.mixed(size.astype(U64))))[order])
+        first = heads_of(marked[order][again], maps[order][again], size[order][again])
         keep = np.zeros(len(order), bool)
         if len(order):
-            keep[again[first]] = True
+            keep[np.minimum.reduceat(again, first)] = True
         order = order[keep]
         self.token, self.docs, self.line = token[order], docs[order], line[order]
-        self.size, self.maps = size[order], maps[order]
-        self.spot = joined(table, "spots", "<u2")[order].astype(np.int64)
+        self.maps = maps[order]
+        self.spot = joined_planes(table, "spots", "<u2")[order].astype(np.int64)
+        extra = _extra(size)
+        self.more, self.more_at = joined(table, "more", "<u8"), (np.cumsum(extra) - extra)[order]
+        self._sizes(size[order], percent)
         self.heads = heads_of(self.token) if len(order) else np.zeros(0, np.int64)
         self.rank = np.arange(len(order)) - spread(self.heads, self.heads, len(order))
 
+    def _sizes(self, size: np.ndarray, percent: int):
+        """Sizes of entries, and between which the sizes of similar ones are."""
+        self.extra, self.percent = _extra(size), percent
+        self.size, self.least, self.most = (x.astype(np.int32) for x in (size, _needed(size, percent), size * 100 // percent))
+
     @classmethod
     def of_held(cls, held: bytes, percent: int) -> _Lists:
         """One list as ``held`` gives it."""
-        rows, lists = np.frombuffer(held, HELD), cls.__new__(cls)
-        lists.ids, lists.keys, lists.docs = rows["ids"], rows["keys"], np.arange(len(rows))
-        lists.line, lists.size, lists.maps = rows["line"], rows["size"].astype(np.int64), rows["maps"]
-        lists.spot, lists.rank, lists.percent = rows["spot"].astype(np.int64), np.arange(len(rows)), percent
+        count, lists = int.from_bytes(held[:8], "little"), cls.__new__(cls)
+        rows = np.frombuffer(held, HELD, count, 8)
+        lists.ids, lists.keys, lists.docs = rows["ids"], rows["keys"], np.arange(count)
+        lists.line, lists.maps, lists.spot = rows["line"], rows["maps"], rows["spot"].astype(np.int64)
+        lists.rank = np.arange(count)
+        lists._sizes(rows["size"].astype(np.int64), percent)
+        lists.more, lists.more_at = np.frombuffer(held[8 + rows.nbytes :], "<u8"), np.cumsum(lists.extra) - lists.extra
         return lists
 
     def held(self, r: int, stopped: np.ndarray) -> pa.Table:
@@ -227,49 +308,89 @@ class _Lists:
             rows, docs = np.empty(b - a, HELD), self.docs[a:b]
             rows["ids"], rows["keys"], rows["line"] = self.ids[docs], self.keys[docs], self.line[a:b]
             rows["size"], rows["spot"], rows["maps"] = self.size[a:b], self.spot[a:b], self.maps[a:b]
-            found.append(rows.tobytes())
+            more = self.more[_ragged(self.more_at[a:b], self.extra[a:b])]
+            found.append((b - a).to_bytes(8, "little") + rows.tobytes() + more.tobytes())
         none = np.zeros(len(which), np.int64)
         return _met(LIST, r, *[none] * 6, self.token[self.heads[which]], found)
 
     def passing(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Pairs of entries that the filters cannot rule out."""
+        """Places of the pairs of entries that the filters cannot rule out."""
+        n = self.size[y]
+        at = np.flatnonzero((n >= self.least[x]) & (n <= self.most[x]))
+        return at[self._close(x[at], y[at])]
+
+    def _close(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs whose sizes are similar."""
         m, n = self.size[x], self.size[y]
-        need = -(-self.percent * (m + n) // (100 + self.percent))
-        good = np.minimum(m, n) * 100 >= np.maximum(m, n) * self.percent
-        good &= np.minimum(m - self.spot[x], n - self.spot[y]) >= need
-        good &= np.bitwise_count(self.maps[x] ^ self.maps[y]) <= m + n - 2 * need
+        need = -(-self.percent * (m + n).astype(np.int64) // (100 + self.percent))
+        left = np.flatnonzero((m - self.spot[x] >= need) & (n - self.spot[y] >= need))
+        x, y, room = x[left], y[left], (m + n - 2 * need)[left]
+        near = np.flatnonzero(np.bitwise_count(self.maps[x] ^ self.maps[y]) <= room)
+        left, x, y, room = left[near], x[near], y[near], room[near]
         # a place is earlier than another only if it is not the same one
-        return good & ((self.ids[self.docs[x]] != self.ids[self.docs[y]]) | (self.line[x] != self.line[y]))
+        other = (self.ids[self.docs[x]] != self.ids[self.docs[y]]) | (self.line[x] != self.line[y])
+        return left[other & (self.apart(x, y) <= room)]
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Parities that differ, at most the words that do, by the finest map that both lines have."""
+        differ = (self.maps[x] ^ self.maps[y])[:, None]
+        found = np.bitwise_count(differ[:, 0]).astype(np.int64)
+        extra, at = np.minimum(self.extra[x], self.extra[y]), np.arange(len(x))
+        for level in range(LEVELS):
+            finer = np.flatnonzero(extra[at] >> level)
+            if not len(finer):
+                break
+            at, half = at[finer], (1 << level) - 1 + np.arange(1 << level)
+            one, other = (self.more[self.more_at[of[at]][:, None] + half] for of in (x, y))
+            high = one ^ other
+            differ = np.concatenate([differ[finer] ^ high, high], axis=1)
+            found[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+        return found
 
     def walk(self, at: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs (entry, earlier entry) that pass, and entries that stopped after ``most`` pairs."""
-        count = np.zeros(len(self.rank), np.int64)
-        ones, others, stopped = [], [], []
-        step = 1
-        at = at[self.rank[at] >= 1]
-        while len(at):
-            good = self.passing(at, at - step)
-            ones.append(at[good])
-            others.append(at[good] - step)
-            if most:
-                count[at[good]] += 1
-                full = good & (count[at] >= most)
-                stopped.append(at[full & (self.rank[at] > step)])
-                at = at[~full]
+        ones, others, stopped = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if not most:
+            for i in at.tolist():
+                earlier = np.arange(i - self.rank[i], i)
+                good = self.passing(np.full(len(earlier), i), earlier)
+                ones.append(np.full(len(good), i))
+                others.append(earlier[good])
+            return np.concatenate(ones), np.concatenate(others), stopped[0]
+        # those that have the most before them first, so the ones that go on stand in front
+        at = at[np.argsort(-self.rank[at], kind="stable")]
+        before, least, most_words, other = -self.rank[at], self.least[at], self.most[at], at.copy()
+        count, step = np.zeros(len(at), np.int64), 1
+        while end := int(np.searchsorted(before, -step, "right")):
+            other[:end] -= 1
+            n = self.size[other[:end]]
+            good = np.flatnonzero((n >= least[:end]) & (n <= most_words[:end]))
+            good = good[self._close(at[good], other[good])]
+            if len(good):
+                ones.append(at[good])
+                others.append(other[good])
+                count[good] += 1
+                full = good[count[good] >= most]
+                if len(full):
+                    stopped.append(at[full[before[full] < -step]])
+                    left = np.ones(len(at), bool)
+                    left[full] = False
+                    before, least, most_words = before[left], least[left], most_words[left]
+                    at, other, count = at[left], other[left], count[left]
             step += 1
-            at = at[self.rank[at] >= step]
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(ones or none), np.concatenate(others or none), np.concatenate(stopped or none)
+        return np.concatenate(ones), np.concatenate(others), np.concatenate(stopped)
 
     def rows(self, kind: int, r: int, one: np.ndarray, other: np.ndarray) -> pa.Table:
         a, b = self.docs[one], self.docs[other]
         token = self.token[one] if kind == OPEN else None
+        apart = self.apart(one, other) / (self.size[one] + self.size[other]) if kind == PAIR else None
         return _met(
-            kind, r, self.ids[a], self.keys[a], self.line[one], self.ids[b], self.keys[b], self.line[other], token
-        )
+            kind, r, self.ids[a], self.keys[a], self.line[one], self.ids[b], self.keys[b], self.line[other], token,
+            apart=apart,
+        )
 
 
-def _met(kind, r, ids, keys, line, other_id, other_key, other_line, token=None, held=None) -> pa.Table:
+def _met(kind, r, ids, keys, line, other_id, other_key, other_line, token=None, held=None, apart=None) -> pa.Table:
     n = len(ids)
     return pa.table({
         "kind": pa.array(np.full(n, kind), pa.int32()), "r": pa.array(np.full(n, r), pa.int32()),
@@ -278,15 +399,16 @@ def _met(kind, r, ids, keys, line, other_id, other_key, other_line, token=None,
         "other_key": pa.array(other_key, pa.int64()), "other_line": pa.array(other_line.astype(np.int32)),
         "token": pa.nulls(n, pa.int64()) if token is None else pa.array(token.astype(np.int64)),
         "held": pa.nulls(n, pa.binary()) if held is None else pa.array(held, pa.binary()),
+        "apart": pa.nulls(n, pa.float64()) if apart is None else pa.array(apart, pa.float64()),
     })
 
 
 def _equal_sets(table: pa.Table, r: int) -> pa.Table:
     """Lines whose set an earlier line has, of this group."""
-    ids, keys = joined(table, "ids", "<i8"), joined(table, "keys", "<i8")
+    ids, keys = joined_planes(table, "ids", "<i8"), joined(table, "keys", "<i8")
     ones, twos = joined(table, "ones", "<u8"), joined(table, "twos", "<u8")
-    docs, line = numbers(table, "set_docs"), joined(table, "set_lines", "<u4")
-    gone_docs, gone_lines = numbers(table, "gone_docs"), joined(table, "gone_lines", "<u4")
+    docs, line = numbers(table, "set_docs", joined_planes), joined_planes(table, "set_lines", "<u4")
+    gone_docs, gone_lines = numbers(table, "gone_docs", joined_planes), joined_planes(table, "gone_lines", "<u4")
     if len(ones):
         order = np.lexsort((line, ids[docs], twos, ones))
         head = order[_spread_places(heads_of(ones[order], twos[order]), len(order))]
@@ -326,62 +448,69 @@ def _walk_held(percent: int):
 # ---- the operator ----------------------------------------------------------------------------
 
 
-def _token_sets():
+LINE_KEY = ["doc_id", "key", "line"]
+
+
+def _filter_places(ids: np.ndarray, keys: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The bit of each line."""
+    found = words.mixed(keys.astype(np.int64).view(U64) ^ words.mixed(ids.astype(np.int64).view(U64)))
+    return words.mixed(found + line.astype(U64)) >> U64(64 - FILTER_BITS)
+
+
+def _line_filter(needed: DataFrame) -> np.ndarray:
+    """Bits of the lines of ``needed``; the table has a fixed size, and a line beside them has its bit set at times."""
+
+    def mark(batches):
+        total = np.zeros(2**FILTER_BITS >> 3, np.uint8)
+        for batch in batches:
+            at = np.unique(_filter_places(*(batch.column(c).to_numpy() for c in LINE_KEY)))
+            np.bitwise_or.at(total, at >> U64(3), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+        yield from _parts(total, FILTER_PART)
+
+    return _fixed_table(
+        needed.select(*LINE_KEY).mapInArrow(mark, PART), "u1", FILTER_PART, 2**FILTER_BITS >> 3, np.bitwise_or
+    )
+
+
+def _token_sets(bits):
+    """Distinct words of the lines whose bit is set."""
+
     def run(batches):
         for batch in batches:
-            found = [[], [], [], []]
-            wanted = batch.column("wanted").to_pylist()
+            ids, keys = batch.column("doc_id"), batch.column("key")
             for first, last, data, offsets in words.blocks(batch.column("text")):
                 starts, owner, number = line_starts(data, offsets)
-                line, hashes = line_words(data, offsets, starts, owner)
-                cuts = np.searchsorted(line, np.arange(len(starts) + 1))
-                text_starts = np.searchsorted(owner, np.arange(last - first))
-                for i in range(last - first):
-                    for n in wanted[first + i]:
-                        at = text_starts[i] + n
-                        found[0].append(first + i)
-                        found[1].append(n)
-                        tokens = np.unique(hashes[cuts[at] : cuts[at + 1]])
-                        found[2].append(tokens.tobytes())
-                        odd = np.bincount((tokens % U64(WIDE)).astype(np.int64), minlength=WIDE) & 1
-                        found[3].append(np.packbits(odd.astype(bool)).tobytes())
-            take = pa.array(found[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("key").take(take), pa.array(found[1], pa.int32()),
-                 pa.array([len(x) // 8 for x in found[2]], pa.int32()), words.packed(found[2]), words.packed(found[3])],
-                ["doc_id", "key", "line", "n", "tokens", "map"],
-            )
+                owner += first
+                place = _filter_places(ids.to_numpy()[owner], keys.to_numpy()[owner], number)
+                held = bits.value[place >> U64(3)] >> (place & U64(7)).astype(np.uint8) & 1
+                chosen = np.flatnonzero(held)
+                if not len(chosen):
+                    continue
+                sizes = np.append(starts[1:], len(data))[chosen] - starts[chosen]
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                line, found = words.word_hashes(data[_ragged(starts[chosen], sizes)], ends)
+                cuts = np.searchsorted(line, np.arange(len(chosen) + 1)).tolist()
+                tokens = [np.unique(found[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+                take = pa.array(owner[chosen])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(take), keys.take(take), pa.array(number[chosen], pa.int32()), words.packed(tokens)],
+                    [*LINE_KEY, "tokens"],
+                )
 
     return run
 
 
-LINE_KEY = ["doc_id", "key", "line"]
-
-
 def _verified(keyed: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Lines of ``pairs`` whose whole set is similar to the other's."""
     names = [f"other_{c}" for c in ("id", "key", "line")]
-    pairs = store(pairs.select(*LINE_KEY, *names).distinct(), "pairs")
+    pairs = store(pairs.select(*LINE_KEY, *names, "apart").distinct(), "pairs")
+    if pairs.isEmpty():
+        return pairs.select(*LINE_KEY)
     others = pairs.select(*[F.col(c).alias(n) for c, n in zip(names, LINE_KEY)])
-    needed = pairs.select(*LINE_KEY).union(others).distinct()
-    needed = needed.groupBy("doc_id", "key").agg(F.collect_list("line").alias("wanted"))
-    texts = keyed.join(needed, ["doc_id", "key"])
-    made = texts.mapInArrow(_token_sets(), "doc_id bigint, key bigint, line int, n int, tokens binary, map binary")
+    bits = keyed.sparkSession.sparkContext.broadcast(_line_filter(pairs.select(*LINE_KEY).union(others)))
+    made = keyed.mapInArrow(_token_sets(bits), "doc_id bigint, key bigint, line int, tokens binary")
     sets = store(made.dropDuplicates(LINE_KEY), "tokens")
 
-    @F.arrow_udf("int")
-    def apart(one: pa.Array, other: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), U64).reshape(len(x), -1) for x in (one, other))
-        return pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int32))
-
-    # words that differ: at least as many as parities that do
-    both = pairs.join(sets.select(*LINE_KEY, "n", "map"), LINE_KEY)
-    other = [F.col(n).alias(c) for c, n in zip(names, LINE_KEY)]
-    both = both.join(sets.select(*other, F.col("n").alias("other_n"), F.col("map").alias("other_map")), names)
-    both = both.withColumns({"apart": apart("map", "other_map"), "all": F.col("n") + F.col("other_n")})
-    both = both.filter(F.col("apart") <= F.col("all") - 2 * F.ceil(F.col("all") * percent / (100 + percent)))
-    pairs = store(both.select(*LINE_KEY, *names, (F.col("apart") / F.col("all")).alias("apart")), "near")
-
     @F.arrow_udf("boolean")
     def alike(one: pa.Array, other: pa.Array) -> pa.Array:
         found = []
@@ -412,8 +541,8 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     # a null id is larger than all others
     keyed = keyed.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    counts = spark.sparkContext.broadcast(count_words(keyed))
-    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    table, total = count_words(keyed)
+    counts = spark.sparkContext.broadcast(table)
     groups = max(spark.sparkContext.defaultParallelism, math.ceil(total / GROUP_BYTES))
 
     def scan(batches):
@@ -456,8 +585,10 @@ def remove_similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = docs.withColumns(
         {"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "__key": F.xxhash64(text)}
     )
-    rows = rows.join(gone, (F.col("__id") == F.col("__i")) & (F.col("__key") == F.col("__k")), "left")
+    # a list for each text, so they are looked up and the texts are not sorted
+    rows = rows.join(gone.hint("shuffle_hash"), (F.col("__id") == F.col("__i")) & (F.col("__key") == F.col("__k")), "left")
     changed = without(F.when(F.col("__gone").isNotNull(), text), F.col("__gone"))
-    rows = rows.withColumn("__n_lines", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    without_breaks = F.replace(text, F.lit("\n"), F.lit(""))
+    rows = rows.withColumn("__n_lines", F.octet_length(text) - F.octet_length(without_breaks) + 1)
     rows = rows.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(changed))
     return rows.select(*docs.columns, "__n_lines", "__gone")

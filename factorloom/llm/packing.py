@@ -12,6 +12,12 @@ def packed(array: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(array.astype(kind)).tobytes()
 
 
+def planes(array: np.ndarray, kind: str) -> bytes:
+    """All first bytes, then all second ones and so on: of small numbers most are zeros in a row, which compress."""
+    array = np.ascontiguousarray(array.astype(kind))
+    return array.view(np.uint8).reshape(len(array), -1).T.tobytes() if len(array) else b""
+
+
 def batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int32(), *[pa.binary()] * (len(names) - 1)]
@@ -53,8 +59,14 @@ def joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(table[name].to_pylist()), kind)
 
 
-def numbers(table: pa.Table, name: str) -> np.ndarray:
+def joined_planes(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, np.uint8).reshape(width, -1).T for x in table[name].to_pylist()]
+    return np.concatenate(parts).reshape(-1).view(kind) if parts else np.zeros(0, kind)
+
+
+def numbers(table: pa.Table, name: str, read=joined) -> np.ndarray:
     """Numbers of documents inside each row, as numbers in all rows' documents."""
-    firsts = np.concatenate([[0], np.cumsum([len(x) // 8 for x in table["ids"].to_pylist()])])
-    parts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table[name].to_pylist()]
-    return np.concatenate([p + f for p, f in zip(parts, firsts)]) if parts else np.zeros(0, np.int64)
+    counts = [len(x) // 8 for x in table["ids"].to_pylist()]
+    each = [len(x) // 4 for x in table[name].to_pylist()]
+    return read(table, name, "<u4").astype(np.int64) + np.repeat(np.cumsum([0, *counts])[:-1], each)
