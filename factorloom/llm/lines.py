@@ -49,6 +49,7 @@ COUNT_BITS = 20
 COUNT_PART = 4096
 NEAREST = 4
 GROUP_BYTES = 8_000_000  # of text for one group task
+BLOCK = 1 << 20  # of text that a task takes at a time
 LINE = 0x0A
 NARROW = 80  # words of a line that 64 parities tell apart; with each doubling the parities double
 LEVELS = 4
@@ -128,7 +129,7 @@ def count_words(docs: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches):
         total = np.zeros(size + COUNT_PART, np.int64)
         for batch in batches:
-            for _, _, data, offsets in words.blocks(batch.column("text")):
+            for _, _, data, offsets in words.blocks(batch.column("text"), BLOCK):
                 begin, end = words.bounds(data, offsets, words.SPACES)
                 total[:size] += np.bincount(_bucket(words.hashes(data, begin, end, fold=True)), minlength=size)
                 total[size] += len(data)
@@ -478,7 +479,7 @@ def _token_sets(bits):
     def run(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("key")
-            for first, last, data, offsets in words.blocks(batch.column("text")):
+            for first, last, data, offsets in words.blocks(batch.column("text"), BLOCK):
                 starts, owner, number = line_starts(data, offsets)
                 owner += first
                 place = _filter_places(ids.to_numpy()[owner], keys.to_numpy()[owner], number)
@@ -548,7 +549,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def scan(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
-            for first, last, data, offsets in words.blocks(batch.column("text")):
+            for first, last, data, offsets in words.blocks(batch.column("text"), BLOCK):
                 rows = _entries(data, offsets, ids[first:last], keys[first:last], counts.value, groups, percent)
                 if rows:
                     yield packed_batch(rows, ENTRIES)

@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from factorloom.llm import toxicity
 
 
@@ -25,3 +26,15 @@ def test_scores_hold_the_features_of_one_block():
     assert found[::100].tolist() == alone
     # the features of all 4.5 MB take 50 MB and more
     assert peak < 25e6
+
+
+def test_stages_send_texts_in_small_batches(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "en", 3)], "doc_id bigint, text string, source string, lang string, n_chars int")
+    spark.conf.set(corpus_pipeline.BATCHES, "10000")
+    try:
+        for given, left in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(corpus_pipeline.BATCHES, given)
+            assert corpus_pipeline.mix_sources(spark, docs, "").count() >= 1
+            assert spark.conf.get(corpus_pipeline.BATCHES) == left
+    finally:
+        spark.conf.unset(corpus_pipeline.BATCHES)
