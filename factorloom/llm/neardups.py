@@ -208,14 +208,23 @@ def _met(members: DataFrame, chosen: DataFrame, sets: DataFrame, allowed: DataFr
 def _covered(values: DataFrame, owners: DataFrame, percent: int) -> DataFrame:
     """(id, family): documents of which a large family's shingles, all together, cover ``percent``.
 
-    No member of another family can be similar to the document.
+    No member of another family can be similar to the document. A family that covers so much holds one of the
+    document's first ``n - ceil(n * percent / 100) + 1`` shingles, in the order of how many other families hold them;
+    only families met there are counted in full, so what all families share makes no row for each of them.
     """
     own = owners.select("id", F.col("family").alias("mine"))
     union = values.join(owners.filter("family is not null").select("id", "family"), "id")
-    union = union.select("family", "key").distinct()
-    shared = values.join(union, "key").groupBy("id", "n", "family").agg(F.count(F.lit(1)).alias("shared"))
-    shared = shared.filter(F.col("shared") * 100 >= F.col("n") * percent).join(own, "id")
-    return shared.filter(~F.col("mine").eqNullSafe(F.col("family"))).select("id", "family")
+    union = store(union.select("family", "key").distinct(), "unions")
+    held = union.groupBy("key").agg(F.count(F.lit(1)).alias("families"))
+    rows = values.join(own, "id").join(held, "key")
+    others = F.col("families") - F.col("mine").isNotNull().cast("long")
+    rows = rows.withColumn("size", others).filter("size > 0").select("id", "n", "mine", "key", "size")
+    first = _first(rows, values, percent).select("id", "n", "mine", "key")
+    met = first.join(union, "key").filter(~F.col("mine").eqNullSafe(F.col("family"))).select("id", "n", "family")
+    met = store(met.distinct(), "met_families")
+    shared = met.join(values, ["id", "n"]).join(union, ["family", "key"])
+    shared = shared.groupBy("id", "n", "family").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.filter(F.col("shared") * 100 >= F.col("n") * percent).select("id", "family")
 
 
 def _promising(pairs: DataFrame, classes: DataFrame, percent: int, k: int) -> DataFrame:
@@ -249,11 +258,25 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(alike(F.col("v_a"), F.col("v_b"))).select("a", "b")
 
 
+def _first(rows: DataFrame, values: DataFrame, percent: int) -> DataFrame:
+    """Those of ``rows`` among the first ``n - ceil(n * percent / 100) + 1`` shingles of their document by ``size``.
+
+    The document's shingles in ``values`` that ``rows`` lacks come before them; ``before`` counts them. Where an
+    id holds several sets of shingles, all of them count.
+    """
+    own = Window.partitionBy("id", "n")
+    all_of = values.groupBy("id", "n").agg(F.count(F.lit(1)).alias("all"))
+    rows = rows.withColumns({"place": F.row_number().over(own.orderBy("size", "key")), "there": F.count("key").over(own)})
+    rows = rows.join(all_of, ["id", "n"]).withColumn("before", F.col("all") - F.col("there"))
+    length = F.col("all") - F.ceil(F.col("n") * percent / 100) + 1
+    return rows.filter(F.col("place") + F.col("before") <= length).drop("place", "there", "all")
+
+
 def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Lists (key, id, n, u, size) of the rarest shingles of the documents in ``left``, and all their shingles.
 
     Similar sets share a shingle among the first ``n - ceil(n * percent / 100) + 1`` of each, in any common
-    order. Shingles of one document only are left out, but counted: ``u``. A member that
+    order. Shingles of one document only come first; they are left out before any join, but counted: ``u``. A member that
     could not be similar to the smallest and least peculiar set of its list leaves the list.
     """
 
@@ -270,13 +293,9 @@ def _rare_lists(left: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
 
     wanted = sets.join(left.select("id", "n").distinct(), "id").select("id", "n", "values")
     values = store(wanted.mapInArrow(run, "id bigint, n bigint, key bigint"), "values")
-    owners = values.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    order = Window.partitionBy("id", "n").orderBy("size", "key")
-    first = values.join(owners, "key").withColumn("place", F.row_number().over(order))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    own = first.groupBy("id", "n").agg(F.count(F.when(F.col("size") == 1, 1)).alias("u"))
-    lists = first.filter((F.col("place") <= length) & (F.col("size") > 1)).drop("place", "size")
-    lists = store(lists.join(own, ["id", "n"]).select("key", "id", "n", "u"), "rare")
+    owners = values.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    first = _first(values.join(owners, "key"), values, percent)
+    lists = store(first.select("key", "id", "n", F.col("before").alias("u")), "rare")
     best = lists.groupBy("key").agg(F.min("n").alias("n_b"), F.min("u").alias("u_b"))
     fit = lists.withColumnsRenamed({"n": "n_a", "u": "u_a"}).join(best, "key")
     union = F.greatest(F.col("n_a") + F.col("u_b"), F.col("n_b") + F.col("u_a"))
@@ -389,12 +408,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     if not left.isEmpty():
         lists, values = _rare_lists(left, sets, percent)
         meet(lists)
-        parts = found.named(values.select("id").distinct(), "id", "part")
+        left = still_open(lists.filter(F.col("size") > SHORT))
+    if not left.isEmpty():
+        # of documents whose lists are done, nothing needs to be known any more
+        parts = found.named(left.select("id").distinct(), "id", "part")
         large = parts.groupBy("part").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > SHORT)
         owners = parts.join(large.select("part", F.col("part").alias("family")), "part", "left").drop("part")
         owners = store(owners, "families")
+        values = values.join(left.select("id").distinct(), "id", "left_semi")
         allowed = store(_covered(values, owners, percent), "covered")
-        left = still_open(lists.filter(F.col("size") > SHORT).join(owners, "id"))
+        left = store(left.join(owners, "id"), "open")
         while not left.isEmpty():
             chosen = _centres(left, CENTRES)
             found.add(store(_met(left, chosen, sets, allowed, percent), "met"))
