@@ -10,11 +10,13 @@ whatever its window:
   first or last value, which lies in the window, so large values do not cancel;
 * rank and median: a wavelet matrix of the segment's ranks counts or selects in any window.
 
-Windows up to ``SHORT`` rows are read as rows of a matrix, which is faster.
+Windows up to ``SHORT`` rows without a missing value are read by shifting whole arrays against each other, others as rows
+of a matrix; both give the same values, to the last digit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import cached_property
 
@@ -22,6 +24,7 @@ import numpy as np
 
 SHORT = 32
 CELLS = 1 << 20
+SHIFTED = 1 << 15  # rows shifted at once
 LARGEST = 1.7976931348623157e308
 
 
@@ -33,6 +36,7 @@ class Segments:
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.rows = int(self.ends[-1]) if len(self.ends) else 0
+        self._shifts: dict[int, Shifts] = {}
 
     @cached_property
     def place(self) -> np.ndarray:
@@ -44,8 +48,8 @@ class Segments:
 
     def all_zero(self, x: np.ndarray) -> np.ndarray:
         """For each series, whether all its values are zero."""
-        if not len(self.sizes):
-            return np.zeros(0, bool)
+        if not self.rows or (x[self.starts[self.sizes > 0]] != 0).all():
+            return self.sizes == 0
         other = np.concatenate([[0], np.cumsum(x != 0)])
         return other[self.ends] == other[self.starts]
 
@@ -56,45 +60,119 @@ class Segments:
                 out[a:b] = call(x[a:b])
         return out
 
-    def windows(self, call: Callable[[np.ndarray], np.ndarray], x: np.ndarray, size: int) -> np.ndarray:
-        """``call`` over the rows of a matrix of windows, NaN before a series begins; the last column is the row itself."""
+    def windows(
+        self, call: Callable[[np.ndarray], np.ndarray], x: np.ndarray, size: int, rows: np.ndarray | None = None
+    ) -> np.ndarray:
+        """``call`` over the rows of a matrix of windows, NaN before a series begins; the last column is the row itself.
+
+        With ``rows``, their numbers, only the windows of these.
+        """
         if not len(x):
             return x
         padded = np.concatenate([np.full(size - 1, np.nan), x])
         view = np.lib.stride_tricks.sliding_window_view(padded, size)
-        out = np.empty(len(x))
+        count = len(x) if rows is None else len(rows)
+        out = np.empty(count)
         step = max(CELLS // size, 1)
         back = np.arange(size - 1, -1, -1)
-        for a in range(0, len(x), step):
-            part = view[a : a + step].copy()
-            head = np.flatnonzero(self.place[a : a + step] < size - 1)
-            part[head] = np.where(back > self.place[a + head, None], np.nan, part[head])
+        for a in range(0, count, step):
+            own = slice(a, a + step) if rows is None else rows[a : a + step]
+            part, place = view[own].copy(), self.place[own]
+            head = np.flatnonzero(place < size - 1)
+            part[head] = np.where(back > place[head, None], np.nan, part[head])
             out[a : a + step] = call(part)
         return out
 
+    def shifts(self, size: int) -> Shifts:
+        """How windows of ``size`` rows are laid out for shifting."""
+        if size not in self._shifts:
+            self._shifts[size] = Shifts(self, size)
+        return self._shifts[size]
+
+
+class Shifts:
+    """Series apart by ``size - 1`` empty places, so that a window of a row reaches into no other series.
+
+    A window begins at the place ``at`` of its row. ``held`` counts the rows of each window, ``empty`` are the (offset,
+    place) pairs of empty places in windows of rows, by place.
+    """
+
+    def __init__(self, segments: Segments, size: int):
+        self.size, self.segments = size, segments
+        gap = size - 1
+        filled = np.flatnonzero(segments.sizes)
+        starts, ends = segments.starts[filled], segments.ends[filled]
+        first = starts + gap * np.arange(len(filled))
+        self.runs = list(zip(first.tolist(), starts.tolist(), ends.tolist()))
+        self.at = np.arange(segments.rows) + np.repeat(first - starts, ends - starts)
+        self.places = segments.rows + gap * len(filled)
+        self.others = np.minimum(segments.place, gap)
+        self.held = self.others + 1.0
+        self.ranked = np.maximum(self.others, 1.0)
+        self.heads = np.flatnonzero(segments.place < gap)
+
+    @cached_property
+    def counts(self) -> np.ndarray:
+        counts = np.full(max(self.places - self.size + 1, 0), float(self.size))
+        counts[self.at] = self.held
+        return counts
+
+    @cached_property
+    def empty(self) -> tuple[np.ndarray, np.ndarray]:
+        short = self.size - 1 - self.others[self.heads]
+        first = np.cumsum(short) - short
+        return np.arange(short.sum()) - np.repeat(first, short), np.repeat(self.at[self.heads], short)
+
+    def run(self, call: Callable[[np.ndarray, int, int], np.ndarray], x: np.ndarray, fill: float) -> np.ndarray:
+        """``call(values, first, count)`` gives ``count`` windows from place ``first`` on, a stretch at a time."""
+        spread = np.full(self.places, fill)
+        gap = self.size - 1
+        for place, a, b in self.runs:
+            spread[place + gap : place + gap + b - a] = x[a:b]
+        windows = self.places - gap
+        if windows <= SHIFTED:
+            found = call(spread, 0, windows)
+        else:
+            found = np.empty(windows)
+            for a in range(0, windows, SHIFTED):
+                n = min(SHIFTED, windows - a)
+                found[a : a + n] = call(spread[a : a + n + gap], a, n)
+        out = np.empty(self.segments.rows)
+        for place, a, b in self.runs:
+            out[a:b] = found[place : place + b - a]
+        return out
+
+
+def whole(x: np.ndarray) -> bool:
+    """Whether no value is missing or infinite: one would show in the sum of squares, which may only overflow besides."""
+    return (x.ndim == 1 and math.isfinite(x.dot(x))) or bool(np.isfinite(x).all())
+
 
 def finite(x: np.ndarray) -> np.ndarray:
     """Infinities become missing."""
-    return np.where(np.isfinite(x), x, np.nan)
+    return x if whole(x) else np.where(np.isfinite(x), x, np.nan)
 
 
 def or_zero(x: np.ndarray) -> np.ndarray:
-    return np.where(np.isfinite(x), x, 0.0)
+    return x if whole(x) else np.where(np.isfinite(x), x, 0.0)
 
 
 # ---- scalar functions ------------------------------------------------------------------------
 
 
 def safe_div(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return or_zero(np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b != 0))
+    with np.errstate(all="ignore"):
+        return or_zero(np.divide(a, b))
 
 
 def safe_log(x: np.ndarray) -> np.ndarray:
-    return or_zero(np.log(x, out=np.full(np.shape(x), np.nan), where=x > 0))
+    with np.errstate(all="ignore"):
+        return or_zero(np.log(x))
 
 
 def safe_sqrt(x: np.ndarray) -> np.ndarray:
-    return or_zero(np.sqrt(x, out=np.full(np.shape(x), np.nan), where=x >= 0))
+    with np.errstate(all="ignore"):
+        return or_zero(np.sqrt(x))
 
 
 SCALARS: dict[str, Callable[..., np.ndarray]] = {
@@ -148,6 +226,150 @@ SHORT_WINDOWS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
 }
 
 
+# ---- short windows without a missing value, by shifts ----------------------------------------
+
+
+def _added(parts: np.ndarray) -> np.ndarray:
+    """The sum of the rows of ``parts`` in the order in which a row of a matrix is added: eight sums side by side."""
+    most = len(parts) - len(parts) % 8
+    if not most:
+        total, rest = parts[0], parts[1:]
+    else:
+        eight, rest = parts[:8], parts[most:]
+        for i in range(8, most, 8):
+            eight += parts[i : i + 8]
+        while len(eight) > 1:
+            eight = eight[::2] + eight[1::2]
+        total = eight[0]
+    for part in rest:
+        total += part
+    return total
+
+
+def _shifted_sum(values: np.ndarray, size: int, n: int) -> np.ndarray:
+    """As ``_added``; a sum of neighbours is made once for all windows that have it."""
+    most = size - size % 8
+    if not most:
+        total = values[:n].copy()
+    else:
+        total = values
+        for i in range(8, most, 8):
+            total = total[: len(values) - i] + values[i:]
+        for step in (1, 2, 4):
+            total = total[:-step] + total[step:]
+        total = total[:n]
+    for k in range(most or 1, size):
+        total += values[k : k + n]
+    return total
+
+
+def _merge(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+    """Two ascending lists of arrays, place by place, as one (odd-even merge)."""
+    if not a or not b:
+        return a or b
+    if len(a) == len(b) == 1:
+        return [np.minimum(a[0], b[0]), np.maximum(a[0], b[0])]
+    even, odd = _merge(a[::2], b[::2]), _merge(a[1::2], b[1::2])
+    out = [even[0]]
+    for i in range(max(len(even) - 1, len(odd))):
+        if i < len(odd) and i + 1 < len(even):
+            out += [np.minimum(odd[i], even[i + 1]), np.maximum(odd[i], even[i + 1])]
+        else:
+            out.append(odd[i] if i < len(odd) else even[i + 1])
+    return out
+
+
+def _kth(a: list[np.ndarray], b: list[np.ndarray], k: int) -> np.ndarray:
+    """The value with ``k`` others before it among two ascending lists, place by place."""
+    found = None
+    for i in range(max(k + 1 - len(b), 0), min(k + 1, len(a)) + 1):
+        j = k + 1 - i
+        most = a[i - 1] if not j else b[j - 1] if not i else np.maximum(a[i - 1], b[j - 1])
+        found = most if found is None else np.minimum(found, most)
+    return found
+
+
+def _shifted_median(values: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Runs of two, four, ... neighbours are ordered once for all windows that have them."""
+    cut = lambda run, k: [r[k : k + n] for r in run]
+    runs, width = [[values]], 1
+    while 2 * width <= size:
+        run = runs[-1]
+        size_left = len(run[0]) - width
+        runs.append(_merge([r[:size_left] for r in run], [r[width:] for r in run]))
+        width *= 2
+    first, rest, at = cut(runs[-1], 0), [], width
+    for step in range(len(runs) - 2, -1, -1):
+        if size - at >= 1 << step:
+            rest = _merge(cut(runs[step], at), rest)
+            at += 1 << step
+    low = _kth(first, rest, (size - 1) // 2)
+    return low if size % 2 else (low + _kth(first, rest, size // 2)) / 2
+
+
+def _shifted_extreme(pick: np.ufunc) -> Callable[[np.ndarray, int, int], np.ndarray]:
+    def run(values: np.ndarray, size: int, n: int) -> np.ndarray:
+        width = 1
+        while 2 * width <= size:
+            values = pick(values[:-width], values[width:])
+            width *= 2
+        return pick(values[:n], values[size - width : size - width + n])
+
+    return run
+
+
+def _view(values: np.ndarray, size: int) -> np.ndarray:
+    """Row ``k`` is what lies ``k`` places after the beginning of each window."""
+    return np.ndarray((size, len(values) - size + 1), values.dtype, values, 0, values.strides * 2)
+
+
+def _shifted_rank(values: np.ndarray, size: int, n: int) -> np.ndarray:
+    return np.less_equal(_view(values, size), values[size - 1 :]).view(np.uint8).sum(axis=0, dtype=np.uint8) - 1.0
+
+
+# what an empty place holds, and the windows
+SHIFTED_WINDOWS: dict[str, tuple[float, Callable[[np.ndarray, int, int], np.ndarray]]] = {
+    "max": (-np.inf, _shifted_extreme(np.maximum)),
+    "min": (np.inf, _shifted_extreme(np.minimum)),
+    "sum": (0.0, _shifted_sum),
+    "mean": (0.0, _shifted_sum),
+    "median": (0.0, _shifted_median),
+    "rank": (np.nan, _shifted_rank),
+}
+
+
+def _shifted_std(shifts: Shifts) -> Callable[[np.ndarray, int, int], np.ndarray]:
+    size = shifts.size
+
+    def run(values: np.ndarray, first: int, n: int) -> np.ndarray:
+        counts = shifts.counts[first : first + n]
+        mean = _shifted_sum(values, size, n) / counts
+        gaps = np.subtract(_view(values, size), mean, order="C")
+        offset, place = shifts.empty
+        a, b = np.searchsorted(place, (first, first + n))
+        gaps[offset[a:b], place[a:b] - first] = 0.0
+        gaps *= gaps
+        return np.sqrt(_added(gaps) / counts)
+
+    return run
+
+
+def shifted(fn: str, x: np.ndarray, segments: Segments, size: int) -> np.ndarray:
+    """A short window function where no value is missing."""
+    if not len(x):
+        return x
+    shifts = segments.shifts(size)
+    if fn == "std":
+        return shifts.run(_shifted_std(shifts), x, 0.0)
+    fill, call = SHIFTED_WINDOWS[fn]
+    out = shifts.run(lambda values, _, n: call(values, size, n), x, fill)
+    if fn == "mean":
+        out /= shifts.held
+    elif fn == "median":
+        out[shifts.heads] = segments.windows(_short_median, x, size, shifts.heads)
+    return out
+
+
 # ---- long windows ----------------------------------------------------------------------------
 
 
@@ -301,16 +523,25 @@ LONG_WINDOWS: dict[str, Callable[[np.ndarray, int], np.ndarray]] = {
 def rolling(fn: str, x: np.ndarray, segments: Segments, size: int, zero: np.ndarray | None = None) -> np.ndarray:
     """``ts_<fn>`` over the last ``size`` rows; ``zero`` marks series whose rank is 0 throughout."""
     zero = segments.all_zero(x) if zero is None and fn == "rank" else zero
-    x = finite(x)
-    if size <= SHORT:
-        out = segments.windows(SHORT_WINDOWS[fn], x, size)
-    else:
+    short, full = size <= SHORT, whole(x)
+    x = x if full else np.where(np.isfinite(x), x, np.nan)
+    if not short:
         out = segments.each(lambda part: LONG_WINDOWS[fn](part, size), x)
+    elif full:
+        out = shifted(fn, x, segments, size)
+        if fn in ("max", "min"):
+            return out
+    else:
+        out = segments.windows(SHORT_WINDOWS[fn], x, size)
     if fn == "rank":
-        others = np.minimum(segments.place, size - 1)
-        out = np.where(~np.isnan(x) & (others > 0), out / np.maximum(others, 1), 0.0)
-        out = np.where(segments.spread(zero), 0.0, out)
-    return np.where(np.isnan(out), 0.0, out)
+        if short and full:  # alone in its window, a row has no other and rank 0
+            out /= segments.shifts(size).ranked
+        else:
+            others = np.minimum(segments.place, size - 1)
+            out = np.where(~np.isnan(x) & (others > 0), out / np.maximum(others, 1), 0.0)
+        if np.any(zero):
+            out = np.where(segments.spread(zero), 0.0, out)
+    return out if whole(out) else np.where(np.isnan(out), 0.0, out)
 
 
 def momentum(x: np.ndarray, segments: Segments, size: int) -> np.ndarray:

@@ -8,7 +8,7 @@ from the matrix of their second moments: thousands of linear formulas cost one r
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +30,7 @@ INTEGERS = {"kind": pa.int32(), "mask": pa.int32(), "a": pa.int32(), "b": pa.int
 ALONE, MATRIX = 0, 1
 CELLS = 1 << 22  # of a matrix at once
 HUGE = 1e100  # values beyond leave the matrix: sums of them may be set to 0
+CLOSE = 1e-3  # of squares around the first value, or of both variances; below, values are measured from their mean
 CANCELS = 1e-5  # of the terms' variance; below, a linear formula is evaluated itself
 
 
@@ -41,6 +42,30 @@ class Score(NamedTuple):
     rank_ic: float | None = None
 
 
+class Marked:
+    """The rows of a block that a score counts, and the target on them."""
+
+    def __init__(self, mask: np.ndarray, y: np.ndarray):
+        self.rows = np.flatnonzero(mask)
+        self.n = len(self.rows)
+        self.y = y[self.rows]
+        if self.n:
+            gap = self.y - self.y[0]
+            mean = gap.mean()
+            gap -= mean
+            self.mean, self.rest, self.spread = self.y[0] + mean, gap.sum(), gap @ gap
+            self.weights = np.zeros((2, len(y)))
+            self.weights[0, self.rows], self.weights[1, self.rows] = 1.0, gap
+            self._room = np.empty(len(y))
+
+    def sums(self, values: np.ndarray) -> tuple[float, float, float, float]:
+        """The first value, and from it the sums of the values, of their products with the target's gaps and of their squares."""
+        room, own, first = self._room, self.weights[0], values[self.rows[0]]
+        np.subtract(values, first, out=room)
+        np.multiply(room, own, out=room)
+        return first, room.dot(own), room.dot(self.weights[1]), room.dot(room)
+
+
 class PairSums:
     """Moments of many values with the target, one set per value; blocks are added one after the other."""
 
@@ -63,12 +88,33 @@ class PairSums:
         a -= ma
         b -= mb
         d = b - a
-        means = np.array([values[0] + ma, y[0] + mb])
-        own = np.array([a @ a, a @ b, b @ b, d @ d])
+        means = np.array([[values[0] + ma, y[0] + mb]])
+        self._merge(np.array([i]), n, means, np.array([[a @ a, a @ b, b @ b, d @ d]]))
+
+    def add_all(self, places: Sequence[int], found: Sequence[tuple], marked: Marked, value: Callable[[int], np.ndarray]) -> None:
+        """Add the marked rows of several values by their ``sums``.
+
+        Values that are missing or infinite somewhere, nearly constant around a far first value, or nearly the
+        target are added one by one.
+        """
+        n, i = marked.n, np.array(places)
+        first, one, ab, squares = np.array(found).T
+        mean = one / n
+        aa, ab = squares - one * mean, ab - mean * marked.rest
+        bb = np.full(len(i), marked.spread)
+        dd = aa + bb - 2 * ab
+        sure = np.isfinite(first + mean + aa + ab + dd) & (aa >= CLOSE * squares) & (dd >= CLOSE * (aa + bb))
+        means = np.stack([first + mean, np.full(len(i), marked.mean)], axis=1)
+        self._merge(i[sure], n, means[sure], np.stack([aa, ab, bb, dd], axis=1)[sure])
+        for k in i[~sure].tolist():
+            self.add(k, value(k).take(marked.rows), marked.y)
+
+    def _merge(self, i: np.ndarray, n: int, means: np.ndarray, own: np.ndarray) -> None:
         total, gap = self.n[i] + n, means - self.means[i]
-        between = np.array([gap[0] * gap[0], gap[0] * gap[1], gap[1] * gap[1], (gap[1] - gap[0]) ** 2])
-        self.sums[i] += own + between * (self.n[i] * n / total)
-        self.means[i] += gap * (n / total)
+        a, b = gap.T
+        between = np.stack([a * a, a * b, b * b, (b - a) ** 2], axis=1)
+        self.sums[i] += own + between * (self.n[i] * n / total)[:, None]
+        self.means[i] += gap * (n / total)[:, None]
         self.n[i] = total
 
     def batch(self, mask: int) -> pa.RecordBatch:
@@ -85,19 +131,19 @@ class MatrixSums:
         self.bad = np.zeros(columns)
 
     def add(self, values: np.ndarray) -> None:
-        """Add rows of a matrix; a column with missing or huge values is marked."""
-        if not len(values):
+        """Add a block, a row of it for each column; a column with missing or huge values is marked."""
+        if not values.shape[1]:
             return
-        odd = ~(np.abs(values) < HUGE).all(axis=0)
+        odd = ~((values.max(axis=1) < HUGE) & (values.min(axis=1) > -HUGE))
         self.bad += odd
-        values = np.where(odd, 0.0, values)
-        n, first = len(values), values[0].copy()
-        values -= first
-        mean = values.mean(axis=0)
-        values -= mean
+        values[odd] = 0.0
+        n, first = values.shape[1], values[:, 0].copy()
+        values -= first[:, None]
+        mean = values.mean(axis=1)
+        values -= mean[:, None]
         gap = first + mean - self.mean
         total = self.n + n
-        self.sums += values.T @ values + np.outer(gap, gap) * (self.n * n / total)
+        self.sums += values @ values.T + np.outer(gap, gap) * (self.n * n / total)
         self.mean += gap * (n / total)
         self.n = total
 
@@ -223,7 +269,7 @@ def matrix_of(df: DataFrame, columns: Sequence[str], y: str, pairs: Sequence[tup
         for batch in batches:
             for first in range(0, batch.num_rows, rows):
                 part = batch.slice(first, rows)
-                sums.add(np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns], axis=1))
+                sums.add(np.stack([c.to_numpy(zero_copy_only=False) for c in part.columns]))
         if sums.n:
             yield sums.batch(0, pairs)
 

@@ -6,7 +6,8 @@ formula once per pack with the array functions, and emits moments. Formulas that
 store under the formula itself, so a candidate is a few steps over stored columns however deep it is, and the plan of a pass
 never grows.
 
-A pass scores any number of (mask, formulas) sets, so several searches share one read.
+A pass scores any number of (mask, formulas) sets, so several searches share one read. Formulas that have the same values by
+construction are scored once, also when a later round writes them in other words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
@@ -29,12 +30,15 @@ from factorloom.functions.windows import WindowFunction
 from factorloom.operators.series import Series
 from factorloom.plans import expressions as ex
 from factorloom.plans import moments
+from factorloom.plans.canonical import Canonical
 from factorloom.session import materialize
 
 PACK_ROWS = 16_384
 TASK_ROWS = 2_000_000
 PIECE_ROWS = 32_768
-KEEP_STEPS = 60  # formulas evaluated a second time in a round before the store keeps them
+# parts of formulas evaluated a second time in a round before the store keeps formulas: a part costs a pass what reading
+# a few kept columns does, and these are written and take disk as well
+KEEP_STEPS = 60
 # a pack is a row of megabytes: a writer holds, and a reader decodes, one row group at a time
 PACK_FILES = {
     "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
@@ -164,6 +168,9 @@ class ValueStore:
     masks: int
     functions: Registry
     split: bool
+    canonical: Canonical
+    told: dict[tuple, moments.Score] = field(default_factory=dict)  # by mask and formula, or mask and sum of parts
+    odd: set[ex.Expr] = field(default_factory=set)
 
     @classmethod
     def build(
@@ -194,13 +201,13 @@ class ValueStore:
         packs = flat.mapInArrow(_packer("__first", values, names, pack_rows, reach), kinds)
         packs = materialize(packs, "packs", **PACK_FILES)
         split = series.split or (reach is not None and not packs.filter("cut").isEmpty())
-        return cls(packs.drop("cut"), held, len(masks), functions, split)
+        return cls(packs.drop("cut"), held, len(masks), functions, split, Canonical(functions))
 
     def steps(self, exprs: Iterable[ex.Expr]) -> int:
         """Functions to evaluate for ``exprs`` beyond what is held."""
         nodes: set[ex.Expr] = set()
         for e in exprs:
-            _nodes(e, self.held, nodes)
+            _nodes(self.canonical(e), self.held, nodes)
         return len(nodes)
 
     def _reader(self, shared: frozenset):
@@ -216,6 +223,7 @@ class ValueStore:
 
     def keep(self, exprs: Sequence[ex.Expr]) -> ValueStore:
         """A store that holds the plain columns and ``exprs``; formulas kept before and not named are dropped."""
+        exprs = [self.canonical(e) for e in exprs]
         if self.split:  # these need the whole series
             exprs = [e for e in exprs if not any(self.functions[n[0]].zero_guard for n in self._windows(e))]
         plain = {e: n for e, n in self.held.items() if isinstance(e, str)}
@@ -246,74 +254,92 @@ class ValueStore:
         Sums and differences come from the matrix of second moments of their parts; those whose parts cancel or are
         missing somewhere are evaluated like the others by a second pass.
         """
+        named = {m: {e: self.canonical(e) for e in exprs} for m, exprs in wanted.items()}
+        new = {m: [e for e in dict.fromkeys(names.values()) if (m, e) not in self.told] for m, names in named.items()}
         sign = moments.signs(self.functions)
-        forms = {e: moments.linear_form(e, sign) for exprs in wanted.values() for e in exprs if _is_sum(e, sign)}
-        scores, unknown, left = self._pass(wanted, forms)
-        if left:
-            more, other, _ = self._pass(left, {})
-            scores |= more
-            unknown |= other
-        return scores, unknown
-
-    def _pass(self, wanted: Wanted, forms: Mapping[ex.Expr, moments.Form]):
-        parts = list(dict.fromkeys(p for _, weights in forms.values() for p in weights))
-        number = {p: i + 1 for i, p in enumerate(parts)}
+        forms = {e: moments.linear_form(e, sign) for exprs in new.values() for e in exprs if _is_sum(e, sign)}
+        key = lambda m, e: (m, forms[e][0], frozenset(forms[e][1].items()))
+        for m, exprs in new.items():
+            self.told.update({(m, e): self.told[key(m, e)] for e in exprs if e in forms and key(m, e) in self.told})
+        new = {m: rest for m, exprs in new.items() if (rest := [e for e in exprs if (m, e) not in self.told])}
+        if new:
+            left = self._pass(new, forms)
+            self.told.update({key(m, e): self.told[m, e] for m, exprs in new.items() for e in exprs if e in forms and (m, e) in self.told})
+            if left:
+                self._pass(left, {})
+        scores = {(m, e): self.told[m, name] for m, names in named.items() for e, name in names.items()}
+        return scores, {e for names in named.values() for e, name in names.items() if name in self.odd}
+
+    def _pass(self, wanted: Wanted, forms: Mapping[ex.Expr, moments.Form]) -> dict[int, list[ex.Expr]]:
+        """Note the scores of formulas; gives those in ``forms`` that the moments do not tell."""
         alone = {m: [e for e in exprs if e not in forms] for m, exprs in wanted.items()}
-        pairs = {m: moments.pairs_of([forms[e] for e in exprs if e in forms], number) for m, exprs in wanted.items()}
+        sums = {m: [forms[e] for e in exprs if e in forms] for m, exprs in wanted.items()}
+        parts = list(dict.fromkeys(p for own in sums.values() for _, weights in own for p in weights))
+        number = {p: i + 1 for i, p in enumerate(parts)}
+        pairs = {m: moments.pairs_of(own, number) for m, own in sums.items() if own}
         distinct = list(dict.fromkeys(e for exprs in alone.values() for e in exprs))
-        place = {e: i for i, e in enumerate(distinct)}
-        masks_of: dict[ex.Expr, list[int]] = {}
+        asked: dict[ex.Expr, list[int]] = {}
         for m, exprs in alone.items():
             for e in exprs:
-                masks_of.setdefault(e, []).append(m)
+                asked.setdefault(e, []).append(m)
         read = self._reader(shared_parts([*distinct, *parts], self.held))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             single = {m: moments.PairSums(len(distinct)) for m in wanted}
-            matrix = {m: moments.MatrixSums(len(parts) + 1) for m in wanted}
+            matrix = {m: moments.MatrixSums(len(parts) + 1) for m in pairs}
             with np.errstate(all="ignore"):
                 for batch in batches:
                     for cell, value in read(batch):
                         y = cell("y")
-                        rows = {m: np.flatnonzero(cell(f"m{m}", np.bool_)) for m in wanted}
-                        ys = {m: y[r] for m, r in rows.items()}
-                        for e, i in place.items():
+                        marked = {m: moments.Marked(cell(f"m{m}", np.bool_), y) for m in wanted}
+                        found = {m: {} for m, rows in marked.items() if rows.n}
+                        for i, e in enumerate(distinct):
                             values = value(e)
-                            for m in masks_of[e]:
+                            for m in asked[e]:
                                 single[m].bad[i] += e in value.unknown
-                                single[m].add(i, values[rows[m]], ys[m])
-                        for m, own in rows.items():
-                            matrix[m].add(np.stack([ys[m], *[value(p)[own] for p in parts]], axis=1))
-                            matrix[m].bad[1:] += [p in value.unknown for p in parts]
+                                if m in found:
+                                    found[m][i] = marked[m].sums(values)
+                        for m, sums in found.items():
+                            if sums:
+                                single[m].add_all(list(sums), list(sums.values()), marked[m], lambda i: value(distinct[i]))  # noqa: B023
+                        for m, sums in matrix.items():
+                            own = marked[m].rows
+                            block = np.empty((len(parts) + 1, len(own)))
+                            block[0] = marked[m].y
+                            for p, i in number.items():
+                                block[i] = value(p).take(own)
+                                sums.bad[i] += p in value.unknown
+                            sums.add(block)
                 for m in wanted:
                     yield single[m].batch(m)
-                    if matrix[m].n:
-                        yield matrix[m].batch(m, pairs[m])
+                for m, sums in matrix.items():
+                    if sums.n:
+                        yield sums.batch(m, pairs[m])
 
         found = moments.merged(self.packs.mapInArrow(run, moments.SCHEMA)).collect()
         return self._read_off(found, wanted, forms, distinct, number)
 
-    def _read_off(self, found, wanted: Wanted, forms, distinct: Sequence[ex.Expr], number):
-        scores, unknown, left = {}, set(), {}
+    def _read_off(self, found, wanted: Wanted, forms, distinct: Sequence[ex.Expr], number) -> dict[int, list[ex.Expr]]:
+        left = {}
         for r in found:
             if r["kind"] == moments.ALONE:
                 e = distinct[r["a"]]
                 if r["bad"]:
-                    unknown.add(e)
-                scores[r["mask"], e] = moments.score(*(r[n] or 0 for n in ("n", "ma", "mb", "aa", "ab", "bb", "dd")))
+                    self.odd.add(e)
+                self.told[r["mask"], e] = moments.score(*(r[n] or 0 for n in ("n", "ma", "mb", "aa", "ab", "bb", "dd")))
         for m, exprs in wanted.items():
             rows = [r for r in found if r["kind"] == moments.MATRIX and r["mask"] == m]
             matrix = moments.Matrix(rows, number)
             for e in exprs:
                 if e not in forms:
-                    scores.setdefault((m, e), moments.Score(0, None, None, None))
+                    self.told.setdefault((m, e), moments.Score(0, None, None, None))
                     continue
                 told = matrix.score(forms[e])
                 if told is None:
                     left.setdefault(m, []).append(e)
                 else:
-                    scores[m, e] = told
-        return scores, unknown, left
+                    self.told[m, e] = told
+        return left
 
 
 def _is_sum(expr: ex.Expr, sign: Mapping[str, float]) -> bool:

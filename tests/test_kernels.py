@@ -53,6 +53,31 @@ def test_windows_by_definition(short, series, size):
         np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-6 if fn in ("std", "sum", "mean") else 0, err_msg=fn)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 8, 10, 15, 16, 21, 32])
+def test_shifted_windows_equal_the_matrix(monkeypatch, size):
+    """To the last digit, for long and short series, ties, zeros and any stretch; missing values take the matrix."""
+    rng = np.random.default_rng(size)
+    for stretch in (kernels.SHIFTED, 50):
+        monkeypatch.setattr(kernels, "SHIFTED", stretch)
+        segments = kernels.Segments([200, 0, 1, 2, 40, 17, 0])
+        for x in (rng.normal(size=260) * 10.0 ** rng.integers(-4, 4, size=260), rng.integers(-2, 3, size=260) / 3, np.zeros(260)):
+            for fn in FNS:
+                want = segments.windows(kernels.SHORT_WINDOWS[fn], x, size)
+                np.testing.assert_array_equal(kernels.shifted(fn, x, segments, size), want, err_msg=fn)
+                gaps = np.where(rng.random(260) < 0.1, np.nan, x)
+                assert np.isfinite(kernels.rolling(fn, gaps, segments, size)).all()
+
+
+def test_short_windows_are_read_without_a_matrix(monkeypatch):
+    x, segments = np.random.default_rng(3).normal(size=5000), kernels.Segments([4000, 1000])
+    made = []
+    once = kernels.Segments.windows
+    monkeypatch.setattr(kernels.Segments, "windows", lambda self, call, x, size, rows=None: made.append(len(x) if rows is None else len(rows)) or once(self, call, x, size, rows))
+    for fn in FNS:
+        kernels.rolling(fn, x, segments, 15)
+    assert made == [28]  # the median of the first rows of both series
+
+
 @pytest.mark.parametrize("size", [50, 333])
 def test_moments_of_large_values(size):
     """Noise on 1e12 keeps nine digits of its spread, and a jump does not disturb what lies before it."""

@@ -120,6 +120,32 @@ def test_long_series_are_scored_in_pieces(spark, table, monkeypatch, reach):
     assert [h[:4] for h in found.history] == [h[:4] for h in whole.history]
 
 
+OTHER_WORDS = [
+    ("safe_add", "b", "a"), ("safe_sub", ("safe_add", "a", ("safe_add", 2.0, "b")), 0.0), ("safe_add", 0.0, "gaps"), "gaps",
+    ("safe_add", ("safe_add", "gaps", 0.0), 0.0), ("safe_mul", "b", ("safe_mul", "gaps", 1.0)), ("safe_mul", "gaps", "b"),
+    ("ts_rank_3", ("safe_sub", ("safe_mul", "a", "b"), 0.0)), ("ts_rank_3", ("safe_mul", "b", "a")), ("safe_mul", 0.0, "gaps"),
+    ("safe_abs", ("safe_sqrt", "b")), ("safe_sqrt", "b"), ("safe_div", ("safe_log", "b"), 1.0), ("safe_div", 0.0, "b"), ("safe_div", "b", "b"),
+    ("safe_sub", ("safe_log", "gaps"), ("safe_log", "gaps")), ("safe_add", ("safe_mul", 2.0, 3.0), "a"), ("safe_add", "late", ("ts_sum_3", "late")),
+]
+
+
+def test_formulas_of_the_same_values_are_scored_once(table, monkeypatch):
+    series = lay_out(table)
+    values = store.ValueStore.build(series, COLUMNS, "y", [F.lit(True)], FUNCTIONS)
+    rows = {r["id"]: r for r in scoring.score_on(series, OTHER_WORDS, "y", FUNCTIONS).collect()}
+    scores, _ = values.score({0: OTHER_WORDS})
+    for i, e in enumerate(OTHER_WORDS):
+        same(scores[0, e], rows[i])
+    assert values.canonical(OTHER_WORDS[5]) != values.canonical(OTHER_WORDS[6])  # a missing value times 1 is 0
+    assert values.canonical(OTHER_WORDS[2]) != "gaps"
+    assert len({values.canonical(e) for e in OTHER_WORDS}) == 13
+    monkeypatch.setattr(store.ValueStore, "_pass", lambda *a: pytest.fail("the rows were read again"))
+    words = [("safe_add", "a", "b"), ("safe_add", ("ts_sum_3", "late"), "late"), ("ts_rank_3", ("safe_add", 0.0, ("safe_mul", "a", "b")))]
+    told, _ = values.keep([("safe_mul", "a", "b")]).score({0: words})
+    for e, old in zip(words, (0, 17, 8)):
+        assert told[0, e] == scores[0, OTHER_WORDS[old]]
+
+
 def test_a_pass_has_no_exchange_of_rows_and_a_plan_of_one_size(table):
     values = store.ValueStore.build(lay_out(table), COLUMNS, "y", [F.lit(True)], FUNCTIONS)
     again = values.keep([EXPRS[8], EXPRS[10]]).keep([EXPRS[11]])
