@@ -3,16 +3,19 @@
 Small inputs use one ``percentile`` aggregate. Larger inputs are narrowed in rounds: a mergeable
 sketch of the values around a wanted rank proposes cut points, one count per region between the
 cuts proves which region holds the rank, and only the last, small region is fetched. Each round
-is a narrow scan with a tiny shuffle, and the answer is exact whatever the sketch says.
+is a narrow scan with a tiny shuffle, and the answer is exact whatever the sketch says. Values are placed between
+cuts and in regions in Arrow blocks, so that only counts and the values of regions become rows.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.operators.tall import number, tall
@@ -161,30 +164,60 @@ def _values(data: DataFrame, columns: Iterable[str]) -> DataFrame:
     return tall(data, list(columns)).dropna(subset=["v"])
 
 
-def _per_column(lists: Iterable[list[float]]) -> Column:
-    """A list for the row's column, from a small literal table."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in values]) for values in lists])
-    return F.get(table, F.col("c"))
+def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The values of each column of a block that are not missing."""
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in batch.columns]
+        yield [x[~np.isnan(x)] for x in columns]
 
 
-def _reached(sorted_values: Column) -> Column:
-    """How many of the sorted values are at or below ``v``."""
-    return F.size(F.filter(sorted_values, lambda x: x <= F.col("v")))
+def _rows(names: str, columns: Sequence[Sequence]) -> pa.RecordBatch:
+    kinds = {"c": pa.int32(), "g": pa.int32(), "n": pa.int64()}
+    arrays = [pa.array(x, kinds.get(n, pa.float64())) for n, x in zip(names.split(), columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names.split())
 
 
 def _in_regions(data: DataFrame, work: dict[str, list[_Region]]) -> DataFrame:
-    """Values that lie in a region, with the number ``g`` of the region in its column."""
-    lows = _per_column([r.low for r in regions] for regions in work.values())
-    highs = _per_column([r.high for r in regions] for regions in work.values())
-    placed = _values(data, work).withColumn("g", _reached(lows) - 1)
-    return placed.filter((F.col("g") >= 0) & (F.col("v") <= F.get(highs, F.col("g"))))
+    """Values ``v`` of column ``c`` that lie in a region, with the number ``g`` of the region in its column."""
+    lows = [np.array([r.low for r in regions]) for regions in work.values()]
+    highs = [np.array([r.high for r in regions]) for regions in work.values()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for columns in _columns(batches):
+            for c, x in enumerate(columns):
+                g = np.searchsorted(lows[c], x, "right") - 1
+                inside = np.flatnonzero((g >= 0) & (x <= highs[c][g]))
+                if len(inside):
+                    yield _rows("c g v", [np.full(len(inside), c), g[inside], x[inside]])
+
+    return data.select(*work).mapInArrow(run, "c int, g int, v double")
 
 
 def _between_cuts(data: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
-    """All values, numbered 2j between cut j-1 and cut j, and 2j+1 on cut j."""
-    own = _per_column(cuts.values())
-    below = F.size(F.filter(own, lambda x: x < F.col("v")))
-    return _values(data, cuts).withColumn("g", below + _reached(own))
+    """Count, least and largest value, numbered 2j between cut j-1 and cut j, and 2j+1 on cut j."""
+    tables = [np.array(own) for own in cuts.values()]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = [[np.full(2 * len(t) + 1, start) for start in (0.0, np.inf, -np.inf)] for t in tables]
+        for columns in _columns(batches):
+            for x, table, (n, low, high) in zip(columns, tables, held, strict=True):
+                g = np.searchsorted(table, x) + np.searchsorted(table, x, "right")
+                count = np.bincount(g, minlength=len(n))
+                found = np.flatnonzero(count)
+                if len(found):
+                    # in order of their regions; small numbers are sorted by counting
+                    x = x[np.argsort(g.astype(np.int16) if len(n) < 1 << 15 else g, kind="stable")]
+                    first = (np.cumsum(count) - count)[found]
+                    n += count
+                    low[found] = np.minimum(low[found], np.minimum.reduceat(x, first))
+                    high[found] = np.maximum(high[found], np.maximum.reduceat(x, first))
+        for c, (n, low, high) in enumerate(held):
+            some = np.flatnonzero(n)
+            if len(some):
+                yield _rows("c g n low high", [np.full(len(some), c), some, n[some].astype(np.int64), low[some], high[some]])
+
+    parts = data.select(*cuts).mapInArrow(run, "c int, g int, n bigint, low double, high double")
+    return parts.groupBy("c", "g").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _sketches(tall: DataFrame, by: Sequence[str], points: Sequence[float]) -> DataFrame:
@@ -236,12 +269,7 @@ def _narrow(
     open_regions: list[_Region] = []
     for work in _jobs(regions):
         cuts = {c: known[c] for c in work} if known else _cuts(data, work)
-        rows = (
-            _between_cuts(data, cuts)
-            .groupBy("c", "g")
-            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .collect()
-        )
+        rows = _between_cuts(data, cuts).collect()
         for i, (c, parents) in enumerate(work.items()):
             wanted = sorted(rank for r in parents for rank in r.ranks)
             reached = 0

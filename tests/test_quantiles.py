@@ -42,6 +42,24 @@ def test_matches_pandas(awkward, limits):
             assert fitted[c].at(p) == pytest.approx(want, rel=1e-9, abs=1e-9), (c, p)
 
 
+def test_only_counts_and_values_of_regions_become_rows(awkward):
+    """Values are placed in blocks: none is made a row to be counted, none outside of the regions is made one at all."""
+    data, df = awkward
+    rows = df.select("normal", "with_missing")
+    cuts = {"normal": [-0.5, 0.0, 0.0001], "with_missing": [0.1]}
+    counted = {(r["c"], r["g"]): (r["n"], r["low"], r["high"]) for r in qu._between_cuts(rows, cuts).collect()}
+    for c, (name, own) in enumerate(cuts.items()):
+        for g, part in data[name].dropna().groupby(np.searchsorted(own, data[name].dropna()) * 2):
+            assert counted.pop((c, g)) == (len(part), part.min(), part.max())
+    assert not counted
+    regions = {"normal": [qu._Region("normal", [5], 0, 9, -0.3, -0.2), qu._Region("normal", [50], 30, 9, 0.1, 0.2)]}
+    for frame in (qu._between_cuts(rows, cuts), qu._in_regions(rows, regions)):
+        assert "Generate" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    found = sorted((r["g"], r["v"]) for r in qu._in_regions(rows, regions).collect())
+    x = np.sort(data["normal"].to_numpy())
+    assert found == [(0, v) for v in x[(x >= -0.3) & (x <= -0.2)]] + [(1, v) for v in x[(x >= 0.1) & (x <= 0.2)]]
+
+
 def test_clamped_quantiles(awkward):
     data, df = awkward
     fitted = qu.fit_quantiles(df, ["normal"])["normal"]
