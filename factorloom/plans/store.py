@@ -31,14 +31,15 @@ from factorloom.operators.series import Series
 from factorloom.plans import expressions as ex
 from factorloom.plans import moments
 from factorloom.plans.canonical import Canonical
-from factorloom.session import materialize
+from factorloom.session import arrow_batches_of, materialize
 
 PACK_ROWS = 16_384
 TASK_ROWS = 2_000_000
 PIECE_ROWS = 32_768
-# parts of formulas evaluated a second time in a round before the store keeps formulas: a part costs a pass what reading
-# a few kept columns does, and these are written and take disk as well
-KEEP_STEPS = 60
+# parts of formulas evaluated a second time in a round before the store keeps formulas: to evaluate a part again costs a pass
+# no more than to read it, and what is kept makes packs larger and is written to disk
+KEEP_STEPS = 400
+PACKS_A_BATCH = 4  # sent to a worker at once
 # a pack is a row of megabytes: a writer holds, and a reader decodes, one row group at a time
 PACK_FILES = {
     "parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
@@ -241,7 +242,9 @@ class ValueStore:
                     yield pa.RecordBatch.from_arrays(cells, [*base, *[held[e] for e in kept]])
 
         kinds = ", ".join(f"{n} binary" for n in [*base, *[held[e] for e in kept]])
-        return replace(self, packs=materialize(self.packs.mapInArrow(run, kinds), "packs", **PACK_FILES), held=held)
+        with arrow_batches_of(self.packs.sparkSession, PACKS_A_BATCH):
+            packs = materialize(self.packs.mapInArrow(run, kinds), "packs", **PACK_FILES)
+        return replace(self, packs=packs, held=held)
 
     def _windows(self, expr: ex.Expr) -> list[tuple]:
         nodes: set[ex.Expr] = set()
@@ -316,7 +319,8 @@ class ValueStore:
                     if sums.n:
                         yield sums.batch(m, pairs[m])
 
-        found = moments.merged(self.packs.mapInArrow(run, moments.SCHEMA)).collect()
+        with arrow_batches_of(self.packs.sparkSession, PACKS_A_BATCH):
+            found = moments.merged(self.packs.mapInArrow(run, moments.SCHEMA)).collect()
         return self._read_off(found, wanted, forms, distinct, number)
 
     def _read_off(self, found, wanted: Wanted, forms, distinct: Sequence[ex.Expr], number) -> dict[int, list[ex.Expr]]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def local_session(cpus: int | str = "*", app: str = "factorloom", **conf: str) -> SparkSession:
@@ -75,3 +76,14 @@ def shuffles_for(spark: SparkSession, rows: int, task_rows: int) -> Iterator[Non
         yield
     finally:
         spark.conf.set(SHUFFLE_PARTITIONS, before)
+
+
+@contextmanager
+def arrow_batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs started inside send Arrow batches of at most so many rows: for tables whose rows are large."""
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)

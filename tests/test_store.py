@@ -196,6 +196,30 @@ def test_all_settings_of_a_round_share_a_read(table, monkeypatch):
     assert len(mining.trial_configs(prepared, configs, n_trials=1).history) == 1
 
 
+def test_a_worker_gets_a_few_packs_at_a_time(spark, table, monkeypatch):
+    """A pack is a row of megabytes: rows of a batch are limited while packs are read, and only then."""
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before, merged = spark.conf.get(name), moments.merged
+    monkeypatch.setattr(moments, "merged", lambda parts: seen.append(int(spark.conf.get(name))) or merged(parts))
+    values = store.ValueStore.build(lay_out(table), COLUMNS, "y", [F.lit(True)], FUNCTIONS)
+    written = store.materialize
+    monkeypatch.setattr(store, "materialize", lambda *a, **k: seen.append(int(spark.conf.get(name))) or written(*a, **k))
+    values.keep([EXPRS[8]]).score({0: [EXPRS[8]]})
+    assert len(seen) == 2 and max(seen) <= 8 and spark.conf.get(name) == before
+
+
+def test_survivors_of_several_searches_make_no_packs_of_their_own(table, monkeypatch):
+    """Their parts are evaluated again from the plain columns: packs stay as small as they were built."""
+    written, steps = [], []
+    once, counted = store.materialize, store.ValueStore.steps
+    monkeypatch.setattr(store, "materialize", lambda df, label, **k: written.append(len(df.columns)) or once(df, label, **k))
+    monkeypatch.setattr(store.ValueStore, "steps", lambda self, exprs: steps.append(counted(self, exprs)) or steps[-1])
+    settings = search.SearchSettings(population_size=150, generations=4, beam=120, max_depth=4, stopping_criteria=0.0, parsimony_coefficient=0.0)
+    searches = [search.Search(["a", "b", "late"], FUNCTIONS, settings) for _ in range(2)]
+    search.search_all(lay_out(table), "y", searches)
+    assert max(steps) > 60 and written == [7]  # cut, sizes, mask, target and the columns
+
+
 class Stopped(Exception):
     pass
 
